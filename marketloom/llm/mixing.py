@@ -3,8 +3,9 @@
 Every document has a uniform number u from a seeded hash of its id and the key
 -ln(u) / quality weight; smaller keys come first.  A source with target t takes
 floor(t / source size) complete epochs, then documents in key order until the
-rest of its budget is used; the document that crosses the budget is taken if
-that comes nearer to the target than leaving it.
+rest of its budget is used.  Of the document that crosses the budget the mix
+takes the words that are left (so that a source takes its target to the word),
+or, with whole=True, all or none of it, whichever is nearer to the target.
 
 Keys are dealt into fine ranges, whose sizes are summed before any shuffle;
 only the one range of a source in which its budget ends is ordered document by
@@ -58,7 +59,7 @@ def source_targets(sizes: DataFrame, cycle: tuple = CYCLE, most: int = MOST_EPOC
 
 
 def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = None, seed: int = 17,
-        cycle: tuple = CYCLE, most: int = MOST_EPOCHS, ranges: int = RANGES) -> DataFrame:
+        cycle: tuple = CYCLE, most: int = MOST_EPOCHS, ranges: int = RANGES, whole: bool = False) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of docs(doc_id, source, text).
 
     Null and empty texts have size 0 and taken 0; a null source is a source of
@@ -91,8 +92,13 @@ def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = Non
     out = ["doc_id", "size", "source_size", "target"]
     base = F.col("_epochs") * F.col("size")
     plain = d.where(~inside).select(*out, (base + F.when(F.col("_range") < F.col("_edge"), F.col("size")).otherwise(F.lit(0))).alias("taken"))
-    at_edge = d.where(inside).withColumn("_mid", F.col("_before") + F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2)
-    at_edge = at_edge.select(*out, (base + F.when(F.col("_mid") <= F.col("_rest"), F.col("size")).otherwise(F.lit(0))).alias("taken"))
+    at_edge = d.where(inside).withColumn("_from", F.col("_before") + F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    room = F.col("_rest") - F.col("_from")
+    if whole:
+        part = F.when(F.col("size") / 2 <= room, F.col("size")).otherwise(F.lit(0))
+    else:
+        part = F.least(F.col("size"), F.greatest(F.floor(room), F.lit(0)))
+    at_edge = at_edge.select(*out, (base + part).cast("long").alias("taken"))
     return plain.unionByName(at_edge)
 
 
