@@ -21,8 +21,8 @@ BROADCAST_ROWS = 500_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _BYTE_VALUES = np.random.Generator(np.random.PCG64(20_240_229)).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -76,10 +76,10 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
 class Words:
     """The words of some texts: starts, ends (bytes) and, for text i, words bounds[i]:bounds[i + 1]."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
-        self.data = _LOWER[data] if lower else data
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE):
+        self.data = LOWER[data] if lower else data
         n = len(data)
-        inner = ~_SPACE[data]
+        inner = ~space[data]
         cut = np.zeros(n + 1, bool)
         cut[offsets] = True
         first, last = inner.copy(), inner.copy()
@@ -92,7 +92,7 @@ class Words:
     def hashes(self) -> np.ndarray:
         """A 64-bit hash for each word."""
         pw, inv = powers(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
+        self.sums = sums = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum(_BYTE_VALUES[self.data] * pw[: len(self.data)], out=sums[1:])
         return mix((sums[self.ends] - sums[self.starts]) * inv[self.starts] + (self.ends - self.starts).astype(np.uint64))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from marketloom.llm import licences, mixing
+from marketloom.llm import licences, mixing, secrets, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_mixing": mixing.op2_mixing,
+    "op4_secrets": secrets.op4_secrets,
     "op10_licences": licences.op10_licences,
 }
 ORACLES = {"op10_licences": licences.ORACLE}
