@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from marketloom.llm import licences, mixing, secrets, toxicity
+from marketloom.llm import langid, licences, mixing, secrets, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_mixing": mixing.op2_mixing,
+    "op3_language": langid.op3_language,
     "op4_secrets": secrets.op4_secrets,
     "op10_licences": licences.op10_licences,
 }
