@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from marketloom.llm import langid, licences, mixing, secrets, toxicity
+from marketloom.llm import fingerprints, langid, licences, mixing, secrets, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_mixing": mixing.op2_mixing,
     "op3_language": langid.op3_language,
     "op4_secrets": secrets.op4_secrets,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
     "op10_licences": licences.op10_licences,
 }
 ORACLES = {"op10_licences": licences.ORACLE}
