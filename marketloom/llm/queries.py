@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketloom.llm import fingerprints, langid, licences, mixing, secrets, toxicity
+from marketloom.llm import fingerprints, hamming, langid, licences, mixing, secrets, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_language": langid.op3_language,
     "op4_secrets": secrets.op4_secrets,
     "op5_fingerprints": fingerprints.op5_fingerprints,
+    "op8_substrings": substrings.op8_substrings,
+    "op9_neighbours": hamming.op9_neighbours,
     "op10_licences": licences.op10_licences,
 }
 ORACLES = {"op10_licences": licences.ORACLE}
