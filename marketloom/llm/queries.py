@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketloom.llm import fingerprints, hamming, jaccard, langid, licences, mixing, secrets, substrings, toxicity
+from marketloom.llm import fingerprints, hamming, jaccard, langid, licences, mixing, pieces, secrets, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language": langid.op3_language,
     "op4_secrets": secrets.op4_secrets,
     "op5_fingerprints": fingerprints.op5_fingerprints,
+    "op6_pieces": pieces.op6_pieces,
     "op7_jaccard": jaccard.op7_jaccard,
     "op8_substrings": substrings.op8_substrings,
     "op9_neighbours": hamming.op9_neighbours,
