@@ -6,6 +6,7 @@ bytes for themselves, so words of the bytes are words of the text.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -16,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
-#: Rows that a side may have to be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: What a side may have at most to be broadcast; beyond it the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 24 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -137,6 +138,11 @@ class Shared:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let Spark delete the shuffles of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """Delete a written table that nothing reads any more, and let Spark free its shuffles."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
@@ -144,9 +150,12 @@ class Shared:
         path.getFileSystem(conf).delete(path, True)
 
 
-def sized(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has few enough rows (counted, unless given)."""
-    return F.broadcast(df) if (df.limit(limit + 1).count() if rows is None else rows) <= limit else df
+def sized(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if its measured rows and bytes are few enough."""
+    loose = [F.octet_length(f.name) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    width = sum(loose, F.lit(16 * len(df.columns)))
+    rows, size = df.agg(F.count("*"), F.sum(F.coalesce(width, F.lit(64)))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
 def crc_remainder(id_col, modulus: int):

@@ -90,6 +90,26 @@ def _groups(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
+def _starts(packed: bytes, window: int, block: int) -> bytes:
+    """The starts of all windows that hold a marked block, as packed ranges."""
+    r = np.frombuffer(packed, np.int64).reshape(-1, 2)
+    return np.column_stack([r[:, 0] - (window - block), r[:, 1] - block + 1]).tobytes()
+
+
+def _collected(found: DataFrame, shared: Shared, name: str) -> DataFrame:
+    """One row for each document, its ranges merged into one packed value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            merged = [_merged(x).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(merged, pa.binary())], ["doc_id", "ranges"])
+
+    listed = found.groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges"))
+    out = shared.put(listed.mapInArrow(run, "doc_id long, ranges binary"), name)
+    shared.release()
+    return out
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -140,7 +160,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, shared: Shared | None = None)
         return _by_document(doc[marked], place[marked], block)
 
     marks = d.mapInArrow(probes, _PACKED).groupBy("bucket").applyInArrow(hits, "doc_id long, ranges binary")
-    marks = shared.put(marks.groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges")), "marks")
+    marks = _collected(marks, shared, "marks")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +171,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, shared: Shared | None = None)
                 for k in range(i, j):
                     a, b = int(words.bounds[k - i]), int(words.bounds[k - i + 1])
                     # places of marked blocks, plus a half window before them, are the starts to compare
-                    for s, e in _merged([np.column_stack([r[:, 0] - (window - block), r[:, 1] - block + 1]).tobytes() for r in (np.frombuffer(x, np.int64).reshape(-1, 2) for x in packed[k])]):
+                    for s, e in _merged([_starts(packed[k], window, block)]):
                         s, e = max(0, int(s)), min(int(e), b - a - window + 1)
                         if s < e:
                             picked.append(np.arange(a + s, a + e))
@@ -172,7 +192,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, shared: Shared | None = None)
 
     near = d.join(sized(marks), "doc_id").select("doc_id", "text", "ranges")
     found = near.mapInArrow(windows, _PACKED).groupBy("bucket").applyInArrow(judged, "doc_id long, ranges binary")
-    return shared.put(found.groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges")), "repeats")
+    return _collected(found, shared, "repeats")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -192,7 +212,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 for k in range(i, j):
                     a, b = words.bounds[k - i], words.bounds[k - i + 1]
                     keep = np.ones(b - a, bool)
-                    for s, e in _merged(packed[k] or []):
+                    for s, e in _merged([packed[k] or b""]):
                         keep[s:e] = False
                     at = np.flatnonzero(keep) + a
                     n_words.append(int(b - a))
