@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.llm.common import Shared, sized
+
 WORD = r"[^\x20\x09-\x0D]+"
 RANGES = 1 << 14
 CYCLE = (1, 2, 3)
@@ -58,48 +60,59 @@ def source_targets(sizes: DataFrame, cycle: tuple = CYCLE, most: int = MOST_EPOC
     return w.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = None, seed: int = 17,
-        cycle: tuple = CYCLE, most: int = MOST_EPOCHS, ranges: int = RANGES, whole: bool = False) -> DataFrame:
+def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = None, seed: int = 17, cycle: tuple = CYCLE,
+        most: int = MOST_EPOCHS, ranges: int = RANGES, whole: bool = False, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of docs(doc_id, source, text).
 
-    Null and empty texts have size 0 and taken 0; a null source is a source of
-    its own, last in order; repeated rows are rows of their own, with equal keys
-    ordered by size; an empty table gives an empty result.  Other columns are
-    not looked at.
+    With `keep`, those columns of docs with _size and _taken instead.  Null and empty
+    texts have size 0 and taken 0; a null source is a source of its own, last in order;
+    repeated rows are rows of their own, with equal keys ordered by size; an empty table
+    gives an empty result.  Other columns are not looked at.
     """
+    shared = Shared(docs.sparkSession)
     size = n_words(F.col("text")) if size is None else size
     weight = quality_weight(F.col("text")) if weight is None else weight
     u = (F.xxhash64(F.col("doc_id"), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    d = docs.select("doc_id", "source", size.alias("size"), (-F.log(u) / weight).alias("_key"))
+    made = [F.col("doc_id").alias("_id"), F.col("source").alias("_source"), size.alias("_size"), (-F.log(u) / weight).alias("_key")]
+    d = docs.select(*made, *(keep or []))
     d = d.withColumn("_range", F.floor((F.lit(1.0) - F.exp(-F.col("_key") / 2)) * ranges))
-    dealt = d.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
-    sizes = dealt.groupBy("source").agg(F.sum("_sum").alias("source_size"))
+    slim = shared.put(d.select("_id", "_source", "_size", "_key", "_range"), "sizes")
+    dealt = slim.groupBy("_source", "_range").agg(F.sum("_size").alias("_sum"))
+    sizes = dealt.groupBy(F.col("_source").alias("source")).agg(F.sum("_sum").alias("source_size"))
     t = source_targets(sizes, cycle, most)
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     t = t.withColumn("_epochs", full.cast("long"))
-    t = t.withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
-    running = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
-    edges = dealt.withColumn("_to", F.sum("_sum").over(running)).join(t.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
+    t = t.withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size")).withColumnRenamed("source", "_s")
+    same = F.col("_source").eqNullSafe(F.col("_s"))
+    running = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     # the first range that the rest of the budget does not cover
-    edge = edges.where(F.col("_to") > F.col("_rest")).groupBy("source").agg(
-        F.min(F.struct("_range", (F.col("_to") - F.col("_sum")).alias("_before"))).alias("_e"))
-    t = t.join(edge.select(F.col("source").alias("_s"), "_e"), F.col("source").eqNullSafe(F.col("_s")), "left").select(
-        F.col("source").alias("_s"), "source_size", "target", "_epochs", "_rest",
-        F.coalesce("_e._range", F.lit(ranges + 1)).alias("_edge"), F.coalesce("_e._before", F.lit(0)).alias("_before"))
-    d = d.join(t, F.col("source").eqNullSafe(F.col("_s")))
+    edges = dealt.withColumn("_to", F.sum("_sum").over(running)).join(t, same).where(F.col("_to") > F.col("_rest"))
+    edge = edges.groupBy("_source").agg(F.min(F.struct("_range", (F.col("_to") - F.col("_sum")).alias("_before"))).alias("_e"))
+    t = t.join(edge, same, "left").select("_s", "source_size", "target", "_epochs", "_rest", F.coalesce("_e._range", F.lit(ranges + 1)).alias("_edge"), F.coalesce("_e._before", F.lit(0)).alias("_before"))
+    t = sized(shared.put(t, "targets"))
+    d = (d if keep else slim).join(t, same)
     inside = F.col("_range") == F.col("_edge")
-    line = Window.partitionBy("source").orderBy("_key", "doc_id", "size")
-    out = ["doc_id", "size", "source_size", "target"]
-    base = F.col("_epochs") * F.col("size")
-    plain = d.where(~inside).select(*out, (base + F.when(F.col("_range") < F.col("_edge"), F.col("size")).otherwise(F.lit(0))).alias("taken"))
-    at_edge = d.where(inside).withColumn("_from", F.col("_before") + F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    line = Window.partitionBy("_source").orderBy("_key", "_id", "_size")
+    out = [*(keep or []), "_id", "_size", "source_size", "target"]
+    base = F.col("_epochs") * F.col("_size")
+    plain = d.where(~inside).select(*out, (base + F.when(F.col("_range") < F.col("_edge"), F.col("_size")).otherwise(F.lit(0))).alias("_taken"))
+    at_edge = d.where(inside).withColumn("_from", F.col("_before") + F.sum("_size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"))
     room = F.col("_rest") - F.col("_from")
     if whole:
-        part = F.when(F.col("size") / 2 <= room, F.col("size")).otherwise(F.lit(0))
+        part = F.when(F.col("_size") / 2 <= room, F.col("_size")).otherwise(F.lit(0))
     else:
-        part = F.least(F.col("size"), F.greatest(F.floor(room), F.lit(0)))
-    at_edge = at_edge.select(*out, (base + part).cast("long").alias("taken"))
-    return plain.unionByName(at_edge)
+        part = F.least(F.col("_size"), F.greatest(F.floor(room), F.lit(0)))
+    both = plain.unionByName(at_edge.select(*out, (base + part).cast("long").alias("_taken")))
+    if keep:
+        return both.select(*keep, "_size", "_taken")
+    return both.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", F.col("_taken").alias("taken"))
+
+
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents: each row as often as the mix takes it, whole; columns as they were."""
+    mixed = mix(docs, whole=True, keep=docs.columns, **options)
+    times = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(F.lit(0)).cast("int")
+    return mixed.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
