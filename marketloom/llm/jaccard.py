@@ -209,22 +209,31 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90, shared: Shared |
     return sets.select("doc_id", "node", "n"), shared.put(classes, "classes")
 
 
-def linked(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
+def linked(docs: DataFrame, shingle: int = 3, percent: int = 90, shared: Shared | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text).
 
     component_id is the least doc_id that links reach.  Null and word-less texts have an
     empty set and stand alone; equal texts are linked; repeated rows each give a row.
     """
-    sets, classes = join(docs, shingle, percent)
+    sets, classes = join(docs, shingle, percent, shared)
     least = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of = classes.join(least, "comp").select("node", "component_id")
     return sets.join(of, "node", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: that of the least doc_id (of rows that repeat it, one with the most characters)."""
-    kept = linked(docs, shingle, percent).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    """docs with one document of each component, that of the least doc_id; columns as they were.
+
+    Rows of one id are one document: it goes if any of them belongs to a component with
+    a smaller id, else one of them stays.  Rows without an id stay.
+    """
+    shared = Shared(docs.sparkSession)
+    found = shared.put(linked(docs, shingle, percent, shared).where("doc_id is not null"), "found")
+    shared.release()
+    seen = shared.put(found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max((F.col("component_id") != F.col("doc_id")).cast("int")).alias("goes")).where("rows > 1 or goes > 0"), "seen")
+    out = docs.join(sized(seen.select("doc_id")), "doc_id", "left_anti").select(docs.columns)
+    once = docs.join(sized(seen.where("goes = 0").select("doc_id")), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return out.unionByName(once)
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:

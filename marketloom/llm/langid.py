@@ -200,6 +200,19 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     return d.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
+def accept(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
+    """The rows of docs whose language is determined with at least that score; columns as they were."""
+    at = docs.columns.index("text")
+    valid = docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).where("_letters").drop("_letters")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [model.predict(model.margins(data, bounds))[1] for _, _, data, bounds in parts(batch.column(at))]
+            yield batch.filter(pa.array(np.concatenate(scores) >= least if scores else np.zeros(0, bool)))
+
+    return valid.mapInArrow(run, docs.schema) if model.families else docs.limit(0)
+
+
 def op3_language(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = F.coalesce(crc_remainder(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")

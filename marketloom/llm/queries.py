@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from marketloom.llm import fingerprints, hamming, jaccard, langid, licences, mixing, pieces, secrets, substrings, toxicity
 
 QUERIES = {
@@ -15,5 +16,6 @@ QUERIES = {
     "op8_substrings": substrings.op8_substrings,
     "op9_neighbours": hamming.op9_neighbours,
     "op10_licences": licences.op10_licences,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op10_licences": licences.ORACLE}
