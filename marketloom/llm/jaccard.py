@@ -36,42 +36,42 @@ LOCAL_FREQUENT, FREQUENT = 1 << 14, 1 << 18
 GROUP_TOKENS, GROUP_QUERIES = 1 << 15, 512
 
 
-def _sets(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, words in batches_of_words(batch.column(1), lower=True):
-                h = words.hashes()
-                w = window_hashes(h, shingle)
-                node, size, sign, toks = [], [], [], []
-                for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist()):
-                    if b - a >= shingle:
-                        s = np.unique(w[a : b - shingle + 1])
-                    elif b > a:  # the whole sequence is the one element
-                        s = window_hashes(h[a:b], b - a) ^ np.uint64(b - a)
-                    else:
-                        s = np.zeros(0, np.uint64)
-                    raw = s.tobytes()
-                    node.append(int.from_bytes(hashlib.md5(raw).digest()[:8], "little", signed=True) if len(s) else None)
-                    size.append(len(s))
-                    sign.append(int(mix(s + np.uint64(0x51ED270B)).min().astype(np.int64)) if len(s) else None)
-                    toks.append(raw)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(sign, pa.int64()), pa.array(toks, pa.binary())], ["doc_id", "node", "n", "sign", "toks"])
+def _set(h: np.ndarray, w: np.ndarray, a: int, b: int, shingle: int) -> np.ndarray:
+    """The sorted distinct shingles of words a to b."""
+    if b - a >= shingle:
+        return np.unique(w[a : b - shingle + 1])
+    if b > a:  # the whole sequence is the one element
+        return window_hashes(h[a:b], b - a) ^ np.uint64(b - a)
+    return np.zeros(0, np.uint64)
 
-    return run
+
+def _of(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """The set of each text."""
+    for _, _, words in batches_of_words(column, lower=True):
+        h = words.hashes()
+        w = window_hashes(h, shingle)
+        for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist()):
+            yield _set(h, w, a, b, shingle)
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _node(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little", signed=True)
+
+
+def _frequent(shingle: int):
     """The most frequent tokens of a partition, those seen once left out."""
-    tokens, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for batch in batches:
-        own = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
-        t, c = np.unique(own, return_counts=True)
-        both = np.concatenate([tokens, t])
-        tokens, to = np.unique(both, return_inverse=True)
-        counts = np.bincount(to, np.concatenate([counts, c]), minlength=len(tokens)).astype(np.int64)
-    keep = np.flatnonzero(counts > 1)
-    keep = keep[np.lexsort((tokens[keep], -counts[keep]))[:LOCAL_FREQUENT]]
-    yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])], ["token", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            t, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *_of(batch.column(0), shingle)]), return_counts=True)
+            tokens, to = np.unique(np.concatenate([tokens, t]), return_inverse=True)
+            counts = np.bincount(to, np.concatenate([counts, c]), minlength=len(tokens)).astype(np.int64)
+        keep = np.flatnonzero(counts > 1)
+        keep = keep[np.lexsort((tokens[keep], -counts[keep]))[:LOCAL_FREQUENT]]
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])], ["token", "n"])
+
+    return run
 
 
 def _verify(percent: int):
@@ -141,14 +141,14 @@ def components(edges: DataFrame, shared: Shared, name: str) -> DataFrame:
 def join(docs: DataFrame, shingle: int = 3, percent: int = 90, shared: Shared | None = None) -> tuple[DataFrame, DataFrame]:
     """(sets, classes): sets(doc_id, node, n) a row of docs each, classes(node, doc_id, comp).
 
-    A text without words has a null node and is in no class; null ids are allowed.
+    Texts are read again for each step that needs their sets, which is less than keeping
+    all sets.  A text without words has a null node and is in no class; rows without an
+    id are linked with equal texts only.
     """
     spark = docs.sparkSession
     shared = shared or Shared(spark)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    sets = docs.select("doc_id", "text").mapInArrow(_sets(shingle), f"doc_id {id_type}, node long, n int, sign long, toks binary")
-    sets = shared.put(sets, "sets")
-    known = sets.where("node is not null").select("toks").mapInArrow(_frequent, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas().sort_values("token")
+    known = docs.select("text").where("text is not null").mapInArrow(_frequent(shingle), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas().sort_values("token")
     frequent = known["token"].to_numpy(np.int64).view(np.uint64), known["n"].to_numpy(np.int64)
     by_hash = np.argsort(frequent[0])
     order = spark.sparkContext.broadcast((frequent[0][by_hash], frequent[1][by_hash]))
@@ -156,25 +156,35 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90, shared: Shared |
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = order.value
         for batch in batches:
-            first = []
-            for raw in batch.column(3).to_pylist():
-                t = np.frombuffer(raw, np.uint64)
+            node, size, sign, first = [], [], [], []
+            for t in _of(batch.column(1), shingle):
                 take = len(t) + (-percent * len(t) // 100) + 1  # n - ceil(percent n / 100) + 1
                 at = np.minimum(np.searchsorted(tokens, t), max(len(tokens) - 1, 0))
                 seen = np.where(tokens[at] == t, counts[at], 0) if len(tokens) else np.zeros(len(t), np.int64)
                 first.append(t[np.lexsort((t, seen))[:take]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(4), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "node", "n", "sign", "prefix"])
+                node.append(_node(t) if len(t) else None)
+                sign.append(int(mix(t + np.uint64(0x51ED270B)).min().astype(np.int64)) if len(t) else None)
+                size.append(len(t))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(sign, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "node", "n", "sign", "prefix"])
 
-    rows = sets.where("node is not null").select("doc_id", "node", "n", "toks", "sign").mapInArrow(prefixes, f"doc_id {id_type}, node long, n int, sign long, prefix array<long>")
+    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column(1).to_pylist()
+            made = [s.tobytes() if _node(s) == node else None for s, node in zip(_of(batch.column(2), shingle), wanted)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["comp", "node", "toks"])
+
+    sets = shared.put(docs.select("doc_id", "text").mapInArrow(prefixes, f"doc_id {id_type}, node long, n int, sign long, prefix array<long>"), "sets")
+    rows = sets.where("node is not null")
     reps = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sign").alias("sign"), F.first("prefix").alias("prefix"))
     reps = shared.put(reps, "reps")
+    shared.release()
     sizes = reps.groupBy("sign").agg(F.sum("n").alias("tokens"))
     grouped = reps.join(sizes, "sign").select("node", "n", "prefix", F.xxhash64("sign", F.pmod(F.xxhash64("node"), F.ceil(F.col("tokens") / GROUP_TOKENS).cast("long"))).alias("gid"))
-    grouped = shared.put(grouped, "groups")
-    members = grouped.select("node", "gid")
+    members = shared.put(grouped.select("node", "gid"), "members")
     tokens = grouped.select("node", "n", "gid", F.posexplode("prefix").alias("pos", "token"))
     shared_tokens = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
     tokens = shared.put(tokens.join(shared_tokens, "token"), "tokens")
+    shared.release()
 
     def fits(n: Column, tail: Column, low: Column, high: Column, reach: Column) -> Column:
         sizes_fit = (100 * n >= percent * low) & (100 * high >= percent * n)
@@ -190,8 +200,11 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90, shared: Shared |
         held = members.join(load, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("member"), "node")
         wanted = shared.put(queries.union(held), f"{name}-wanted")
         need = shared.put(reps.select("node", "doc_id").join(wanted.select("node").distinct(), "node").join(comps, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp")), f"{name}-need")
-        full = sets.select("node", "doc_id", "toks").join(sized(need), ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "comp", "toks")
-        return shared.put(wanted.join(full, "node").groupBy("gid", "salt").applyInArrow(_verify(percent), "a long, b long"), f"{name}-links")
+        texts = docs.select("doc_id", "text").join(sized(need), "doc_id").select("comp", "node", "text")
+        full = texts.mapInArrow(tokens_of, "comp long, node long, toks binary").where("toks is not null")
+        links = shared.put(full.join(sized(wanted), "node").groupBy("gid", "salt").applyInArrow(_verify(percent), "a long, b long"), f"{name}-links")
+        shared.release()
+        return links
 
     nothing = spark.createDataFrame([], "node long, comp long")
     leading = tokens.groupBy("token", "gid").agg(*matrix).groupBy("token").agg(F.max_by(F.struct("gid", "low", "high", "reach"), F.struct("size", "gid")).alias("g"), F.count("*").alias("groups"))
