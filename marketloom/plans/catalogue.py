@@ -1,4 +1,36 @@
 """The registered queries of the engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from marketloom.operators import alphas, panel
+from marketloom.plans.rel import Rel
+from marketloom.sources import tables as t
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def rel(name: str, plan: Rel) -> None:
+    """Register a plan and its SQL."""
+    QUERIES[name] = lambda spark, sf_dir: plan.df(t.tables(spark, sf_dir))
+    ORACLES[name] = plan.sql(t.SCHEMA_NAMES)
+
+
+def shown(plan: Rel, *values: str, digits: int = 8, keys: tuple = ("symbol", "ts")) -> Rel:
+    """The keys, times as text, and rounded values."""
+    return plan.select(*[k for k in keys if k != "ts"], **({"ts": "CAST(ts AS STRING)"} if "ts" in keys else {}), **{v: f"round(CAST({v} AS DOUBLE), {digits}) + 0.0" for v in values})
+
+
+BARS = t.bars()
+PANEL = panel.dense(BARS)
+
+rel("bars_weekly", shown(BARS, "open", "high", "low", "close", "volume"))
+rel("panel_dense", shown(PANEL, "close", "own", "ret", "vwap"))
+rel("panel_common_returns", shown(panel.common(BARS, 10), "ret"))
+rel("market_return", shown(panel.market(PANEL), "bench", keys=("ts",)))
+for _name in alphas.STAGES:
+    rel(f"alpha_{_name}", shown(alphas.alpha(PANEL, _name), "alpha"))
