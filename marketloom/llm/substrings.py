@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import Shared, batches_of_words, sized, window_hashes
+from marketloom.llm.common import Shared, batches_of_words, mix, sized, window_hashes
 
 WINDOW = 50
 #: Bytes of text whose records one group holds, and the low bits of a record that hold a place in a segment.
@@ -59,18 +59,29 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return np.repeat(join("doc", np.int64), n), np.repeat(join("base", np.int64), n), join("record", np.uint64), join("place", np.int32)
 
 
-def _by_document(doc: np.ndarray, place: np.ndarray, length: int) -> pa.Table:
-    """(doc_id, ranges): for each document the merged ranges [place, place + length), packed."""
+_FOUND = "slot int, doc binary, n binary, ranges binary"
+
+
+def _by_document(doc: np.ndarray, place: np.ndarray, length: int, slots: int) -> pa.Table:
+    """The merged ranges [place, place + length) of each document, packed by slots of documents: a row a slot."""
     order = np.lexsort((place, doc))
     doc, place = doc[order], place[order]
-    if not len(doc):
-        return pa.table({"doc_id": pa.array([], pa.int64()), "ranges": pa.array([], pa.binary())})
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + length)])
-    heads = np.flatnonzero(new)
-    ranges = np.column_stack([place[heads], place[np.append(heads[1:] - 1, len(place) - 1)] + length])
-    of = doc[heads]
-    edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    return pa.table({"doc_id": pa.array(of[edges]), "ranges": pa.array([ranges[a:b].tobytes() for a, b in zip(edges, np.append(edges[1:], len(of)))], pa.binary())})
+    rows: list[tuple] = []
+    if len(doc):
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + length)])
+        heads = np.flatnonzero(new)
+        ranges = np.column_stack([place[heads], place[np.append(heads[1:] - 1, len(place) - 1)] + length])
+        of = doc[heads]
+        slot = (mix(of.view(np.uint64)) % np.uint64(slots)).astype(np.int64)
+        by = np.argsort(slot, kind="stable")
+        slot, of, ranges = slot[by], of[by], ranges[by]
+        edges = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+        for a, b in zip(edges, np.append(edges[1:], len(slot))):
+            own = of[a:b]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            rows.append((int(slot[a]), own[first].tobytes(), np.diff(np.append(first, len(own))).astype(np.int32).tobytes(), ranges[a:b].tobytes()))
+    columns = list(zip(*rows)) if rows else [[]] * 4
+    return pa.table({"slot": pa.array(columns[0], pa.int32()), **{name: pa.array(c, pa.binary()) for name, c in zip(("doc", "n", "ranges"), columns[1:])}})
 
 
 def _merged(packed: list[bytes]) -> np.ndarray:
@@ -99,13 +110,17 @@ def _starts(packed: bytes, window: int, block: int) -> bytes:
 def _collected(found: DataFrame, shared: Shared, name: str) -> DataFrame:
     """One row for each document, its ranges merged into one packed value."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            merged = [_merged(x).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(merged, pa.binary())], ["doc_id", "ranges"])
-
-    listed = found.groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges"))
-    out = shared.put(listed.mapInArrow(run, "doc_id long, ranges binary"), name)
+    def merge(table: pa.Table) -> pa.Table:
+        join = lambda column, kind: np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
+        doc = np.repeat(join("doc", np.int64), join("n", np.int32))
+        ranges = join("ranges", np.int64).reshape(-1, 2)
+        order = np.argsort(doc, kind="stable")
+        doc, ranges = doc[order], ranges[order]
+        edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else doc
+        merged = [_merged([ranges[a:b].tobytes()]).tobytes() for a, b in zip(edges, np.append(edges[1:], len(doc)))]
+        return pa.table({"doc_id": pa.array(doc[edges], pa.int64()), "ranges": pa.array(merged, pa.binary())})
+
+    out = shared.put(found.groupBy("slot").applyInArrow(merge, "doc_id long, ranges binary"), name)
     shared.release()
     return out
 
@@ -152,14 +167,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, shared: Shared | None = None)
         place = base[order] + (record & low).astype(np.int64)
         heads, run = _groups(record & ~low)
         if not len(run):
-            return _by_document(doc, place, block)
+            return _by_document(doc, place, block, buckets)
         is_block = place % block == 0
         least_block = np.minimum.reduceat(np.where(is_block, doc, np.iinfo(np.int64).max), heads)[run]
         largest = np.maximum.reduceat(doc, heads)[run]
         marked = (least_block < doc) | (is_block & (doc < largest))
-        return _by_document(doc[marked], place[marked], block)
+        return _by_document(doc[marked], place[marked], block, buckets)
 
-    marks = d.mapInArrow(probes, _PACKED).groupBy("bucket").applyInArrow(hits, "doc_id long, ranges binary")
+    marks = d.mapInArrow(probes, _PACKED).groupBy("bucket").applyInArrow(hits, _FOUND)
     marks = _collected(marks, shared, "marks")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,12 +201,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, shared: Shared | None = None)
         doc, place, record = doc[order], place[order].astype(np.int64), record[order]
         heads, run = _groups(record)
         if not len(run):
-            return _by_document(doc, place, window)
+            return _by_document(doc, place, window, buckets)
         later = doc > np.minimum.reduceat(doc, heads)[run]
-        return _by_document(doc[later], place[later], window)
+        return _by_document(doc[later], place[later], window, buckets)
 
     near = d.join(sized(marks), "doc_id").select("doc_id", "text", "ranges")
-    found = near.mapInArrow(windows, _PACKED).groupBy("bucket").applyInArrow(judged, "doc_id long, ranges binary")
+    found = near.mapInArrow(windows, _PACKED).groupBy("bucket").applyInArrow(judged, _FOUND)
     return _collected(found, shared, "repeats")
 
 
