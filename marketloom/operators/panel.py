@@ -61,14 +61,14 @@ def step(calendar: Rel, facts: Rel, value: str) -> Rel:
 def interval_sum(calendar: Rel, facts: Rel, amount: str, at: str) -> Rel:
     """The sum of amounts dated in (previous row, this row] of the symbol."""
     span = calendar.with_(previous=f"lag(ts) {w.SERIES}")
-    got = span.select("symbol", "ts", "previous").join(facts.select("symbol", at=at, amount=amount), "a.symbol = b.symbol AND b.at > a.previous AND b.at <= a.ts").group("symbol", "ts", amount="sum(amount)")
+    got = span.select("symbol", "ts", "previous").join(facts.select("symbol", day_at=at, amount=amount), "a.symbol = b.symbol AND b.day_at > a.previous AND b.day_at <= a.ts").group("symbol", "ts", amount="sum(amount)")
     return span.join(got, "symbol, ts", "left").with_(credited="coalesce(amount, 0.0)")
 
 
 def nearest(left: Rel, right: Rel, value: str, at: str, tolerance: int) -> Rel:
     """The value of the right row nearest in days, within the tolerance; ties to the earlier."""
-    near = left.join(right.select("symbol", at=at, v=value), "a.symbol = b.symbol").with_(gap="abs(@days(at, ts))").where(f"gap <= {tolerance}")
-    return near.with_(n="row_number() OVER (PARTITION BY symbol, ts ORDER BY gap, at)").where("n = 1").select("symbol", "ts", near_at="at", value="v")
+    near = left.join(right.select("symbol", day_at=at, v=value), "a.symbol = b.symbol").with_(gap="abs(@days(day_at, ts))").where(f"gap <= {tolerance}")
+    return near.with_(n="row_number() OVER (PARTITION BY symbol, ts ORDER BY gap, day_at)").where("n = 1").select("symbol", "ts", near_at="day_at", value="v")
 
 
 def tail(rel: Rel, key: str = "symbol") -> Rel:

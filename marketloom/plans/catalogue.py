@@ -34,3 +34,104 @@ rel("panel_common_returns", shown(panel.common(BARS, 10), "ret"))
 rel("market_return", shown(panel.market(PANEL), "bench", keys=("ts",)))
 for _name in alphas.STAGES:
     rel(f"alpha_{_name}", shown(alphas.alpha(PANEL, _name), "alpha"))
+
+from marketloom.functions import windows as w  # noqa: E402
+from marketloom.operators import portfolio as p  # noqa: E402
+from marketloom.operators import statistics as st  # noqa: E402
+
+YEAR = 52.0
+FACTS = t.fundamentals()
+BENCH = panel.market(PANEL)
+MARKET = p.with_market(PANEL, BENCH)
+SECTOR = "CAST(CAST(substr(symbol, 2, 2) AS INT) % 4 AS STRING)"
+K = p.k_of(16, 0.2)
+DAYS = ("ts",)
+
+
+def stats(name: str, daily: Rel, *keys: str) -> None:
+    """A daily table and its summary."""
+    rel(f"{name}_daily", shown(daily, "net", keys=DAYS))
+    rel(f"{name}_summary", shown(st.summary(daily, YEAR, "net", *keys), "n", "sharpe", "tstat", "sortino", "vol", "skew", "kurt", "total", digits=6, keys=keys))
+
+
+# rolling and cross-sectional primitives
+for _name, _e in {
+    "delay": w.delay("close", 3), "delta": w.delta("close", 3), "sum": w.ts_sum("ret", 6), "mean": w.ts_mean("close", 6), "std": w.ts_std("ret", 6), "rank": w.ts_rank("close", 6), "min": w.ts_min("low", 6), "max": w.ts_max("high", 6),
+    "argmax": w.ts_argmax("high", 6), "argmin": w.ts_argmin("low", 6), "decay": w.decay_linear("ret", 6), "corr": w.rolling_corr("close", "volume", 8), "cov": w.rolling_cov("close", "volume", 8), "signed_power": w.signed_power("ret", 2.0),
+    "z_prior": w.z_prior("close", 10), "xrank": w.xrank("close"), "rank01": w.rank01("close"), "scale": w.scale("ret"), "zscore_rows": w.zscore_rows("close"), "zscore_columns": w.zscore_columns("close"),
+}.items():
+    rel(f"window_{_name}", shown(PANEL.with_(v=_e), "v", digits=3 if _name == "cov" else 8))
+rel("window_sector_demean", shown(PANEL.with_(sector=SECTOR).with_(v=w.demean("close", "sector")), "v"))
+rel("window_atr", shown(BARS.with_(tr=w.true_range()).with_(atr=f"avg(tr) {w.last(14)}", before=f"avg(tr) {w.last(14, 1)}"), "atr", "before"))
+rel("window_return_volatility", shown(BARS.with_(r=f"ln(close / lag(close) {w.SERIES})").with_(vol=f"CASE WHEN count(r) {w.last(20)} >= 2 THEN stddev_pop(r) {w.last(20)} * sqrt(52.0) ELSE 0.15 END"), "vol"))
+rel("window_mean_variance", shown(BARS.with_(r=f"close / lag(close) {w.SERIES} - 1.0").with_(mu=f"avg(close) {w.last(20, 1)}", var=f"var_pop(r) {w.last(20)}").with_(n=w.ROW).where("n > 20"), "mu", "var"))
+rel("window_donchian", shown(BARS.with_(top=f"max(high) {w.last(20, 1)}", bottom=f"min(low) {w.last(20, 1)}").with_(breakout="CASE WHEN close > top THEN 1 WHEN close < bottom THEN -1 ELSE 0 END"), "top", "bottom", "breakout"))
+rel("window_bollinger", shown(BARS.with_(m=f"avg(close) {w.last(20)}", s=f"stddev_pop(close) {w.last(20)}", n=w.ROW).where("n >= 20").with_(upper="m + 2.0 * s", lower="m - 2.0 * s"), "m", "upper", "lower"))
+
+# alignment
+rel("join_step_net_income", shown(panel.step(PANEL, FACTS, "net_income"), "value", digits=6))
+rel("join_interval_sum", shown(panel.interval_sum(BARS, FACTS.with_(dividend="fcf / shares"), "dividend", "filed"), "credited"))
+rel("join_nearest_statement", shown(panel.nearest(BARS.select("symbol", "ts"), FACTS, "shares", "fy_end", 120), "value", digits=6))
+rel("join_tail_alignment", shown(panel.tail(BARS), "place", "close"))
+rel("join_market_left", shown(MARKET, "b"))
+rel("join_inner_pair", BARS.where("symbol = 'S01'").select("ts", x="close").join(BARS.where("symbol = 'S02'").select("ts", y="close"), "ts").select(ts="CAST(ts AS STRING)", spread="round(ln(x) - 0.8 * ln(y), 8)"))
+rel("facts_yearly", FACTS.select("symbol", "fy", filed="CAST(filed AS STRING)", net_income="net_income", total_assets="total_assets", shares="shares"))
+rel("facts_accruals", p.accruals(FACTS).select("symbol", "fy", accrual="round(accrual, 8)"))
+rel("facts_surprise", FACTS.with_(ue=f"net_income - lag(net_income) OVER (PARTITION BY symbol ORDER BY fy_end)").with_(sd="stddev_pop(ue) OVER (PARTITION BY symbol ORDER BY fy_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", n="count(ue) OVER (PARTITION BY symbol ORDER BY fy_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)").select("symbol", "fy", sue="CASE WHEN n >= 2 THEN round(ue / nullif(sd, 0.0), 8) END"))
+
+# signals
+_SIGNALS = {
+    "momentum": p.momentum(PANEL, 12), "short_return": p.momentum(PANEL, 5), "skip_momentum": p.momentum(PANEL, 48, 4), "max_return": p.max_return(PANEL, 21), "idiosyncratic_vol": p.idiosyncratic_vol(MARKET, 52),
+    "residual_momentum": p.residual_momentum(MARKET, 52, 4), "vol_managed": p.vol_managed_momentum(PANEL, 52, 4, 26), "low_beta": p.low_beta(MARKET, 52), "near_high": p.near_high(PANEL, 52), "gap": p.gap(PANEL), "seasonality": p.seasonality(PANEL, 8),
+    "asset_growth": p.step_signal(PANEL, p.growth(FACTS, "total_assets"), "growth"), "net_issuance": p.step_signal(PANEL, p.growth(FACTS, "shares"), "growth"),
+    "roa": p.step_signal(PANEL, FACTS.with_(x="net_income / total_assets"), "x"), "gross_profit": p.step_signal(PANEL, FACTS.with_(x="(revenue - cogs) / total_assets"), "x"), "accruals": p.step_signal(PANEL, p.accruals(FACTS), "accrual"),
+    "value": p.value_composite(PANEL, FACTS), "value_sector_momentum": p.value_composite(PANEL, FACTS, SECTOR, 0.5),
+}
+for _name, _s in _SIGNALS.items():
+    rel(f"signal_{_name}", shown(_s, "signal", digits=10))
+
+# portfolio engines
+for _name, _high in {"momentum": True, "max_return": False, "idiosyncratic_vol": False, "residual_momentum": True, "vol_managed": True, "seasonality": True, "asset_growth": False, "net_issuance": False, "roa": True, "gross_profit": True, "value": True, "value_sector_momentum": True}.items():
+    stats(f"factor_{_name}", p.factor(_SIGNALS[_name], K, 4, long_high=_high))
+stats("cross_sectional_momentum", p.cross_sectional(PANEL, 12, 4, K))
+stats("cross_sectional_reversal", p.cross_sectional(PANEL, 12, 4, K, reverse=True))
+stats("near_high_tranches", p.overlapping(_SIGNALS["near_high"], K, 4))
+stats("gap_reversion", p.overlapping(_SIGNALS["gap"], K, 5, long_high=False))
+stats("overnight_reversal", p.overnight_reversal(PANEL, 1, K))
+stats("low_beta", p.factor(_SIGNALS["low_beta"], K, 4))
+stats("accrual_daily_rank", p.daily(_SIGNALS["accruals"], K, long_high=False))
+for _mode in ("tsmom", "long_vol", "ew_bh"):
+    stats(f"trend_{_mode}", p.time_series_momentum(PANEL, 26, 13, 4, YEAR, mode=_mode))
+rel("factor_momentum_equity", shown(p.equity(p.factor(_SIGNALS["momentum"], K, 4)), "equity", digits=4, keys=DAYS))
+rel("factor_momentum_drawdown", st.drawdown(p.equity(p.factor(_SIGNALS["momentum"], K, 4))).select(max_drawdown="round(max_drawdown, 8)"))
+_ONE = BARS.where("symbol = 'S03'")
+_ALL = {"turn_of_month": p.calendar_position(BARS), "inventory": p.inventory_target(BARS, 20), "band": p.band_target(BARS, "close", 20, 1.0, 0.25)}
+_ALL["before_event"] = p.before_event_position(BARS, Rel.table("orders").select(ts="CAST(date_trunc('week', o_orderdate) AS DATE)", p="o_totalprice").group("ts", top="max(p)").where("month(ts) % 3 = 0"), 1)
+for _name, _r in _ALL.items():
+    rel(f"position_{_name}", shown(p.positioned(_r), "position", "net"))
+
+# events
+_SURPRISES = p.growth(FACTS, "net_income").where("growth IS NOT NULL").select("symbol", event_ts="filed", surprise="round(100.0 * growth, 8)")
+for _leg in ("both", "long", "short"):
+    stats(f"event_drift_{_leg}", p.event_drift(BARS, _SURPRISES, 8, 1, 2.0, _leg, 0.03 if _leg == "short" else 0.0, YEAR))
+_EAR = p.announcement_returns(BARS, _SURPRISES)
+rel("event_announcement_returns", _EAR.select("symbol", event_ts="CAST(event_ts AS STRING)", surprise="round(surprise, 8)"))
+stats("event_announcement_drift", p.event_drift(BARS, _EAR, 8, 3, 1.0))
+_BUYS = Rel.table("orders").where("o_orderstatus = 'F' AND o_totalprice > 200000").select(symbol="concat('S', lpad(CAST(o_custkey % 16 AS STRING), 2, '0'))", bought="CAST(o_orderdate AS DATE)")
+rel("event_recent_buyers", p.recent_buyers(BARS, _BUYS, 30).group("ts", names="count(*)", mean="avg(close)").select("names", ts="CAST(ts AS STRING)", mean="round(mean, 8)"))
+
+# evaluation and combination
+_MOM, _VAL = p.factor(_SIGNALS["momentum"], K, 4), p.factor(_SIGNALS["roa"], K, 4)
+rel("evaluate_beta_alpha", st.beta_alpha(_MOM, BENCH, YEAR).select("n", beta="round(beta, 8)", alpha="round(alpha, 8)", ir="round(ir, 8)"))
+rel("evaluate_segments", shown(st.segments(_MOM, 4, YEAR), "segment", "n", "sharpe", digits=6, keys=()))
+rel("evaluate_years", shown(st.by_year(_MOM, YEAR), "year", "n", "sharpe", digits=6, keys=()))
+_STREAMS = PANEL.where("ret IS NOT NULL").select("symbol", "ts", r="ret")
+rel("combine_correlations", st.correlations(_STREAMS).select("left_key", "right_key", "n", rho="round(rho, 8)"))
+rel("combine_inverse_vol", st.inverse_vol_weights(_STREAMS).select("symbol", weight="round(weight, 8)"))
+stats("combine_blend", st.blend(_STREAMS, st.inverse_vol_weights(_STREAMS)))
+_SLEEVES = BARS.select("symbol").distinct().select(sleeve="symbol", weight="0.05 + CAST(substr(symbol, 2, 2) AS DOUBLE) / 100.0", cap="CASE WHEN symbol = 'S00' THEN 0.04 END")
+stats("combine_sleeves", st.combine_tracks(_STREAMS.select("ts", "r", sleeve="symbol"), _SLEEVES))
+rel("gate_leg", st.leg_gate(_VAL, _MOM).select("n", "enough_overlap", "low_correlation", "adds", rho="round(rho, 8)", lift="round(lift, 8)"))
+rel("gate_leave_one_year_out", st.leave_one_year_out(_VAL, _MOM).select("dropped", "n", lift="round(lift, 8)", mix_ratio="round(mix_ratio, 8)"))
+_INDEX = p.equity(BENCH.with_(net="bench")).select("ts", symbol="'EW'", close="round(equity, 6)")
+rel("regime_labels", st.regime(_INDEX, 13, YEAR, 0.01, 0.12).select("regime", ts="CAST(ts AS STRING)"))

@@ -108,7 +108,7 @@ def quotes() -> Rel:
 def fundamentals() -> Rel:
     """Yearly statements of the symbols from orders and lineitem; filed 60 days after the year."""
     rows = Rel.table("lineitem").select("l_orderkey", "l_extendedprice", "l_discount", "l_tax", "l_quantity", symbol="concat('S', lpad(CAST(l_partkey % 16 AS STRING), 2, '0'))").join(
-        Rel.table("orders").select(l_orderkey="o_orderkey", fy="year(o_orderdate)"), "l_orderkey")
-    year = rows.group("symbol", "fy", revenue="round(sum(l_extendedprice), 4)", cogs="round(sum(l_extendedprice * (1.0 - l_discount)) * 0.6, 4)", tax="round(sum(l_extendedprice * l_tax), 4)", shares="sum(l_quantity)", lines="count(*)")
+        Rel.table("orders").select(l_orderkey="o_orderkey", fy="CAST(year(o_orderdate) AS INT)"), "l_orderkey")
+    year = rows.group("symbol", "fy", revenue="round(sum(l_extendedprice), 6)", cogs="round(sum(l_extendedprice * (1.0 - l_discount)) * 0.6, 6)", tax="round(sum(l_extendedprice * l_tax), 6)", shares="sum(l_quantity)", lines="count(*)")
     return year.select("symbol", "fy", "revenue", "cogs", "shares", fy_end="make_date(fy, 12, 31)", filed="make_date(fy + 1, 3, 1)",
-                       net_income="round(revenue - cogs - tax, 4)", cfo="round((revenue - cogs) * 0.9 - tax, 4)", total_assets="round(revenue * 1.5 + CAST(lines AS DOUBLE) * 100.0, 4)", book_equity="round(revenue * 0.7, 4)", fcf="round((revenue - cogs) * 0.8 - tax, 4)")
+                       net_income="round(revenue - cogs - tax, 6)", cfo="round((revenue - cogs) * 0.9 - tax, 6)", total_assets="round(revenue * 1.5 + CAST(lines AS DOUBLE) * 100.0, 6)", book_equity="round(revenue * 0.7, 6)", fcf="round((revenue - cogs) * 0.8 - tax, 6)")
