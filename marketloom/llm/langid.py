@@ -30,7 +30,7 @@ FAMILIES = {
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 12
 #: The fit takes about so many documents of a language at most, chosen by a hash of the text.
-PER_LANGUAGE = 500
+PER_LANGUAGE = 400
 FOLDS, HELD_OUT = 4, 2
 UNDETERMINED = "und"
 _SLICE = 256 << 10
@@ -152,16 +152,17 @@ def fit(docs: DataFrame, families: dict[str, str] | None = None, per_language: i
             for i, lang in enumerate(batch.column(0).to_pylist()):
                 for v in vectors(batch.column(1).slice(i, 1)):
                     at = np.flatnonzero(v)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([at.astype(np.int32)]), pa.array([v[at].astype(np.float32)])], ["lang", "at", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([at.astype(np.int32).tobytes()]), pa.array([v[at].astype(np.float32).tobytes()])], ["lang", "at", "v"])
 
-    got = sorted(((r["lang"], r["at"], r["v"]) for r in sample.mapInArrow(run, "lang string, at array<int>, v array<float>").collect()), key=lambda r: (r[0], len(r[1]), r[1][:8], r[2][:8]))
+    got = sorted((r["lang"], bytes(r["at"]), bytes(r["v"])) for r in sample.mapInArrow(run, "lang string, at binary, v binary").collect())
     x = np.zeros((len(got), len(ORDERS) * BUCKETS), np.float32)
     for k, (_, at, v) in enumerate(got):
-        x[k, at] = v
+        x[k, np.frombuffer(at, np.int32)] = np.frombuffer(v, np.float32)
+    lang = np.array([g[0] for g in got], object)
+    del got
     used = x.any(axis=0)
-    scale = (1 / np.sqrt(x.mean(0) + 1e-5)).astype(np.float32) if len(got) else np.ones(x.shape[1], np.float32)
+    scale = (1 / np.sqrt(x.mean(0) + 1e-5)).astype(np.float32) if len(x) else np.ones(x.shape[1], np.float32)
     x = x[:, used] * scale[used]
-    lang = np.array([g[0] for g in got], object)
     groups: dict[str, list[str]] = {}
     for name in sorted(set(lang)):
         groups.setdefault(families.get(name, f"other:{name}"), []).append(name)
