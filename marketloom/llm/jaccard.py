@@ -8,9 +8,11 @@ token and group, with the bounds that the group's members with that token allow.
 Similar sets share a token among the first n - ceil(t n) + 1 of each in any fixed
 order of tokens, rare ones first here, so only those tokens enter the matrix.  A
 query meets the groups that share such a token and whose size and position bounds
-allow the threshold.  A met group is opened only if the query's overlap with the
-group's whole token union reaches the least overlap; then its members are compared
-exactly.  Members that are already connected are not compared again.
+allow the threshold.  A set's profile counts its tokens by BUCKETS of their hash, a
+group's profile is the largest count of its members in each: the sum of the smaller
+counts bounds any member's overlap with the query, before any set is moved.  A group
+that still qualifies is opened only if the query's overlap with the group's whole
+token union reaches the least overlap; then its members are compared exactly.  Members that are already connected are not compared again.
 
 Nodes meet the leading group of each of their tokens first; what that connects is
 contracted before the other groups are met, so a family of thousands of near copies
@@ -34,6 +36,9 @@ from marketloom.llm.common import Shared, batches_of_words, mix, sized, window_h
 LOCAL_FREQUENT, FREQUENT = 1 << 14, 1 << 18
 #: Tokens of a group, and queries of one task for a group, about.
 GROUP_TOKENS, GROUP_QUERIES = 1 << 15, 512
+#: Counts in a profile; one of 255 stands for any more, and then the profile bounds nothing.
+BUCKETS = 512
+_ROWS = 256
 
 
 def _set(h: np.ndarray, w: np.ndarray, a: int, b: int, shingle: int) -> np.ndarray:
@@ -54,6 +59,33 @@ def _of(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
             yield _set(h, w, a, b, shingle)
 
 
+def _profile(s: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((mix(s) >> np.uint64(55)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
+def _largest(table: pa.Table) -> pa.Table:
+    """The profile of a group."""
+    rows = np.frombuffer(b"".join(table.column("profile").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+    return pa.table({"gid": table.column("gid").slice(0, 1), "union": pa.array([rows.max(axis=0).tobytes()], pa.binary())})
+
+
+def _qualifies(percent: int):
+    """Keeps (node, gid) whose profiles allow the query's least overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                q, g = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint8).reshape(-1, BUCKETS) for k in (3, 4))
+                most = np.minimum(q, g).sum(axis=1, dtype=np.int64)
+                n = part.column(2).to_numpy()
+                keep[i : i + 2048] = (100 * most >= percent * n) | (q == 255).any(axis=1)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["node", "gid"])
+
+    return run
+
+
 def _node(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little", signed=True)
 
@@ -156,7 +188,7 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90, shared: Shared |
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = order.value
         for batch in batches:
-            node, size, sign, first = [], [], [], []
+            node, size, sign, first, profile = [], [], [], [], []
             for t in _of(batch.column(1), shingle):
                 take = len(t) + (-percent * len(t) // 100) + 1  # n - ceil(percent n / 100) + 1
                 at = np.minimum(np.searchsorted(tokens, t), max(len(tokens) - 1, 0))
@@ -165,17 +197,20 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90, shared: Shared |
                 node.append(_node(t) if len(t) else None)
                 sign.append(int(mix(t + np.uint64(0x51ED270B)).min().astype(np.int64)) if len(t) else None)
                 size.append(len(t))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(sign, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "node", "n", "sign", "prefix"])
+                profile.append(_profile(t))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(sign, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(profile, pa.binary())], ["doc_id", "node", "n", "sign", "prefix", "profile"])
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(1).to_pylist()
-            made = [s.tobytes() if _node(s) == node else None for s, node in zip(_of(batch.column(2), shingle), wanted)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["comp", "node", "toks"])
+            for i in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(i, _ROWS)
+                wanted = part.column(1).to_pylist()
+                made = [s.tobytes() if _node(s) == node else None for s, node in zip(_of(part.column(2), shingle), wanted)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.binary())], ["comp", "node", "toks"])
 
-    sets = shared.put(docs.select("doc_id", "text").mapInArrow(prefixes, f"doc_id {id_type}, node long, n int, sign long, prefix array<long>"), "sets")
+    sets = shared.put(docs.select("doc_id", "text").mapInArrow(prefixes, f"doc_id {id_type}, node long, n int, sign long, prefix array<long>, profile binary"), "sets")
     rows = sets.where("node is not null")
-    reps = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sign").alias("sign"), F.first("prefix").alias("prefix"))
+    reps = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sign").alias("sign"), F.first("prefix").alias("prefix"), F.first("profile").alias("profile"))
     reps = shared.put(reps, "reps")
     shared.release()
     sizes = reps.groupBy("sign").agg(F.sum("n").alias("tokens"))
@@ -194,7 +229,11 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90, shared: Shared |
 
     def opened(pairs: DataFrame, comps: DataFrame, name: str) -> DataFrame:
         """Links found by opening the groups of pairs(node, gid)."""
-        pairs = shared.put(pairs.distinct(), f"{name}-pairs")
+        met = shared.put(pairs.distinct(), f"{name}-met")
+        unions = members.join(met.select("gid").distinct(), "gid").join(reps.select("node", "profile"), "node").groupBy("gid").applyInArrow(_largest, "gid long, union binary")
+        both = met.join(reps.select("node", "n", "profile"), "node").join(unions, "gid").select("node", "gid", "n", "profile", "union")
+        pairs = shared.put(both.mapInArrow(_qualifies(percent), "node long, gid long"), f"{name}-pairs")
+        shared.release()
         load = pairs.groupBy("gid").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("salts"))
         queries = pairs.join(load, "gid").select("gid", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("member"), "node")
         held = members.join(load, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("member"), "node")
