@@ -224,7 +224,7 @@ def positioned(rel: Rel, cost_bps: float = 2.0) -> Rel:
 
 def inventory_target(rel: Rel, window: int, gamma: float = 1.0, most: float = 1.0, floor: float = 1e-6) -> Rel:
     """clip((mean of earlier closes - close) / (close * gamma * variance of recent returns))."""
-    m = rel.with_(r=f"close / lag(close) {w.SERIES} - 1.0").with_(mu=f"avg(close) {w.last(window, 1)}", var=f"var_pop(r) {w.last(window)}")
+    m = rel.with_(step=f"close / lag(close) {w.SERIES} - 1.0").with_(mu=f"avg(close) {w.last(window, 1)}", var=f"var_pop(step) {w.last(window)}")
     raw = f"(mu - close) / (close * {gamma!r} * greatest(var, {floor!r}))"
     return m.with_(position=f"CASE WHEN {w.ROW} > {window} THEN greatest(least({raw}, {most!r}), {-most!r}) ELSE 0.0 END")
 

@@ -94,7 +94,7 @@ class Rel:
                     if re.fullmatch(r"[\w, ]+", on):
                         out = out.join(b, [n.strip() for n in on.split(",")], how)
                     else:
-                        extra = [c for c in b.columns if c not in out.columns]
+                        extra = [c for c in b.columns if c not in out.columns] if how not in ("left_semi", "left_anti") else []
                         out = out.alias("a").join(b.alias("b"), F.expr(say(on)), how).select("a.*", *[f"b.{c}" for c in extra])
                 case ("union", other):
                     out = out.unionByName(other.df(tables))
@@ -115,7 +115,7 @@ class Rel:
                     out = list(columns)
                 case ("group", keys, aggregates):
                     out = [*keys, *aggregates]
-                case ("join", other, _, _, _):
+                case ("join", other, _, how, _) if how not in ("left_semi", "left_anti"):
                     out = [*out, *[c for c in other.columns(schemas) if c not in out]]
         return out
 
