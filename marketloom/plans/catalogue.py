@@ -118,7 +118,7 @@ _EAR = p.announcement_returns(BARS, _SURPRISES)
 rel("event_announcement_returns", _EAR.select("symbol", event_ts="CAST(event_ts AS STRING)", surprise="round(surprise, 8)"))
 stats("event_announcement_drift", p.event_drift(BARS, _EAR, 8, 3, 1.0))
 _BUYS = Rel.table("orders").where("o_orderstatus = 'F' AND o_totalprice > 200000").select(symbol="concat('S', lpad(CAST(o_custkey % 16 AS STRING), 2, '0'))", bought="CAST(o_orderdate AS DATE)")
-rel("event_recent_buyers", p.recent_buyers(BARS, _BUYS, 30).group("ts", names="count(*)", mean="avg(close)").select("names", ts="CAST(ts AS STRING)", mean="round(mean, 8)"))
+rel("event_recent_buyers", p.recent_buyers(BARS, _BUYS, 30).group("ts", names="count(*)", mean="avg(close)").select("names", ts="CAST(ts AS STRING)", mean="round(mean, 10)"))
 
 # evaluation and combination
 _MOM, _VAL = p.factor(_SIGNALS["momentum"], K, 4), p.factor(_SIGNALS["roa"], K, 4)
@@ -135,3 +135,54 @@ rel("gate_leg", st.leg_gate(_VAL, _MOM).select("n", "enough_overlap", "low_corre
 rel("gate_leave_one_year_out", st.leave_one_year_out(_VAL, _MOM).select("dropped", "n", lift="round(lift, 8)", mix_ratio="round(mix_ratio, 8)"))
 _INDEX = p.equity(BENCH.with_(net="bench")).select("ts", symbol="'EW'", close="round(equity, 6)")
 rel("regime_labels", st.regime(_INDEX, 13, YEAR, 0.01, 0.12).select("regime", ts="CAST(ts AS STRING)"))
+
+from marketloom.operators import execution as ex  # noqa: E402
+from marketloom.operators import pairs  # noqa: E402
+
+QUOTES = t.quotes()
+FILLS = ex.fills(BARS)
+rel("pairs_screen", pairs.screen(BARS, 120, 2.0, 200.0).select("left_key", "right_key", "n", "hedge", "half_life", adf="round(adf, 6)"))
+rel("pairs_reversion", pairs.reversion(BARS, 60).select("left_key", "right_key", "n", hedge="round(hedge, 7)", adf="round(adf, 6)", sigma="round(sigma, 7)"))
+rel("pairs_book", pairs.book(BARS, 60, 1.0, 120, 500.0).select("symbol", weight="round(weight, 8)"))
+rel("micro_price", ex.microprice(QUOTES).select("event_id", "lean", micro="round(micro, 10) + 0.0", tilt="round(tilt, 8) + 0.0"))
+rel("micro_order_flow", ex.order_flow(QUOTES).select("event_id", ofi="round(ofi, 8)"))
+rel("micro_quote_quality", ex.quote_quality(QUOTES).select("symbol", "quotes", "books", spread_p50="round(spread_p50, 6)", tilt_p75="round(tilt_p75, 6)"))
+_MARKET_FILL = FILLS.with_(**{k: v for k, v in ex.fill_market("ref", "qty", "bar_volume", "buy").items()})
+rel("fill_market", _MARKET_FILL.group("symbol", filled="sum(filled)", mean="avg(price)").select("symbol", filled="round(filled, 4)", mean="round(mean, 7)"))
+rel("fill_limit", BARS.with_(price=ex.fill_limit("close * 0.995", "open", "high", "low", "close > 0")).select("symbol", ts="CAST(ts AS STRING)", price="round(price, 10)"))
+rel("fee_sells", FILLS.where("NOT buy").group("symbol", fee=f"sum({ex.sell_fee('qty', 'ref')})").select("symbol", fee="round(fee, 6)"))
+for _kind in ("power", "log", "sqrt"):
+    rel(f"queue_{_kind}", QUOTES.select("event_id", p=f"round({ex.queue_probability('bid_size', 'ask_size', _kind)}, 9)"))
+rel("calibrate_fills", ex.calibrate(FILLS).select("symbol", "n", half_spread="round(half_spread, 6) + 0.0", impact="round(impact, 5)", intercept="round(intercept, 5)"))
+rel("tca_fills", ex.tca(FILLS, BARS).select("symbol", arrival_bps="round(arrival_bps, 6)", worst_bps="round(worst_bps, 6)", best_bps="round(best_bps, 6)", transient_bps="round(transient_bps, 5)", permanent_bps="round(permanent_bps, 5)"))
+rel("latency_summary", ex.latency(FILLS, ("symbol",), "slippage_bps").select("symbol", "n", mean="round(mean, 6)", p50="round(p50, 6) + 0.0", p95="round(p95, 6) + 0.0", p99="round(p99, 6) + 0.0", least="round(least, 6)", most="round(most, 6)"))
+_ORDERS = Rel.table("orders").select("o_orderkey", "o_custkey", notional="o_totalprice", side="o_orderpriority", day="CAST(o_orderdate AS DATE)").join(Rel.table("customer").select(o_custkey="c_custkey", equity="c_acctbal"), "o_custkey")
+_CHECKS = {"NO_PRICE": "notional IS NULL", "MAX_ORDER_NOTIONAL": "notional > 250000", "INSUFFICIENT_BUYING_POWER": "notional > 40.0 * greatest(equity, 0.0)", "CONCENTRATION": "notional > 25.0 * greatest(equity, 0.0)"}
+rel("risk_codes", _ORDERS.with_(code=ex.risk_code(_CHECKS)).group("code", orders="count(*)", notional="sum(notional)").select("code", "orders", notional="round(notional, 2)"))
+rel("risk_rate_limit", ex.rate_limited(_ORDERS.with_(epoch="CAST(o_orderkey AS BIGINT)"), "o_custkey", 2000, 3).select("o_orderkey", "recent", "limited"))
+rel("borrow_rates", BARS.select("symbol", ts="CAST(ts AS STRING)", apr=f"round({ex.borrow_apr('volume / 100.0', 0.003, 0.002, 0.05)}, 9)"))
+rel("calendar_sessions", Rel.table("events").select("event_id", session="CAST(@session(ts) AS STRING)", clock="@clock(ts)").with_(
+    kind="CASE WHEN clock >= '09:30' AND clock < '16:00' THEN 'REGULAR' WHEN clock >= '04:00' AND clock < '09:30' THEN 'PRE_MARKET' WHEN clock >= '16:00' AND clock < '20:00' THEN 'AFTER_HOURS' ELSE 'CLOSED' END"))
+rel("events_daily_counts", Rel.table("events").group("event_type", "user_id", n="count(*)").group("event_type", users="count(*)", most="max(n)"))
+
+
+def _walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pairs.walk_forward(BARS.df(t.tables(spark, sf_dir)), lookback=20, enter=1.5, longest=100.0)
+    return got.selectExpr("window", "CAST(ts AS STRING) AS ts", "left_key", "right_key", "round(ret, 9) AS ret")
+
+
+QUERIES["pairs_walk_forward"] = _walk_forward
+
+
+def _asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = t.tables(spark, sf_dir)
+    orders = tables["orders"].selectExpr("o_orderkey", "o_orderdate AS ts", "element_at(array('click', 'view', 'purchase', 'signup'), CAST(o_orderkey % 4 AS INT) + 1) AS symbol")
+    quotes = QUOTES.df(tables).groupBy("symbol", "ts").agg({"bid": "max"}).withColumnRenamed("max(bid)", "bid").where("bid IS NOT NULL")
+    return panel.asof(orders, quotes, ["symbol"], "ts", ["bid"]).selectExpr("o_orderkey", "symbol", "bid")
+
+
+QUERIES["join_asof_quotes"] = _asof
+ORACLES["join_asof_quotes"] = f"""
+WITH q AS (SELECT symbol, ts, max(bid) AS bid FROM ({QUOTES.sql(t.SCHEMA_NAMES)}) GROUP BY symbol, ts HAVING max(bid) IS NOT NULL),
+o AS (SELECT o_orderkey, o_orderdate AS ts, (['click', 'view', 'purchase', 'signup'])[CAST(o_orderkey % 4 AS INT) + 1] AS symbol FROM orders)
+SELECT o.o_orderkey, o.symbol, q.bid FROM o ASOF LEFT JOIN q ON o.symbol = q.symbol AND o.ts >= q.ts"""
