@@ -6,6 +6,7 @@ bytes for themselves, so words of the bytes are words of the text.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: What a side may have at most to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 24 << 20
 
@@ -30,6 +31,18 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
+def _lean_memory() -> None:
+    """Freed arrays go back to the system at once, so that reused Python workers stay small (glibc only)."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD, fixed instead of growing
+        ctypes.CDLL(None).mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):
+        pass
+
+
+_lean_memory()
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse, modulo 2**64."""
     global _powers

@@ -38,7 +38,7 @@ LOCAL_FREQUENT, FREQUENT = 1 << 14, 1 << 18
 GROUP_TOKENS, GROUP_QUERIES = 1 << 15, 512
 #: Counts in a profile; one of 255 stands for any more, and then the profile bounds nothing.
 BUCKETS = 512
-_ROWS = 256
+_ROWS, _COUNTED = 256, 1 << 19
 
 
 def _set(h: np.ndarray, w: np.ndarray, a: int, b: int, shingle: int) -> np.ndarray:
@@ -95,10 +95,12 @@ def _frequent(shingle: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            t, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *_of(batch.column(0), shingle)]), return_counts=True)
+        for column in (batch.column(0).slice(i, 1024) for batch in batches for i in range(0, batch.num_rows, 1024)):
+            t, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *_of(column, shingle)]), return_counts=True)
             tokens, to = np.unique(np.concatenate([tokens, t]), return_inverse=True)
             counts = np.bincount(to, np.concatenate([counts, c]), minlength=len(tokens)).astype(np.int64)
+            if len(tokens) > _COUNTED:  # those seen once so far are counted anew
+                tokens, counts = tokens[counts > 1], counts[counts > 1]
         keep = np.flatnonzero(counts > 1)
         keep = keep[np.lexsort((tokens[keep], -counts[keep]))[:LOCAL_FREQUENT]]
         yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])], ["token", "n"])
@@ -187,7 +189,7 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90, shared: Shared |
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = order.value
-        for batch in batches:
+        for batch in (b.slice(i, 4 * _ROWS) for b in batches for i in range(0, b.num_rows, 4 * _ROWS)):
             node, size, sign, first, profile = [], [], [], [], []
             for t in _of(batch.column(1), shingle):
                 take = len(t) + (-percent * len(t) // 100) + 1  # n - ceil(percent n / 100) + 1

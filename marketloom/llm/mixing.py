@@ -33,7 +33,7 @@ def n_words(text: Column) -> Column:
 def quality_weight(text: Column) -> Column:
     """0.1 to 1: the share of ASCII letters, spaces and accented letters among the characters."""
     letters = F.length(F.regexp_replace(text, r"[^\p{L} ]+", ""))
-    return F.coalesce(F.lit(0.1) + F.lit(0.9) * letters / F.length(text), F.lit(0.1))
+    return F.coalesce(F.lit(0.1) + F.lit(0.9) * letters / F.nullif(F.length(text), F.lit(0)), F.lit(0.1))
 
 
 def source_targets(sizes: DataFrame, cycle: tuple = CYCLE, most: int = MOST_EPOCHS) -> DataFrame:
