@@ -186,3 +186,14 @@ ORACLES["join_asof_quotes"] = f"""
 WITH q AS (SELECT symbol, ts, max(bid) AS bid FROM ({QUOTES.sql(t.SCHEMA_NAMES)}) GROUP BY symbol, ts HAVING max(bid) IS NOT NULL),
 o AS (SELECT o_orderkey, o_orderdate AS ts, (['click', 'view', 'purchase', 'signup'])[CAST(o_orderkey % 4 AS INT) + 1] AS symbol FROM orders)
 SELECT o.o_orderkey, o.symbol, q.bid FROM o ASOF LEFT JOIN q ON o.symbol = q.symbol AND o.ts >= q.ts"""
+
+from marketloom.operators import folds  # noqa: E402
+
+
+def _strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = BARS.df(t.tables(spark, sf_dir)).selectExpr("*", "date_format(ts, 'yyyy-MM') AS session")
+    got = folds.backtest(bars, folds.available())
+    return got.groupBy("symbol", "strategy").agg({"equity": "max", "fill": "count"}).selectExpr("symbol", "strategy", "round(`max(equity)`, 4) AS top_equity")
+
+
+QUERIES["strategy_table"] = _strategies
