@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import crc_remainder, slices, text_buffer
+from marketloom.llm.common import crc_remainder, slices, small, text_buffer
 
 #: Families of language codes.
 FAMILIES = {
@@ -207,7 +207,7 @@ def accept(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
     valid = docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).where("_letters").drop("_letters")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             scores = [model.predict(model.margins(data, bounds))[1] for _, _, data, bounds in parts(batch.column(at))]
             yield batch.filter(pa.array(np.concatenate(scores) >= least if scores else np.zeros(0, bool)))
 

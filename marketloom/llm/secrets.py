@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marketloom.llm.common import text_buffer
+from marketloom.llm.common import small, text_buffer
 
 #: Kind, expression, group whose length is checked, least length.
 #: The first three are the base kinds.  Expressions know literals, \xHH, classes,
@@ -396,7 +396,7 @@ def redact(docs: DataFrame, rules: tuple = RULES, text_col: str = "text", count_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = scanner(rules)
-        for batch in batches:
+        for batch in small(batches):
             valid = batch.column(at).is_valid().to_pylist()
             texts = [cleaned(d, machine).decode() if ok else None for d, ok in zip(_texts(batch.column(at)), valid)]
             columns = batch.columns
