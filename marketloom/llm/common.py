@@ -28,19 +28,14 @@ LOWER[65:91] += 32
 _BYTE_VALUES = np.random.Generator(np.random.PCG64(20_240_229)).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
-def _lean_memory() -> None:
-    """Freed arrays go back to the system at once, so that reused Python workers stay small (glibc only)."""
-    try:
-        ctypes.CDLL(None).mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD, fixed instead of growing
-        ctypes.CDLL(None).mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
-    except (OSError, AttributeError):
-        pass
-
-
-_lean_memory()
+def trim() -> None:
+    """Freed memory goes back to the system, so that reused Python workers stay small (glibc only)."""
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,6 +130,7 @@ def batches_of_words(column: pa.Array, lower: bool = False, most: int = SLICE_BY
     for i, j in slices(offsets, most):
         part = offsets[i : j + 1]
         yield i, j, Words(data[part[0] : part[-1]], part - part[0], lower)
+    trim()
 
 
 def shared_dir(spark: SparkSession) -> str:

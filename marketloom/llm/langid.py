@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import crc_remainder, slices, small, text_buffer
+from marketloom.llm.common import crc_remainder, slices, small, text_buffer, trim
 
 #: Families of language codes.
 FAMILIES = {
@@ -58,6 +58,7 @@ def parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     for i, j in slices(offsets, _SLICE):
         part = offsets[i : j + 1]
         yield i, j, data[part[0] : part[-1]], part - part[0]
+    trim()
 
 
 def vectors(column: pa.Array) -> Iterator[np.ndarray]:
