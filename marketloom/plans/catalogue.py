@@ -197,3 +197,17 @@ def _strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["strategy_table"] = _strategies
+
+from marketloom.operators import overlays as ov  # noqa: E402
+
+stats("overlay_tail_hedge", ov.tail_hedge(BENCH, 26, -0.1, 2.5))
+rel("overlay_expiry_week", ov.expiry_week(Rel.table("orders").select(ts="CAST(o_orderdate AS DATE)").distinct()).select("expiry", ts="CAST(ts AS STRING)"))
+stats("overlay_rotation", p.earn(ov.rotation(PANEL)))
+stats("trend_book", p.earn(ov.trend_book(PANEL)))
+stats("momentum_hardened", p.earn(ov.hardened_momentum(PANEL)))
+rel("lead_lag_matrix", ov.lead_lag(PANEL).select("leader", "follower", "n", rho="round(rho, 8)"))
+rel("lead_lag_leaders", ov.top_leaders(ov.lead_lag(PANEL)).select("leader", "follower", "place", rho="round(rho, 8)"))
+rel("select_representative", ov.representative(BARS).select("symbol", price="round(price, 7)", dollars="round(dollars, 5)"))
+rel("store_latest", ov.latest(Rel.table("orders"), "o_custkey", "o_orderdate, o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice"))
+rel("ledger_settled", ov.settled_cash(Rel.table("orders").select("o_custkey", "o_totalprice", session="CAST(date_trunc('month', o_orderdate) AS DATE)"), "o_custkey", "session", "o_totalprice").select("o_custkey", session="CAST(session AS STRING)", cash="round(cash, 3)", settled="round(settled, 3) + 0.0"))
+rel("events_daily_sum", Rel.table("events").with_(day="CAST(ts AS DATE)").group("event_type", "day", total="sum(value)", n="count(*)").select("event_type", "n", day="CAST(day AS STRING)", total="round(total, 4)"))
