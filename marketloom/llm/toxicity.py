@@ -10,8 +10,10 @@ little; stems with many endings are still told apart.
 
 A text's score is a logistic function of its log-likelihood difference (toxic
 minus ordinary), length-normalised by words and by their square root, and of the
-logarithm of its strong expressions' excess.  Counts cover every labelled training
-document; the four calibration numbers are fitted on a bounded sample of others.
+logarithm of its strong expressions' excess.  Counts cover every labelled document
+of the counting folds, and every counted prefix is kept, however rare: discounts and
+the shared backoff weigh it.  The four calibration numbers are fitted on a bounded
+sample of one more fold.
 """
 
 from __future__ import annotations
@@ -27,9 +29,6 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import SLICE_BYTES, Words, crc_remainder, mix, powers, sized, slices, text_buffer, trim
 
 DEPTH = 10
-#: A kept prefix has at least so many occurrences a document of a class; a class
-#: keeps at most DEPTH * (words a document) / RATE of them.
-RATE = 0.02
 DISCOUNT = 0.75
 STRONG = 2.5
 #: The calibration fits on about so many documents at most.
@@ -73,7 +72,10 @@ def expressions(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
 
 @dataclass
 class Model:
-    """Sorted nodes; `value` is a word's difference if it ends at the node, `missed` if the next step is unknown."""
+    """Sorted nodes; `value` is a word's difference if it ends at the node, `missed` if the next step is unknown.
+
+    Packed arrays that grow with the distinct prefixes of the corpus: 16 bytes each.
+    """
 
     nodes: np.ndarray
     value: np.ndarray
@@ -114,7 +116,7 @@ class Model:
 def kneser_ney(nodes: np.ndarray, parents: np.ndarray, counts: np.ndarray, documents: np.ndarray, discount: float = DISCOUNT) -> Model:
     """The model of counted prefixes; counts[k] = (ordinary, toxic) occurrences, documents[k] of either class.
 
-    Parents of kept nodes are kept or ROOT, and ROOT's counts are those of its children.
+    Parents of nodes are nodes or ROOT, and ROOT's counts are those of its children.
     """
     order = np.argsort(nodes)
     nodes, parents, counts, documents = nodes[order], parents[order], counts[order].astype(float), documents[order].astype(float)
@@ -134,7 +136,7 @@ def kneser_ney(nodes: np.ndarray, parents: np.ndarray, counts: np.ndarray, docum
         live = todo < n
         value[live] += step[todo[live]]
         todo[live] = up[todo[live]]
-    return Model(nodes, value, value + miss[:n], float(miss[n]))
+    return Model(nodes, value.astype(np.float32), (value + miss[:n]).astype(np.float32), float(miss[n]))
 
 
 def calibrate(features: np.ndarray, labels: np.ndarray, steps: int = 80, ridge: float = 1e-3) -> tuple:
@@ -190,17 +192,17 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(sized(marks), "doc_id").select("text", "toxic", "fold")
 
 
-def fit(docs: DataFrame, labels: DataFrame, rate: float = RATE, calibration_docs: int = CALIBRATION_DOCS) -> Model:
-    """Counts of all labelled documents of the training folds, and a calibration on the calibration fold."""
+def fit(docs: DataFrame, labels: DataFrame, calibration_docs: int = CALIBRATION_DOCS) -> Model:
+    """Counts of all labelled documents outside the held-out and calibration folds, and a calibration on the latter."""
     rows = labelled(docs, labels)
-    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), crc_remainder(F.col("doc_id"), FOLDS).alias("fold"))
-    n = {(r["toxic"], r["cal"]): r["n"] for r in marks.where(F.col("fold") != HELD_OUT).groupBy("toxic", (F.col("fold") == CALIBRATION_FOLD).alias("cal")).agg(F.count("*").alias("n")).collect()}
+    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(crc_remainder(F.col("doc_id"), FOLDS).alias("fold"))
+    n = marks.where(F.col("fold") == CALIBRATION_FOLD).count()
     counted = rows.where(F.col("fold") != CALIBRATION_FOLD).select("text", "toxic").mapInArrow(_count, "node long, parent long, ordinary long, toxic long, docs long")
     counted = counted.groupBy("node").agg(F.min("parent").alias("parent"), F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
-    enough = [F.col(name) >= max(2.0, rate * n.get((c, False), 0)) for c, name in ((0, "ordinary"), (1, "toxic"))]
-    kept = counted.where(enough[0] | enough[1]).toPandas()
-    model = kneser_ney(kept["node"].to_numpy(np.int64).view(np.uint64), kept["parent"].to_numpy(np.int64).view(np.uint64), kept[["ordinary", "toxic"]].to_numpy(), kept["docs"].to_numpy())
-    share = min(1.0, calibration_docs / max(1, n.get((0, True), 0) + n.get((1, True), 0)))
+    kept = counted.toArrow()
+    column = {name: kept.column(name).to_numpy() for name in kept.column_names}
+    model = kneser_ney(column["node"].view(np.uint64), column["parent"].view(np.uint64), np.column_stack([column["ordinary"], column["toxic"]]), column["docs"])
+    share = min(1.0, calibration_docs / max(1, n))
     sample = rows.where((F.col("fold") == CALIBRATION_FOLD) & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marketloom.llm import common, fingerprints, hamming, jaccard, langid, licences, mixing, pieces, secrets, substrings, toxicity
@@ -262,6 +263,17 @@ def test_toxicity_learns_stems(spark):
     assert toxicity.score(d, empty).where("predicted = 1").count() == 0
 
 
+def test_toxicity_keeps_rare_expressions(spark):
+    rows = [(i, prose(i, 40) + (" grault" if i % 2 and i % 75 == 0 else ""), i % 2) for i in range(1500)]
+    d = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.fit(d, spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int"))
+    counted = sum(y and t.endswith("grault") and zlib.crc32(str(i).encode()) % 5 >= 2 for i, t, y in rows)
+    assert 2 <= counted < 9  # the former threshold: 0.02 of about 450 toxic documents
+    _, _, e = next(toxicity.expressions(pa.array(["grault", "gxyz"])))
+    known, unseen = model.words(e)[e.inverse]
+    assert known > unseen + 0.5
+
+
 def test_language_families(spark):
     stems = {"en": ["the", "thing", "with"], "de": ["der", "schön", "ung"], "fr": ["le", "été", "eau"], "es": ["el", "ción", "año"]}
     rng = np.random.Generator(np.random.PCG64(2))
