@@ -266,17 +266,18 @@ class Scanner:
         return out
 
     @staticmethod
-    def _longest(automaton: Automaton, data: bytes) -> int:
+    def _longest(automaton: Automaton, data: bytes) -> tuple[int, bool]:
+        """The longest match from the first byte, and whether the automaton outlived the data."""
         state, best, n = automaton.start, 0, 0
         table, first, dead = automaton.table, automaton.first, automaton.dead
         for c in data.translate(automaton.classes):
             state = table[state + c]
             if state == dead:
-                break
+                return best, False
             n += 1
             if state >= first:
                 best = n
-        return best
+        return best, True
 
     def _rough(self, data: bytes) -> Iterator[tuple[int, int, int]]:
         done = [0] * len(self.rules)
@@ -295,16 +296,16 @@ class Scanner:
         width = 256
         while True:  # most matches are short: look back further only while the automaton is still alive at the edge
             low = max(least, end - width)
-            found = self._longest(self.backward[rule], data[low:end][::-1])
-            if low == least or found < end - low:
+            found, alive = self._longest(self.backward[rule], data[low:end][::-1])
+            if low == least or not alive:
                 return found
             width *= 8
 
     def _forth(self, rule: int, data: bytes, start: int) -> int:
         width = 256
-        while True:
-            found = self._longest(self.forward[rule], data[start : start + width])
-            if start + width >= len(data) or found < width:
+        while True:  # as in _back
+            found, alive = self._longest(self.forward[rule], data[start : start + width])
+            if start + width >= len(data) or not alive:
                 return found
             width *= 8
 

@@ -51,6 +51,15 @@ def test_secrets_match_regular_expressions():
         assert [s for s in machine.spans(data) if s[1] < 3] == expected
 
 
+@pytest.mark.parametrize("n", [300, 5000])
+def test_secrets_with_wide_gaps(n):
+    gap, before = b" " * n, b"x " * 400
+    machine = secrets.scanner()
+    for found in (b"token" + gap + b"=" + gap + b"abcdefgh", b"password:" + gap + b"'abcdefgh", b"api_key" + gap + b":abcdefgh" + b"9" * n):
+        assert [x for x in machine.spans(before + found + b"\n") if x[1] == 0] == [(800, 0, 800 + len(found))]
+    assert not machine.spans(before + b"key" + gap + b"=" + gap + b"abcdefgh")
+
+
 def test_secret_rows_and_redaction(spark, texts):
     secret = 'é token = "abcdefgh12345678" AKIAABCDEFGH12345 ' + "0a" * 20
     docs = table(spark, [*texts, (99, secret, "a")])
