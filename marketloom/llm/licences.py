@@ -3,9 +3,10 @@
 DataFrame functions only.  A text is cut into lines; a line's normalised form is
 lower case with everything but letters, digits and dots within words turned to
 single spaces.  Both sides become sets of word bigrams; for a threshold t, a
-template of b bigrams can only match lines of t/(2-t)*b to (2-t)/t*b bigrams,
-and that bound on word counts is applied before any bigram is made.  The whole
-text counts as one more unit, for files that are a licence.
+template of b bigrams can only match lines of t/(2-t)*b to (2-t)/t*b distinct
+bigrams.  Before any bigram is made, lines go whose words are too few or whose
+distinct words are too many for that; their length says nothing.  The whole text
+counts as one more unit, for files that are a licence.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ TEMPLATES = {
 }
 
 
-def words(text: Column) -> Column:
-    """The words of the normalised text."""
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+def words(texts: Column) -> Column:
+    """The words of each normalised text; texts without words go."""
+    plain = F.transform(texts, lambda u: F.trim(F.regexp_replace(F.lower(u), r"[^a-z0-9]+", " ")))
+    return F.transform(F.filter(plain, lambda u: u != ""), lambda u: F.split(u, " "))
 
 
 def bigrams(w: Column) -> Column:
@@ -57,16 +58,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     """
     templates = TEMPLATES if templates is None else templates
     grams = {k: _plain_bigrams(v) for k, v in sorted(templates.items())}
-    least, most = threshold / (2 - threshold), (2 - threshold) / threshold
+    # a little wider, so that rounding loses no coefficient equal to the threshold
+    least, most = threshold / (2 - threshold) * (1 - 1e-9), (2 - threshold) / threshold * (1 + 1e-9)
     text = F.coalesce(F.col("text"), F.lit(""))
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.array(text)))
     low, high = min(len(g) for g in grams.values()) * least, max(len(g) for g in grams.values()) * most
-    # lines far too long for any template go first: a word takes two characters, and at most `long` of a template's
-    long = 4 * max(len(v) for v in templates.values()) * most
-    d = docs.select("doc_id", F.filter(units, lambda u: (F.length(u) <= long)).alias("units"))
-    # repeated words make fewer bigrams, never more: words - 1 bounds the bigrams from above only
-    tokens = F.filter(F.transform("units", words), lambda w: F.size(w) - 1 >= low)
-    d = d.select("doc_id", F.filter(F.transform(tokens, bigrams), lambda g: F.size(g).between(low, high)).alias("grams"))
+    # words - 1 bounds the distinct bigrams from above, distinct words - 1 from below
+    tokens = F.filter(words(units), lambda w: (F.size(w) - 1 >= low) & (F.size(F.array_distinct(w)) - 1 <= high))
+    d = docs.select("doc_id", tokens.alias("tokens"))
+    d = d.select("doc_id", F.filter(F.transform("tokens", bigrams), lambda g: F.size(g).between(low, high)).alias("grams"))
 
     def dice(g: Column, name: str) -> Column:
         b = grams[name]

@@ -250,6 +250,15 @@ def test_licences(spark):
     assert len(got) == 6 and found[1] == ("MIT", 1.0) and found[5][0] == "CC-BY-NC-4.0" and found[2] == found[3] == found[4] == (None, 0.0)
 
 
+def test_licences_of_any_length(spark):
+    notice, word = licences.TEMPLATES["MIT"], "Redistribution and use in source and binary forms"
+    rows = [(1, notice + " " * 900), (2, notice + "=" * 5000 + "\nother words"), (3, "* " * 600 + notice + " *" * 600), (4, "\n".join(["x y", (notice + " ") * 300])),
+            (5, (notice + "\n") * 300), (6, word * 400), (7, prose(1, 3000))]
+    got = {r["doc_id"]: (r["licence"], r["n_units"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # a repeated notice has one bigram more than the template; the whole text of 5 is a unit as its line is
+    assert got == {1: ("MIT", 1), 2: ("MIT", 1 + 1), 3: ("MIT", 1), 4: ("MIT", 1), 5: ("MIT", 2), 6: (None, 0), 7: (None, 0)}
+
+
 def test_toxicity_learns_stems(spark):
     rng = np.random.Generator(np.random.PCG64(6))
     docs, labels = [], []
