@@ -6,11 +6,16 @@ single spaces.  Both sides become sets of word bigrams; for a threshold t, a
 template of b bigrams can only match lines of t/(2-t)*b to (2-t)/t*b distinct
 bigrams.  Before any bigram is made, lines go whose words are too few or whose
 distinct words are too many for that; their length says nothing.  The whole text
-counts as one more unit, for files that are a licence.
+counts as one more unit, for files that are a licence.  Besides, windows of the
+normalised text, lines disregarded, are compared with the templates and with the
+longer licence texts: windows begin and end at a bigram of the template, and only
+those with enough such bigrams for the threshold are looked at.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +33,17 @@ TEMPLATES = {
     "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Headers and texts of licences, only looked for in windows.
+BODIES = (
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+)
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def words(texts: Column) -> Column:
@@ -38,24 +54,34 @@ def words(texts: Column) -> Column:
 
 def bigrams(w: Column) -> Column:
     """The distinct bigrams of a list of words."""
+    return F.array_distinct(pairs(w))
+
+
+def pairs(w: Column) -> Column:
+    """The bigrams of a list of words in their order."""
     n = F.size(w)
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(n - 1, F.lit(0))), F.slice(w, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(pairs)
+    return F.zip_with(F.slice(w, 1, F.greatest(n - 1, F.lit(0))), F.slice(w, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _plain_words(text: str) -> list[str]:
+    return "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
 
 
 def _plain_bigrams(text: str) -> list[str]:
-    w = "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
+    w = _plain_words(text)
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:])))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, licence, dice and n_units.
 
-    licence is that of the unit (a line, or the whole text) and template with
-    the largest coefficient (ties: the smaller name), null below the threshold;
-    dice is 0 then.  n_units counts the units that match any template.  Null,
+    licence is that of the unit (a line, or the whole text) or window and template
+    with the largest coefficient (ties: the smaller name), null below the threshold;
+    dice is 0 then.  n_units counts the units that match any template, and one more
+    for each licence that only windows show.  Null,
     empty and one-word texts match nothing; repeated rows each give a row.
     """
+    bodies = BODIES if templates is None else ()
     templates = TEMPLATES if templates is None else templates
     grams = {k: _plain_bigrams(v) for k, v in sorted(templates.items())}
     # a little wider, so that rounding loses no coefficient equal to the threshold
@@ -65,8 +91,37 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     low, high = min(len(g) for g in grams.values()) * least, max(len(g) for g in grams.values()) * most
     # words - 1 bounds the distinct bigrams from above, distinct words - 1 from below
     tokens = F.filter(words(units), lambda w: (F.size(w) - 1 >= low) & (F.size(F.array_distinct(w)) - 1 <= high))
-    d = docs.select("doc_id", tokens.alias("tokens"))
-    d = d.select("doc_id", F.filter(F.transform("tokens", bigrams), lambda g: F.size(g).between(low, high)).alias("grams"))
+    sought = [(k, _plain_bigrams(v), len(_plain_words(v)) - 1) for k, v in [*templates.items(), *bodies]]
+    union = sorted({x for _, g, _ in sought for x in g})
+    d = docs.select("doc_id", tokens.alias("tokens"), let(F.flatten(words(F.array(text))), pairs).alias("pairs"))
+    marks = F.transform("pairs", lambda x, i: F.when(x.isin(union), F.struct(x.alias("gram"), i.alias("at"))))
+    d = d.select("doc_id", "tokens", "pairs", F.filter(marks, lambda m: m.isNotNull()).alias("marks"))
+
+    def coefficient(g: Column, grams: list[str]) -> Column:
+        return F.size(F.array_intersect(g, F.array(*[F.lit(x) for x in grams]))) * 2.0 / (F.size(g) + len(grams))
+
+    def window(at: Column, i: Column, size: int, grams: list[str]) -> Column:
+        """The coefficient of the pairs from the i-th mark to the last one within the size."""
+        first = F.element_at(at, i)
+        last = F.array_max(F.filter(F.slice(at, i, size), lambda x: x < first + size))
+        return let(F.array_distinct(F.slice("pairs", first + 1, last - first + 1)), lambda g: coefficient(g, grams))
+
+    def windows(name: str, grams: list[str], n: int) -> Column:
+        need = max(1, math.ceil(len(grams) * least))
+
+        def best_of(at: Column) -> Column:
+            def largest(size: int) -> Column:
+                starts = F.filter(F.sequence(F.lit(1), F.size(at) - need + 1), lambda i: F.element_at(at, i + need - 1) - F.element_at(at, i) < size)
+                return F.array_max(F.transform(starts, lambda i: window(at, i, size, grams)))
+
+            return F.when(F.size(at) >= need, F.greatest(largest(n), largest(int(n * most) + 1)))
+
+        at = F.transform(F.filter("marks", lambda m: m["gram"].isin(grams)), lambda m: m["at"])
+        return F.struct(F.coalesce(let(at, best_of), F.lit(0.0)).alias("dice"), F.lit(name).alias("licence"))
+
+    shown = F.when(F.size("marks") > 0, F.filter(F.array(*[windows(*x) for x in sought]), lambda b: b["dice"] >= threshold))
+    d = d.select("doc_id", "tokens", F.coalesce(shown, F.array().cast("array<struct<dice:double,licence:string>>")).alias("shown"))
+    d = d.select("doc_id", "shown", F.filter(F.transform("tokens", bigrams), lambda g: F.size(g).between(low, high)).alias("grams"))
 
     def dice(g: Column, name: str) -> Column:
         b = grams[name]
@@ -79,10 +134,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         return F.aggregate(made, F.struct(F.lit(-1.0).alias("dice"), F.lit("").alias("licence")),
                            lambda a, x: F.when(x["dice"] > a["dice"], x).otherwise(a))
 
-    d = d.select("doc_id", F.filter(F.transform("grams", best), lambda b: b["dice"] >= threshold).alias("hits"))
-    top = F.aggregate("hits", F.struct(F.lit(0.0).alias("dice"), F.lit(None).cast("string").alias("licence")),
+    d = d.select("doc_id", "shown", F.filter(F.transform("grams", best), lambda b: b["dice"] >= threshold).alias("hits"))
+    top = F.aggregate(F.concat("hits", "shown"), F.struct(F.lit(0.0).alias("dice"), F.lit(None).cast("string").alias("licence")),
                       lambda a, x: F.when((x["dice"] > a["dice"]) | ((x["dice"] == a["dice"]) & (x["licence"] < a["licence"])), x).otherwise(a))
-    return d.select("doc_id", top.alias("top"), F.size("hits").cast("long").alias("n_units")).select(
+    return d.select("doc_id", top.alias("top"), (F.size("hits") + F.size(F.array_except(F.col("shown.licence"), F.col("hits.licence")))).cast("long").alias("n_units")).select(
         "doc_id", F.col("top.licence").alias("licence"), F.round("top.dice", 9).alias("dice"), "n_units")
 
 

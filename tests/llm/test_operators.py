@@ -259,6 +259,16 @@ def test_licences_of_any_length(spark):
     assert got == {1: ("MIT", 1), 2: ("MIT", 1 + 1), 3: ("MIT", 1), 4: ("MIT", 1), 5: ("MIT", 2), 6: (None, 0), 7: (None, 0)}
 
 
+def test_licences_in_windows(spark):
+    wrap = lambda text, n: "\n# ".join(" ".join(text.split()[k : k + n]) for k in range(0, len(text.split()), n))
+    bsd, mit, body = licences.TEMPLATES["BSD-3-Clause"], licences.TEMPLATES["MIT"], dict(licences.BODIES)
+    rows = [(1, wrap(bsd, 11)), (2, "It was " + mit[:-1] + " last year by us"), (3, prose(1, 500) + " " + bsd + " " + prose(2, 500)), (4, "Copyright A\n\n" + wrap(body["MIT"], 12) + "\n\nTHE SOFTWARE IS PROVIDED"),
+            (5, "/* " + wrap(body["Apache-2.0"], 10) + " */\n" + prose(3, 300)), (6, wrap(body["GPL-3.0"].replace("program", "tool"), 9)), (7, " ".join(bsd.split()[::-1])), (8, prose(4, 2000)), (9, None)]
+    got = {r["doc_id"]: (r["licence"], r["n_units"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i][0] for i in range(1, 10)] == ["BSD-3-Clause", "MIT", "BSD-3-Clause", "MIT", "Apache-2.0", "GPL-3.0", None, None, None]
+    assert got[2][1] == got[3][1] == 1 and got[8] == got[9] == (None, 0)
+
+
 def test_toxicity_learns_stems(spark):
     rng = np.random.Generator(np.random.PCG64(6))
     docs, labels = [], []
