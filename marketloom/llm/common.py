@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -29,11 +30,14 @@ _BYTE_VALUES = np.random.Generator(np.random.PCG64(20_240_229)).integers(1, 2**6
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+#: Bytes of a batch that Python gets, unless the session names a size of its own.
+BATCH_BYTES, _BATCH_KEY, _BATCH_DEFAULT = "4m", "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
 def trim() -> None:
     """Freed memory goes back to the system, so that reused Python workers stay small (glibc only)."""
+    pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)
 
@@ -133,12 +137,30 @@ def batches_of_words(column: pa.Array, lower: bool = False, most: int = SLICE_BY
     trim()
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with batches for Python bounded by bytes rather than rows, where the session has Spark's own bound."""
+    size = str(spark.conf.get(_BATCH_KEY)).lower()
+    if size in (str(_BATCH_DEFAULT), f"{_BATCH_DEFAULT}b", "64m", "64mb"):
+        spark.conf.set(_BATCH_KEY, BATCH_BYTES)
+    return spark
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the folder."""
+    return bounded(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is set only where none is named."""
+    """The folder that driver and executors share; one of this machine only where all of Spark runs on it."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        place = known.get() if known.isDefined() else "/tmp/marketloom-checkpoints"
+        if known.isDefined():
+            place = known.get()
+        elif spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+            place = f"{tempfile.gettempdir()}/marketloom-checkpoints"
+        else:
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
     return place.rstrip("/")
 
 
@@ -146,6 +168,7 @@ class Shared:
     """Tables written to the shared folder: they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession):
+        bounded(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/marketloom-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
@@ -159,12 +182,6 @@ class Shared:
         gc.collect()
         self.spark._jvm.System.gc()
 
-    def drop(self, name: str) -> None:
-        """Delete a written table that nothing reads any more, and let Spark free its shuffles."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(conf).delete(path, True)
-
 
 def sized(df: DataFrame) -> DataFrame:
     """df with a broadcast hint if its measured rows and bytes are few enough."""
@@ -177,8 +194,3 @@ def sized(df: DataFrame) -> DataFrame:
 def crc_remainder(id_col, modulus: int):
     """crc32 of an id as text, modulo the modulus."""
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(modulus)
-
-
-def blank_to_null_safe(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that other columns cannot clash with ours."""
-    return df.select(*[df[n] for n in names])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import Words, mix, slices, text_buffer
+from marketloom.llm.common import Words, mix, read, slices, text_buffer
 
 SAMPLES = 64
 _CHUNK = 16
@@ -199,4 +199,4 @@ def edited(docs: DataFrame, samples: int = SAMPLES, ranges: int | None = None) -
 
 
 def op5_fingerprints(spark, sf_dir: str) -> DataFrame:
-    return edited(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return edited(read(spark, sf_dir, "documents"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import Shared, batches_of_words, mix, sized, window_hashes
+from marketloom.llm.common import Shared, batches_of_words, mix, read, sized, window_hashes
 
 #: Tokens that a partition reports, and that the order of tokens knows, at most.
 #: They only decide which tokens count as frequent: results do not depend on them.
@@ -291,4 +291,4 @@ def representatives(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
-    return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return linked(read(spark, sf_dir, "documents"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import crc_remainder, slices, small, text_buffer, trim
+from marketloom.llm.common import crc_remainder, read, slices, small, text_buffer, trim
 
 #: Families of language codes.
 FAMILIES = {
@@ -216,6 +216,6 @@ def accept(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
 
 
 def op3_language(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     held = F.coalesce(crc_remainder(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")
     return predict(docs.select("doc_id", held, "text"), fit(docs), ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")

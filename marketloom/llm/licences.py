@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm.common import read
+
 THRESHOLD = 0.8
 #: Notices in public use, by SPDX-like name.
 TEMPLATES = {
@@ -142,7 +144,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
 
 def op10_licences(spark, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan(read(spark, sf_dir, "documents"))
 
 
 def _oracle() -> str:

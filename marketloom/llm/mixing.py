@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import Shared, sized
+from marketloom.llm.common import Shared, read, sized
 
 WORD = r"[^\x20\x09-\x0D]+"
 RANGES = 1 << 14
@@ -116,4 +116,4 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix(read(spark, sf_dir, "documents"))

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marketloom.llm.common import small, text_buffer
+from marketloom.llm.common import read, small, text_buffer
 
 #: Kind, expression, group whose length is checked, least length.
 #: The first three are the base kinds.  Expressions know literals, \xHH, classes,
@@ -412,4 +412,4 @@ def redact(docs: DataFrame, rules: tuple = RULES, text_col: str = "text", count_
 
 
 def op4_secrets(spark, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan(read(spark, sf_dir, "documents"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import Shared, batches_of_words, mix, sized, window_hashes
+from marketloom.llm.common import Shared, batches_of_words, mix, read, sized, window_hashes
 
 WINDOW = 50
 #: Bytes of text whose records one group holds, and the low bits of a record that hold a place in a segment.
@@ -240,4 +240,4 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op8_substrings(spark, sf_dir: str) -> DataFrame:
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return dedup(read(spark, sf_dir, "documents"))
