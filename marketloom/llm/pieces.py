@@ -3,7 +3,7 @@
 A text gets a leading space, and its spaces become the space mark.  The lattice has
 an edge for each vocabulary piece, and byte pieces for a character that is no piece.
 Pieces do not span a space mark behind other text, so the lattice is a chain of
-units: runs of marks with the word behind them (cut at UNIT_CHARS).  Equal units share
+units: runs of marks with the word behind them, however long.  Equal units share
 one lattice.  A segmentation's log-probability is the sum of its pieces' scores over a
 temperature, normalised over the whole lattice by a backward pass.
 
@@ -33,13 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import mix, powers, trim
+from marketloom.llm.common import mix, powers, read, trim
 
 MARK = "▁"
 #: Stands for a space mark that is in the text itself; no UTF-8 text holds it.
 _OWN_MARK = 0xDC81
-UNIT_CHARS = 64
-SLICE_CHARS = 600_000
+#: A node's forbidden pieces are bits of one integer, one for each length.
+MOST_LENGTH = 62
+SLICE_CHARS = 800_000
+#: First new steps of a path that are looked at, and the range of the Gumbel numbers that `_uniform` can give.
+WINDOW, LEAST_NOISE, MOST_NOISE = 48, -3.7, 36.8
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -60,7 +63,7 @@ class Vocabulary:
     heads: np.ndarray  # sorted hashes of all beginnings of pieces
     piece_of: np.ndarray  # the piece that a beginning is, or -1
     longest: int
-    raw: list[bytes]  # what each piece writes
+    raw: np.ndarray  # what each piece writes, as bytes
     first: np.ndarray  # where the heads of each 20-bit prefix begin
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +93,9 @@ class Vocabulary:
         n = m.get_piece_size()
         texts = [m.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
-        plain = [i for i in plain if MARK not in texts[i].lstrip(MARK) and len(texts[i]) <= UNIT_CHARS]
+        plain = [i for i in plain if MARK not in texts[i].lstrip(MARK)]
+        if max(len(texts[i]) for i in plain) > MOST_LENGTH:
+            raise ValueError(f"pieces of more than {MOST_LENGTH} characters are not supported")
         scores = np.full(n, -2 * np.log(n + 1.0))
         scores[plain] = -np.log(np.arange(len(plain)) + 2.0) - np.log(np.log(n + 1.0))
         lengths = np.array([len(texts[i]) for i in plain])
@@ -106,7 +111,9 @@ class Vocabulary:
         raw = [t.replace(MARK, " ").encode() for t in texts]
         for b, i in enumerate(byte_ids):
             raw[i] = bytes([b])
-        return Vocabulary(texts, scores / temperature, byte_ids, order, piece_of, max(len(texts[i]) for i in plain), raw, np.searchsorted((order >> np.uint64(44)).astype(np.int64), np.arange((1 << 20) + 1)))
+        written = np.empty(n, object)
+        written[:] = raw
+        return Vocabulary(texts, scores / temperature, byte_ids, order, piece_of, max(len(texts[i]) for i in plain), written, np.searchsorted((order >> np.uint64(44)).astype(np.int64), np.arange((1 << 20) + 1)))
 
 
 @lru_cache(2)
@@ -128,6 +135,12 @@ def _scaled(turn: int, by: np.uint64) -> np.uint64:
     return np.uint64(turn * int(by) & 0xFFFFFFFFFFFFFFFF)
 
 
+def _ranges(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """low, low + 1, ... of each range, one range behind the other."""
+    size = np.maximum(size, 0)
+    return np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
+
+
 def _uniform(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
 
@@ -150,68 +163,67 @@ class Search:
         is_mark = self.points == mark
         start = is_mark & ~np.concatenate([[False], is_mark[:-1]])
         start[self.bounds[:-1][self.bounds[:-1] < n]] = True
-        at = np.flatnonzero(start)
-        ends = np.append(at[1:], n)
-        cuts = -(-(ends - at) // UNIT_CHARS)
-        inner = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-        self.unit_at = np.repeat(at, cuts) + inner * UNIT_CHARS  # where each unit begins
-        unit_end = np.append(self.unit_at[1:], n)
+        self.unit_at = np.flatnonzero(start)  # where each unit begins
+        self.unit_end = np.append(self.unit_at[1:], n)
         sums = _sums(self.points)
-        lengths = unit_end - self.unit_at
-        _, first, self.unit_kind = np.unique(_spans(sums, self.unit_at, lengths), return_index=True, return_inverse=True)
-        self._lattice(sums, self.unit_at[first], lengths[first])
+        lengths = self.unit_end - self.unit_at
+        _, first, kind = np.unique(_spans(sums, self.unit_at, lengths), return_index=True, return_inverse=True)
+        by_length = np.argsort(-lengths[first], kind="stable")  # kinds are numbered from the longest
+        number = np.empty(len(first), np.int64)
+        number[by_length] = np.arange(len(first))
+        self.unit_kind = number[kind]
+        self._lattice(sums, self.unit_at[first[by_length]], lengths[first[by_length]])
         self.place_unit = np.repeat(np.arange(len(self.unit_at)), lengths)
 
     def _lattice(self, sums: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
-        """Edges and backward masses of the distinct units, a row for each of their characters."""
+        """Edges and backward masses of the distinct units, longest first, a row for each of their characters.
+
+        Rows lie by their distance to the unit's end, and for each distance by the unit: all
+        units that reach so far lie together, and so do the rows that their pieces lead to.
+        """
         v, n = self.v, int(length.sum())
-        self.row_of_kind = np.cumsum(length) - length
-        kind = np.repeat(np.arange(len(start)), length)
-        inside = np.arange(n) - self.row_of_kind[kind]
-        at, room = start[kind] + inside, length[kind] - inside
-        width = min(v.longest, int(length.max(initial=1)))
+        most = int(length.max(initial=0))
+        reach = np.searchsorted(-length, -np.arange(1, most + 1), "right")  # units of at least each length
+        self.first_row = np.concatenate([[0, 0], np.cumsum(reach)])  # of each distance, from 0
+        room = np.repeat(np.arange(1, most + 1), reach)
+        kind = np.arange(n) - self.first_row[room]
+        at = start[kind] + length[kind] - room
         hits: list[tuple] = []
         live = np.arange(n)
-        for k in range(1, width + 1):
-            live = live[room[live] >= k]
+        for k in range(1, min(v.longest, most) + 1):
+            live = live[np.searchsorted(live, self.first_row[k]) :]
             if not len(live):
                 break
-            h = _spans(sums, at[live], k)
-            known, place = v.find(h)
+            known, place = v.find(_spans(sums, at[live], k))
             live = live[known]
             ids = v.piece_of[place]
             whole = ids >= 0
             if whole.any():
                 hits.append((k, live[whole], ids[whole]))
         width = max((k for k, _, _ in hits), default=1)
-        self.piece = np.full((n, width), -1, np.int32)
-        score = np.full((n, width), -np.inf)
+        self.piece = np.full((width, n), -1, np.int32)  # a line for each length
+        score = np.full((width, n), -np.inf)
         for k, rows, ids in hits:
-            self.piece[rows, k - 1] = ids
-            score[rows, k - 1] = v.scores[ids]
+            self.piece[k - 1, rows] = ids
+            score[k - 1, rows] = v.scores[ids]
         points = self.points[at]
-        alone = score[:, 0] == -np.inf  # such a character is written in bytes
+        alone = score[0] == -np.inf  # such a character is written in bytes
         n_bytes = np.where(points == _OWN_MARK, 3, 1 + (points >= 0x80) + ((points >= 0x800) & (points != _OWN_MARK)) + (points >= 0x10000))
-        self.piece[alone, 0] = -2
-        score[alone, 0] = n_bytes[alone] * v.scores[v.byte_ids[0]]
-        self.edges = (score > -np.inf).sum(1)
-        back = np.full(n + width + 1, -np.inf)
-        ends = self.row_of_kind + length
-        after = np.zeros((n, width))
-        order = np.argsort(room, kind="stable")
-        edges = np.searchsorted(room[order], np.arange(1, int(room.max(initial=0)) + 2))
-        for d in range(len(edges) - 1):  # by distance to the unit's end
-            rows = order[edges[d] : edges[d + 1]]
-            if not len(rows):
-                continue
-            nxt = rows[:, None] + np.arange(1, min(width, d + 1) + 1)[None, :]
-            value = np.where(nxt == ends[kind[rows]][:, None], 0.0, back[np.minimum(nxt, n)])
-            s = score[rows, : nxt.shape[1]] + value
-            top = s.max(1)
-            back[rows] = top + np.log(np.exp(s - top[:, None]).sum(1))
-            after[rows, : nxt.shape[1]] = s - back[rows][:, None]
-            after[rows, nxt.shape[1] :] = -np.inf
-        self.logs, self.cum = after, np.cumsum(np.exp(after), axis=1)
+        self.piece[0, alone] = -2
+        score[0, alone] = n_bytes[alone] * v.scores[v.byte_ids[0]]
+        self.edges = (score > -np.inf).sum(0)
+        back, cum = np.zeros(n), np.ones((n, width), np.float32)
+        for d in range(1, most + 1):
+            a, m = self.first_row[d], int(reach[d - 1])
+            s = score[:d, a : a + m]
+            for k in range(1, min(width, d - 1) + 1):
+                s[k - 1] += back[self.first_row[d - k] : self.first_row[d - k] + m]
+            top = s.max(0)
+            share = np.cumsum(np.exp(s - top), axis=0)
+            back[a : a + m] = mass = top + np.log(share[-1])
+            s -= mass
+            cum[a : a + m, :d] = (share / share[-1]).T
+        self.logs, self.cum = score, cum
 
     def _draw(self, text: np.ndarray, begin: np.ndarray, out: np.ndarray, turn: int) -> tuple[np.ndarray, ...]:
         """For each text, pieces from place `begin` on, the first none of the lengths in the bit set `out`.
@@ -226,36 +238,83 @@ class Search:
         last_unit = self.place_unit[self.bounds[text + 1] - 1] if len(text) else begin
         n_units = last_unit - first_unit + 1
         owner = np.repeat(np.arange(len(text)), n_units)
-        unit = np.repeat(first_unit, n_units) + np.arange(n_units.sum()) - np.repeat(np.cumsum(n_units) - n_units, n_units)
+        unit = _ranges(first_unit, n_units)
+        slot, kind, end = np.arange(len(unit)), self.unit_kind[unit], self.unit_end[unit]
         place = np.maximum(self.unit_at[unit], begin[owner]) if len(unit) else unit
-        unit_end = np.append(self.unit_at[1:], len(self.points))[unit]
         barred = np.zeros(len(unit), np.int64)
         barred[np.cumsum(n_units) - n_units] = out
-        got: list[tuple] = []
-        seed = mix(self.seeds[text] + _scaled(turn, _C2))
-        widths = np.arange(self.logs.shape[1])
-        while len(place):
-            row = self.row_of_kind[self.unit_kind[unit]] + place - self.unit_at[unit]
-            relative = (place - self.bounds[text[owner]]).astype(np.uint64)
-            u = _uniform(mix(seed[owner] + relative * _C1))
+        # the random number of a place: a hash of the row's seed, the turn and the place in its text
+        seed = (mix(self.seeds[text] + _scaled(turn, _C2)) - self.bounds[text].astype(np.uint64) * _C1)[owner]
+        widths = np.arange(len(self.logs))
+        got, taken = [], np.zeros(len(unit), np.int64)
+        while len(slot):  # a piece of each unit
+            row = self.first_row[end - place] + kind
+            u = _uniform(mix(seed + place.astype(np.uint64) * _C1))
             cum = self.cum[row]
-            special = np.flatnonzero(barred)
+            special = np.flatnonzero(barred) if not got else barred[:0]
             if len(special):
-                p = np.exp(self.logs[row[special]])
+                p = np.exp(self.logs[:, row[special]].T)
                 p[(barred[special][:, None] >> widths) & 1 == 1] = 0
                 cum[special] = np.cumsum(p, axis=1)
-            pick = (cum <= (u * cum[:, -1])[:, None]).sum(1)
-            pick = np.minimum(pick, cum.shape[1] - 1)
-            got.append((text[owner], place, row, pick, self.logs[row, pick]))
+            level = np.minimum((u * cum[:, -1]).astype(np.float32), np.nextafter(cum[:, -1], np.float32(0)))
+            pick = (cum <= level[:, None]).sum(1)  # the first length whose share reaches beyond the level
+            got.append((slot, place, row, pick, self.logs[pick, row]))
+            taken[slot] += 1
             place = place + pick + 1
-            barred = np.zeros(len(place), np.int64)
-            more = place < unit_end
-            owner, unit, place, unit_end, barred = owner[more], unit[more], place[more], unit_end[more], barred[more]
-        if not got:
-            return (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0))
-        columns = [np.concatenate(c) for c in zip(*got)]
-        order = np.argsort(columns[1], kind="stable")
-        return tuple(c[order] for c in columns)
+            more = np.flatnonzero(place < end)
+            slot, kind, end, place, seed = slot[more], kind[more], end[more], place[more], seed[more]
+        begins = np.cumsum(taken) - taken
+        made = [np.empty(int(taken.sum()), np.int64) for _ in range(4)] + [np.empty(int(taken.sum()))]
+        for step, (slot, *columns) in enumerate(got):
+            at = begins[slot] + step
+            made[0][at] = text[owner[slot]]
+            for column, values in zip(made[1:], columns):
+                column[at] = values
+        return tuple(made)
+
+    def _candidates(self, path: tuple, low: np.ndarray, size: np.ndarray, sums: np.ndarray, heads: np.ndarray, begin: np.ndarray, out: np.ndarray, wanted: int) -> tuple[np.ndarray, ...]:
+        """The new steps of each text at which the `wanted` best nodes can lie: steps, locations and forbidden lengths.
+
+        Order is by location plus Gumbel noise, which lies between LEAST_NOISE and MOST_NOISE.
+        A location is at most its prefix's log-probability, and that only falls along a path; so
+        no step counts whose prefix lies that far below the `wanted`-th best location.  A
+        window of first steps shows that location; texts whose window is too short are read whole.
+        """
+        text, place, row, pick, log = path
+
+        def located(new: np.ndarray) -> tuple[np.ndarray, ...]:
+            of = text[new]
+            before = sums[new] - sums[heads[of]]
+            barred = np.where(place[new] == begin[of], out[of], 0) | (1 << pick[new])
+            rest = np.where(self.edges[row[new]] > 1, -np.expm1(log[new]), 0.0)
+            several = np.flatnonzero(barred & (barred - 1))
+            p = np.exp(self.logs[:, row[new[several]]].T)
+            p[(barred[several][:, None] >> np.arange(p.shape[1])) & 1 == 1] = 0
+            rest[several] = p.sum(1)
+            live = rest > 0
+            return new[live], before[live] + np.log(rest[live]), barred[live]
+
+        step = np.minimum(size, WINDOW)
+        found = [located(_ranges(low, step))]
+        of, spare, best = text[found[0][0]], found[0][1].copy(), np.full(self.n_texts, np.inf)
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        count = np.diff(np.append(first, len(of)))
+        for _ in range(wanted if len(of) else 0):  # the wanted-th best location of the first window, -inf if there are fewer
+            top = np.maximum.reduceat(spare, first)
+            best[of[first]] = top
+            hit = np.flatnonzero(spare == np.repeat(top, count))
+            spare[hit[np.flatnonzero(np.diff(of[hit], prepend=-1))]] = -np.inf
+        best[np.setdiff1d(np.arange(self.n_texts), of)] = -np.inf
+        left, window = size - step, 4 * WINDOW
+        while wanted and left.any():
+            low = low + step
+            left = np.where(sums[low] - sums[heads] + MOST_NOISE >= best + LEAST_NOISE, left, 0)
+            step = np.minimum(left, window)
+            found.append(located(_ranges(low, step)))
+            left, window = left - step, 4 * window
+        found = [np.concatenate(c) for c in zip(*found)]
+        order = np.argsort(found[0], kind="stable")
+        return tuple(c[order] for c in found)
 
     def run(self, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text up to k results: ids, log-probability, perturbed score, inclusion score."""
@@ -278,10 +337,9 @@ class Search:
             for t in range(turn):  # the pieces before the place where the new paths leave their parents
                 own = node["path"] == t
                 if own.any():
-                    limit = np.full(n, -1)
-                    limit[node["text"][own]] = node["begin"][own]
                     old = paths[t][0]
-                    use = old[1] < limit[old[0]]
+                    low = np.searchsorted(old[1], self.bounds[node["text"][own]])
+                    use = _ranges(low, np.searchsorted(old[1], node["begin"][own]) - low)
                     steps.append(tuple(c[use] for c in old))
             merged = [np.concatenate(c) for c in zip(*steps)]
             if len(steps) > 1:
@@ -298,17 +356,9 @@ class Search:
             there[node["text"]] = True
             paths.append((path, bound, total, there))
             # what differs from this path first at each of its new steps
-            new = np.flatnonzero(place >= begin[text])
-            before = sums[new] - sums[heads[text[new]]]
-            barred = np.where(place[new] == begin[text[new]], out[text[new]], 0) | (1 << pick[new])
-            rest = np.where(self.edges[row[new]] > 1, -np.expm1(log[new]), 0.0)
-            several = np.flatnonzero(barred & (barred - 1))
-            p = np.exp(self.logs[row[new[several]]])
-            p[(barred[several][:, None] >> np.arange(p.shape[1])) & 1 == 1] = 0
-            rest[several] = p.sum(1)
-            live = rest > 0
-            new, before, barred, rest = new[live], before[live], barred[live], rest[live]
-            location = before + np.log(rest)
+            low = np.searchsorted(place, np.maximum(begin, self.bounds[:-1]))
+            new = self._candidates(path, low, np.where(there, tails - low, 0), sums, heads, begin, out, wanted - turn - 1)
+            new, location, barred = new
             u = _uniform(mix(mix(self.seeds[text[new]] + _scaled(turn + 1, _C3)) + (place[new] - self.bounds[text[new]]).astype(np.uint64) * _C2))
             value = location - np.logaddexp(location - bound[text[new]], np.log(-np.log(u)))  # truncated at the bound
             # only as many nodes as results are still wanted can be opened; those of a path lie in order of their texts
@@ -338,7 +388,7 @@ class Search:
         out_rows: list[list] = [[] for _ in range(n)]
         for (path, bound, total, there) in paths:
             text, place, row, pick, _ = path
-            ids = self.piece[row, pick]
+            ids = self.piece[pick, row]
             heads, tails = np.searchsorted(place, self.bounds[:-1]), np.searchsorted(place, self.bounds[1:])
             for t in np.flatnonzero(there):
                 own = ids[heads[t] : tails[t]]
@@ -360,7 +410,7 @@ class Search:
 
 def decode(ids: np.ndarray, v: Vocabulary) -> str:
     """The text that any segmentation came from."""
-    return b"".join(map(v.raw.__getitem__, ids.tolist())).decode(errors="replace")[1:]
+    return b"".join(v.raw[ids].tolist()).decode(errors="replace")[1:]
 
 
 def _searched(column: pa.Array, seeds: np.ndarray, v: Vocabulary, k: int) -> Iterator[tuple[int, str, list]]:
@@ -411,4 +461,4 @@ def encode(docs: DataFrame, k: int = 2, temperature: float = 1.0, path: str | No
 
 
 def op6_pieces(spark, sf_dir: str) -> DataFrame:
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False)
+    return encode(read(spark, sf_dir, "documents"), with_ids=False)
