@@ -1,19 +1,30 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Words are runs of letters, lower-cased.  A model reads a word from its start: each
-node is a prefix (up to DEPTH bytes, the word's end counting as one), and a class
-gives the next step the absolute-discounted share of its own counts, backing off
-to one distribution that both classes share, made of continuation counts (in how
-many distinct documents of either class a prefix was seen).  Where a class has no
-evidence both back off alike and the difference is none, so rare expressions say
-little; stems with many endings are still told apart.
-
-A text's score is a logistic function of its log-likelihood difference (toxic
-minus ordinary), length-normalised by words and by their square root, and of the
-logarithm of its strong expressions' excess.  Counts cover every labelled document
-of the counting folds, and every counted prefix is kept, however rare: discounts and
-the shared backoff weigh it.  The four calibration numbers are fitted on a bounded
-sample of one more fold.
+A text is its letters, lower-cased, and one space for each run of anything else.  An
+expression is ORDER consecutive characters, across words too: a character x behind its
+history h.  Each class gives x its own absolutely discounted share of what followed h
+in that class, and what the discount leaves to the shorter history h':
+
+    P_c(x | h) = max(n_c(hx) - D, 0) / n_c(h) + D N_c(h) / n_c(h) P_c(x | h')
+
+with N_c(h) the number of different characters behind h in the class (P_c(x | h') alone
+where the class has no h).  n_c are the class's occurrences at ORDER, and below it
+its continuation counts: in how many different (n + 1)-grams of the class an n-gram ends.
+Below SHARED + 1 characters both classes share one distribution, of the continuation
+counts of either class, discounted in the same way down to a uniform distribution.  So
+a rare expression that only one class has is weighed by what is left to it, and where
+neither class has evidence both give the same.
+
+A text's score is a logistic function of the difference of its log-likelihoods (toxic
+minus ordinary), normalised by length and by its square root, and of the logarithm of
+its strong expressions' excess.  Every labelled document outside the held-out fold is
+counted, and every counted expression is kept; counts, continuation counts and
+probabilities are tables that Spark groups and joins.  Only the four numbers of the
+logistic function are fitted on a bounded sample, scored without its own counts.
+
+The table of differences is broadcast if its rows, which are counted first, are at most
+BROADCAST_ROWS (12 bytes each); beyond that each block of documents is joined with the
+rows of its own expressions.
 """
 
 from __future__ import annotations
@@ -23,120 +34,180 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import SLICE_BYTES, Words, crc_remainder, mix, powers, sized, slices, text_buffer, trim
+from marketloom.llm.common import Shared, crc_remainder, read, sized, slices, text_buffer, trim
 
-DEPTH = 10
+ORDER, SHARED, BITS = 6, 3, 9
 DISCOUNT = 0.75
 STRONG = 2.5
-#: The calibration fits on about so many documents at most.
-CALIBRATION_DOCS = 20_000
-FOLDS, HELD_OUT, CALIBRATION_FOLD = 5, 0, 1
-ROOT = np.uint64(0)
-_END = np.uint64(0xD6E8FEB86659FD93)
+#: The logistic function is fitted on about so many documents at most, and on a quarter of the labelled ones at most.
+CALIBRATION_DOCS, CALIBRATION_SHARE = 20_000, 0.25
+FOLDS, HELD_OUT = 5, 0
+BROADCAST_ROWS = 1 << 24
+#: Bytes of text in a block of the joined way.
+BLOCK_BYTES = 8 << 20
+_SLICE = 512 << 10
 
-SEPARATORS = np.ones(256, bool)
-SEPARATORS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+_points = np.arange(1 << 16, dtype=np.uint32)
+#: Symbols of the first 65,536 code points: space 1, letters a to z from 2, all else by a hash from 32 on; 0 stands before a text.
+_SYMBOLS = (32 + (_points * np.uint32(2654435761) >> np.uint32(12)) % np.uint32((1 << BITS) - 32)).astype(np.int64)
+_SYMBOLS[97:123] = np.arange(2, 28)
+_SYMBOLS[32] = 1
 
 
-class Expressions:
-    """The distinct words of some texts with their prefix nodes."""
+def letters(text: Column) -> Column:
+    """Lower-case letters and single spaces, one at either end."""
+    return F.regexp_replace(F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" ")), r"[^\p{L}\p{M}]+", " ")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        words = Words(data, offsets, lower=True, space=SEPARATORS)
-        self.bounds = words.bounds
-        _, first, self.inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        self.starts, self.lengths = words.starts[first], (words.ends - words.starts)[first]
-        self.pw, self.inv = powers(len(data) + 1)
-        self.sums = words.sums
 
-    def node(self, k: int, at: np.ndarray) -> np.ndarray:
-        """The nodes at depth k of the distinct words `at`, all at least k - 1 bytes long."""
-        start, n = self.starts[at], np.minimum(self.lengths[at], k)
-        h = (self.sums[start + n] - self.sums[start]) * self.inv[start] + n.astype(np.uint64)
-        return mix(np.where(self.lengths[at] < k, h + _END, h))
+def expressions(column: pa.Array, order: int = ORDER) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, expressions, bounds) for slices of texts made by `letters`: an expression ends at each character."""
+    data, offsets = text_buffer(column)
+    for i, j in slices(offsets, _SLICE):
+        raw = data[offsets[i] : offsets[j]]
+        points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+        before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        bounds = before[offsets[i : j + 1] - offsets[i]]
+        own = _SYMBOLS[points & np.uint32(0xFFFF)]
+        at = np.arange(len(own)) + np.repeat(np.arange(1, j - i + 1), np.diff(bounds)) * (order - 1)
+        line = np.zeros(len(own) + (j - i + 1) * (order - 1), np.int64)
+        line[at] = own
+        gram = own
+        for k in range(1, order):
+            gram = gram | line[at - k] << np.int64(BITS * k)
+        yield i, j, gram, bounds
+    trim()
 
-    def depth(self) -> np.ndarray:
-        return np.minimum(self.lengths + 1, DEPTH)
 
+def _count(order: int):
+    """(text, toxic, sampled) -> (gram, kind, n): kind 0 and 1 ordinary and toxic, 2 and 3 those of sampled documents."""
 
-def expressions(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, Expressions]]:
-    data, offsets = text_buffer(column)
-    for i, j in slices(offsets, most):
-        part = offsets[i : j + 1]
-        yield i, j, Expressions(data[part[0] : part[-1]], part - part[0])
-    trim()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64) + 2 * batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, j, gram, bounds in expressions(batch.column(0), order):
+                grams, n = np.unique(gram << np.int64(2) | np.repeat(kind[i:j], np.diff(bounds)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(grams >> np.int64(2)), pa.array((grams & 3).astype(np.int32)), pa.array(n)], ["gram", "kind", "n"])
 
+    return run
 
-@dataclass
-class Model:
-    """Sorted nodes; `value` is a word's difference if it ends at the node, `missed` if the next step is unknown.
 
-    Packed arrays that grow with the distinct prefixes of the corpus: 16 bytes each.
-    """
+def _suffix(order: int) -> Column:
+    return F.col("gram").bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1))
 
-    nodes: np.ndarray
-    value: np.ndarray
-    missed: np.ndarray
-    root: float
-    calibration: tuple = (0.0, 1.0, 1.0, 1.0)
-
-    def words(self, e: Expressions) -> np.ndarray:
-        """The difference of each distinct word."""
-        out = np.full(len(e.starts), self.root)
-        at, depth = np.arange(len(out)), e.depth()
-        for k in range(1, DEPTH + 1):
-            at = at[depth[at] >= k]
-            if not len(at) or not len(self.nodes):
-                break
-            h = e.node(k, at)
-            place = np.minimum(np.searchsorted(self.nodes, h), len(self.nodes) - 1)
-            known = self.nodes[place] == h
-            at, place = at[known], place[known]
-            out[at] = np.where(depth[at] == k, self.value[place], self.missed[place])
-        return out
-
-    def features(self, e: Expressions) -> np.ndarray:
-        """A row for each text; zeros for a text without words."""
-        gain = self.words(e)[e.inverse]
-        n = np.maximum(np.diff(e.bounds), 1)
-        sums = np.concatenate([[0.0], np.cumsum(gain)])
-        strong = np.concatenate([[0.0], np.cumsum(np.maximum(gain - STRONG, 0))])
-        a, b = e.bounds[:-1], e.bounds[1:]
-        total = sums[b] - sums[a]
-        return np.column_stack([total / n, total / np.sqrt(n), np.log1p(np.maximum(strong[b] - strong[a], 0))])
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        z = self.calibration[0] + features @ np.array(self.calibration[1:])
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+def _history() -> Column:
+    return F.shiftright("gram", BITS)
+
+
+def shared_backoff(grams: DataFrame, order: int, discount: float, shared: Shared) -> DataFrame:
+    """(gram, p): the shared probability of the last character of each gram of order - 1, from the distinct grams of the order."""
+    counts = {}
+    for n in range(order - 1, 0, -1):
+        grams = shared.put(grams.groupBy(_suffix(n + 1).alias("gram")).agg(F.count("*").alias("c")), f"continuations{n}")
+        counts[n] = grams
+    p = None
+    for n in range(1, order):
+        behind = Window.partitionBy(_history())
+        d = counts[n].select("gram", "c", F.sum("c").over(behind).alias("total"), F.count("*").over(behind).alias("kinds"))
+        if p is None:
+            d = d.withColumn("lower", F.lit(1.0 / (1 << BITS)))
+        else:
+            d = d.join(p.select(F.col("gram").alias("_s"), F.col("p").alias("lower")), _suffix(n) == F.col("_s"))
+        p = d.select("gram", ((F.greatest(F.col("c") - discount, F.lit(0.0)) + discount * F.col("kinds") * F.col("lower")) / F.col("total")).alias("p"))
+        p = shared.put(p, f"backoff{n}")
+    return p
+
 
+_KINDS = ("o", "t", "o_w", "t_w")  # ordinary and toxic, and both without the sampled documents
 
-def kneser_ney(nodes: np.ndarray, parents: np.ndarray, counts: np.ndarray, documents: np.ndarray, discount: float = DISCOUNT) -> Model:
-    """The model of counted prefixes; counts[k] = (ordinary, toxic) occurrences, documents[k] of either class.
 
-    Parents of nodes are nodes or ROOT, and ROOT's counts are those of its children.
+def key(gram, order: int, history: bool = False):
+    """The key of a gram of the order, or of the history of one."""
+    return gram * 16 + (2 * order + history)
+
+
+def differences(counts: DataFrame, order: int = ORDER, below: int = SHARED, discount: float = DISCOUNT, shared: Shared | None = None) -> DataFrame:
+    """(key, value, without): log P_toxic - log P_ordinary, from counts(gram, ordinary, toxic, ordinary_s, toxic_s).
+
+    A gram of an order has its own row; a history's row has what is added to the value of
+    the next lower order where neither class has the character behind it.  `without`
+    leaves the sampled counts out; the shared backoff is the same.
     """
-    order = np.argsort(nodes)
-    nodes, parents, counts, documents = nodes[order], parents[order], counts[order].astype(float), documents[order].astype(float)
-    n = len(nodes)
-    up = np.where(parents == ROOT, n, np.minimum(np.searchsorted(nodes, parents), max(n - 1, 0)))
-    held = np.vstack([counts, counts[up == n].sum(0)[None, :]]) if n else np.zeros((1, 2))
-    used = np.maximum(counts - discount, 0)
-    spent = np.column_stack([np.bincount(up, used[:, c], minlength=n + 1) for c in (0, 1)]) if n else np.zeros((1, 2))
-    left = np.maximum(np.where(held > 0, 1 - spent / np.maximum(held, 1), 1.0), 1e-6)
-    contexts = np.bincount(up, documents, minlength=n + 1) if n else np.zeros(1)
-    shared = documents / np.maximum(contexts[up], 1)
-    p = np.where(held[up] > 0, used / np.maximum(held[up], 1), 0) + left[up] * np.maximum(shared, 1e-12)[:, None]
-    step = np.log(p[:, 1] / p[:, 0])
-    miss = np.log(left[:, 1] / left[:, 0])
-    value, todo = step.copy(), up.copy()
-    for _ in range(DEPTH):  # a node's value adds its ancestors' steps
-        live = todo < n
-        value[live] += step[todo[live]]
-        todo[live] = up[todo[live]]
-    return Model(nodes, value.astype(np.float32), (value + miss[:n]).astype(np.float32), float(miss[n]))
+    shared = shared or Shared(counts.sparkSession)
+    top = [F.col("ordinary"), F.col("toxic"), F.col("ordinary") - F.col("ordinary_s"), F.col("toxic") - F.col("toxic_s")]
+    levels = {order: shared.put(counts.select("gram", *[c.alias(k) for c, k in zip(top, _KINDS)]), f"counts{order}")}
+    for n in range(order - 1, below, -1):
+        ends = levels[n + 1].groupBy(_suffix(n + 1).alias("gram")).agg(*[F.sum((F.col(k) > 0).cast("int")).alias(k) for k in _KINDS])
+        levels[n] = shared.put(ends, f"counts{n}")
+    lower = shared_backoff(levels[below + 1].select("gram"), below + 1, discount, shared).select(F.col("gram").alias("_s"), *[F.col("p").alias(f"{k}_p") for k in _KINDS])
+    behind, out = Window.partitionBy(_history()), None
+
+    def left(k: str) -> Column:
+        return F.when(F.col(f"{k}_all") > 0, discount * F.col(f"{k}_kinds") / F.col(f"{k}_all")).otherwise(F.lit(1.0))
+
+    def of(k: str) -> Column:
+        own = F.when(F.col(f"{k}_all") > 0, F.greatest(F.col(k) - discount, F.lit(0.0)) / F.col(f"{k}_all")).otherwise(F.lit(0.0))
+        return own + left(k) * F.col(f"{k}_p")
+
+    for n in range(below + 1, order + 1):
+        d = levels[n].select("*", *[F.sum(k).over(behind).alias(f"{k}_all") for k in _KINDS], *[F.sum((F.col(k) > 0).cast("int")).over(behind).alias(f"{k}_kinds") for k in _KINDS])
+        d = shared.put(d.join(lower, _suffix(n) == F.col("_s")).select("gram", *[of(k).alias(f"{k}_p") for k in _KINDS], *[left(k).alias(f"{k}_left") for k in _KINDS]), f"probabilities{n}")
+        lower = d.select(F.col("gram").alias("_s"), *[f"{k}_p" for k in _KINDS])
+        ratio = lambda a, b, what: F.log(F.col(f"{a}_{what}") / F.col(f"{b}_{what}"))
+        seen = d.select(key(F.col("gram"), n).alias("key"), ratio("t", "o", "p").alias("value"), ratio("t_w", "o_w", "p").alias("without"))
+        miss = d.groupBy(key(_history(), n, True).alias("key")).agg(F.first(ratio("t", "o", "left")).alias("value"), F.first(ratio("t_w", "o_w", "left")).alias("without"))
+        out = seen.unionByName(miss) if out is None else out.unionByName(seen).unionByName(miss)
+    return shared.put(out, "differences")
+
+
+@dataclass
+class Values:
+    """Sorted keys and their differences."""
+
+    keys: np.ndarray
+    value: np.ndarray
+
+    @staticmethod
+    def of(table: pa.Table, column: str) -> "Values":
+        keys = table.column("key").to_numpy()
+        order = np.argsort(keys, kind="stable")
+        return Values(keys[order], table.column(column).to_numpy()[order].astype(np.float32))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are known, and the values (0 for others)."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[at] == keys
+        return known, np.where(known, self.value[at], 0.0).astype(np.float64)
+
+    def of_grams(self, grams: np.ndarray, order: int, below: int) -> np.ndarray:
+        """The difference of each gram: its own, or its history's on top of the next lower order's."""
+        gains, rest = np.zeros(len(grams)), np.arange(len(grams))
+        for n in range(order, below, -1):
+            known, value = self.find(key(grams[rest], n))
+            gains[rest[known]] += value[known]
+            rest = rest[~known]
+            gains[rest] += self.find(key(grams[rest] >> BITS, n, True))[1]
+            grams = grams & np.int64((1 << BITS * (n - 1)) - 1)
+        return gains
+
+    def features(self, gram: np.ndarray, bounds: np.ndarray, order: int = ORDER, below: int = SHARED) -> np.ndarray:
+        """A row for each text; zeros for a text without letters."""
+        grams, of = np.unique(gram, return_inverse=True)
+        gains = self.of_grams(grams, order, below)
+        gain = gains[of]
+        n = np.diff(bounds)
+        sums = np.concatenate([[0.0], np.cumsum(gain)])
+        strong = np.concatenate([[0.0], np.cumsum(np.maximum(gain - STRONG, 0))])
+        a, b = bounds[:-1], bounds[1:]
+        total = np.where(n > 1, sums[b] - sums[a], 0.0)  # one space only: no letters
+        excess = np.where(n > 1, np.maximum(strong[b] - strong[a], 0), 0.0)
+        n = np.maximum(n, 1)
+        return np.column_stack([total / n, total / np.sqrt(n), np.log1p(excess)])
 
 
 def calibrate(features: np.ndarray, labels: np.ndarray, steps: int = 80, ridge: float = 1e-3) -> tuple:
@@ -156,83 +227,99 @@ def calibrate(features: np.ndarray, labels: np.ndarray, steps: int = 80, ridge:
     return tuple(float(v) for v in w)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["node", "parent", "ordinary", "toxic", "docs"]
-    for batch in batches:
-        toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        for i, j, e in expressions(batch.column(0)):
-            if not len(e.starts):
-                continue
-            doc = np.repeat(np.arange(j - i), np.diff(e.bounds))
-            by_class = np.bincount(e.inverse * 2 + toxic[i:j][doc], minlength=2 * len(e.starts)).reshape(-1, 2)
-            pairs = np.unique(doc * len(e.starts) + e.inverse)  # distinct words of a document
-            pair_doc, pair_word = pairs // len(e.starts), pairs % len(e.starts)
-            at, depth = np.arange(len(e.starts)), e.depth()
-            above = np.full(len(at), ROOT)
-            for k in range(1, DEPTH + 1):
-                at = at[depth[at] >= k]
-                if not len(at):
-                    break
-                own, first, to = np.unique(e.node(k, at), return_index=True, return_inverse=True)
-                place = np.full(len(e.starts), -1)
-                place[at] = to
-                deep = place[pair_word]
-                docs = np.bincount(np.unique(pair_doc[deep >= 0] * len(own) + deep[deep >= 0]) % len(own), minlength=len(own))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(own.view(np.int64)), pa.array(above[at[first]].view(np.int64)),
-                    *[pa.array(np.bincount(to, by_class[at, c], minlength=len(own)).astype(np.int64)) for c in (0, 1)],
-                    pa.array(docs.astype(np.int64))], names)
-                above[at] = own[to]
-
-
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic, fold) of the labelled documents outside the held-out fold; a document with both labels is toxic."""
+def labelled(docs: DataFrame, labels: DataFrame, calibration_docs: int) -> DataFrame:
+    """(text, toxic, sampled) of the labelled documents outside the held-out fold; a document with both labels is toxic."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    marks = marks.withColumn("fold", crc_remainder(F.col("doc_id"), FOLDS)).where(F.col("fold") != HELD_OUT)
-    return docs.select("doc_id", "text").join(sized(marks), "doc_id").select("text", "toxic", "fold")
-
-
-def fit(docs: DataFrame, labels: DataFrame, calibration_docs: int = CALIBRATION_DOCS) -> Model:
-    """Counts of all labelled documents outside the held-out and calibration folds, and a calibration on the latter."""
-    rows = labelled(docs, labels)
-    marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(crc_remainder(F.col("doc_id"), FOLDS).alias("fold"))
-    n = marks.where(F.col("fold") == CALIBRATION_FOLD).count()
-    counted = rows.where(F.col("fold") != CALIBRATION_FOLD).select("text", "toxic").mapInArrow(_count, "node long, parent long, ordinary long, toxic long, docs long")
-    counted = counted.groupBy("node").agg(F.min("parent").alias("parent"), F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
-    kept = counted.toArrow()
-    column = {name: kept.column(name).to_numpy() for name in kept.column_names}
-    model = kneser_ney(column["node"].view(np.uint64), column["parent"].view(np.uint64), np.column_stack([column["ordinary"], column["toxic"]]), column["docs"])
-    share = min(1.0, calibration_docs / max(1, n))
-    sample = rows.where((F.col("fold") == CALIBRATION_FOLD) & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)))
+    marks = marks.where(crc_remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
+    share = min(CALIBRATION_SHARE, calibration_docs / max(1, marks.count()))
+    marks = marks.withColumn("sampled", (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < share * (1 << 20)).cast("int"))
+    return docs.select("doc_id", "text").join(sized(marks), "doc_id").select(letters(F.col("text")).alias("text"), "toxic", "sampled")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, e in expressions(batch.column(0)):
-                x = model.features(e)
-                yield pa.RecordBatch.from_arrays([*[pa.array(x[:, k]) for k in range(3)], batch.column(1).slice(i, j - i)], ["a", "b", "c", "toxic"])
 
-    seen = sample.select("text", "toxic").mapInArrow(run, "a double, b double, c double, toxic int").orderBy("a", "b", "c", "toxic").toPandas()
-    model.calibration = calibrate(seen[["a", "b", "c"]].to_numpy(float), seen["toxic"].to_numpy(float))
-    return model
+@dataclass
+class Model:
+    table: DataFrame  # key, value, without
+    calibration: tuple
+    order: int
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs(doc_id, text).
+def _featured(texts: DataFrame, table: DataFrame, column: str, order: int, shared: Shared) -> DataFrame:
+    """The columns of texts(text, ...) but the text, with features a, b and c."""
+    rest = [c for c in texts.columns if c != "text"]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(rest).schema.fields) + ", a double, b double, c double"
+    names = [*rest, "a", "b", "c"]
 
-    Null and empty texts score as texts without evidence; repeated rows each give a row.
-    """
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    def rows(batch, values: Values) -> Iterator[pa.RecordBatch]:
+        for i, j, gram, bounds in expressions(batch.column(0), order):
+            x = values.features(gram, bounds, order)
+            yield pa.RecordBatch.from_arrays([*[batch.column(1 + k).slice(i, j - i) for k in range(len(rest))], *[pa.array(x[:, k]) for k in range(3)]], names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if table.count() <= BROADCAST_ROWS:
+        known = texts.sparkSession.sparkContext.broadcast(Values.of(table.select("key", F.col(column).cast("float").alias(column)).toArrow(), column))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from rows(batch, known.value)
+
+        return texts.select("text", *rest).mapInArrow(run, fields)
+
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    dealt = shared.put(texts.select(F.pmod(F.xxhash64("text", *rest), F.lit(blocks)).alias("_block"), "text", *rest), "dealt")
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [model.score(model.features(e)) for _, _, e in expressions(batch.column(2))]
-            s = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            of = batch.column(0).to_numpy()
+            for i, j, gram, bounds in expressions(batch.column(1), order):
+                block = np.repeat(of[i:j], np.diff(bounds))
+                for b in np.unique(of[i:j]):
+                    own = np.unique(gram[block == b])
+                    keys = np.concatenate([key(own & np.int64((1 << BITS * n) - 1) >> BITS * h, n, bool(h)) for n in range(SHARED + 1, order + 1) for h in (0, 1)])
+                    keys = np.unique(keys)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), b)), pa.array(keys)], ["_block", "key"])
+
+    asked = dealt.select("_block", "text").repartition("_block").mapInArrow(distinct, "_block long, key long").distinct()
+    held = asked.join(table.select("key", F.col(column).alias("value")), "key").select("_block", "key", "value")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        values = Values.of(right, "value")
+        made = [r for batch in left.drop_columns(["_block"]).to_batches() for r in rows(batch, values)]
+        schema = pa.schema([*[left.schema.field(c) for c in rest], *[pa.field(c, pa.float64()) for c in "abc"]])
+        return pa.Table.from_batches(made, schema) if made else schema.empty_table()
+
+    return dealt.select("_block", "text", *rest).groupBy("_block").cogroup(held.groupBy("_block")).applyInArrow(meet, fields)
+
+
+def fit(docs: DataFrame, labels: DataFrame, order: int = ORDER, calibration_docs: int = CALIBRATION_DOCS, shared: Shared | None = None) -> Model:
+    """The model of all labelled documents outside the held-out fold (see the module's docstring)."""
+    shared = shared or Shared(docs.sparkSession)
+    rows = labelled(docs, labels, calibration_docs)
+    counted = rows.mapInArrow(_count(order), "gram long, kind int, n long")
+    of = lambda *kinds: F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), F.col("n"))), F.lit(0))
+    counts = counted.groupBy("gram").agg(of(0, 2).alias("ordinary"), of(1, 3).alias("toxic"), of(2).alias("ordinary_s"), of(3).alias("toxic_s"))
+    table = differences(counts, order, shared=shared)
+    sample = rows.where("sampled = 1").select("text", "toxic")
+    seen = _featured(sample, table, "without", order, shared).orderBy("a", "b", "c", "toxic").toPandas()
+    return Model(table, calibrate(seen[["a", "b", "c"]].to_numpy(float), seen["toxic"].to_numpy(float)), order)
+
+
+def score(docs: DataFrame, model: Model, shared: Shared | None = None) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row of docs(doc_id, text).
 
+    Null and empty texts, and texts without letters, score as texts without evidence;
+    repeated rows each give a row; long texts are scored whole; an empty table gives an
+    empty result.  Other columns are not looked at.
+    """
     held = F.coalesce(crc_remainder(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")
-    return docs.select("doc_id", held, "text").mapInArrow(run, f"doc_id {id_type}, held_out boolean, score double, predicted int")
+    texts = docs.select("doc_id", held, letters(F.col("text")).alias("text"))
+    found = _featured(texts, model.table, "value", model.order, shared or Shared(docs.sparkSession))
+    w = model.calibration
+    z = F.lit(w[0]) + F.col("a") * w[1] + F.col("b") * w[2] + F.col("c") * w[3]
+    s = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+    return found.select("doc_id", "held_out", s.alias("score"), (s >= 0.5).cast("int").alias("predicted"))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    """Every document's toxicity, learned from labels outside the held-out fold; `score` states the cases."""
+    docs, shared = read(spark, sf_dir, "documents"), Shared(spark)
+    return score(docs, fit(docs, read(spark, sf_dir, "labels"), shared=shared), shared)

@@ -198,12 +198,23 @@ def test_neighbours_recall_and_order(spark):
 
 def test_probing_finds_every_code_within_the_radius():
     rng = np.random.Generator(np.random.PCG64(8))
-    codes = rng.integers(0, 1 << 16, (20_000, 4), dtype=np.uint16)
-    codes[:300] = codes[300] ^ (np.uint16(1) << rng.integers(0, 16, (300, 4)).astype(np.uint16))
+    codes = rng.integers(0, 256, (3000, 5), dtype=np.uint8)
+    codes[:300] = codes[300] ^ (np.uint8(1) << rng.integers(0, 8, (300, 5)).astype(np.uint8))
+    queries = np.vstack([codes[300:303], rng.integers(0, 256, (40, 5), dtype=np.uint8)])
     tables = hamming.Tables(codes)
-    for radius in (0, 3, 7):
-        distance = np.bitwise_count(codes ^ codes[300]).sum(1)
-        assert set(tables.within(codes[300], radius, 1)) == set(np.flatnonzero(distance <= radius))
+    for radius in (0, 3, 7, 12, 19, 40):
+        got = [p for q, e in tables.within(queries, radius) for p in zip(q.tolist(), e.tolist())]
+        distance = np.bitwise_count(queries[:, None] ^ codes[None]).sum(2)
+        assert len(got) == len(set(got)) and set(got) == set(zip(*(x.tolist() for x in np.nonzero(distance <= radius))))
+    assert sum(max(0, r + 1) for r in hamming.reaches(5, 12)) == 13  # pigeonhole: the reaches and one more sum to the radius and one
+
+
+def test_neighbours_of_few_vectors(spark):
+    rows = [(20 * i, [float(i + 1), 1.0]) for i in range(4)] + [(7, [2.0, 1.0]), (8, [-9.0, 0.0])]
+    got = collections.defaultdict(list)
+    for r in hamming.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert got[0] == [60, 40, 7, 20, 8] and set(map(len, got.values())) == {5}  # all candidates; ties by id
 
 
 def test_segmentations_follow_the_lattice():
@@ -231,6 +242,25 @@ def test_segmentations_follow_the_lattice():
     assert all(r[0][0].tolist() != r[1][0].tolist() and r[0][2] > r[1][2] for r in got)
 
 
+def test_units_are_not_cut():
+    """Log-probabilities over the lattice of one long unit without spaces."""
+    v = pieces.vocabulary(pieces.default_model(), 1.0)
+    text, index = "thentheotherthingof" * 30, {t: i for i, t in enumerate(v.texts)}
+    plain, marked = set(v.piece_of[v.piece_of >= 0].tolist()), "▁" + text
+    mass = [0.0] + [-np.inf] * len(marked)
+    for j in range(1, len(marked) + 1):
+        for i in range(max(0, j - v.longest), j):
+            if index.get(marked[i:j]) in plain:
+                mass[j] = np.logaddexp(mass[j], mass[i] + v.scores[index[marked[i:j]]])
+    crossed = 0
+    for result in pieces.Search(v, [text] * 40, np.arange(40, dtype=np.uint64)).run(2):
+        for ids, log_prob, _, _ in result:
+            assert log_prob == pytest.approx(v.scores[ids].sum() - mass[-1])
+            ends = np.cumsum([len(v.texts[i]) for i in ids])
+            crossed += not {*range(64, len(marked), 64)} <= {*ends.tolist()}
+    assert crossed > 20
+
+
 def test_encoding_round_trips(spark, texts):
     rows = [*texts, (300, "é\n日本語▁x ▁  y", "a"), (301, "x" * 300, "a")]
     docs = table(spark, rows)
@@ -291,17 +321,71 @@ def test_toxicity_learns_stems(spark):
     assert toxicity.score(d, empty).where("predicted = 1").count() == 0
 
 
+def plain_kneser_ney(texts, order, below, discount):
+    """P(class, history, character) by plain recursion over counted strings; texts are (string, class)."""
+    top = collections.Counter()
+    for text, kind in texts:
+        line = "^" * (order - 1) + text
+        top.update((kind, line[k - order + 1 : k + 1]) for k in range(order - 1, len(line)))
+    counts = {order: top}  # level -> (class or "both", gram) -> count
+    for n in range(order - 1, 0, -1):
+        upper = {(kind if n > below else "both", g) for kind, g in counts[n + 1]}
+        counts[n] = collections.Counter((kind, g[1:]) for kind, g in upper)
+
+    def p(kind, history, x):
+        n = len(history) + 1
+        who = kind if n > below else "both"
+        own = {g[-1]: c for (k, g), c in counts[n].items() if k == who and g[:-1] == history}
+        lower = p(kind, history[1:], x) if history else 1 / 512
+        if not own:
+            return lower
+        total = sum(own.values())
+        return max(own.get(x, 0) - discount, 0) / total + discount * len(own) / total * lower
+
+    return p, counts
+
+
+def test_toxicity_is_kneser_ney(spark):
+    texts = [(f" {w} ", k) for w, k in [("abab ba", 0), ("abc cab", 1), ("bad abacus", 1), ("a", 0), ("cc abc", 0), ("abc", 1), ("za", 1)]]
+    p, plain = plain_kneser_ney(texts, 4, 2, 0.75)
+    code = lambda text: int(sum(int(toxicity._SYMBOLS[ord(c)] if c != "^" else 0) << (9 * i) for i, c in enumerate(reversed(text))))
+    counts = collections.Counter()
+    for text, kind in texts:
+        _, _, gram, _ = next(toxicity.expressions(pa.array([text]), 4))
+        counts.update((int(g), kind) for g in gram)
+    assert counts == {(code(g), kind): n for (kind, g), n in plain[4].items()}
+    rows = [(g, counts[g, 0], counts[g, 1], 0, counts[g, 1] if g % 2 else 0) for g in {g for g, _ in counts}]
+    df = spark.createDataFrame(rows, "gram long, ordinary long, toxic long, ordinary_s long, toxic_s long")
+    values = toxicity.Values.of(toxicity.differences(df, 4, 2, 0.75).toArrow(), "value")
+    histories = {g[:-1] for _, g in plain[4]} | {"zzz", "^^z", "abd"}
+    asked = [h + x for h in histories for x in "abcdz q"]
+    got = values.of_grams(np.array([code(g) for g in asked], np.int64), 4, 2)
+    for g, value in zip(asked, got):
+        assert value == pytest.approx(math.log(p(1, g[:-1], g[-1]) / p(0, g[:-1], g[-1])), abs=1e-6), g
+
+
 def test_toxicity_keeps_rare_expressions(spark):
     rows = [(i, prose(i, 40) + (" grault" if i % 2 and i % 75 == 0 else ""), i % 2) for i in range(1500)]
     d = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     model = toxicity.fit(d, spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int"))
-    counted = sum(y and t.endswith("grault") and zlib.crc32(str(i).encode()) % 5 >= 2 for i, t, y in rows)
-    assert 2 <= counted < 9  # the former threshold: 0.02 of about 450 toxic documents
-    _, _, e = next(toxicity.expressions(pa.array(["grault", "gxyz"])))
-    known, unseen = model.words(e)[e.inverse]
+    counted = sum(y and t.endswith("grault") and zlib.crc32(str(i).encode()) % 5 >= 1 for i, t, y in rows)
+    assert 2 <= counted < 12
+    values = toxicity.Values.of(model.table.toArrow(), "value")
+    known, unseen = (len(t) * values.features(*next(toxicity.expressions(pa.array([t])))[2:])[0, 0] for t in (" grault ", " gxyz "))
     assert known > unseen + 0.5
 
 
+def test_toxicity_of_odd_rows_and_both_ways(spark, monkeypatch):
+    rows = [(i % 130, prose(i % 130, 40) + (" vexo" * 3 if i % 2 else " "), i % 2) for i in range(200)] + [(300, "long " * 200_000, 0), (301, "東京の天気。" * 50, 1), (None, "null id", 0)]
+    d = spark.createDataFrame([(i, t, 7, "x", 0.5, 1) for i, t, _ in rows], "doc_id long, text string, toxic int, fold string, a double, _block int")
+    labels = spark.createDataFrame([(i, 1, y, 3) for i, _, y in rows], "doc_id long, quality int, toxic int, fold int")
+    model = toxicity.fit(d, labels)
+    once = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["score"]) for r in toxicity.score(d, model).collect())
+    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 0)
+    again = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["score"]) for r in toxicity.score(d, model).collect())
+    assert len(once) == len(rows) and all(x[:2] == y[:2] and abs(x[2] - y[2]) < 1e-6 for x, y in zip(once, again))
+
+
 def test_language_families(spark):
     stems = {"en": ["the", "thing", "with"], "de": ["der", "schön", "ung"], "fr": ["le", "été", "eau"], "es": ["el", "ción", "año"]}
     rng = np.random.Generator(np.random.PCG64(2))
