@@ -5,6 +5,12 @@ space; their 2-, 3- and 4-grams are hashed.  One-versus-one linear support vecto
 machines (squared hinge) first tell language families apart, then the languages
 within the winning family.  All machines share one table of weights, so a text is
 read once.  Families are a fixed table; a language outside it is its own family.
+
+The machines always name a learned language.  Whether a text is in any of them is
+another question: a language's typical 2-grams are those that make up TYPICAL of its
+sample or more, and a text is `known` by the share of its 2-grams that are typical of
+the predicted language.  `accept` rejects a text below KNOWN_SHARE of the share that
+half of the language's sample reaches.
 """
 
 from __future__ import annotations
@@ -32,6 +38,7 @@ BUCKETS = 1 << 12
 #: The fit takes about so many documents of a language at most, chosen by a hash of the text.
 PER_LANGUAGE = 400
 FOLDS, HELD_OUT = 4, 2
+TYPICAL, KNOWN_SHARE = 2e-4, 0.6
 UNDETERMINED = "und"
 _SLICE = 256 << 10
 _BYTES = np.full(256, 32, np.uint32)
@@ -95,6 +102,18 @@ class Model:
     duels: list[tuple[str, str, str]]
     weights: np.ndarray  # duel x (order, bucket)
     offsets: np.ndarray
+    typical: dict[str, np.ndarray]  # for each language, which buckets of 2-grams are typical
+    usual: dict[str, float]  # and the share of them that half of the sample reaches
+
+    def known(self, data: np.ndarray, bounds: np.ndarray, languages: list[str]) -> np.ndarray:
+        """Each text's share of typical 2-grams of its language, over the usual share."""
+        h = next(grams(data))
+        out, said = np.zeros(len(languages)), np.array(languages, object)
+        for name, buckets in self.typical.items():
+            own = np.flatnonzero(said == name)
+            sums = np.concatenate([[0], np.cumsum(buckets[h])]) if len(own) else np.zeros(1)
+            out[own] = (sums[bounds[own + 1]] - sums[bounds[own]]) / np.maximum(bounds[own + 1] - bounds[own], 1) / max(self.usual[name], 1e-9)
+        return out
 
     def margins(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """text x duel."""
@@ -161,6 +180,8 @@ def fit(docs: DataFrame, families: dict[str, str] | None = None, per_language: i
         x[k, np.frombuffer(at, np.int32)] = np.frombuffer(v, np.float32)
     lang = np.array([g[0] for g in got], object)
     del got
+    typical = {name: x[lang == name, :BUCKETS].mean(axis=0) >= TYPICAL for name in sorted(set(lang))}
+    usual = {name: float(np.median(x[lang == name, :BUCKETS] @ typical[name].astype(np.float32))) for name in typical}
     used = x.any(axis=0)
     scale = (1 / np.sqrt(x.mean(0) + 1e-5)).astype(np.float32) if len(x) else np.ones(x.shape[1], np.float32)
     x = x[:, used] * scale[used]
@@ -175,7 +196,7 @@ def fit(docs: DataFrame, families: dict[str, str] | None = None, per_language: i
         own = (side == a) | (side == b)
         w, offsets[d] = svm(x[own], np.where(side[own] == a, 1.0, -1.0).astype(np.float32))
         weights[d, used] = w * scale[used]
-    return Model(groups, duels, weights, offsets)
+    return Model(groups, duels, weights, offsets, typical, usual)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
@@ -202,15 +223,19 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     return d.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
-def accept(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
-    """The rows of docs whose language is determined with at least that score; columns as they were."""
+def accept(docs: DataFrame, model: Model, least: float = KNOWN_SHARE) -> DataFrame:
+    """The rows of docs that are in a learned language; columns as they were, whatever their names.
+
+    Null texts and texts without a letter go, and those in none of the languages: see the
+    module's docstring.  Repeated rows are judged alike; a model without languages keeps none.
+    """
     at = docs.columns.index("text")
-    valid = docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).where("_letters").drop("_letters")
+    valid = docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            scores = [model.predict(model.margins(data, bounds))[1] for _, _, data, bounds in parts(batch.column(at))]
-            yield batch.filter(pa.array(np.concatenate(scores) >= least if scores else np.zeros(0, bool)))
+            keep = [model.known(data, bounds, model.predict(model.margins(data, bounds))[0]) >= least for _, _, data, bounds in parts(batch.column(at))]
+            yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
     return valid.mapInArrow(run, docs.schema) if model.families else docs.limit(0)
 

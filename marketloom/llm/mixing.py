@@ -110,9 +110,10 @@ def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = Non
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: each row as often as the mix takes it, whole; columns as they were."""
-    mixed = mix(docs, whole=True, keep=docs.columns, **options)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # so that no column of docs can clash
+    mixed = mix(docs.select("doc_id", "source", "text", row), whole=True, keep=["_row"], **options)
     times = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(F.lit(0)).cast("int")
-    return mixed.where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(docs.columns)
+    return mixed.where(times > 0).select("_row", F.explode(F.sequence(F.lit(1), times)).alias("_copy")).select("_row.*")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -397,3 +397,7 @@ def test_language_families(spark):
     assert np.mean([got[i]["lang_pred"] == lang for i, _, lang, _ in rows[:400]]) > 0.98
     assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[902]["lang_pred"] == "en"
     assert {r["doc_id"] for r in langid.accept(docs, model).collect()} == set(range(400)) | {902}
+    foreign = spark.createDataFrame([(1, "Привет, как дела сегодня", "en", 0.1), (2, "東京の天気", "de", 0.1), (3, "zxqv kpjw qqxz vvkj", "en", 0.1), (4, "the with thing the", "en", 0.1), (4, "the with thing the", "en", 0.1)], docs.schema).withColumn("_letters", langid.F.lit(1))
+    assert [r["doc_id"] for r in langid.accept(foreign, model).collect()] == [4, 4]
+    empty = langid.fit(docs.limit(0))
+    assert langid.accept(docs, empty).count() == 0 and {r["lang_pred"] for r in langid.predict(docs, empty).collect()} == {"und"} and langid.predict(docs.limit(0), model).count() == 0
