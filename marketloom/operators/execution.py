@@ -30,15 +30,28 @@ def quote_quality(rel: Rel, most_bps: float = 50.0) -> Rel:
     return clean.group("symbol", quotes="count(*)", spread_p50="@pct(spread_bps, 0.5)", tilt_p75="@pct(abs(tilt), 0.75)", books="count(DISTINCT concat(CAST(bid_size AS STRING), '/', CAST(ask_size AS STRING)))")
 
 
-def fill_market(ref: str, qty: str, volume: str, buy: str, half_bps: float = 5.0, impact: float = 10.0, cap: float = 0.1) -> dict[str, str]:
-    """filled and price: the volume cap cuts the quantity, half-spread and square-root impact of the request move the price."""
-    return {"filled": f"CASE WHEN {volume} IS NULL THEN {qty} ELSE least({qty}, {cap} * {volume}) END",
-            "price": f"{ref} * (1.0 + CASE WHEN {buy} THEN 1.0 ELSE -1.0 END * ({half_bps} + {impact} * sqrt({qty} / nullif({volume}, 0.0))) / 10000.0)"}
+def ticked(price: str, tick: float) -> str:
+    """The price on the grid of the tick (none: 0)."""
+    return f"round(({price}) / {tick!r}) * {tick!r}" if tick else price
 
 
-def fill_limit(limit: str, open_: str, high: str, low: str, buy: str) -> str:
-    """The fill price of a resting limit: only if traded through, better if the bar opens through it, else null."""
-    return f"CASE WHEN {buy} AND {low} < {limit} THEN least({limit}, {open_}) WHEN NOT {buy} AND {high} > {limit} THEN greatest({limit}, {open_}) END"
+def fill_market(ref: str, qty: str, volume: str, buy: str, half_bps: float = 5.0, impact: float = 10.0, cap: float = 0.1, tick: float = 0.0) -> dict[str, str]:
+    """filled and price: the volume cap cuts the quantity, half-spread and square-root impact of the request move the price.
+
+    Without a volume there is no cap and no impact; without a price or quantity nothing is filled.
+    """
+    there, bad = f"coalesce({volume}, 0.0) > 0", f"coalesce({ref}, 0.0) <= 0 OR coalesce({qty}, 0.0) <= 0"
+    moved = f"{half_bps} + CASE WHEN {there} THEN {impact} * sqrt({qty} / {volume}) ELSE 0.0 END"
+    return {"filled": f"CASE WHEN {bad} THEN 0.0 WHEN {there} THEN least({qty}, {cap} * {volume}) ELSE {qty} END",
+            "price": f"CASE WHEN {bad} THEN coalesce({ref}, 0.0) ELSE {ticked(f'{ref} * (1.0 + CASE WHEN {buy} THEN 1.0 ELSE -1.0 END * ({moved}) / 10000.0)', tick)} END"}
+
+
+def fill_limit(limit: str, open_: str, high: str, low: str, buy: str, qty: str = "1.0", volume: str = "NULL", cap: float = 1.0, tick: float = 0.0) -> dict[str, str]:
+    """filled and price of a resting limit: filled if the bar touches it, at the open where that is better, at most the cap's share of the volume."""
+    hit = f"coalesce({limit}, 0.0) > 0 AND coalesce({qty}, 0.0) > 0 AND CASE WHEN {buy} THEN {low} <= {limit} ELSE {high} >= {limit} END"
+    better = f"CASE WHEN {buy} THEN least({limit}, {open_}) ELSE greatest({limit}, {open_}) END"
+    most = f"CASE WHEN coalesce({volume}, 0.0) > 0 THEN least({qty}, {cap} * {volume}) ELSE {qty} END" if cap < 1 else qty
+    return {"filled": f"CASE WHEN {hit} THEN {most} ELSE 0.0 END", "price": f"CASE WHEN {hit} THEN {ticked(better, tick)} END"}
 
 
 def sell_fee(qty: str, price: str) -> str:
@@ -59,12 +72,21 @@ def fills(bars: Rel) -> Rel:
         slippage_bps="round(10000.0 * (fill_price - ref) / ref * CASE WHEN buy THEN 1.0 ELSE -1.0 END, 8)", participation="qty / nullif(bar_volume, 0.0)")
 
 
-def calibrate(fills: Rel) -> Rel:
-    """Half-spread (median slippage of the lowest quarter by participation) and impact (slope on the square root of participation)."""
+def calibrate(fills: Rel, quoted: str = "CAST(NULL AS DOUBLE)", prior: float = 8.0, ratio: float = 1.5) -> Rel:
+    """By symbol: half-spread, impact coefficient and whether it was fitted, both at least 0.
+
+    The half-spread is the median of quoted ones if there are four, else of the slippage of
+    the lowest quarter by participation.  The impact is the slope of slippage on the
+    square root of participation, if there are four and the largest participation is
+    `ratio` times the smallest; else the prior.
+    """
     edge = fills.group("symbol", q1="@pct(participation, 0.25)")
-    f = fills.join(edge, "symbol").with_(root="sqrt(participation)")
-    g = f.group("symbol", n="count(*)", half_spread="median(CASE WHEN participation <= q1 THEN slippage_bps END)", cov="covar_pop(slippage_bps, root)", var="var_pop(root)", ms="avg(slippage_bps)", mr="avg(root)")
-    return g.select("symbol", "n", "half_spread", impact="CASE WHEN n >= 4 AND var > 1e-18 THEN cov / var END", intercept="CASE WHEN n >= 4 AND var > 1e-18 THEN ms - cov / var * mr END")
+    f = fills.join(edge, "symbol").with_(root="sqrt(participation)", quote=quoted)
+    g = f.where("slippage_bps IS NOT NULL").group(
+        "symbol", n="count(*)", parts="count(participation)", least="min(participation)", most="max(participation)", small="median(CASE WHEN participation <= q1 + 1e-12 THEN slippage_bps END)", every="median(slippage_bps)",
+        quotes="count(quote)", measured="median(quote)", cov="covar_pop(slippage_bps, root)", var="var_pop(root)", ms="avg(CASE WHEN root IS NOT NULL THEN slippage_bps END)", mr="avg(root)")
+    g = g.with_(fitted=f"CASE WHEN parts >= 4 AND least > 0 AND most / least >= {ratio} AND var > 1e-18 THEN 1 ELSE 0 END")
+    return g.select("symbol", "n", "fitted", half_spread="greatest(CASE WHEN quotes >= 4 THEN measured ELSE coalesce(small, every) END, 0.0)", impact=f"CASE WHEN fitted = 1 THEN greatest(cov / var, 0.0) ELSE {prior!r} END", intercept="CASE WHEN fitted = 1 THEN ms - cov / var * mr END")
 
 
 def tca(fills: Rel, bars: Rel, near: int = 1, far: int = 30) -> Rel:
@@ -76,6 +98,7 @@ def tca(fills: Rel, bars: Rel, near: int = 1, far: int = 30) -> Rel:
     return j.group("symbol", arrival_bps="avg(slippage_bps)", worst_bps="max(slippage_bps)", best_bps="min(slippage_bps)", transient_bps=f"avg(10000.0 * (n - fill_price) / fill_price * {sign})", permanent_bps=f"avg(10000.0 * (f - fill_price) / fill_price * {sign})")
 
 
+# fixed values: the codes in the order in which checks are made
 RISK = ("HALTED", "BAD_QTY", "NO_PRICE", "FORBIDDEN", "MAX_ORDER_NOTIONAL", "INSUFFICIENT_BUYING_POWER", "SHORT_NOT_ALLOWED", "RATE_LIMIT", "DAILY_LOSS", "MAX_POSITIONS", "CONCENTRATION")
 
 

@@ -6,14 +6,15 @@ from marketloom.functions import windows as w
 from marketloom.plans.rel import Rel
 
 
-def tail_hedge(returns: Rel, window: int = 60, skew: float = -0.3, kurt: float = 4.0, cut: float = 0.25) -> Rel:
-    """Exposure `cut` after a window of negative skewness and fat tails, else 1.0; it earns the next row."""
-    f = f"OVER (ORDER BY ts ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)"
+def tail_hedge(returns: Rel, window: int = 60, skew: float = -0.3, kurt: float = 4.0, cut: float = 0.25, cost_bps: float = 2.0) -> Rel:
+    """Exposure is cut by `cut` where the rows before show negative skewness and fat tails; it earns the next row and its changes cost."""
+    f = f"OVER (ORDER BY ts ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING)"
     m = returns.with_(n=f"count(bench) {f}", a=f"avg(bench) {f}", b=f"avg(bench * bench) {f}", c=f"avg(bench * bench * bench) {f}", d=f"avg(bench * bench * bench * bench) {f}")
     m = m.with_(var="b - a * a")
     m = m.with_(sk="CASE WHEN var > 1e-14 THEN (c - 3.0 * a * b + 2.0 * a * a * a) / (var * sqrt(var)) ELSE 0.0 END", ku="CASE WHEN var > 1e-14 THEN (d - 4.0 * a * c + 6.0 * a * a * b - 3.0 * a * a * a * a) / (var * var) ELSE 3.0 END")
-    m = m.with_(exposure=f"CASE WHEN n >= {window} AND round(sk, 8) < {skew} AND round(ku, 8) > {kurt} THEN {cut} ELSE 1.0 END")
-    return m.with_(net="coalesce(lag(exposure) OVER (ORDER BY ts), 1.0) * bench")
+    m = m.with_(exposure=f"CASE WHEN n >= {window} AND round(sk, 8) < {skew} AND round(ku, 8) > {kurt} THEN {1 - cut!r} ELSE 1.0 END")
+    m = m.with_(held="coalesce(lag(exposure) OVER (ORDER BY ts), 1.0)").with_(moved="abs(held - coalesce(lag(held) OVER (ORDER BY ts), 1.0))")
+    return m.with_(net=f"held * bench - moved * {cost_bps / 1e4!r}")
 
 
 def expiry_week(calendar: Rel) -> Rel:
@@ -23,10 +24,10 @@ def expiry_week(calendar: Rel) -> Rel:
 
 
 def rotation(panel: Rel, lookback: int = 8) -> Rel:
-    """Each month's first row takes the name of median rank by trailing return, held until the next."""
-    s = panel.with_(score=f"CASE WHEN {w.ROW} > {lookback} THEN round(close / lag(close, {lookback}) {w.SERIES} - 1.0, 10) END", first="row_number() OVER (PARTITION BY symbol, year(ts), month(ts) ORDER BY ts)")
+    """Each month's first row takes the middle name (of an even number the upper one) by the return of the rows before it, held until the next."""
+    s = panel.with_(score=f"CASE WHEN row > {lookback} THEN round(exp(sum(ln(1.0 + coalesce(ret, 0.0))) {w.last(lookback, 1)}) - 1.0, 10) END", first="row_number() OVER (PARTITION BY symbol, year(ts), month(ts) ORDER BY ts)")
     s = s.with_(n=f"count(score) {w.DAY}", place=f"CASE WHEN score IS NOT NULL THEN row_number() OVER (PARTITION BY ts, CASE WHEN score IS NULL THEN 0 ELSE 1 END ORDER BY score, symbol) END")
-    s = s.with_(asked="CASE WHEN first = 1 AND n > 0 THEN CASE WHEN place = CAST(floor((n + 1) / 2.0) AS INT) THEN 1.0 ELSE 0.0 END END")
+    s = s.with_(asked="CASE WHEN first = 1 AND n > 0 THEN CASE WHEN place = CAST(floor(n / 2.0) AS INT) + 1 THEN 1.0 ELSE 0.0 END END")
     return s.with_(weight=f"coalesce(@last(asked) {w.SO_FAR}, 0.0)")
 
 
@@ -37,12 +38,24 @@ def trend_book(panel: Rel, lookback: int = 52, vol_window: int = 13, target: flo
     return s.with_(weight=f"coalesce(raw / nullif(sum(abs(raw)) {w.DAY}, 0.0), 0.0)")
 
 
-def hardened_momentum(panel: Rel, lookback: int = 48, skip: int = 4, gate: int = 12, least: float = 0.3) -> Rel:
-    """The whole cross-section weighted by z-scores; names whose efficiency ratio is under the gate are left out."""
-    s = panel.with_(x=f"lag(close, {skip}) {w.SERIES} / lag(close, {lookback + skip}) {w.SERIES} - 1.0", step=f"abs(close - lag(close) {w.SERIES})", net_move=f"abs(close - lag(close, {gate}) {w.SERIES})")
-    s = s.with_(path=f"sum(step) {w.last(gate)}").with_(er="round(net_move / nullif(path, 0.0), 9)").with_(y=f"CASE WHEN er >= {least} THEN x END")
-    s = s.with_(z=w.zscore_rows("y")).with_(weight=f"coalesce(z / nullif(sum(abs(z)) {w.DAY}, 0.0), 0.0)")
-    return s
+def market_trend(panel: Rel, window: int) -> Rel:
+    """(ts, er): the efficiency ratio of the equal-weight market's index over the last rows: its net move over the sum of its moves."""
+    day = panel.where("close > 0").group("ts", mean="avg(coalesce(ret, 0.0))").with_(px="exp(sum(ln(1.0 + mean)) OVER (ORDER BY ts))")
+    day = day.with_(move="abs(px - coalesce(lag(px) OVER (ORDER BY ts), px))")
+    f = f"OVER (ORDER BY ts ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)"
+    day = day.with_(path=f"sum(move) {f}", base=f"first_value(px) OVER (ORDER BY ts ROWS BETWEEN {window} PRECEDING AND CURRENT ROW)")
+    return day.select("ts", er="CASE WHEN path > 0 THEN round(abs(px - base) / path, 9) ELSE 0.0 END")
+
+
+def hardened_momentum(panel: Rel, lookback: int = 48, skip: int = 4, every: int = 4, gate: int = 12, least: float = 0.3, fewest: int = 10) -> Rel:
+    """Every so many rows the whole cross-section by z-scores of its skipped momentum, gross 1; flat where the market has no trend or names are few."""
+    from marketloom.operators.portfolio import hold
+
+    s = panel.join(market_trend(panel, gate), "ts", "left").with_(past=f"lag(close, {skip}) {w.SERIES}", base=f"lag(close, {lookback + skip}) {w.SERIES}")
+    s = s.with_(x="CASE WHEN close > 0 AND past > 0 AND base > 0 THEN past / base - 1.0 END")
+    s = s.with_(n=f"count(x) {w.DAY}", mean=f"avg(x) {w.DAY}", sd=f"stddev_pop(x) {w.DAY}").with_(z="coalesce((x - mean) / (sd + 1e-12), 0.0)")
+    s = s.with_(size=f"sum(abs(z)) {w.DAY}").with_(target=f"CASE WHEN n >= {fewest} AND er >= {least} AND size > 0 THEN z / size ELSE 0.0 END")
+    return hold(s, every, lookback + skip + 1)
 
 
 def lead_lag(panel: Rel, lag: int = 1) -> Rel:
@@ -69,8 +82,8 @@ def latest(rows: Rel, keys: str, order: str) -> Rel:
     return rows.with_(age=f"row_number() OVER (PARTITION BY {keys} ORDER BY {order} DESC)").where("age = 1")
 
 
-def settled_cash(flows: Rel, key: str, session: str, amount: str) -> Rel:
-    """All cash so far, and what is settled: flows of earlier sessions."""
-    day = flows.group(key, session, flow=f"sum({amount})")
-    w_all = f"OVER (PARTITION BY {key} ORDER BY {session} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return day.with_(cash=f"sum(flow) {w_all}").with_(settled=f"cash - greatest(flow, 0.0)")
+def settled_cash(flows: Rel, key: str, session: str, amount: str, lag: int = 1) -> Rel:
+    """All cash so far, and what is settled: purchases count at once, proceeds `lag` sessions later."""
+    day = flows.group(key, session, flow=f"sum({amount})", proceeds=f"sum(greatest({amount}, 0.0))")
+    line = f"OVER (PARTITION BY {key} ORDER BY {session} ROWS BETWEEN"
+    return day.with_(cash=f"sum(flow) {line} UNBOUNDED PRECEDING AND CURRENT ROW)", pending=f"sum(proceeds) {line} {lag - 1} PRECEDING AND CURRENT ROW)" if lag else "0.0").with_(settled="cash - pending")

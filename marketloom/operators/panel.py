@@ -25,6 +25,12 @@ def common(bars: Rel, least: int = 0) -> Rel:
     return kept.join(n, "ts").with_(ret=f"close / lag(close) {w.SERIES} - 1.0").where("ret IS NOT NULL").select("symbol", "ts", "close", "ret")
 
 
+def shared_calendar(bars: Rel) -> Rel:
+    """Closes on the times that every symbol has, with the return against the row before (null on the first)."""
+    per_time = bars.group("ts", here="count(DISTINCT symbol)").join(bars.group(symbols="count(DISTINCT symbol)"), "1 = 1", hint=True).where("here = symbols").select("ts")
+    return bars.join(per_time, "ts").select("symbol", "ts", "close", ret=f"close / nullif(lag(close) {w.SERIES}, 0.0) - 1.0", row=f"row_number() {w.SERIES}")
+
+
 def market(panel: Rel) -> Rel:
     """The equal-weight return of each time, missing returns left out."""
     return panel.group("ts", bench="coalesce(avg(ret), 0.0)")
@@ -48,13 +54,14 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], on: str, value: lis
     return got.select(*keys, F.col("_at").alias(on), *[F.col(f"_row.{c}").alias(c) for c in extra], *[F.col(f"_hit.{v}").alias(v) for v in value], F.col("_hit._from").alias("matched_at"))
 
 
-def step(calendar: Rel, facts: Rel, value: str) -> Rel:
-    """For each (symbol, ts) of the calendar the value of the greatest fy_end among facts filed by then; null values do not overwrite.
+def step(calendar: Rel, facts: Rel, value: str, nulls: bool = False) -> Rel:
+    """For each (symbol, ts) of the calendar the value of the greatest fy_end among facts filed by then.
 
-    Facts are few a symbol, so the equi-join on symbol with a filing bound stays small.
+    Null values do not overwrite, unless `nulls`.  Facts are few a symbol, so the
+    equi-join on symbol with a filing bound stays small.
     """
-    known = facts.where(f"{value} IS NOT NULL").select("symbol", "fy_end", "filed", value=value)
-    hit = calendar.select("symbol", "ts").join(known, "a.symbol = b.symbol AND b.filed <= a.ts").group("symbol", "ts", value="max_by(value, fy_end)")
+    known = facts.select("symbol", "fy_end", "filed", value=f"coalesce({value}, -1e300)") if nulls else facts.where(f"{value} IS NOT NULL").select("symbol", "fy_end", "filed", value=value)
+    hit = calendar.select("symbol", "ts").join(known, "a.symbol = b.symbol AND b.filed <= a.ts").group("symbol", "ts", value="nullif(max_by(value, fy_end), -1e300)" if nulls else "max_by(value, fy_end)")
     return calendar.join(hit, "symbol, ts", "left")
 
 

@@ -11,15 +11,16 @@ from marketloom.functions import windows as w
 from marketloom.plans.rel import Rel
 
 
-def legs(signal: Rel, k: int, long_high: bool = True, gross: float = 1.0, value: str = "signal") -> Rel:
-    """Signed weights of the k highest and k lowest values of each time (ties by symbol), null where fewer than 2k are there."""
+def legs(signal: Rel, k: int, long_high: bool = True, gross: float = 1.0, value: str = "signal", least: int | None = None) -> Rel:
+    """Signed weights of the k highest and k lowest values of each time, null where fewer than `least` (2k) are there.
+
+    One ascending order by value and symbol decides: ties go to the later symbol at the
+    high end, to the earlier one at the low end.
+    """
     there = f"CASE WHEN {value} IS NOT NULL THEN 1 ELSE 0 END"
-    ranked = signal.with_(
-        n=f"count({value}) {w.DAY}",
-        up=f"CASE WHEN {value} IS NOT NULL THEN row_number() OVER (PARTITION BY ts, {there} ORDER BY {value} DESC, symbol) END",
-        down=f"CASE WHEN {value} IS NOT NULL THEN row_number() OVER (PARTITION BY ts, {there} ORDER BY {value}, symbol) END")
+    ranked = signal.with_(n=f"count({value}) {w.DAY}", down=f"CASE WHEN {value} IS NOT NULL THEN row_number() OVER (PARTITION BY ts, {there} ORDER BY {value}, symbol) END").with_(up="n - down + 1")
     side = gross / 2 / k * (1 if long_high else -1)
-    return ranked.with_(target=f"CASE WHEN n >= {2 * k} THEN CASE WHEN up <= {k} THEN {side!r} ELSE 0.0 END + CASE WHEN down <= {k} THEN {-side!r} ELSE 0.0 END END")
+    return ranked.with_(target=f"CASE WHEN n >= {2 * k if least is None else least} THEN CASE WHEN up <= {k} THEN {side!r} ELSE 0.0 END + CASE WHEN down <= {k} THEN {-side!r} ELSE 0.0 END END")
 
 
 def hold(targets: Rel, every: int, first: int = 0) -> Rel:
@@ -33,12 +34,15 @@ def tranches(targets: Rel, life: int) -> Rel:
     return targets.with_(made="coalesce(target, 0.0)").with_(weight=f"sum(made) {w.last(life)} / {life}")
 
 
-def earn(weights: Rel, cost_bps: float = 2.0, ret: str = "ret", lag: int = 1) -> Rel:
-    """(ts, gross_ret, turnover, ret): weights of `lag` rows before earn; their change costs."""
+def earn(weights: Rel, cost_bps: float = 2.0, ret: str = "ret", lag: int = 1, charged: int | None = None, first: int = 1) -> Rel:
+    """(ts, gross_ret, turnover, net) from the `first` row on: weights of `lag` rows before earn, and their change costs `charged` rows later (as many)."""
     held = f"coalesce(lag(weight, {lag}) {w.SERIES}, 0.0)" if lag else "weight"
     moved = weights.with_(held=held, moved=f"abs(weight - coalesce(lag(weight) {w.SERIES}, 0.0))")
+    if first > 1:
+        moved = moved.where(f"row >= {first}")
     day = moved.group("ts", gross_ret=f"sum(held * coalesce({ret}, 0.0))", turnover="sum(moved)")
-    return day.with_(net=f"gross_ret - coalesce(lag(turnover) OVER (ORDER BY ts), 0.0) * {cost_bps / 1e4!r}") if lag else day.with_(net=f"gross_ret - turnover * {cost_bps / 1e4!r}")
+    paid = f"coalesce(lag(turnover, {lag}) OVER (ORDER BY ts), 0.0)" if (lag if charged is None else charged) else "turnover"
+    return day.with_(net=f"gross_ret - {paid} * {cost_bps / 1e4!r}")
 
 
 def equity(daily: Rel, start: float = 100_000.0, ret: str = "net") -> Rel:
@@ -130,7 +134,7 @@ def value_composite(panel: Rel, facts: Rel, sector: str | None = None, momentum_
     out = panel
     for name in ("net_income", "fcf", "book_equity"):
         share = facts.with_(each=f"{name} / nullif(shares, 0.0)")
-        out = step(out, share, "each").with_(**{f"v_{name}": "round(value / nullif(close, 0.0), 12)"}).select(*_base(out), f"v_{name}")
+        out = step(out, share, "each", nulls=True).with_(**{f"v_{name}": "round(value / nullif(close, 0.0), 12)"}).select(*_base(out), f"v_{name}")
     names = ("net_income", "fcf", "book_equity")
     out = out.with_(**{f"k_{n}": w.rank01(f"v_{n}") for n in names})
     top = " + ".join(f"coalesce(k_{n}, 0.0)" for n in names)
@@ -165,15 +169,25 @@ def k_of(n: int, fraction: float) -> int:
 
 
 def factor(signal: Rel, k: int, every: int = 21, cost_bps: float = 2.0, long_high: bool = True) -> Rel:
-    """Rebalance every so many rows on the signal of the row before; without 2k names the old weights stay."""
+    """From the second row on, every so many rows a new book by the signal of the row before, which earns at once.
+
+    Without 2k names the old weights stay; turnover costs on the row of the change.
+    """
     lagged = signal.with_(known=f"lag(signal) {w.SERIES}")
-    return earn(hold(legs(lagged, k, long_high, 1.0, "known"), every), cost_bps)
+    return earn(hold(legs(lagged, k, long_high, 1.0, "known"), every, 1), cost_bps, "own", 0, first=2)
+
+
+def cross_sectional(bars: Rel, lookback: int, every: int, k: int, cost_bps: float = 2.0, reverse: bool = False) -> Rel:
+    """On the calendar that all symbols share: legs by the trailing return, renewed every so many rows from the first full lookback on.
 
+    A new book earns from the next row; its cost reduces the equity of the row of the change.
+    """
+    from marketloom.operators.panel import shared_calendar
 
-def cross_sectional(panel: Rel, lookback: int, every: int, k: int, cost_bps: float = 2.0, reverse: bool = False) -> Rel:
-    """Momentum legs rebalanced every so many rows from the first full lookback on."""
-    s = momentum(panel, lookback)
-    return earn(hold(legs(s, k, not reverse), every, lookback), cost_bps)
+    s = shared_calendar(bars).with_(base=f"lag(close, {lookback}) {w.SERIES}")
+    s = s.with_(signal=f"CASE WHEN row > {lookback} THEN CASE WHEN base > 0 THEN round(close / base - 1.0, 10) ELSE 0.0 END END")
+    day = earn(hold(legs(s, k, not reverse), every, lookback), cost_bps, charged=0, first=2)
+    return day.with_(paid=f"turnover * {cost_bps / 1e4!r}").select("ts", "gross_ret", "turnover", net="(1.0 + gross_ret) * (1.0 - paid) - 1.0")
 
 
 def daily(signal: Rel, k: int, cost_bps: float = 2.0, long_high: bool = True) -> Rel:
@@ -238,26 +252,42 @@ def band_target(rel: Rel, x: str, window: int, enter: float, leave: float, most:
 
 # ---- event studies ----------------------------------------------------------
 
-def event_drift(bars: Rel, events: Rel, hold_rows: int, skip: int = 1, threshold: float = 2.0, leg: str = "both", borrow_apr: float = 0.0, per_year: float = 252.0) -> Rel:
-    """(ts, net): from the first bar after an event's date (plus skip - 1 bars) its sign is held `hold_rows` of the symbol's own bars.
+def entries(bars: Rel, events: Rel, skip: int = 1) -> Rel:
+    """(symbol, at, surprise, number): the symbol's bar number `skip` bars on from the last one at or before an event.
+
+    Bars and events are stacked and counted in one order by time; events before the
+    symbol's first bar have none.
+    """
+    line = bars.select("symbol", at="ts", bar="1", surprise="CAST(NULL AS DOUBLE)").union(events.select("symbol", at="event_ts", bar="0", surprise="CAST(surprise AS DOUBLE)"))
+    counted = line.with_(seen="sum(bar) OVER (PARTITION BY symbol ORDER BY at, bar DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    return counted.where("bar = 0 AND seen >= 1").select("symbol", "at", "surprise", number=f"CAST(seen + {skip} AS BIGINT)")
+
+
+def event_drift(bars: Rel, events: Rel, hold_rows: int, skip: int = 1, threshold: float = 2.0, leg: str = "both", borrow_apr: float = 0.0, per_year: float = 252.0, cost_bps: float = 2.0) -> Rel:
+    """(ts, names, net): an event's sign is held `hold_rows` of the symbol's bars from its entry bar on, and earns from the row after.
 
-    A later event of a symbol takes over.  Equal weights over the names held.
+    A later event of a symbol takes over.  Each side is equally weighted: half the book,
+    or all of it with one leg.  Turnover and borrowed shares cost.
     """
-    own = bars.with_(r=f"close / lag(close) {w.SERIES} - 1.0", n=f"row_number() {w.SERIES}")
-    signed = events.where(f"abs(surprise) >= {threshold}").with_(side="sign(surprise)")
-    if leg != "both":
-        signed = signed.where("side > 0" if leg == "long" else "side < 0")
-    first = signed.select("symbol", "side", "event_ts").join(own.select("symbol", bar_ts="ts", bar_n="n"), "a.symbol = b.symbol AND b.bar_ts > a.event_ts").group("symbol", "side", "event_ts", entry=f"min(bar_n) + {skip - 1}")
-    held = own.select("symbol", "ts", "r", "n").join(first, f"a.symbol = b.symbol AND a.n >= b.entry AND a.n < b.entry + {hold_rows}")
-    one = held.group("symbol", "ts", r="max(r)", side="max_by(side, event_ts)")
-    cost = f" - avg(CASE WHEN side < 0 THEN {borrow_apr / per_year!r} ELSE 0.0 END)" if borrow_apr else ""
-    return one.group("ts", names="count(*)", net=f"avg(side * coalesce(r, 0.0)){cost}")
+    from marketloom.operators.panel import dense
+
+    chosen = entries(bars, events.where(f"abs(surprise) >= {threshold}"), skip)
+    begun = chosen.with_(side="CAST(CASE WHEN surprise > 0 THEN 1.0 ELSE -1.0 END AS DOUBLE)").group("symbol", "number", side="max_by(side, at)")
+    d = dense(bars).join(begun, "symbol, number", "left").with_(begin="CASE WHEN side IS NOT NULL THEN number END")
+    d = d.with_(now=f"@last(side) {w.SO_FAR}", since=f"@last(begin) {w.SO_FAR}")
+    d = d.with_(position=f"CASE WHEN number < since + {hold_rows} THEN now ELSE 0.0 END").with_(held=f"coalesce(lag(position) {w.SERIES}, 0.0)")
+    d = d.with_(ups=f"sum(CASE WHEN held > 0 THEN 1 ELSE 0 END) {w.DAY}", downs=f"sum(CASE WHEN held < 0 THEN 1 ELSE 0 END) {w.DAY}")
+    up, down = {"both": (0.5, 0.5), "long": (1.0, 0.0), "short": (0.0, 1.0)}[leg]
+    d = d.with_(weight=f"CASE WHEN held > 0 THEN {up} / ups WHEN held < 0 THEN {-down} / downs ELSE 0.0 END")
+    d = d.with_(moved=f"abs(weight - coalesce(lag(weight) {w.SERIES}, 0.0))").where("row >= 2")
+    day = d.group("ts", names="sum(CASE WHEN held <> 0 THEN 1 ELSE 0 END)", gross_ret="sum(weight * coalesce(own, 0.0))", turnover="sum(moved)", short="sum(greatest(-weight, 0.0))")
+    return day.with_(net=f"gross_ret - turnover * {cost_bps / 1e4!r} - short * {borrow_apr / per_year!r}")
 
 
 def announcement_returns(bars: Rel, events: Rel, window: int = 3) -> Rel:
     """(symbol, event_ts, surprise): the percentage return from the bar before an event's first bar to `window - 1` bars after it."""
     own = bars.with_(n=f"row_number() {w.SERIES}", before=f"lag(close) {w.SERIES}", after=f"lead(close, {window - 1}) {w.SERIES}")
-    first = events.select("symbol", "event_ts").join(own.select("symbol", bar_ts="ts", bar_n="n"), "a.symbol = b.symbol AND b.bar_ts > a.event_ts").group("symbol", "event_ts", n="min(bar_n)")
+    first = entries(bars, events).select("symbol", event_ts="at", n="number").distinct()
     return first.join(own.select("symbol", "n", "before", "after"), "symbol, n").where("before > 0 AND after IS NOT NULL").select("symbol", "event_ts", surprise="round(100.0 * (after / before - 1.0), 10)")
 
 

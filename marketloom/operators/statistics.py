@@ -40,9 +40,13 @@ def beta_alpha(returns: Rel, bench: Rel, per_year: float) -> Rel:
 
 
 def segments(returns: Rel, k: int, per_year: float) -> Rel:
-    """Sharpe of k consecutive slices."""
-    s = returns.with_(n="count(*) OVER ()", i="row_number() OVER (ORDER BY ts) - 1").with_(segment=f"CAST(floor(i * {float(k)} / n) AS INT)")
-    return summary(s, per_year, "net", "segment")
+    """(segment, n, sharpe to two digits) of k equal slices of the equity curve; one whole slice if it has under 3k points.
+
+    The curve has a point more than there are returns; slices share the points at which they meet.
+    """
+    s = returns.with_(points="count(*) OVER () + 1", i="row_number() OVER (ORDER BY ts) - 1")
+    s = s.with_(segment=f"CASE WHEN points < {3 * k} THEN 0 ELSE CAST(floor(((i + 1) * {float(k)} - 1.0) / points) AS INT) END", short=f"CASE WHEN points < {3 * k} THEN 1 ELSE 0 END")
+    return summary(s, per_year, "net", "segment", "short").select("segment", "n", sharpe="CASE WHEN short = 1 THEN sharpe ELSE round(sharpe, 2) END")
 
 
 def by_year(returns: Rel, per_year: float, least: int = 30) -> Rel:
@@ -160,13 +164,24 @@ def leave_one_year_out(candidate: Rel, book: Rel, least: int = 40) -> Rel:
     return g.select("dropped", "n", book_ratio="mb / sb", mix_ratio="(wc * mc + wb * mb) / sqrt(wc * wc * sc * sc + wb * wb * sb * sb + 2.0 * wc * wb * cov)").with_(lift="mix_ratio - book_ratio")
 
 
-def leg_gate(candidate: Rel, book: Rel, most_rho: float = 0.3, least: int = 60) -> Rel:
-    """One row of the relational checks: overlap, correlation, inverse-volatility lift."""
-    both = candidate.select("ts", c="net").join(book.select("ts", b="net"), "ts")
-    g = both.group(n="count(*)", sc="stddev_pop(c)", sb="stddev_pop(b)", mc="avg(c)", mb="avg(b)", cov="covar_pop(c, b)")
-    g = g.with_(rho="cov / nullif(sc * sb, 0.0)", wc="sb / nullif(sc + sb, 0.0)").with_(wb="1.0 - wc")
-    g = g.with_(lift="(wc * mc + wb * mb) / sqrt(wc * wc * sc * sc + wb * wb * sb * sb + 2.0 * wc * wb * cov) - mb / sb")
-    return g.select("n", "rho", "lift", enough_overlap=f"n >= {least}", low_correlation=f"rho <= {most_rho}", adds="lift > 0.0")
+def leg_gate(candidate: Rel, book: Rel, per_year: float = 252.0, most_rho: float = 0.3, least_lift: float = 0.03, least_share: float = 0.6, least: int = 60) -> Rel:
+    """One row: whether a candidate stream improves a book, and the checks.
+
+    Positive by itself, uncorrelated with the book, a lift of the annual Sharpe ratio by
+    the inverse-volatility mix, the lift positive in most years left out, and positive
+    without the last year.
+    """
+    both = candidate.select("ts", c="net").join(book.select("ts", b="net"), "ts").with_(year="CAST(year(ts) AS INT)")
+    g = both.group(n="count(*)", last_year="max(year)", sc="stddev_pop(c)", sb="stddev_pop(b)", mc="avg(c)", mb="avg(b)", cov="covar_pop(c, b)")
+    g = g.with_(rho="CASE WHEN sc > 0 AND sb > 0 THEN cov / (sc * sb) ELSE 0.0 END", wc="sb / nullif(sc + sb, 0.0)").with_(wb="1.0 - wc")
+    g = g.with_(root=f"sqrt({per_year})").with_(candidate_sharpe="coalesce(mc / nullif(sc, 0.0), 0.0) * root", book_sharpe="coalesce(mb / nullif(sb, 0.0), 0.0) * root", combined_sharpe="(wc * mc + wb * mb) / sqrt(wc * wc * sc * sc + wb * wb * sb * sb + 2.0 * wc * wb * cov) * root")
+    folds = leave_one_year_out(candidate, book)
+    share = folds.group(positive="avg(CASE WHEN lift > 0 THEN 1.0 ELSE 0.0 END)")
+    g = g.join(share, "1 = 1", "left", hint=True).join(folds.select("dropped", fold_lift="lift"), "b.dropped = a.last_year", "left")
+    g = g.with_(lift="combined_sharpe - book_sharpe", without_last="coalesce(fold_lift, 0.0) * root", loo_share="coalesce(positive, 0.0)")
+    checks = {"forward_positive": "candidate_sharpe > 0", "uncorrelated": f"abs(rho) < {most_rho}", "lifts": f"lift > {least_lift}", "robust_loo": f"loo_share >= {least_share}", "partial_year_safe": "without_last > 0"}
+    g = g.with_(enough_overlap=f"n >= {least}", **{k: f"n >= {least} AND {v}" for k, v in checks.items()})
+    return g.select("n", "rho", "candidate_sharpe", "book_sharpe", "combined_sharpe", "lift", "loo_share", "without_last", "enough_overlap", *checks, passed=" AND ".join(checks))
 
 
 def regime(bench: Rel, lookback: int, per_year: float, trend: float = 0.04, vol: float = 0.25) -> Rel:

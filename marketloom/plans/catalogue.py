@@ -25,7 +25,7 @@ def shown(plan: Rel, *values: str, digits: int = 8, keys: tuple = ("symbol", "ts
     return plan.select(*[k for k in keys if k != "ts"], **({"ts": "CAST(ts AS STRING)"} if "ts" in keys else {}), **{v: f"round(CAST({v} AS DOUBLE), {digits}) + 0.0" for v in values})
 
 
-BARS = t.bars()
+BARS = Rel.shared("bars", t.bars())
 PANEL = panel.dense(BARS)
 
 rel("bars_weekly", shown(BARS, "open", "high", "low", "close", "volume"))
@@ -40,7 +40,7 @@ from marketloom.operators import portfolio as p  # noqa: E402
 from marketloom.operators import statistics as st  # noqa: E402
 
 YEAR = 52.0
-FACTS = t.fundamentals()
+FACTS = Rel.shared("facts", t.fundamentals())
 BENCH = panel.market(PANEL)
 MARKET = p.with_market(PANEL, BENCH)
 SECTOR = "CAST(CAST(substr(symbol, 2, 2) AS INT) % 4 AS STRING)"
@@ -93,8 +93,8 @@ for _name, _s in _SIGNALS.items():
 # portfolio engines
 for _name, _high in {"momentum": True, "max_return": False, "idiosyncratic_vol": False, "residual_momentum": True, "vol_managed": True, "seasonality": True, "asset_growth": False, "net_issuance": False, "roa": True, "gross_profit": True, "value": True, "value_sector_momentum": True}.items():
     stats(f"factor_{_name}", p.factor(_SIGNALS[_name], K, 4, long_high=_high))
-stats("cross_sectional_momentum", p.cross_sectional(PANEL, 12, 4, K))
-stats("cross_sectional_reversal", p.cross_sectional(PANEL, 12, 4, K, reverse=True))
+stats("cross_sectional_momentum", p.cross_sectional(BARS, 12, 4, K))
+stats("cross_sectional_reversal", p.cross_sectional(BARS, 12, 4, K, reverse=True))
 stats("near_high_tranches", p.overlapping(_SIGNALS["near_high"], K, 4))
 stats("gap_reversion", p.overlapping(_SIGNALS["gap"], K, 5, long_high=False))
 stats("overnight_reversal", p.overnight_reversal(PANEL, 1, K))
@@ -131,11 +131,12 @@ rel("combine_inverse_vol", st.inverse_vol_weights(_STREAMS).select("symbol", wei
 stats("combine_blend", st.blend(_STREAMS, st.inverse_vol_weights(_STREAMS)))
 _SLEEVES = BARS.select("symbol").distinct().select(sleeve="symbol", weight="0.05 + CAST(substr(symbol, 2, 2) AS DOUBLE) / 100.0", cap="CASE WHEN symbol = 'S00' THEN 0.04 END")
 stats("combine_sleeves", st.combine_tracks(_STREAMS.select("ts", "r", sleeve="symbol"), _SLEEVES))
-rel("gate_leg", st.leg_gate(_VAL, _MOM).select("n", "enough_overlap", "low_correlation", "adds", rho="round(rho, 8)", lift="round(lift, 8)"))
+rel("gate_leg", st.leg_gate(_VAL, _MOM, YEAR).select("n", "enough_overlap", "forward_positive", "uncorrelated", "lifts", "robust_loo", "partial_year_safe", "passed", rho="round(rho, 8)", lift="round(lift, 8)", loo_share="round(loo_share, 8)", without_last="round(without_last, 8)"))
 rel("gate_leave_one_year_out", st.leave_one_year_out(_VAL, _MOM).select("dropped", "n", lift="round(lift, 8)", mix_ratio="round(mix_ratio, 8)"))
 _INDEX = p.equity(BENCH.with_(net="bench")).select("ts", symbol="'EW'", close="round(equity, 6)")
 rel("regime_labels", st.regime(_INDEX, 13, YEAR, 0.01, 0.12).select("regime", ts="CAST(ts AS STRING)"))
 
+from marketloom.functions import calendar as cal  # noqa: E402
 from marketloom.operators import execution as ex  # noqa: E402
 from marketloom.operators import pairs  # noqa: E402
 
@@ -149,11 +150,11 @@ rel("micro_order_flow", ex.order_flow(QUOTES).select("event_id", ofi="round(ofi,
 rel("micro_quote_quality", ex.quote_quality(QUOTES).select("symbol", "quotes", "books", spread_p50="round(spread_p50, 6)", tilt_p75="round(tilt_p75, 6)"))
 _MARKET_FILL = FILLS.with_(**{k: v for k, v in ex.fill_market("ref", "qty", "bar_volume", "buy").items()})
 rel("fill_market", _MARKET_FILL.group("symbol", filled="sum(filled)", mean="avg(price)").select("symbol", filled="round(filled, 4)", mean="round(mean, 7)"))
-rel("fill_limit", BARS.with_(price=ex.fill_limit("close * 0.995", "open", "high", "low", "close > 0")).select("symbol", ts="CAST(ts AS STRING)", price="round(price, 10)"))
+rel("fill_limit", BARS.with_(want="round(close * 0.995, 6)", buy="volume > 200").with_(**ex.fill_limit("want", "open", "high", "low", "buy", "40.0", "volume", 0.1)).select("symbol", ts="CAST(ts AS STRING)", price="round(price, 10)", filled="round(filled, 6)"))
 rel("fee_sells", FILLS.where("NOT buy").group("symbol", fee=f"sum({ex.sell_fee('qty', 'ref')})").select("symbol", fee="round(fee, 6)"))
 for _kind in ("power", "log", "sqrt"):
     rel(f"queue_{_kind}", QUOTES.select("event_id", p=f"round({ex.queue_probability('bid_size', 'ask_size', _kind)}, 9)"))
-rel("calibrate_fills", ex.calibrate(FILLS).select("symbol", "n", half_spread="round(half_spread, 6) + 0.0", impact="round(impact, 5)", intercept="round(intercept, 5)"))
+rel("calibrate_fills", ex.calibrate(FILLS).select("symbol", "n", "fitted", half_spread="round(half_spread, 3) + 0.0", impact="round(impact, 3) + 0.0", intercept="round(intercept, 5)"))
 rel("tca_fills", ex.tca(FILLS, BARS).select("symbol", arrival_bps="round(arrival_bps, 6)", worst_bps="round(worst_bps, 6)", best_bps="round(best_bps, 6)", transient_bps="round(transient_bps, 5)", permanent_bps="round(permanent_bps, 5)"))
 rel("latency_summary", ex.latency(FILLS, ("symbol",), "slippage_bps").select("symbol", "n", mean="round(mean, 6)", p50="round(p50, 6) + 0.0", p95="round(p95, 6) + 0.0", p99="round(p99, 6) + 0.0", least="round(least, 6)", most="round(most, 6)"))
 _ORDERS = Rel.table("orders").select("o_orderkey", "o_custkey", notional="o_totalprice", side="o_orderpriority", day="CAST(o_orderdate AS DATE)").join(Rel.table("customer").select(o_custkey="c_custkey", equity="c_acctbal"), "o_custkey")
@@ -162,7 +163,7 @@ rel("risk_codes", _ORDERS.with_(code=ex.risk_code(_CHECKS)).group("code", orders
 rel("risk_rate_limit", ex.rate_limited(_ORDERS.with_(epoch="CAST(o_orderkey AS BIGINT)"), "o_custkey", 2000, 3).select("o_orderkey", "recent", "limited"))
 rel("borrow_rates", BARS.select("symbol", ts="CAST(ts AS STRING)", apr=f"round({ex.borrow_apr('volume / 100.0', 0.003, 0.002, 0.05)}, 9)"))
 rel("calendar_sessions", Rel.table("events").select("event_id", session="CAST(@session(ts) AS STRING)", clock="@clock(ts)").with_(
-    kind="CASE WHEN clock >= '09:30' AND clock < '16:00' THEN 'REGULAR' WHEN clock >= '04:00' AND clock < '09:30' THEN 'PRE_MARKET' WHEN clock >= '16:00' AND clock < '20:00' THEN 'AFTER_HOURS' ELSE 'CLOSED' END"))
+    kind=cal.session()).with_(tradeable=cal.tradeable(), extended=cal.tradeable(extended=True), covered=cal.covered()))
 rel("events_daily_counts", Rel.table("events").group("event_type", "user_id", n="count(*)").group("event_type", users="count(*)", most="max(n)"))
 
 
@@ -202,12 +203,12 @@ from marketloom.operators import overlays as ov  # noqa: E402
 
 stats("overlay_tail_hedge", ov.tail_hedge(BENCH, 26, -0.1, 2.5))
 rel("overlay_expiry_week", ov.expiry_week(Rel.table("orders").select(ts="CAST(o_orderdate AS DATE)").distinct()).select("expiry", ts="CAST(ts AS STRING)"))
-stats("overlay_rotation", p.earn(ov.rotation(PANEL)))
+stats("overlay_rotation", p.earn(ov.rotation(PANEL), charged=0, first=2))
 stats("trend_book", p.earn(ov.trend_book(PANEL)))
-stats("momentum_hardened", p.earn(ov.hardened_momentum(PANEL)))
+stats("momentum_hardened", p.earn(ov.hardened_momentum(PANEL), charged=0, first=2))
 rel("lead_lag_matrix", ov.lead_lag(PANEL).select("leader", "follower", "n", rho="round(rho, 8)"))
 rel("lead_lag_leaders", ov.top_leaders(ov.lead_lag(PANEL)).select("leader", "follower", "place", rho="round(rho, 8)"))
 rel("select_representative", ov.representative(BARS).select("symbol", price="round(price, 7)", dollars="round(dollars, 5)"))
 rel("store_latest", ov.latest(Rel.table("orders"), "o_custkey", "o_orderdate, o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice"))
-rel("ledger_settled", ov.settled_cash(Rel.table("orders").select("o_custkey", "o_totalprice", session="CAST(date_trunc('month', o_orderdate) AS DATE)"), "o_custkey", "session", "o_totalprice").select("o_custkey", session="CAST(session AS STRING)", cash="round(cash, 3)", settled="round(settled, 3) + 0.0"))
+rel("ledger_settled", ov.settled_cash(Rel.table("orders").select("o_custkey", o_totalprice="CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END", session="CAST(date_trunc('month', o_orderdate) AS DATE)"), "o_custkey", "session", "o_totalprice").select("o_custkey", session="CAST(session AS STRING)", cash="round(cash, 3)", settled="round(settled, 3) + 0.0"))
 rel("events_daily_sum", Rel.table("events").with_(day="CAST(ts AS DATE)").group("event_type", "day", total="sum(value)", n="count(*)").select("event_type", "n", day="CAST(day AS STRING)", total="round(total, 4)"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,11 @@ class Rel:
     def table(name: str) -> "Rel":
         return Rel((("table", name),))
 
+    @staticmethod
+    def shared(name: str, plan: "Rel") -> "Rel":
+        """A plan that one query reads more than once: made once and kept in the executors, spilled to their disks; written out in SQL."""
+        return Rel((("shared", name, plan),))
+
     def _and(self, *step) -> "Rel":
         return replace(self, steps=(*self.steps, step))
 
@@ -80,6 +86,10 @@ class Rel:
             match step:
                 case ("table", name):
                     out = tables[name]
+                case ("shared", name, plan):
+                    if name not in tables:
+                        tables[name] = plan.df(tables).persist(StorageLevel.MEMORY_AND_DISK)
+                    out = tables[name]
                 case ("with", columns):
                     out = out.select("*", *[F.expr(say(e)).alias(c) for c, e in columns.items()])
                 case ("select", columns):
@@ -109,6 +119,8 @@ class Rel:
             match step:
                 case ("table", name):
                     out = list(schemas[name])
+                case ("shared", _, plan):
+                    out = plan.columns(schemas)
                 case ("with", columns):
                     out = [*out, *columns]
                 case ("select", columns):
@@ -125,6 +137,8 @@ class Rel:
             match step:
                 case ("table", name):
                     text = f"SELECT * FROM {name}"
+                case ("shared", _, plan):
+                    text = plan.sql(schemas)
                 case ("with", columns):
                     text = f"SELECT *, {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM ({text})"
                 case ("select", columns):

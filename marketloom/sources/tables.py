@@ -23,6 +23,7 @@ SCHEMAS = {
     "orders": "client_order_id string, symbol string, side string, qty double, order_type string, limit_price double, stop_price double, tif string, status string, created_ts double, submit_ts double, ack_ts double, fill_ts double, fills array<struct<ts:double,price:double,qty:double,fee:double>>, metadata map<string,string>",
     "order_events": "seq long, ts double, event string, order string, prev_hash string, hash string",
 }
+# fixed values: seconds of the named bars, and the adjustments of prices
 TIMEFRAMES = {"1min": 60, "5min": 300, "15min": 900, "1hour": 3600, "1day": 86400}
 ADJUSTMENTS = ("raw", "split", "dividend", "all")
 
@@ -84,7 +85,21 @@ SCHEMA_NAMES = {
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The driver's tables that plans read."""
-    return {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in SCHEMA_NAMES}
+    return _Tables(spark, sf_dir)
+
+
+class _Tables(dict):
+    """Tables that are opened when a plan first reads them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        if name not in SCHEMA_NAMES:
+            raise KeyError(name)
+        self[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self[name]
 
 
 def bars() -> Rel:
