@@ -177,6 +177,11 @@ class Shared:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, name: str) -> None:
+        """Delete a written table that nothing reads any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def release(self) -> None:
         """Let Spark delete the shuffles of plans that nothing refers to any more."""
         gc.collect()

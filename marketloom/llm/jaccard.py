@@ -1,6 +1,6 @@
 """N-gram Jaccard join over a token-group matrix.
 
-A text's set is its distinct word shingles (64-bit hashes).  Texts with equal sets are
+A text's set is its distinct word shingles (48-bit hashes).  Texts with equal sets are
 one node.  Nodes are partitioned into groups of similar ones: by their least shingle
 under a second hash, large groups split by size.  The matrix has an entry for each
 token and group, with the bounds that the group's members with that token allow.
@@ -39,14 +39,15 @@ GROUP_TOKENS, GROUP_QUERIES = 1 << 15, 512
 #: Counts in a profile; one of 255 stands for any more, and then the profile bounds nothing.
 BUCKETS = 512
 _ROWS, _COUNTED = 256, 1 << 19
+_KEPT_BITS = np.uint64((1 << 48) - 1)
 
 
 def _set(h: np.ndarray, w: np.ndarray, a: int, b: int, shingle: int) -> np.ndarray:
     """The sorted distinct shingles of words a to b."""
     if b - a >= shingle:
-        return np.unique(w[a : b - shingle + 1])
+        return np.unique(w[a : b - shingle + 1] & _KEPT_BITS)
     if b > a:  # the whole sequence is the one element
-        return window_hashes(h[a:b], b - a) ^ np.uint64(b - a)
+        return (window_hashes(h[a:b], b - a) ^ np.uint64(b - a)) & _KEPT_BITS
     return np.zeros(0, np.uint64)
 
 
@@ -59,6 +60,33 @@ def _of(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
             yield _set(h, w, a, b, shingle)
 
 
+def _bytes(s: np.ndarray) -> bytes:
+    """Six bytes a token."""
+    return s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _tokens(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by their first column, those whose token another row has too."""
+    waiting, seen = None, None  # the last row so far, if it is not out yet, and its token
+    for batch in batches:
+        token = batch.column(0).to_numpy()
+        if not len(token):
+            continue
+        same = token[1:] == token[:-1]
+        goes_on = seen is not None and token[0] == seen
+        keep = np.concatenate([[goes_on], same]) | np.concatenate([same, [False]])
+        if goes_on and waiting is not None:
+            yield waiting
+        yield batch.filter(pa.array(keep))
+        waiting, seen = None if keep[-1] else batch.slice(len(token) - 1), token[-1]
+
+
 def _profile(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((mix(s) >> np.uint64(55)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
 
@@ -114,7 +142,7 @@ def _verify(percent: int):
     def run(table: pa.Table) -> pa.Table:
         member = np.array(table.column("member").to_pylist(), bool)
         node, comp = table.column("node").to_pylist(), table.column("comp").to_pylist()
-        toks = [np.frombuffer(b, np.uint64) for b in table.column("toks").to_pylist()]
+        toks = [_tokens(b) for b in table.column("toks").to_pylist()]
         held: dict[int, int] = {}
         for k in np.flatnonzero(member):
             held.setdefault(node[k], k)
@@ -163,11 +191,12 @@ def components(edges: DataFrame, shared: Shared, name: str) -> DataFrame:
         if mark == seen or mark[0] == 0:
             break
         seen, step = mark, step + 1
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        e = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
-        e = e.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
+        for _ in range(2):  # two rounds for each table that is written
+            both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+            e = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+            least = e.groupBy("a").agg(F.min("b").alias("m"))
+            e = e.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
         e = shared.put(e, f"{name}{step}")
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
 
@@ -207,20 +236,44 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90, shared: Shared |
             for i in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(i, _ROWS)
                 wanted = part.column(1).to_pylist()
-                made = [s.tobytes() if _node(s) == node else None for s, node in zip(_of(part.column(2), shingle), wanted)]
+                made = [_bytes(s) if _node(s) == node else None for s, node in zip(_of(part.column(2), shingle), wanted)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.binary())], ["comp", "node", "toks"])
 
-    sets = shared.put(docs.select("doc_id", "text").mapInArrow(prefixes, f"doc_id {id_type}, node long, n int, sign long, prefix array<long>, profile binary"), "sets")
+    made = docs.select("doc_id", "text").mapInArrow(prefixes, f"doc_id {id_type}, node long, n int, sign long, prefix array<long>, profile binary")
+    sets = shared.put(made.withColumn("uid", F.monotonically_increasing_id()), "sets")
     rows = sets.where("node is not null")
-    reps = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sign").alias("sign"), F.first("prefix").alias("prefix"), F.first("profile").alias("profile"))
-    reps = shared.put(reps, "reps")
+    # one row of each node: that of the least id.  Only repeated texts, few as a rule, are looked up
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("least")
+    repeated = rows.groupBy("node").agg(least, F.count("*").alias("rows")).where("rows > 1")
+    repeated = shared.put(repeated.select("node", F.col("least.uid").alias("first")), "repeated")
+    reps = rows.join(sized(repeated), "node", "left").where("first IS NULL OR first = uid")
+    reps = shared.put(reps.select("node", "doc_id", "n", "sign", "prefix", "profile"), "reps")
+    texts_of = shared.put(sets.select("doc_id", "node", "n"), "texts")
+    shared.drop("sets")
     shared.release()
-    sizes = reps.groupBy("sign").agg(F.sum("n").alias("tokens"))
-    grouped = reps.join(sizes, "sign").select("node", "n", "prefix", F.xxhash64("sign", F.pmod(F.xxhash64("node"), F.ceil(F.col("tokens") / GROUP_TOKENS).cast("long"))).alias("gid"))
-    members = shared.put(grouped.select("node", "gid"), "members")
-    tokens = grouped.select("node", "n", "gid", F.posexplode("prefix").alias("pos", "token"))
-    shared_tokens = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    tokens = shared.put(tokens.join(shared_tokens, "token"), "tokens")
+    # signs whose tokens fill more than one group; all others are one group each
+    crowded_signs = reps.groupBy("sign").agg(F.sum("n").alias("tokens")).where(F.col("tokens") > GROUP_TOKENS)
+    parts = F.coalesce(F.ceil(F.col("tokens") / GROUP_TOKENS).cast("long"), F.lit(1))
+    grouped = reps.join(sized(crowded_signs), "sign", "left").select("node", "n", "prefix", F.xxhash64("sign", F.pmod(F.xxhash64("node"), parts)).alias("gid"))
+    members = shared.put(grouped.select("node", "n", "gid"), "members")
+
+    def known_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(token, node, pos, frequent) of each token of a prefix; frequent ones are in the order of tokens."""
+        known = order.value[0]
+        for batch in batches:
+            lists = batch.column(1)
+            token = lists.flatten().to_numpy()
+            sizes = np.diff(lists.offsets.to_numpy())
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = np.minimum(np.searchsorted(known, token.view(np.uint64)), max(len(known) - 1, 0))
+            frequent = known[at] == token.view(np.uint64) if len(known) else np.zeros(len(token), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(token), batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(pos.astype(np.int32)), pa.array(frequent)], ["token", "node", "pos", "frequent"])
+
+    # tokens of one node only link nothing.  A frequent token stays without being counted, so no key is hot here
+    place = reps.select("node", "prefix").mapInArrow(known_frequent, "token long, node long, pos int, frequent boolean")
+    rare = place.where("not frequent").select("token", "node", "pos").repartition(F.col("token")).sortWithinPartitions("token").mapInArrow(_repeated, "token long, node long, pos int")
+    kept = rare.unionByName(place.where("frequent").select("token", "node", "pos"))
+    tokens = shared.put(kept.join(sized(members), "node").select("token", "node", "pos", "n", "gid"), "tokens")
     shared.release()
 
     def fits(n: Column, tail: Column, low: Column, high: Column, reach: Column) -> Column:
@@ -232,13 +285,15 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90, shared: Shared |
     def opened(pairs: DataFrame, comps: DataFrame, name: str) -> DataFrame:
         """Links found by opening the groups of pairs(node, gid)."""
         met = shared.put(pairs.distinct(), f"{name}-met")
-        unions = members.join(met.select("gid").distinct(), "gid").join(reps.select("node", "profile"), "node").groupBy("gid").applyInArrow(_largest, "gid long, union binary")
-        both = met.join(reps.select("node", "n", "profile"), "node").join(unions, "gid").select("node", "gid", "n", "profile", "union")
+        asked = shared.put(members.select("node", "gid").join(sized(met.select("gid").distinct()), "gid"), f"{name}-asked")
+        profiles = reps.select("node", "n", "profile")
+        unions = profiles.select("node", "profile").join(sized(asked), "node").groupBy("gid").applyInArrow(_largest, "gid long, union binary")
+        both = profiles.join(sized(met), "node").join(unions, "gid").select("node", "gid", "n", "profile", "union")
         pairs = shared.put(both.mapInArrow(_qualifies(percent), "node long, gid long"), f"{name}-pairs")
         shared.release()
         load = pairs.groupBy("gid").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("salts"))
         queries = pairs.join(load, "gid").select("gid", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("member"), "node")
-        held = members.join(load, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("member"), "node")
+        held = members.select("node", "gid").join(load, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("member"), "node")
         wanted = shared.put(queries.union(held), f"{name}-wanted")
         need = shared.put(reps.select("node", "doc_id").join(wanted.select("node").distinct(), "node").join(comps, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp")), f"{name}-need")
         texts = docs.select("doc_id", "text").join(sized(need), "doc_id").select("comp", "node", "text")
@@ -258,9 +313,10 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90, shared: Shared |
     other = now.groupBy("token", "gid", "comp").agg(*matrix).select("token", F.col("gid").alias("g"), F.col("comp").alias("c"), "low", "high", "reach")
     rest = now.join(other, (now["token"] == other["token"]) & (F.col("comp") > F.col("c")) & (F.col("gid") != F.col("g")) & fits(F.col("n"), F.col("n") - F.col("pos"), F.col("low"), F.col("high"), F.col("reach")))
     more = opened(rest.select("node", F.col("g").alias("gid")), comps, "rest")
-    all_comps = components(links.union(more), shared, "star")
+    held = comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    all_comps = components(held.union(more), shared, "star")
     classes = reps.select("node", "doc_id").join(all_comps, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
-    return sets.select("doc_id", "node", "n"), shared.put(classes, "classes")
+    return texts_of, shared.put(classes, "classes")
 
 
 def linked(docs: DataFrame, shingle: int = 3, percent: int = 90, shared: Shared | None = None) -> DataFrame:

@@ -156,6 +156,23 @@ def test_jaccard_components(spark, texts, shingle, percent):
     assert kept == {i for i in sets if label[i] == i}
 
 
+def test_jaccard_of_odd_tables(spark):
+    docs = table(spark, [(None, "no id here at all", "a"), (3, "no id here at all", "a"), (None, "no id here at all", "a"), (5, "word " * 30_000, "a"), (6, "word " * 30_001, "b")])
+    got = sorted((r["doc_id"] or 0, r["component_id"], r["n_shingles"]) for r in jaccard.linked(docs).collect())
+    assert got == [(0, 3, 3), (0, 3, 3), (3, 3, 3), (5, 5, 1), (6, 5, 1)]
+    assert jaccard.linked(docs.limit(0)).count() == 0 and jaccard.representatives(docs.limit(0)).count() == 0
+
+
+def test_repeated_tokens_across_batches():
+    rng = np.random.Generator(np.random.PCG64(9))
+    for _ in range(200):
+        token = np.sort(rng.integers(0, 12, rng.integers(0, 25)))
+        cuts = np.sort(rng.integers(0, len(token) + 1, 4))
+        batches = [pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(np.arange(len(t)), pa.int64())], ["token", "i"]) for t in np.split(token, cuts)]
+        got = sorted(x for b in jaccard._repeated(iter(batches)) for x in b.column(0).to_pylist())
+        assert got == [t for t in token.tolist() if (token == t).sum() > 1]
+
+
 def test_substrings_against_brute_force(spark, texts):
     shared = prose(9, 80)
     rows = [*texts, (200, prose(10, 40) + " " + shared + " " + prose(11, 33), "a"), (201, shared, "a"), (202, prose(12, 13) + " " + shared[: len(shared) // 2], "b")]
