@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ MARK = "▁"
 _OWN_MARK = 0xDC81
 #: A node's forbidden pieces are bits of one integer, one for each length.
 MOST_LENGTH = 62
-SLICE_CHARS = 800_000
+SLICE_CHARS = 300_000
 #: First new steps of a path that are looked at, and the range of the Gumbel numbers that `_uniform` can give.
 WINDOW, LEAST_NOISE, MOST_NOISE = 48, -3.7, 36.8
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -413,20 +414,17 @@ def decode(ids: np.ndarray, v: Vocabulary) -> str:
     return b"".join(v.raw[ids].tolist()).decode(errors="replace")[1:]
 
 
-def _searched(column: pa.Array, seeds: np.ndarray, v: Vocabulary, k: int) -> Iterator[tuple[int, str, list]]:
-    """(row, text, results) for the non-null rows of a batch, slice by slice."""
-    texts, rows, size = [], [], 0
-    for i in range(len(column) + 1):
-        text = column[i].as_py() if i < len(column) else None
-        if size and (i == len(column) or size >= SLICE_CHARS):
-            for r, t, got in zip(rows, texts, Search(v, texts, seeds[rows]).run(k)):
-                yield r, t, got
-            texts, rows, size = [], [], 0
-        if text is not None:
-            texts.append(text)
-            rows.append(i)
-            size += len(text) + 1
-    trim()
+def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Row ranges of about SLICE_CHARS bytes (a longer text stands alone)."""
+    sizes = np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(float))
+    begin, size = 0, 0.0
+    for i, n in enumerate(sizes.tolist()):
+        if size and size + n > SLICE_CHARS:
+            yield begin, i
+            begin, size = i, 0.0
+        size += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def encode(docs: DataFrame, k: int = 2, temperature: float = 1.0, path: str | None = None, with_ids: bool = True, seed: int = 11) -> DataFrame:
@@ -445,16 +443,23 @@ def encode(docs: DataFrame, k: int = 2, temperature: float = 1.0, path: str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path, temperature)
         for batch in batches:
-            seeds = batch.column(1).to_numpy().view(np.uint64)
-            out: list[tuple] = [(i, 0, *[None] * 6) for i in np.flatnonzero(~np.array(batch.column(2).is_valid(), bool)).tolist()]
-            for i, text, results in _searched(batch.column(2), seeds, v, k):
-                for s, (ids, logp, perturbed, inclusion) in enumerate(results):
-                    out.append((i, s + 1, len(ids), round(logp, 9), round(perturbed, 9), round(inclusion, 9), decode(ids, v) == text, ids if with_ids else hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()))
-            c = list(zip(*out)) if out else [[]] * 8
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(c[0], pa.int64())), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()),
-                *[pa.array(x, pa.float64()) for x in c[3:6]], pa.array(c[6], pa.bool_()), pa.array(c[7], pa.list_(pa.int32()) if with_ids else pa.string())],
-                ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "round_trip", "ids" if with_ids else "ids_sha256"])
+            for a, b in _slices(batch.column(2)):
+                yield coded(batch.slice(a, b - a), v)
+                trim()
+
+    def coded(batch: pa.RecordBatch, v: Vocabulary) -> pa.RecordBatch:
+        texts = batch.column(2).to_pylist()
+        there = [i for i, text in enumerate(texts) if text is not None]
+        out: list[tuple] = [(i, 0, *[None] * 6) for i, text in enumerate(texts) if text is None]
+        results = Search(v, [texts[i] for i in there], batch.column(1).to_numpy().view(np.uint64)[there]).run(k)
+        for i, found in zip(there, results):
+            for s, (ids, logp, perturbed, inclusion) in enumerate(found):
+                out.append((i, s + 1, len(ids), round(logp, 9), round(perturbed, 9), round(inclusion, 9), decode(ids, v) == texts[i], ids.astype(np.int32) if with_ids else hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()))
+        c = list(zip(*out)) if out else [[]] * 8
+        return pa.RecordBatch.from_arrays([
+            batch.column(0).take(pa.array(c[0], pa.int64())), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()),
+            *[pa.array(x, pa.float64()) for x in c[3:6]], pa.array(c[6], pa.bool_()), pa.array(c[7], pa.list_(pa.int32()) if with_ids else pa.string())],
+            ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "round_trip", "ids" if with_ids else "ids_sha256"])
 
     key = F.xxhash64(F.col("doc_id"), F.lit(seed))
     return docs.select("doc_id", key.alias("seed"), "text").mapInArrow(run, f"doc_id {id_type}, sample int, n_pieces int, log_prob double, perturbed double, inclusion double, round_trip boolean, {last}")
