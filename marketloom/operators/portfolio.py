@@ -253,14 +253,14 @@ def band_target(rel: Rel, x: str, window: int, enter: float, leave: float, most:
 # ---- event studies ----------------------------------------------------------
 
 def entries(bars: Rel, events: Rel, skip: int = 1) -> Rel:
-    """(symbol, at, surprise, number): the symbol's bar number `skip` bars on from the last one at or before an event.
+    """(symbol, seen_at, surprise, number): the symbol's bar number `skip` bars on from the last one at or before an event.
 
     Bars and events are stacked and counted in one order by time; events before the
     symbol's first bar have none.
     """
-    line = bars.select("symbol", at="ts", bar="1", surprise="CAST(NULL AS DOUBLE)").union(events.select("symbol", at="event_ts", bar="0", surprise="CAST(surprise AS DOUBLE)"))
-    counted = line.with_(seen="sum(bar) OVER (PARTITION BY symbol ORDER BY at, bar DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-    return counted.where("bar = 0 AND seen >= 1").select("symbol", "at", "surprise", number=f"CAST(seen + {skip} AS BIGINT)")
+    line = bars.select("symbol", seen_at="ts", bar="1", surprise="CAST(NULL AS DOUBLE)").union(events.select("symbol", seen_at="event_ts", bar="0", surprise="CAST(surprise AS DOUBLE)"))
+    counted = line.with_(seen="sum(bar) OVER (PARTITION BY symbol ORDER BY seen_at, bar DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    return counted.where("bar = 0 AND seen >= 1").select("symbol", "seen_at", "surprise", number=f"CAST(seen + {skip} AS BIGINT)")
 
 
 def event_drift(bars: Rel, events: Rel, hold_rows: int, skip: int = 1, threshold: float = 2.0, leg: str = "both", borrow_apr: float = 0.0, per_year: float = 252.0, cost_bps: float = 2.0) -> Rel:
@@ -272,10 +272,10 @@ def event_drift(bars: Rel, events: Rel, hold_rows: int, skip: int = 1, threshold
     from marketloom.operators.panel import dense
 
     chosen = entries(bars, events.where(f"abs(surprise) >= {threshold}"), skip)
-    begun = chosen.with_(side="CAST(CASE WHEN surprise > 0 THEN 1.0 ELSE -1.0 END AS DOUBLE)").group("symbol", "number", side="max_by(side, at)")
-    d = dense(bars).join(begun, "symbol, number", "left").with_(begin="CASE WHEN side IS NOT NULL THEN number END")
-    d = d.with_(now=f"@last(side) {w.SO_FAR}", since=f"@last(begin) {w.SO_FAR}")
-    d = d.with_(position=f"CASE WHEN number < since + {hold_rows} THEN now ELSE 0.0 END").with_(held=f"coalesce(lag(position) {w.SERIES}, 0.0)")
+    begun = chosen.with_(side="CAST(CASE WHEN surprise > 0 THEN 1.0 ELSE -1.0 END AS DOUBLE)").group("symbol", "number", side="max_by(side, seen_at)")
+    d = dense(bars).join(begun, "symbol, number", "left").with_(entered="CASE WHEN side IS NOT NULL THEN number END")
+    d = d.with_(side_now=f"@last(side) {w.SO_FAR}", last_entered=f"@last(entered) {w.SO_FAR}")
+    d = d.with_(position=f"CASE WHEN number < last_entered + {hold_rows} THEN side_now ELSE 0.0 END").with_(held=f"coalesce(lag(position) {w.SERIES}, 0.0)")
     d = d.with_(ups=f"sum(CASE WHEN held > 0 THEN 1 ELSE 0 END) {w.DAY}", downs=f"sum(CASE WHEN held < 0 THEN 1 ELSE 0 END) {w.DAY}")
     up, down = {"both": (0.5, 0.5), "long": (1.0, 0.0), "short": (0.0, 1.0)}[leg]
     d = d.with_(weight=f"CASE WHEN held > 0 THEN {up} / ups WHEN held < 0 THEN {-down} / downs ELSE 0.0 END")
@@ -287,7 +287,7 @@ def event_drift(bars: Rel, events: Rel, hold_rows: int, skip: int = 1, threshold
 def announcement_returns(bars: Rel, events: Rel, window: int = 3) -> Rel:
     """(symbol, event_ts, surprise): the percentage return from the bar before an event's first bar to `window - 1` bars after it."""
     own = bars.with_(n=f"row_number() {w.SERIES}", before=f"lag(close) {w.SERIES}", after=f"lead(close, {window - 1}) {w.SERIES}")
-    first = entries(bars, events).select("symbol", event_ts="at", n="number").distinct()
+    first = entries(bars, events).select("symbol", event_ts="seen_at", n="number").distinct()
     return first.join(own.select("symbol", "n", "before", "after"), "symbol, n").where("before > 0 AND after IS NOT NULL").select("symbol", "event_ts", surprise="round(100.0 * (after / before - 1.0), 10)")
 
 
