@@ -115,7 +115,7 @@ def test_microstructure_cases(spark):
     assert (got[1]["micro"], got[1]["tilt"], got[4]["tilt"]) == (10.75, 0.5, None)
     flow = {r["event_id"]: r["e"] for r in ex.order_flow(Rel.table("q")).df({"q": q}).collect()}
     assert flow[3] == 5.0 - (6.0 - 4.0)
-    row = spark.sql(f"SELECT {ex.sell_fee('100D', '50D')} AS fee, {ex.fill_limit('100D', '98D', '101D', '97D', 'true')} AS better, {ex.fill_limit('99D', '99.8D', '101D', '99.5D', 'true')} AS untouched").first()
+    row = spark.sql(f"SELECT {ex.sell_fee('100D', '50D')} AS fee, {ex.fill_limit('100D', '98D', '101D', '97D', 'true')['price']} AS better, {ex.fill_limit('99D', '99.8D', '101D', '99.5D', 'true')['price']} AS untouched").first()
     assert row["fee"] == pytest.approx(0.1556) and row["better"] == 98 and row["untouched"] is None
 
 
