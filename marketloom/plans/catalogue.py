@@ -212,3 +212,12 @@ rel("select_representative", ov.representative(BARS).select("symbol", price="rou
 rel("store_latest", ov.latest(Rel.table("orders"), "o_custkey", "o_orderdate, o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice"))
 rel("ledger_settled", ov.settled_cash(Rel.table("orders").select("o_custkey", o_totalprice="CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END", session="CAST(date_trunc('month', o_orderdate) AS DATE)"), "o_custkey", "session", "o_totalprice").select("o_custkey", session="CAST(session AS STRING)", cash="round(cash, 3)", settled="round(settled, 3) + 0.0"))
 rel("events_daily_sum", Rel.table("events").with_(day="CAST(ts AS DATE)").group("event_type", "day", total="sum(value)", n="count(*)").select("event_type", "n", day="CAST(day AS STRING)", total="round(total, 4)"))
+
+from marketloom.plans import written  # noqa: E402
+
+_BARS_SQL = BARS.sql(t.SCHEMA_NAMES)
+ORACLES["factor_momentum_daily"] = written.factor_momentum(_BARS_SQL, 12, K, 4, 2.0)
+for _name, _reverse in {"momentum": False, "reversal": True}.items():
+    ORACLES[f"cross_sectional_{_name}_daily"] = written.cross_sectional(_BARS_SQL, 12, K, 4, 2.0, _reverse)
+ORACLES["fill_limit"] = written.limit_fills(_BARS_SQL)
+ORACLES["ledger_settled"] = written.settled("SELECT o_custkey AS who, CAST(date_trunc('month', o_orderdate) AS DATE) AS session, CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END AS amount FROM orders")
