@@ -12,8 +12,12 @@ whole block of that document's grid of WINDOW // 2 words.  So:
 3. the words that repeats cover are taken out.
 
 Records travel packed, by ranges of the hash, many to a row; nothing is emitted for
-pairs of documents, so thousands of copies cost as much as any other text.  Words
-are compared by 64-bit hashes.
+pairs of documents, so thousands of copies cost as much as any other text.  Places of
+one hash that meet in a slice of texts are settled there, and only those of its
+smallest and largest documents and of its smallest block travel on; where there are
+many slices, salted groups settle places once more before the last groups.  So a
+passage that a third of all documents share sends a few places a slice, never all of
+them to one group.  Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,16 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import Shared, batches_of_words, mix, read, sized, window_hashes
+from marketloom.llm.common import SLICE_BYTES, Shared, batches_of_words, mix, read, sized, window_hashes
 
 WINDOW = 50
 #: Bytes of text whose records one group holds, and the low bits of a record that hold a place in a segment.
 GROUP_BYTES = 6 << 20
 _PLACE = 24
-_PACKED = "bucket int, doc binary, base binary, n binary, record binary, place binary"
+_PACKED = "bucket int, doc binary, base binary, n binary, record binary, place binary, ranges binary"
+#: The low bits of a record, and the slices from which salted groups settle places before the last groups do.
+_LOW = np.uint64((1 << _PLACE) - 1)
+RELAY_SLICES = 1 << 16
 
 
 def _pack(bucket: np.ndarray, entry: np.ndarray, docs: np.ndarray, bases: np.ndarray, record: np.ndarray, place: np.ndarray | None, buckets: int) -> pa.RecordBatch:
@@ -49,7 +57,8 @@ def _pack(bucket: np.ndarray, entry: np.ndarray, docs: np.ndarray, bases: np.nda
         n = np.diff(np.append(heads, len(own))).astype(np.int32)
         rows.append((int(bucket[a]), docs[at].tobytes(), bases[at].tobytes(), n.tobytes(), record[a:b].tobytes(), b"" if place is None else place[a:b].tobytes()))
     columns = list(zip(*rows)) if rows else [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["bucket", "doc", "base", "n", "record", "place"])
+    arrays = [pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]], pa.nulls(len(rows), pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, ["bucket", "doc", "base", "n", "record", "place", "ranges"])
 
 
 def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,6 +71,61 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 _FOUND = "slot int, doc binary, n binary, ranges binary"
 
 
+def _settled(found: pa.Table) -> pa.RecordBatch:
+    """Ranges that are found already, as rows that pass through the groups of records."""
+    none = pa.array([b""] * len(found), pa.binary())
+    columns = {"bucket": found["slot"], "doc": found["doc"], "base": none, "n": found["n"], "record": none, "place": none, "ranges": found["ranges"]}
+    return pa.table(columns).combine_chunks().to_batches()[0] if len(found) else _pack(*[np.zeros(0, np.int64)] * 5, None, 1)
+
+
+def _parted(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """The records of a group, and the ranges that pass through it."""
+    open_ = pc.is_null(table["ranges"])
+    through = table.filter(pc.invert(open_))
+    return table.filter(open_), pa.table({"slot": through["bucket"], "doc": through["doc"], "n": through["n"], "ranges": through["ranges"]})
+
+
+def _met(key: np.ndarray, doc: np.ndarray, is_block: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(which places travel on, which are found) among the places of a slice or a salted group.
+
+    A place is found if its words are also in a smaller document.  The smallest document of
+    a hash is left open and travels; with blocks, so do the largest and the smallest block's,
+    which settle the others' places elsewhere.
+    """
+    on, found = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    if len(key):
+        order = np.argsort(key, kind="stable")
+        d = doc[order]
+        heads, run = _groups(key[order])
+        least = np.minimum.reduceat(d, heads)[run]
+        found[order] = d > least
+        travels = d == least
+        if is_block is not None:
+            block = is_block[order]
+            least_block = np.minimum.reduceat(np.where(block, d, np.iinfo(np.int64).max), heads)[run]
+            travels |= (d == np.maximum.reduceat(d, heads)[run]) | (block & (d == least_block))
+        on[order] = travels
+    return on, found
+
+
+def _again(bucket: int, doc: np.ndarray, base: np.ndarray, record: np.ndarray, place: np.ndarray | None, on: np.ndarray, through: pa.Table, found: pa.Table) -> pa.Table:
+    """What a salted group passes on: the places that travel, packed anew, and all ranges found."""
+    at = np.flatnonzero(on)
+    at = at[np.lexsort((base[at], doc[at]))]
+    entry = np.cumsum(np.concatenate([[0], (doc[at[1:]] != doc[at[:-1]]) | (base[at[1:]] != base[at[:-1]])])) if len(at) else at
+    heads = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(at) else at
+    packed = _pack(np.full(len(at), bucket), entry, doc[at[heads]], base[at[heads]], record[at], None if place is None else place[at], bucket + 1)
+    return pa.concat_tables([pa.Table.from_batches([packed]), pa.Table.from_batches([_settled(pa.concat_tables([through, found]))])])
+
+
+def _relayed(packed: DataFrame, slices: int, settle) -> DataFrame:
+    """packed, with each bucket's records settled in salted groups first where very many slices send some."""
+    if slices <= RELAY_SLICES:
+        return packed
+    salts = int(slices**0.5)
+    return packed.groupBy("bucket", (F.crc32("doc") % salts).alias("salt")).applyInArrow(settle, _PACKED)
+
+
 def _by_document(doc: np.ndarray, place: np.ndarray, length: int, slots: int) -> pa.Table:
     """The merged ranges [place, place + length) of each document, packed by slots of documents: a row a slot."""
     order = np.lexsort((place, doc))
@@ -140,7 +204,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, shared: Shared | None = None)
     block = window // 2
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP_BYTES))
-    low = np.uint64((1 << _PLACE) - 1)
+    slices = -(-total // SLICE_BYTES)
+    low = _LOW
 
     def bucket_of(h: np.ndarray) -> np.ndarray:
         return ((h & np.uint64(0xFFFFF)) * np.uint64(buckets) >> np.uint64(20)).astype(np.int64)
@@ -154,27 +219,40 @@ def repeats(docs: DataFrame, window: int = WINDOW, shared: Shared | None = None)
                 place = np.arange(len(h)) - words.bounds[:-1][doc]
                 ok = place + block <= np.diff(words.bounds)[doc]
                 h, doc, place = h[ok], doc[ok], place[ok]
+                own = ids[i:j][doc]
+                on, found = _met(h & ~low, own, place % block == 0)
+                yield _settled(_by_document(own[found], place[found], block, buckets))
+                h, doc, place = h[on], doc[on], place[on]
                 segment = place >> _PLACE
                 entry = np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (segment[1:] != segment[:-1]))]) if len(h) else np.zeros(0, np.int64)
                 heads = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(h) else entry
                 record = (h & ~low) | (place.astype(np.uint64) & low)
                 yield _pack(bucket_of(h), entry, ids[i:j][doc[heads]], segment[heads] << _PLACE, record, None, buckets)
 
+    def settle_probes(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        table, through = _parted(table)
+        doc, base, record, _ = _unpack(table)
+        place = base + (record & low).astype(np.int64)
+        on, found = _met(record & ~low, doc, place % block == 0)
+        return _again(bucket, doc, base, record, None, on, through, _by_document(doc[found], place[found], block, buckets))
+
     def hits(table: pa.Table) -> pa.Table:
+        table, through = _parted(table)
         doc, base, record, _ = _unpack(table)
         order = np.argsort(record & ~low, kind="stable")
         doc, record = doc[order], record[order]
         place = base[order] + (record & low).astype(np.int64)
         heads, run = _groups(record & ~low)
         if not len(run):
-            return _by_document(doc, place, block, buckets)
+            return through
         is_block = place % block == 0
         least_block = np.minimum.reduceat(np.where(is_block, doc, np.iinfo(np.int64).max), heads)[run]
         largest = np.maximum.reduceat(doc, heads)[run]
         marked = (least_block < doc) | (is_block & (doc < largest))
-        return _by_document(doc[marked], place[marked], block, buckets)
+        return pa.concat_tables([through, _by_document(doc[marked], place[marked], block, buckets)])
 
-    marks = d.mapInArrow(probes, _PACKED).groupBy("bucket").applyInArrow(hits, _FOUND)
+    marks = _relayed(d.mapInArrow(probes, _PACKED), slices, settle_probes).groupBy("bucket").applyInArrow(hits, _FOUND)
     marks = _collected(marks, shared, "marks")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,20 +271,32 @@ def repeats(docs: DataFrame, window: int = WINDOW, shared: Shared | None = None)
                             entry.append(np.full(e - s, k - i))
                 if picked:
                     at, of = np.concatenate(picked), np.concatenate(entry)
+                    own, place = ids[i:j][of], at - words.bounds[of]
+                    on, later = _met(h[at], own, None)
+                    yield _settled(_by_document(own[later], place[later], window, buckets))
+                    at, of = at[on], of[on]
                     yield _pack(bucket_of(h[at]), of, ids[i:j], np.zeros(j - i, np.int64), h[at], (at - words.bounds[of]).astype(np.int32), buckets)
 
+    def settle_windows(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        table, through = _parted(table)
+        doc, base, record, place = _unpack(table)
+        on, later = _met(record, doc, None)
+        return _again(bucket, doc, base, record, place, on, through, _by_document(doc[later], place[later].astype(np.int64), window, buckets))
+
     def judged(table: pa.Table) -> pa.Table:
+        table, through = _parted(table)
         doc, _, record, place = _unpack(table)
         order = np.argsort(record, kind="stable")
         doc, place, record = doc[order], place[order].astype(np.int64), record[order]
         heads, run = _groups(record)
         if not len(run):
-            return _by_document(doc, place, window, buckets)
+            return through
         later = doc > np.minimum.reduceat(doc, heads)[run]
-        return _by_document(doc[later], place[later], window, buckets)
+        return pa.concat_tables([through, _by_document(doc[later], place[later], window, buckets)])
 
     near = d.join(sized(marks), "doc_id").select("doc_id", "text", "ranges")
-    found = near.mapInArrow(windows, _PACKED).groupBy("bucket").applyInArrow(judged, _FOUND)
+    found = _relayed(near.mapInArrow(windows, _PACKED), slices, settle_windows).groupBy("bucket").applyInArrow(judged, _FOUND)
     return _collected(found, shared, "repeats")
 
 

@@ -173,6 +173,28 @@ def test_repeated_tokens_across_batches():
         assert got == [t for t in token.tolist() if (token == t).sum() > 1]
 
 
+@pytest.mark.parametrize("relay", [1 << 16, 0])
+def test_substrings_of_a_hot_passage_and_a_text_that_repeats_itself(spark, monkeypatch, relay):
+    """A passage in a third of all texts at every offset, copies, one word over and over, repeated and null ids: as by brute force."""
+    monkeypatch.setattr(substrings, "RELAY_SLICES", relay)
+    shared = " ".join(f"s{i}" for i in range(70))
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(i % 37)) + (f" {shared} " if i % 3 == 0 else " ") + f"end{i}") for i in range(240)]
+    rows += [(300, "na " * 400), (301, "na " * 120), (302, rows[0][1]), (303, ""), (304, None), (299, "na " * 60), rows[3], (None, shared)]
+    whole = [(d, (t or "").split()) for d, t in rows]
+    first: dict = {}
+    for d, w in whole[:-1]:
+        for p in range(len(w) - 49):
+            key = tuple(w[p : p + 50])
+            first[key] = min(first.get(key, d), d)
+    docs = table(spark, [(d, t, "a") for d, t in rows]).repartition(4)
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.dedup(docs).collect())
+    want = []
+    for d, w in whole:
+        gone = {q for p in range(len(w) - 49) if d is not None and first[tuple(w[p : p + 50])] < d for q in range(p, p + 50)}
+        want.append((-1 if d is None else d, len(w), len(gone)))
+    assert got == sorted(want) and sum(n for _, _, n in got) > 5000
+
+
 def test_substrings_against_brute_force(spark, texts):
     shared = prose(9, 80)
     rows = [*texts, (200, prose(10, 40) + " " + shared + " " + prose(11, 33), "a"), (201, shared, "a"), (202, prose(12, 13) + " " + shared[: len(shared) // 2], "b")]
