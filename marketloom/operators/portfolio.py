@@ -190,6 +190,34 @@ def cross_sectional(bars: Rel, lookback: int, every: int, k: int, cost_bps: floa
     return day.with_(paid=f"turnover * {cost_bps / 1e4!r}").select("ts", "gross_ret", "turnover", net="(1.0 + gross_ret) * (1.0 - paid) - 1.0")
 
 
+def short_interest(panel: Rel, reports: Rel, lag: int = 10) -> Rel:
+    """Days to cover, known `lag` rows after the first row at or past the settlement (the last row at the latest) until a newer report is.
+
+    Reports that settle after the last row, and null figures, are left out; of equal settlements the larger figure counts.
+    """
+    told = reports.where("days_to_cover IS NOT NULL AND settled IS NOT NULL").select("symbol", stamp="settled", d="days_to_cover").group("symbol", "stamp", dtc="max(d)")
+    stack = panel.select("symbol", stamp="ts", side="1", place="row", dtc="CAST(NULL AS DOUBLE)").union(told.select("symbol", "stamp", side="0", place="CAST(NULL AS INT)", dtc="dtc"))
+    met = stack.with_(opens="min(place) OVER (PARTITION BY symbol ORDER BY stamp DESC, side DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", top="max(place) OVER (PARTITION BY symbol)")
+    public = met.where("side = 0 AND opens IS NOT NULL").select("symbol", "stamp", "dtc", row=f"least(opens + {lag}, top)").group("symbol", "row", made="max_by(dtc, stamp)")
+    return panel.join(public, "symbol, row", "left").with_(signal=f"round(@last(made) {w.SO_FAR}, 10)")
+
+
+def short_interest_tilt(bars: Rel, reports: Rel, k: int, lag: int = 10, cost_bps: float = 2.0, borrow: tuple[float, float, float] = (0.0, 0.0, 1.0), per_year: float = 252.0, reverse: bool = True) -> Rel:
+    """Every row: long the k names with the fewest days to cover of the row before, short the k with most (`reverse`; else the other way).
+
+    The calendar is that of the symbols with reports.  Shorts pay borrow = (base, per day to
+    cover, cap) a year; flat where fewer than 2k names are known.
+    """
+    from marketloom.operators.execution import borrow_apr
+    from marketloom.operators.panel import dense
+
+    s = short_interest(dense(bars.join(reports.select("symbol").distinct(), "symbol")), reports, lag).with_(known=f"lag(signal) {w.SERIES}")
+    held = legs(s, k, not reverse, 1.0, "known").with_(weight="coalesce(target, 0.0)")
+    moved = held.with_(moved=f"abs(weight - coalesce(lag(weight) {w.SERIES}, 0.0))", due=f"CASE WHEN weight < 0 THEN -weight * {borrow_apr('known', *borrow)} ELSE 0.0 END").where("row >= 2")
+    day = moved.group("ts", gross_ret="sum(weight * coalesce(own, 0.0))", turnover="sum(moved)", drag=f"sum(due) / {per_year!r}")
+    return day.with_(net=f"gross_ret - turnover * {cost_bps / 1e4!r} - drag")
+
+
 def daily(signal: Rel, k: int, cost_bps: float = 2.0, long_high: bool = True) -> Rel:
     """Ranked at every row; flat where fewer than 2k names are there."""
     return earn(legs(signal, k, long_high).with_(weight="coalesce(target, 0.0)"), cost_bps)

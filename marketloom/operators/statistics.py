@@ -147,6 +147,26 @@ def blend(streams: Rel, weights: Rel, key: str = "symbol") -> Rel:
     return streams.join(weights, key).group("ts", net="sum(weight * r)")
 
 
+def combo_report(streams: Rel, per_year: float = 252.0, target_vol: float = 0.08, fraction: float = 0.5, cap: float = 2.0, risk_free: float = 0.04) -> Rel:
+    """One row: the inverse-volatility blend of the streams' common tail against equal weights, and what it would return at a target volatility.
+
+    The leverage is a fraction of Kelly's, from 0 to the cap; `noise_to_edge` is null without an edge.
+    """
+    from marketloom.operators.panel import tail
+
+    t = tail(streams).select("symbol", "r", ts="place")
+    day = t.join(inverse_vol_weights(t), "symbol").group("ts", iv="sum(weight * r)", ew="avg(r)")
+    sharpe = lambda x: f"CASE WHEN n >= 2 AND sd_{x} > 1e-15 THEN mean_{x} / sd_{x} * sqrt({per_year!r}) ELSE 0.0 END"
+    g = day.group(n="count(*)", mean_iv="avg(iv)", sd_iv="stddev_pop(iv)", mean_ew="avg(ew)", sd_ew="stddev_pop(ew)")
+    g = g.with_(iv_sharpe=sharpe("iv"), ew_sharpe=sharpe("ew"), vol=f"sd_iv * sqrt({per_year!r})")
+    g = g.with_(leverage=f"CASE WHEN vol > 0 THEN greatest(0.0, least({cap!r}, {fraction!r} * iv_sharpe / vol)) ELSE 0.0 END")
+    g = g.with_(applied_vol=f"CASE WHEN leverage > 0 THEN least({target_vol!r}, leverage * vol) ELSE {target_vol!r} END")
+    g = g.with_(excess="iv_sharpe * applied_vol", day_vol=f"applied_vol / sqrt({per_year!r})").with_(expected=f"excess + {risk_free!r}", day_excess=f"excess / {per_year!r}")
+    g = g.with_(noise_to_edge="CASE WHEN abs(day_excess) > 1e-9 THEN day_vol / day_excess END")
+    rho = correlations(t).group(avg_abs_corr="coalesce(avg(abs(rho)), 0.0)")
+    return g.join(rho, "1 = 1", hint=True).select("n", "avg_abs_corr", "ew_sharpe", "iv_sharpe", "vol", "leverage", "applied_vol", "excess", "expected", "day_excess", "day_vol", "noise_to_edge")
+
+
 def combine_tracks(streams: Rel, sleeves: Rel) -> Rel:
     """Union of times: capped sleeves keep min(weight, cap), the others share the rest by weight among those present; times without any are left out."""
     j = streams.join(sleeves, "sleeve")

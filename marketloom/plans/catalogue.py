@@ -100,6 +100,11 @@ stats("gap_reversion", p.overlapping(_SIGNALS["gap"], K, 5, long_high=False))
 stats("overnight_reversal", p.overnight_reversal(PANEL, 1, K))
 stats("low_beta", p.factor(_SIGNALS["low_beta"], K, 4))
 stats("accrual_daily_rank", p.daily(_SIGNALS["accruals"], K, long_high=False))
+_REPORTS = Rel.table("orders").select(symbol="concat('S', lpad(CAST(o_custkey % 16 AS STRING), 2, '0'))", settled="CAST(date_trunc('month', o_orderdate) AS DATE)", p="o_totalprice").group("symbol", "settled", days_to_cover="round(avg(p) / 20000.0, 4)")
+rel("signal_short_interest", shown(p.short_interest(PANEL, _REPORTS, 2), "signal", digits=10))
+_BORROW = (0.01, 0.002, 0.05)
+stats("short_interest_tilt", p.short_interest_tilt(BARS, _REPORTS, K, 2, borrow=_BORROW, per_year=YEAR))
+stats("short_interest_chase", p.short_interest_tilt(BARS, _REPORTS, K, 2, borrow=_BORROW, per_year=YEAR, reverse=False))
 for _mode in ("tsmom", "long_vol", "ew_bh"):
     stats(f"trend_{_mode}", p.time_series_momentum(PANEL, 26, 13, 4, YEAR, mode=_mode))
 rel("factor_momentum_equity", shown(p.equity(p.factor(_SIGNALS["momentum"], K, 4)), "equity", digits=4, keys=DAYS))
@@ -129,6 +134,8 @@ _STREAMS = PANEL.where("ret IS NOT NULL").select("symbol", "ts", r="ret")
 rel("combine_correlations", st.correlations(_STREAMS).select("left_key", "right_key", "n", rho="round(rho, 8)"))
 rel("combine_inverse_vol", st.inverse_vol_weights(_STREAMS).select("symbol", weight="round(weight, 8)"))
 stats("combine_blend", st.blend(_STREAMS, st.inverse_vol_weights(_STREAMS)))
+_COMBO = ("avg_abs_corr", "ew_sharpe", "iv_sharpe", "vol", "leverage", "applied_vol", "excess", "expected", "day_excess", "day_vol", "noise_to_edge")
+rel("combine_report", st.combo_report(_STREAMS, YEAR).select("n", **{v: f"round({v}, 7) + 0.0" for v in _COMBO}))
 _SLEEVES = BARS.select("symbol").distinct().select(sleeve="symbol", weight="0.05 + CAST(substr(symbol, 2, 2) AS DOUBLE) / 100.0", cap="CASE WHEN symbol = 'S00' THEN 0.04 END")
 stats("combine_sleeves", st.combine_tracks(_STREAMS.select("ts", "r", sleeve="symbol"), _SLEEVES))
 rel("gate_leg", st.leg_gate(_VAL, _MOM, YEAR).select("n", "enough_overlap", "forward_positive", "uncorrelated", "lifts", "robust_loo", "partial_year_safe", "passed", rho="round(rho, 8)", lift="round(lift, 8)", loo_share="round(loo_share, 8)", without_last="round(without_last, 8)"))
@@ -221,3 +228,7 @@ for _name, _reverse in {"momentum": False, "reversal": True}.items():
     ORACLES[f"cross_sectional_{_name}_daily"] = written.cross_sectional(_BARS_SQL, 12, K, 4, 2.0, _reverse)
 ORACLES["fill_limit"] = written.limit_fills(_BARS_SQL)
 ORACLES["ledger_settled"] = written.settled("SELECT o_custkey AS who, CAST(date_trunc('month', o_orderdate) AS DATE) AS session, CASE WHEN o_orderkey % 3 = 0 THEN -o_totalprice ELSE o_totalprice END AS amount FROM orders")
+_REPORTS_SQL = _REPORTS.sql(t.SCHEMA_NAMES)
+for _name, _reverse in {"tilt": True, "chase": False}.items():
+    ORACLES[f"short_interest_{_name}_daily"] = written.short_interest_tilt(_BARS_SQL, _REPORTS_SQL, K, 2, 2.0, _BORROW, YEAR, _reverse)
+ORACLES["combine_report"] = written.combo_report(_STREAMS.sql(t.SCHEMA_NAMES), YEAR)

@@ -58,3 +58,34 @@ WITH b AS (SELECT symbol, ts, open, high, low, volume, round(close * 0.995e0, 6)
 hit AS (SELECT *, (buy AND low <= want) OR (NOT buy AND high >= want) AS met FROM b)
 SELECT symbol, CAST(ts AS VARCHAR) AS ts, CASE WHEN met AND buy THEN round(CASE WHEN open < want THEN open ELSE want END, 10) WHEN met THEN round(CASE WHEN open > want THEN open ELSE want END, 10) END AS price,
 round(CASE WHEN NOT met THEN 0e0 WHEN volume > 0 AND volume * 0.1e0 < 40 THEN volume * 0.1e0 ELSE 40e0 END, 6) AS filled FROM hit"""
+
+
+def short_interest_tilt(bars: str, reports: str, k: int, lag: int, bps: float, borrow: tuple, per_year: float, reverse: bool) -> str:
+    """The book of every date from the days to cover public the date before: the least on one side, the most on the other; shorts pay borrow."""
+    base, per, cap = borrow
+    side = 0.5 / k if reverse else -0.5 / k
+    return f"""
+WITH reports AS ({reports}), {_dense(f"SELECT * FROM ({bars}) WHERE symbol IN (SELECT symbol FROM reports)").strip()},
+met AS (SELECT symbol, settled, max(days_to_cover) AS d, (SELECT min(x.t) FROM dates x WHERE x.ts >= settled) AS k0 FROM reports WHERE days_to_cover IS NOT NULL GROUP BY symbol, settled),
+public AS (SELECT symbol, settled, d, least(k0 + {lag}, (SELECT max(t) FROM dates)) AS t FROM met WHERE k0 IS NOT NULL),
+known AS (SELECT c.t, c.ts, c.symbol, c.r, (SELECT arg_max(p.d, p.settled) FROM public p WHERE p.symbol = c.symbol AND p.t < c.t) AS d FROM cells c WHERE c.t >= 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY d NULLS LAST, symbol) AS up, count(d) OVER (PARTITION BY t) AS n FROM known),
+weighed AS (SELECT *, CASE WHEN n < {2 * k} OR d IS NULL THEN 0e0 WHEN up <= {k} THEN {side!r}::DOUBLE WHEN up > n - {k} THEN {-side!r}::DOUBLE ELSE 0e0 END AS w FROM ranked),
+moved AS (SELECT *, abs(w - coalesce(lag(w) OVER (PARTITION BY symbol ORDER BY t), 0)) AS m, CASE WHEN w < 0 THEN -w * least({base!r}::DOUBLE + {per!r}::DOUBLE * d, {cap!r}::DOUBLE) ELSE 0e0 END AS due FROM weighed)
+SELECT CAST(ts AS VARCHAR) AS ts, round(sum(w * r) - sum(m) * {bps / 1e4!r}::DOUBLE - sum(due) / {per_year!r}::DOUBLE, 8) + 0e0 AS net FROM moved GROUP BY ts"""
+
+
+def combo_report(streams: str, per_year: float) -> str:
+    """Streams(symbol, ts, r) cut to their common tail, blended by inverse volatility and by equal weights; an 8% target, half of Kelly's leverage up to 2, 4% free of risk."""
+    year = f"{per_year!r}::DOUBLE"
+    return f"""
+WITH back AS (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS i FROM ({streams})),
+cut AS (SELECT * FROM back WHERE i <= (SELECT min(n) FROM (SELECT count(*) AS n FROM back GROUP BY symbol))),
+risk AS (SELECT symbol, 1 / stddev_pop(r) AS u FROM cut GROUP BY symbol),
+days AS (SELECT i, sum(r * u) / (SELECT sum(u) FROM risk) AS iv, sum(r) / count(*) AS ew FROM cut JOIN risk USING (symbol) GROUP BY i),
+s AS (SELECT count(*) AS n, avg(iv) / stddev_pop(iv) * sqrt({year}) AS a, avg(ew) / stddev_pop(ew) * sqrt({year}) AS b, stddev_pop(iv) * sqrt({year}) AS vol FROM days),
+l AS (SELECT *, CASE WHEN a < 0 THEN 0e0 WHEN a / 2 / vol > 2 THEN 2e0 ELSE a / 2 / vol END AS lev FROM s),
+v AS (SELECT *, CASE WHEN lev = 0 OR lev * vol > 0.08e0 THEN 0.08e0 ELSE lev * vol END AS used FROM l),
+pairs AS (SELECT abs(corr(x.r, y.r)) AS rho FROM cut x JOIN cut y ON x.i = y.i AND x.symbol <> y.symbol GROUP BY x.symbol, y.symbol)
+SELECT n, round((SELECT avg(rho) FROM pairs), 7) AS avg_abs_corr, round(b, 7) AS ew_sharpe, round(a, 7) AS iv_sharpe, round(vol, 7) AS vol, round(lev, 7) AS leverage, round(used, 7) AS applied_vol,
+round(a * used, 7) AS excess, round(a * used + 0.04e0, 7) AS expected, round(a * used / {year}, 7) AS day_excess, round(used / sqrt({year}), 7) AS day_vol, round(sqrt({year}) / a, 7) AS noise_to_edge FROM v"""

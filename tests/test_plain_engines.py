@@ -291,3 +291,43 @@ def test_null_facts_overwrite(spark):
     read = lambda nulls: [r["value"] for r in panel.step(Rel.table("b"), Rel.table("f"), "x", nulls).df(t).orderBy("ts").collect()]
     assert read(True) == [None] * 2 + [5.0] * 3 + [None] * 3 + [7.0] * 2
     assert read(False) == [None] * 2 + [5.0] * 6 + [7.0] * 2
+
+
+@pytest.mark.parametrize("reverse", [True, False])
+def test_short_interest_tilt(spark, tables, closes, reverse):
+    rng = np.random.Generator(np.random.PCG64(8))
+    reports = [(f"S{j:02d}", day(int(i)) + dt.timedelta(days=int(rng.integers(-3, 4))), None if rng.random() < 0.1 else float(rng.integers(1, 40)) / 4 + j / 100) for j in range(N) for i in rng.choice(range(-1, T + 3), 12, replace=False)]
+    data = {**tables, "reports": spark.createDataFrame(reports, "symbol string, settled date, days_to_cover double")}
+    known = np.full((T, N), np.nan)
+    for symbol, at, value in sorted(reports, key=lambda r: (r[0], r[1], r[2] or 0)):
+        opens = next((i for i in range(T) if day(i) >= at), None)
+        if value is not None and opens is not None:
+            known[min(opens + 4, T - 1) :, int(symbol[1:])] = value
+    ret, w, expected = own_returns(closes), np.zeros(N), {}
+    for t in range(1, T):
+        made = book(np.round(known[t - 1], 10), 3, not reverse)
+        new = np.zeros(N) if made is None else made
+        apr = np.minimum(0.01 + 0.02 * np.nan_to_num(known[t - 1]), 0.12)
+        expected[day(t)] = float(new @ ret[t]) - np.abs(new - w).sum() * 2e-4 - float((np.maximum(-new, 0) * apr).sum()) / 252
+        w = new
+    same(nets(portfolio.short_interest_tilt(B, Rel.table("reports"), 3, 4, borrow=(0.01, 0.02, 0.12), reverse=reverse), data), expected)
+
+
+def test_combo_report(tables, closes):
+    streams = B.with_(before="lag(close) OVER (PARTITION BY symbol ORDER BY ts)").where("before IS NOT NULL").select("symbol", "ts", r="close / before - 1.0")
+    series = []
+    for j in range(N):
+        c = closes[np.isfinite(closes[:, j]), j]
+        series.append(c[1:] / c[:-1] - 1)
+    m = min(len(x) for x in series)
+    x = np.array([s[-m:] for s in series])
+    inverse = 1 / x.std(axis=1)
+    iv, ew = inverse / inverse.sum() @ x, x.mean(axis=0)
+    sharpe, vol = iv.mean() / iv.std() * math.sqrt(252), iv.std() * math.sqrt(252)
+    leverage = max(0.0, min(2.0, 0.5 * sharpe / vol))
+    used = min(0.08, leverage * vol) if leverage > 0 else 0.08
+    rho = np.abs(np.corrcoef(x)[~np.eye(N, dtype=bool)]).mean()
+    got = st.combo_report(streams).df(tables).first()
+    want = {"n": m, "avg_abs_corr": rho, "ew_sharpe": ew.mean() / ew.std() * math.sqrt(252), "iv_sharpe": sharpe, "vol": vol, "leverage": leverage, "applied_vol": used, "excess": sharpe * used, "expected": sharpe * used + 0.04, "noise_to_edge": math.sqrt(252) / sharpe}
+    for name, value in want.items():
+        assert got[name] == pytest.approx(value, rel=1e-8), name
