@@ -57,19 +57,28 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], on: str, value: lis
 def step(calendar: Rel, facts: Rel, value: str, nulls: bool = False) -> Rel:
     """For each (symbol, ts) of the calendar the value of the greatest fy_end among facts filed by then.
 
-    Null values do not overwrite, unless `nulls`.  Facts are few a symbol, so the
-    equi-join on symbol with a filing bound stays small.
+    Null values do not overwrite, unless `nulls`.  Facts and calendar are stacked and
+    scanned once in time order: one shuffle by symbol, no range join.
     """
-    known = facts.select("symbol", "fy_end", "filed", value=f"coalesce({value}, -1e300)") if nulls else facts.where(f"{value} IS NOT NULL").select("symbol", "fy_end", "filed", value=value)
-    hit = calendar.select("symbol", "ts").join(known, "a.symbol = b.symbol AND b.filed <= a.ts").group("symbol", "ts", value="nullif(max_by(value, fy_end), -1e300)" if nulls else "max_by(value, fy_end)")
+    known = facts if nulls else facts.where(f"{value} IS NOT NULL")
+    told = known.where("fy_end IS NOT NULL AND filed IS NOT NULL").select("symbol", stamp="filed", side="0", fy_end="fy_end", v=f"CAST(coalesce({value}, -1e300) AS DOUBLE)")
+    stack = calendar.select("symbol", stamp="ts", side="1", fy_end="CAST(NULL AS DATE)", v="CAST(NULL AS DOUBLE)").union(told)
+    met = stack.with_(so_far="max_by(v, fy_end) OVER (PARTITION BY symbol ORDER BY stamp, side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)").where("side = 1")
+    hit = met.select("symbol", "so_far", ts="stamp").group("symbol", "ts", value="nullif(max(so_far), -1e300)")
     return calendar.join(hit, "symbol, ts", "left")
 
 
 def interval_sum(calendar: Rel, facts: Rel, amount: str, at: str) -> Rel:
-    """The sum of amounts dated in (previous row, this row] of the symbol."""
+    """The sum of amounts dated in (previous row, this row] of the symbol; nothing on its first row.
+
+    Each fact finds the first row at or past its date in one scan of both, stacked: one shuffle by symbol.
+    """
     span = calendar.with_(previous=f"lag(ts) {w.SERIES}")
-    got = span.select("symbol", "ts", "previous").join(facts.select("symbol", day_at=at, amount=amount), "a.symbol = b.symbol AND b.day_at > a.previous AND b.day_at <= a.ts").group("symbol", "ts", amount="sum(amount)")
-    return span.join(got, "symbol, ts", "left").with_(credited="coalesce(amount, 0.0)")
+    told = facts.where(f"{at} IS NOT NULL").select("symbol", stamp=at, side="0", v=f"CAST({amount} AS DOUBLE)")
+    stack = calendar.select("symbol", stamp="ts", side="1", v="CAST(NULL AS DOUBLE)").union(told).with_(place="CASE WHEN side = 1 THEN stamp END")
+    met = stack.with_(ts="min(place) OVER (PARTITION BY symbol ORDER BY stamp DESC, side DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)").where("side = 0 AND ts IS NOT NULL")
+    joined = span.join(met.group("symbol", "ts", owed="sum(v)"), "symbol, ts", "left").with_(amount="CASE WHEN previous IS NOT NULL THEN owed END")
+    return joined.with_(credited="coalesce(amount, 0.0)")
 
 
 def nearest(left: Rel, right: Rel, value: str, at: str, tolerance: int) -> Rel:
