@@ -330,4 +330,10 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op8_substrings(spark, sf_dir: str) -> DataFrame:
+    """dedup over all documents: 50 words a window.
+
+    Null texts count as no words; rows without an id lose nothing; an empty table gives an
+    empty result.  A text of any length is judged whole, in one task.  Equal texts: that of
+    the smallest id stays.  Other columns are not read.
+    """
     return dedup(read(spark, sf_dir, "documents"))

@@ -193,6 +193,7 @@ def test_substrings_of_a_hot_passage_and_a_text_that_repeats_itself(spark, monke
         gone = {q for p in range(len(w) - 49) if d is not None and first[tuple(w[p : p + 50])] < d for q in range(p, p + 50)}
         want.append((-1 if d is None else d, len(w), len(gone)))
     assert got == sorted(want) and sum(n for _, _, n in got) > 5000
+    assert substrings.dedup(docs.limit(0)).count() == 0
 
 
 def test_substrings_against_brute_force(spark, texts):
