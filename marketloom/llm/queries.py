@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from marketloom.llm import fingerprints, hamming, jaccard, langid, licences, mixing, packing, pieces, secrets, substrings, toxicity
+from marketloom.llm import fingerprints, hamming, jaccard, langid, licences, merkle, mixing, packing, pieces, secrets, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,7 +16,8 @@ QUERIES = {
     "op8_substrings": substrings.op8_substrings,
     "op9_neighbours": hamming.op9_neighbours,
     "op10_licences": licences.op10_licences,
+    "op12_manifest": merkle.op12_manifest,
     "op13_packing": packing.op13_packing,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op10_licences": licences.ORACLE}
+ORACLES = {"op10_licences": licences.ORACLE, "op12_manifest": merkle.oracle()}
