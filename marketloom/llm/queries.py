@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from marketloom.llm import fingerprints, hamming, jaccard, langid, licences, merkle, mixing, packing, pieces, secrets, substrings, toxicity
+from marketloom.llm import fingerprints, hamming, jaccard, langid, licences, merkle, mixing, packing, pieces, secrets, substrings, toxicity, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_substrings": substrings.op8_substrings,
     "op9_neighbours": hamming.op9_neighbours,
     "op10_licences": licences.op10_licences,
+    "op11_whitening": whitening.op11_whitening,
     "op12_manifest": merkle.op12_manifest,
     "op13_packing": packing.op13_packing,
     "pipeline": corpus_pipeline.run,
