@@ -161,10 +161,10 @@ def fit(docs: DataFrame, families: dict[str, str] | None = None, per_language: i
     families = FAMILIES if families is None else families
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.where(F.coalesce(crc_remainder(F.col("doc_id"), FOLDS) != HELD_OUT, F.lit(True)))
-    known = {r["lang"]: r["count"] for r in docs.where(F.col("lang").isNotNull()).groupBy("lang").count().collect()}
+    known = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # held-out rows take no part in anything
     share = F.lit(0.0)
     for lang, n in known.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language * FOLDS / (FOLDS - 1) / n))).otherwise(share)
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
     sample = rows.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +241,10 @@ def accept(docs: DataFrame, model: Model, least: float = KNOWN_SHARE) -> DataFra
 
 
 def op3_language(spark, sf_dir: str) -> DataFrame:
+    """The language of every text of documents; `fit` and `predict` state the cases.
+
+    A text of any length is read in slices; an empty table gives an empty result.
+    """
     docs = read(spark, sf_dir, "documents")
     held = F.coalesce(crc_remainder(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")
     return predict(docs.select("doc_id", held, "text"), fit(docs), ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
