@@ -18,6 +18,9 @@ smallest and largest documents and of its smallest block travel on; where there
 many slices, salted groups settle places once more before the last groups.  So a
 passage that a third of all documents share sends a few places a slice, never all of
 them to one group.  Words are compared by 64-bit hashes.
+
+Rows that share an id and differ in text are variants of one document: they have the
+document's place in the order of ids, and ranges of places of their own.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import SLICE_BYTES, Shared, batches_of_words, mix, read, sized, window_hashes
@@ -41,6 +44,9 @@ _PACKED = "bucket int, doc binary, base binary, n binary, record binary, place b
 #: The low bits of a record, and the slices from which salted groups settle places before the last groups do.
 _LOW = np.uint64((1 << _PLACE) - 1)
 RELAY_SLICES = 1 << 16
+#: A document has fewer words than this many blocks; the places of its variants begin at multiples of so many.
+VARIANT_BLOCKS = 1 << 32
+_SALTS = 1 << 10
 
 
 def _pack(bucket: np.ndarray, entry: np.ndarray, docs: np.ndarray, bases: np.ndarray, record: np.ndarray, place: np.ndarray | None, buckets: int) -> pa.RecordBatch:
@@ -189,30 +195,47 @@ def _collected(found: DataFrame, shared: Shared, name: str) -> DataFrame:
     return out
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _texts(docs: DataFrame, shared: Shared) -> DataFrame:
+    """(doc_id, text, variant): variant numbers the different texts of one id, in salted groups; 0 where there is one."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    several = d.groupBy("doc_id").agg(F.min("hash").alias("a"), F.max("hash").alias("b")).where("doc_id IS NOT NULL AND a <> b").select("doc_id")
+    salt = F.pmod("hash", F.lit(_SALTS))
+    line = Window.partitionBy("doc_id", "salt").orderBy("hash")
+    each = d.join(sized(shared.put(several, "several")), "doc_id", "left_semi").select("doc_id", "hash").distinct().withColumn("salt", salt)
+    each = shared.put(each.select("doc_id", "hash", ((F.row_number().over(line) - 1) * _SALTS + F.col("salt")).cast("long").alias("variant")), "variants")
+    if each.isEmpty():
+        return d.select("doc_id", "text", F.lit(0).cast("long").alias("variant"))
+    return d.join(sized(each), ["doc_id", "hash"], "left").select("doc_id", "text", F.coalesce("variant", F.lit(0)).cast("long").alias("variant"))
+
 
+def _own(packed: bytes | None, variant: int, step: int) -> np.ndarray:
+    """The disjoint ranges of one variant, from its document's."""
+    r = _merged([packed or b""])
+    r = r[(r[:, 0] >= variant * step - step // 2) & (r[:, 0] < variant * step + step // 2)]
+    return r - variant * step
 
-def repeats(docs: DataFrame, window: int = WINDOW, shared: Shared | None = None) -> DataFrame:
-    """(doc_id, ranges): the words of each document that repeat a passage of one with a smaller id, as packed int64 ranges.
 
+def repeats(texts: DataFrame, window: int, shared: Shared) -> DataFrame:
+    """(doc_id, ranges): the words of each document of texts(doc_id, text, variant) that repeat a passage of one with a smaller id.
+
+    Packed int64 ranges; a variant's begin at its number times window // 2 * VARIANT_BLOCKS.
     Documents without repeats are left out.  Null ids take no part.
     """
-    spark = docs.sparkSession
-    shared = shared or Shared(spark)
-    d = _texts(docs).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    spark = texts.sparkSession
+    d = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     block = window // 2
+    step = block * VARIANT_BLOCKS
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // GROUP_BYTES))
     slices = -(-total // SLICE_BYTES)
     low = _LOW
 
     def bucket_of(h: np.ndarray) -> np.ndarray:
-        return ((h & np.uint64(0xFFFFF)) * np.uint64(buckets) >> np.uint64(20)).astype(np.int64)
+        return ((h >> np.uint64(_PLACE) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, first = batch.column(0).to_numpy(), batch.column(2).to_numpy() * step
             for i, j, words in batches_of_words(batch.column(1)):
                 h = window_hashes(words.hashes(), block)
                 doc = np.repeat(np.arange(j - i), np.diff(words.bounds))[: len(h)]
@@ -221,13 +244,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, shared: Shared | None = None)
                 h, doc, place = h[ok], doc[ok], place[ok]
                 own = ids[i:j][doc]
                 on, found = _met(h & ~low, own, place % block == 0)
-                yield _settled(_by_document(own[found], place[found], block, buckets))
+                yield _settled(_by_document(own[found], (place + first[i:j][doc])[found], block, buckets))
                 h, doc, place = h[on], doc[on], place[on]
                 segment = place >> _PLACE
                 entry = np.concatenate([[0], np.cumsum((doc[1:] != doc[:-1]) | (segment[1:] != segment[:-1]))]) if len(h) else np.zeros(0, np.int64)
                 heads = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(h) else entry
                 record = (h & ~low) | (place.astype(np.uint64) & low)
-                yield _pack(bucket_of(h), entry, ids[i:j][doc[heads]], segment[heads] << _PLACE, record, None, buckets)
+                yield _pack(bucket_of(h), entry, ids[i:j][doc[heads]], (segment[heads] << _PLACE) + first[i:j][doc[heads]], record, None, buckets)
 
     def settle_probes(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
@@ -257,14 +280,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, shared: Shared | None = None)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, packed = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+            ids, packed, variant = batch.column(0).to_numpy(), batch.column(2).to_pylist(), batch.column(3).to_numpy()
             for i, j, words in batches_of_words(batch.column(1)):
                 h = window_hashes(words.hashes(), window)
                 picked, entry = [], []
                 for k in range(i, j):
                     a, b = int(words.bounds[k - i]), int(words.bounds[k - i + 1])
                     # places of marked blocks, plus a half window before them, are the starts to compare
-                    for s, e in _merged([_starts(packed[k], window, block)]):
+                    for s, e in _merged([_starts(_own(packed[k], variant[k], step).tobytes(), window, block)]):
                         s, e = max(0, int(s)), min(int(e), b - a - window + 1)
                         if s < e:
                             picked.append(np.arange(a + s, a + e))
@@ -273,29 +296,29 @@ def repeats(docs: DataFrame, window: int = WINDOW, shared: Shared | None = None)
                     at, of = np.concatenate(picked), np.concatenate(entry)
                     own, place = ids[i:j][of], at - words.bounds[of]
                     on, later = _met(h[at], own, None)
-                    yield _settled(_by_document(own[later], place[later], window, buckets))
+                    yield _settled(_by_document(own[later], (place + variant[i:j][of] * step)[later], window, buckets))
                     at, of = at[on], of[on]
-                    yield _pack(bucket_of(h[at]), of, ids[i:j], np.zeros(j - i, np.int64), h[at], (at - words.bounds[of]).astype(np.int32), buckets)
+                    yield _pack(bucket_of(h[at]), of, ids[i:j], variant[i:j] * step, h[at], (at - words.bounds[of]).astype(np.int32), buckets)
 
     def settle_windows(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         table, through = _parted(table)
         doc, base, record, place = _unpack(table)
         on, later = _met(record, doc, None)
-        return _again(bucket, doc, base, record, place, on, through, _by_document(doc[later], place[later].astype(np.int64), window, buckets))
+        return _again(bucket, doc, base, record, place, on, through, _by_document(doc[later], (base + place)[later], window, buckets))
 
     def judged(table: pa.Table) -> pa.Table:
         table, through = _parted(table)
-        doc, _, record, place = _unpack(table)
+        doc, base, record, place = _unpack(table)
         order = np.argsort(record, kind="stable")
-        doc, place, record = doc[order], place[order].astype(np.int64), record[order]
+        doc, place, record = doc[order], (base + place)[order], record[order]
         heads, run = _groups(record)
         if not len(run):
             return through
         later = doc > np.minimum.reduceat(doc, heads)[run]
         return pa.concat_tables([through, _by_document(doc[later], place[later], window, buckets)])
 
-    near = d.join(sized(marks), "doc_id").select("doc_id", "text", "ranges")
+    near = d.join(sized(marks), "doc_id").select("doc_id", "text", "ranges", "variant")
     found = _relayed(near.mapInArrow(windows, _PACKED), slices, settle_windows).groupBy("bucket").applyInArrow(judged, _FOUND)
     return _collected(found, shared, "repeats")
 
@@ -304,20 +327,21 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for each row of docs(doc_id, text); windows are judged on the input.
 
     Null and empty texts have no words.  Rows that repeat an id are one document's
-    rows: they are judged against smaller ids only.
+    rows: each is judged by its own text, against smaller ids only.
     """
     shared = Shared(docs.sparkSession)
-    found = repeats(docs, window, shared)
+    texts, step = _texts(docs, shared), window // 2 * VARIANT_BLOCKS
+    found = repeats(texts, window, shared)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed, n_words, n_removed, sha = batch.column(2).to_pylist(), [], [], []
+            packed, variant, n_words, n_removed, sha = batch.column(2).to_pylist(), batch.column(3).to_numpy(), [], [], []
             for i, j, words in batches_of_words(batch.column(1)):
                 data = words.data.tobytes()
                 for k in range(i, j):
                     a, b = words.bounds[k - i], words.bounds[k - i + 1]
                     keep = np.ones(b - a, bool)
-                    for s, e in _merged([packed[k] or b""]):
+                    for s, e in _own(packed[k], variant[k], step):
                         keep[s:e] = False
                     at = np.flatnonzero(keep) + a
                     n_words.append(int(b - a))
@@ -325,7 +349,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     sha.append(hashlib.sha256(b" ".join([data[x:y] for x, y in zip(words.starts[at].tolist(), words.ends[at].tolist())])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    joined = _texts(docs).join(sized(found), "doc_id", "left").select("doc_id", "text", "ranges")
+    joined = texts.join(sized(found), "doc_id", "left").select("doc_id", "text", "ranges", "variant")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
