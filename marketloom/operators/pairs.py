@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from marketloom.plans.rel import Rel
 
-#: Dickey-Fuller statistics (constant, no trend) and their probabilities.
-ADF_KNOTS = ((-3.43, 0.01), (-3.12, 0.025), (-2.86, 0.05), (-2.57, 0.10), (-1.94, 0.30), (-1.57, 0.50), (-0.44, 0.90), (0.23, 0.975))
+#: Dickey-Fuller statistics (constant, no trend) and their probabilities; below the first and from the last on.
+ADF_KNOTS = ((-3.43, 0.01), (-2.86, 0.05), (-2.57, 0.10), (-1.95, 0.30), (-1.62, 0.50), (-0.50, 0.80), (0.0, 0.95), (1.0, 0.99))
+ADF_LEAST, ADF_MOST = 0.005, 0.995
 
 
 def aligned(bars: Rel) -> Rel:
@@ -49,28 +50,29 @@ def screen(bars: Rel, least: int = 120, shortest: float = 2.0, longest: float =
 
 
 def adf_pvalue(t: float) -> float:
-    """Piecewise linear between the knots, within 0.005 and 0.995."""
-    xs, ps = zip(*ADF_KNOTS)
-    if t < xs[0]:
-        return max(0.005, ps[0] + (t - xs[0]) * (ps[1] - ps[0]) / (xs[1] - xs[0]))
-    if t > xs[-1]:
-        return min(0.995, ps[-1] + (t - xs[-1]) * (ps[-1] - ps[-2]) / (xs[-1] - xs[-2]))
-    return float(np.interp(t, xs, ps))
+    """Piecewise linear between the knots."""
+    if t <= ADF_KNOTS[0][0]:
+        return ADF_LEAST
+    if t >= ADF_KNOTS[-1][0]:
+        return ADF_MOST
+    return float(np.interp(t, *zip(*ADF_KNOTS)))
 
 
-def kalman(la: np.ndarray, lb: np.ndarray, delta: float = 1e-4, noise: float = 1e-3) -> np.ndarray:
-    """Innovations of a two-state filter (intercept, hedge) from (0, 1) with unit covariance."""
+def kalman(la: np.ndarray, lb: np.ndarray, delta: float = 1e-4, noise: float = 1e-3, with_deviation: bool = False):
+    """Innovations of a two-state filter (intercept, hedge) from (0, 1) with unit covariance, and their deviations if asked."""
     state, cov = np.array([0.0, 1.0]), np.eye(2)
     drift = delta / (1 - delta) * np.eye(2)
-    out = np.empty(len(la))
+    out, deviation = np.empty(len(la)), np.empty(len(la))
     for i, (y, x) in enumerate(zip(la, lb)):
         cov = cov + drift
         h = np.array([1.0, x])
         out[i] = y - h @ state
-        gain = cov @ h / (h @ cov @ h + noise)
+        size = h @ cov @ h + noise
+        deviation[i] = np.sqrt(size)
+        gain = cov @ h / size
         state = state + gain * out[i]
         cov = cov - np.outer(gain, h) @ cov
-    return out
+    return (out, deviation) if with_deviation else out
 
 
 def trade(a: np.ndarray, b: np.ndarray, hedge: float, lookback: int = 60, enter: float = 2.0, leave: float = 0.5, cost_bps: float = 2.0, leg: float = 0.5, use_kalman: bool = False) -> tuple[np.ndarray, np.ndarray]:
