@@ -3,6 +3,7 @@
 import datetime as dt
 import io
 import json
+import os
 import zipfile
 
 import pytest
@@ -34,6 +35,7 @@ def test_bars_take_the_quote_as_of_their_time(spark, tmp_path, most):
         for i, rows in enumerate(files):
             made = [{"symbol": s, "ts": at(t), **({"close": v, "volume": 1.0} if name == "bars" else {"bid": v, "ask": v + 1, "bid_size": 1.0, "ask_size": None})} for s, t, v in rows]
             (tmp_path / name / f"{i}.json").write_text("\n".join(map(json.dumps, made)))
+            os.utime(tmp_path / name / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))  # files are read in this order
     read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / name))
     out = enrich.enriched(read("bars", BAR), read("quotes", QUOTE), "10 seconds", most)
     name = f"enriched{0 if most is None else 1}"
