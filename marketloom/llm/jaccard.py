@@ -201,6 +201,33 @@ def components(edges: DataFrame, shared: Shared, name: str) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
 
 
+def _matrix() -> list[Column]:
+    """Bounds of the nodes of an entry."""
+    return [F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("reach"), F.count("*").alias("size")]
+
+
+def _fits(percent: int, low: Column, high: Column, reach: Column) -> Column:
+    """Whether sizes and positions let a node reach the threshold with a node of an entry, if the token is the first that they share."""
+    n, tail = F.col("n"), F.col("n") - F.col("pos")
+    sizes_fit = (100 * n >= percent * low) & (100 * high >= percent * n)
+    return sizes_fit & ((100 + percent) * F.least(tail, reach) >= percent * (n + low))
+
+
+def candidates(now: DataFrame, percent: int) -> DataFrame:
+    """Nodes of now(token, node, pos, n, gid, comp) with the entries of other groups and smaller components that share a token.
+
+    Of two similar sets the smaller has a shared token among its first n - ceil(2 t / (1 + t) n) + 1,
+    fewer than its prefix.  Tokens behind those, such as what a template leaves in each
+    of its texts, only meet tokens before: a token that all texts have there meets nothing.
+    """
+    early = F.col("n") * (2 * percent) <= (F.col("n") - F.col("pos")) * (100 + percent)
+    now = now.withColumn("early", early)
+    other = now.groupBy("token", "gid", "comp", "early").agg(*_matrix()).select("token", F.col("gid").alias("g"), F.col("comp").alias("c"), F.col("early").alias("e"), "low", "high", "reach")
+    apart = (F.col("comp") > F.col("c")) & (F.col("gid") != F.col("g"))
+    first = now.where("early").join(other, "token").where(apart)
+    return first.unionByName(now.where("not early").join(other.where("e"), "token").where(apart))
+
+
 def join(docs: DataFrame, shingle: int = 3, percent: int = 90, shared: Shared | None = None) -> tuple[DataFrame, DataFrame]:
     """(sets, classes): sets(doc_id, node, n) a row of docs each, classes(node, doc_id, comp).
 
@@ -276,12 +303,6 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90, shared: Shared |
     tokens = shared.put(kept.join(sized(members), "node").select("token", "node", "pos", "n", "gid"), "tokens")
     shared.release()
 
-    def fits(n: Column, tail: Column, low: Column, high: Column, reach: Column) -> Column:
-        sizes_fit = (100 * n >= percent * low) & (100 * high >= percent * n)
-        return sizes_fit & ((100 + percent) * F.least(tail, reach) >= percent * (n + low))
-
-    matrix = [F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("reach"), F.count("*").alias("size")]
-
     def opened(pairs: DataFrame, comps: DataFrame, name: str) -> DataFrame:
         """Links found by opening the groups of pairs(node, gid)."""
         met = shared.put(pairs.distinct(), f"{name}-met")
@@ -303,15 +324,14 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90, shared: Shared |
         return links
 
     nothing = spark.createDataFrame([], "node long, comp long")
-    leading = tokens.groupBy("token", "gid").agg(*matrix).groupBy("token").agg(F.max_by(F.struct("gid", "low", "high", "reach"), F.struct("size", "gid")).alias("g"), F.count("*").alias("groups"))
+    leading = tokens.groupBy("token", "gid").agg(*_matrix()).groupBy("token").agg(F.max_by(F.struct("gid", "low", "high", "reach"), F.struct("size", "gid")).alias("g"), F.count("*").alias("groups"))
     to_leader = tokens.join(leading.where("groups > 1"), "token").where(F.col("gid") != F.col("g.gid"))
-    to_leader = to_leader.where(fits(F.col("n"), F.col("n") - F.col("pos"), F.col("g.low"), F.col("g.high"), F.col("g.reach"))).select("node", F.col("g.gid").alias("gid"))
+    to_leader = to_leader.where(_fits(percent, F.col("g.low"), F.col("g.high"), F.col("g.reach"))).select("node", F.col("g.gid").alias("gid"))
     crowded = members.groupBy("gid").agg(F.count("*").alias("size")).where("size > 1").select("gid")
     links = opened(to_leader.union(members.join(crowded, "gid").select("node", "gid")), nothing, "lead")
     comps = shared.put(components(links, shared, "lead-star"), "lead-comps")
     now = tokens.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    other = now.groupBy("token", "gid", "comp").agg(*matrix).select("token", F.col("gid").alias("g"), F.col("comp").alias("c"), "low", "high", "reach")
-    rest = now.join(other, (now["token"] == other["token"]) & (F.col("comp") > F.col("c")) & (F.col("gid") != F.col("g")) & fits(F.col("n"), F.col("n") - F.col("pos"), F.col("low"), F.col("high"), F.col("reach")))
+    rest = candidates(now, percent).where(_fits(percent, F.col("low"), F.col("high"), F.col("reach")))
     more = opened(rest.select("node", F.col("g").alias("gid")), comps, "rest")
     held = comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
     all_comps = components(held.union(more), shared, "star")
@@ -323,7 +343,9 @@ def linked(docs: DataFrame, shingle: int = 3, percent: int = 90, shared: Shared
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text).
 
     component_id is the least doc_id that links reach.  Null and word-less texts have an
-    empty set and stand alone; equal texts are linked; repeated rows each give a row.
+    empty set and stand alone; equal texts are linked; repeated rows each give a row.  A
+    text of any length is one set, made in one task; an empty table gives an empty result.
+    Other columns are not looked at.
     """
     sets, classes = join(docs, shingle, percent, shared)
     least = classes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
@@ -347,4 +369,5 @@ def representatives(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
+    """The components of documents over 3-word shingles at 90 percent; `linked` states the cases."""
     return linked(read(spark, sf_dir, "documents"))

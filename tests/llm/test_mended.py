@@ -37,3 +37,26 @@ def test_language_fit_never_sees_held_out_labels(spark):
     lied = docs.withColumn("lang", F.when(held, F.lit("xx")).otherwise(F.col("lang")))
     a, b = langid.fit(docs, per_language=20), langid.fit(lied, per_language=20)
     assert a.families == b.families and np.array_equal(a.weights, b.weights) and np.array_equal(a.offsets, b.offsets)
+
+
+def test_templated_texts_that_are_not_linked_do_not_meet(spark, monkeypatch):
+    """Every text of a template shares most of its words with all others: what is examined grows with the texts, not with their pairs."""
+    from marketloom.llm import jaccard
+
+    rng = np.random.Generator(np.random.PCG64(4))
+    template = [f"t{i}" for i in range(188)]
+
+    def texts(n):
+        return [(k, " ".join([*template[:90], *[f"o{k}x{j}" for j in range(12)], *template[90:]])) for k in rng.permutation(n).tolist()]
+
+    def examined(rows):
+        made = []
+        real = jaccard.candidates
+        monkeypatch.setattr(jaccard, "candidates", lambda now, percent: made.append(real(now, percent)) or made[0])
+        got = jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+        monkeypatch.setattr(jaccard, "candidates", real)
+        assert all(r["component_id"] == r["doc_id"] for r in got) and len(got) == len(rows)
+        return made[0].count()
+
+    few, many = examined(texts(1000)), examined(texts(4000))
+    assert few <= 20 * 1000 and many <= 20 * 4000
