@@ -76,13 +76,14 @@ def calibrate(fills: Rel, quoted: str = "CAST(NULL AS DOUBLE)", prior: float = 8
     """By symbol: half-spread, impact coefficient and whether it was fitted, both at least 0.
 
     The half-spread is the median of quoted ones if there are four, else of the slippage of
-    the lowest quarter by participation.  The impact is the slope of slippage on the
+    the lowest quarter by participation, among fills that have a slippage.  The impact is the slope of slippage on the
     square root of participation, if there are four and the largest participation is
     `ratio` times the smallest; else the prior.
     """
-    edge = fills.group("symbol", q1="@pct(participation, 0.25)")
-    f = fills.join(edge, "symbol").with_(root="sqrt(participation)", quote=quoted)
-    g = f.where("slippage_bps IS NOT NULL").group(
+    valid = fills.where("slippage_bps IS NOT NULL")
+    edge = valid.group("symbol", q1="@pct(participation, 0.25)")
+    f = valid.join(edge, "symbol").with_(root="sqrt(participation)", quote=quoted)
+    g = f.group(
         "symbol", n="count(*)", parts="count(participation)", least="min(participation)", most="max(participation)", small="median(CASE WHEN participation <= q1 + 1e-12 THEN slippage_bps END)", every="median(slippage_bps)",
         quotes="count(quote)", measured="median(quote)", cov="covar_pop(slippage_bps, root)", var="var_pop(root)", ms="avg(CASE WHEN root IS NOT NULL THEN slippage_bps END)", mr="avg(root)")
     g = g.with_(fitted=f"CASE WHEN parts >= 4 AND least > 0 AND most / least >= {ratio} AND var > 1e-18 THEN 1 ELSE 0 END")

@@ -18,9 +18,10 @@ def tail_hedge(returns: Rel, window: int = 60, skew: float = -0.3, kurt: float =
 
 
 def expiry_week(calendar: Rel) -> Rel:
-    """Whether a date is in the week of its month's third Friday."""
-    c = calendar.with_(friday="CASE WHEN @dow(ts) = 6 AND day(ts) BETWEEN 15 AND 21 THEN 1 ELSE 0 END").with_(week="CAST(date_trunc('week', ts) AS DATE)")
-    return c.with_(expiry="max(friday) OVER (PARTITION BY week)")
+    """Whether a date is in the week, Monday to Friday, that ends with the calendar's third Friday of a month."""
+    c = calendar.with_(friday="CASE WHEN @dow(ts) = 6 THEN 1 ELSE 0 END", week="CAST(date_trunc('week', ts) AS DATE)")
+    c = c.with_(nth="sum(friday) OVER (PARTITION BY year(ts), month(ts) ORDER BY ts)").with_(third="CASE WHEN friday = 1 AND nth = 3 THEN 1 ELSE 0 END")
+    return c.with_(marked="max(third) OVER (PARTITION BY week)").with_(expiry="CASE WHEN @dow(ts) BETWEEN 2 AND 6 THEN marked ELSE 0 END")
 
 
 def rotation(panel: Rel, lookback: int = 8) -> Rel:

@@ -89,7 +89,7 @@ def regime_labels(spreads: DataFrame, keys: list[str], window: int = 60, warn: f
     frame = line.rowsBetween(2 - size, 0)  # size - 1 steps
     s = spreads.withColumn("before", F.lag("spread").over(line)).withColumn("d", F.col("spread") - F.col("before")).withColumn("i", F.row_number().over(line))
     s = s.withColumn("cov", F.covar_pop("d", "before").over(frame)).withColumn("var", F.var_pop("before").over(frame)).withColumn("vd", F.var_pop("d").over(frame)).withColumn("m", F.count("d").over(frame))
-    pull = F.col("cov") / F.col("var")
+    pull = F.col("cov") / F.nullif("var", F.lit(0.0))
     p = adf_probability(F.when(F.col("var") > 0, adf_statistic(pull, F.col("cov"), F.col("var"), F.col("vd"), F.col("m"))).otherwise(0.0))
     label = F.when(F.col("i") < size, ACTIVE).when(p >= halt, HALTED).when(p >= warn, WARNING).otherwise(ACTIVE)
     return s.select(*keys, "ts", label.alias("regime"))

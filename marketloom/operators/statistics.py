@@ -174,14 +174,32 @@ def combine_tracks(streams: Rel, sleeves: Rel) -> Rel:
     return g.where("core > 0").select("ts", net="pinned_ret + (1.0 - pinned) * core_ret / core")
 
 
+def _years(candidate: Rel, book: Rel) -> Rel:
+    """A row for each year of the common times: sums of both streams, and the same of all other years (names in o_)."""
+    both = candidate.select("ts", c="net").join(book.select("ts", b="net"), "ts").with_(year="CAST(year(ts) AS INT)")
+    sums = {"n": "CAST(count(*) AS DOUBLE)", "c1": "sum(c)", "b1": "sum(b)", "c2": "sum(c * c)", "b2": "sum(b * b)", "cb": "sum(c * b)"}
+    return both.group("year", **sums).with_(**{f"o_{k}": f"sum({k}) OVER () - {k}" for k in sums}, last_year="max(year) OVER ()")
+
+
+def _moments(rel: Rel, p: str) -> Rel:
+    """Population moments from sums named with the prefix."""
+    r = rel.with_(mc=f"{p}c1 / nullif({p}n, 0.0)", mb=f"{p}b1 / nullif({p}n, 0.0)")
+    return r.with_(sc=f"sqrt(greatest({p}c2 / nullif({p}n, 0.0) - mc * mc, 0.0))", sb=f"sqrt(greatest({p}b2 / nullif({p}n, 0.0) - mb * mb, 0.0))", cov=f"{p}cb / nullif({p}n, 0.0) - mc * mb")
+
+
+_MIXED = "(wc * mc + wb * mb) / nullif(sqrt(wc * wc * sc * sc + wb * wb * sb * sb + 2.0 * wc * wb * cov), 0.0)"
+
+
+def _folds(years: Rel, least: int) -> Rel:
+    """Each year with the ratios of the other years, by subtraction from the total; null where these are too few or do not move."""
+    g = _moments(years, "o_").with_(wc="(1.0 / nullif(sc, 0.0)) / (1.0 / nullif(sc, 0.0) + 1.0 / nullif(sb, 0.0))").with_(wb="1.0 - wc", fine=f"o_n >= {least} AND sc > 1e-12 AND sb > 1e-12")
+    g = g.with_(book_ratio="CASE WHEN fine THEN mb / nullif(sb, 0.0) END", mix_ratio=f"CASE WHEN fine THEN {_MIXED} END")
+    return g.select("year", "last_year", "n", "c1", "b1", "c2", "b2", "cb", "o_n", "book_ratio", "mix_ratio", lift="mix_ratio - book_ratio")
+
+
 def leave_one_year_out(candidate: Rel, book: Rel, least: int = 40) -> Rel:
     """Per left-out year: the ratio of the inverse-volatility mix and of the book, on the other years."""
-    both = candidate.select("ts", c="net").join(book.select("ts", b="net"), "ts").with_(year="CAST(year(ts) AS INT)")
-    years = both.select("year").distinct().select(dropped="year")
-    folds = both.join(years, "a.year <> b.dropped")
-    g = folds.group("dropped", n="count(*)", sc="stddev_pop(c)", sb="stddev_pop(b)", mc="avg(c)", mb="avg(b)", cov="covar_pop(c, b)").where(f"n >= {least} AND sc > 1e-12 AND sb > 1e-12")
-    g = g.with_(wc="(1.0 / sc) / (1.0 / sc + 1.0 / sb)").with_(wb="1.0 - wc")
-    return g.select("dropped", "n", book_ratio="mb / sb", mix_ratio="(wc * mc + wb * mb) / sqrt(wc * wc * sc * sc + wb * wb * sb * sb + 2.0 * wc * wb * cov)").with_(lift="mix_ratio - book_ratio")
+    return _folds(_years(candidate, book), least).where("lift IS NOT NULL").select("book_ratio", "mix_ratio", "lift", dropped="year", n="CAST(o_n AS BIGINT)")
 
 
 def leg_gate(candidate: Rel, book: Rel, per_year: float = 252.0, most_rho: float = 0.3, least_lift: float = 0.03, least_share: float = 0.6, least: int = 60) -> Rel:
@@ -189,19 +207,17 @@ def leg_gate(candidate: Rel, book: Rel, per_year: float = 252.0, most_rho: float
 
     Positive by itself, uncorrelated with the book, a lift of the annual Sharpe ratio by
     the inverse-volatility mix, the lift positive in most years left out, and positive
-    without the last year.
+    without the last year.  Both streams are read once, into sums by year.
     """
-    both = candidate.select("ts", c="net").join(book.select("ts", b="net"), "ts").with_(year="CAST(year(ts) AS INT)")
-    g = both.group(n="count(*)", last_year="max(year)", sc="stddev_pop(c)", sb="stddev_pop(b)", mc="avg(c)", mb="avg(b)", cov="covar_pop(c, b)")
+    f = _folds(_years(candidate, book), 40)
+    g = f.group(**{k: f"sum({k})" for k in ("n", "c1", "b1", "c2", "b2", "cb")}, positive="avg(CASE WHEN lift > 0 THEN 1.0 WHEN lift IS NOT NULL THEN 0.0 END)", fold_lift="max(CASE WHEN year = last_year THEN lift END)")
+    g = _moments(g, "")
     g = g.with_(rho="CASE WHEN sc > 0 AND sb > 0 THEN cov / (sc * sb) ELSE 0.0 END", wc="sb / nullif(sc + sb, 0.0)").with_(wb="1.0 - wc")
-    g = g.with_(root=f"sqrt({per_year})").with_(candidate_sharpe="coalesce(mc / nullif(sc, 0.0), 0.0) * root", book_sharpe="coalesce(mb / nullif(sb, 0.0), 0.0) * root", combined_sharpe="(wc * mc + wb * mb) / sqrt(wc * wc * sc * sc + wb * wb * sb * sb + 2.0 * wc * wb * cov) * root")
-    folds = leave_one_year_out(candidate, book)
-    share = folds.group(positive="avg(CASE WHEN lift > 0 THEN 1.0 ELSE 0.0 END)")
-    g = g.join(share, "1 = 1", "left", hint=True).join(folds.select("dropped", fold_lift="lift"), "b.dropped = a.last_year", "left")
+    g = g.with_(root=f"sqrt({per_year})").with_(candidate_sharpe="coalesce(mc / nullif(sc, 0.0), 0.0) * root", book_sharpe="coalesce(mb / nullif(sb, 0.0), 0.0) * root", combined_sharpe=f"{_MIXED} * root")
     g = g.with_(lift="combined_sharpe - book_sharpe", without_last="coalesce(fold_lift, 0.0) * root", loo_share="coalesce(positive, 0.0)")
     checks = {"forward_positive": "candidate_sharpe > 0", "uncorrelated": f"abs(rho) < {most_rho}", "lifts": f"lift > {least_lift}", "robust_loo": f"loo_share >= {least_share}", "partial_year_safe": "without_last > 0"}
     g = g.with_(enough_overlap=f"n >= {least}", **{k: f"n >= {least} AND {v}" for k, v in checks.items()})
-    return g.select("n", "rho", "candidate_sharpe", "book_sharpe", "combined_sharpe", "lift", "loo_share", "without_last", "enough_overlap", *checks, passed=" AND ".join(checks))
+    return g.select("rho", "candidate_sharpe", "book_sharpe", "combined_sharpe", "lift", "loo_share", "without_last", "enough_overlap", *checks, n="CAST(n AS BIGINT)", passed=" AND ".join(checks))
 
 
 def regime(bench: Rel, lookback: int, per_year: float, trend: float = 0.04, vol: float = 0.25) -> Rel:

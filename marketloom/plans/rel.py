@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +44,7 @@ class Rel:
 
     @staticmethod
     def shared(name: str, plan: "Rel") -> "Rel":
-        """A plan that one query reads more than once: made once and kept in the executors, spilled to their disks; written out in SQL."""
+        """A plan that one query reads more than once: one DataFrame, so that Spark reuses its exchanges; nothing outlives the query."""
         return Rel((("shared", name, plan),))
 
     def _and(self, *step) -> "Rel":
@@ -88,7 +87,7 @@ class Rel:
                     out = tables[name]
                 case ("shared", name, plan):
                     if name not in tables:
-                        tables[name] = plan.df(tables).persist(StorageLevel.MEMORY_AND_DISK)
+                        tables[name] = plan.df(tables)
                     out = tables[name]
                 case ("with", columns):
                     out = out.select("*", *[F.expr(say(e)).alias(c) for c, e in columns.items()])
