@@ -72,19 +72,30 @@ def _tokens(packed: bytes) -> np.ndarray:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by their first column, those whose token another row has too."""
-    waiting, seen = None, None  # the last row so far, if it is not out yet, and its token
+    """Of rows sorted by their first column, those whose token another row has too.
+
+    With a column `early`, by which the rows of a token are sorted, tokens that have none go.
+    """
+    waiting, seen, useful = None, None, True  # the last row so far, if it is not out yet, its token, and whether that has an early row
     for batch in batches:
         token = batch.column(0).to_numpy()
         if not len(token):
             continue
         same = token[1:] == token[:-1]
-        goes_on = seen is not None and token[0] == seen
-        keep = np.concatenate([[goes_on], same]) | np.concatenate([same, [False]])
+        goes_on = seen is not None and bool(token[0] == seen)
+        repeats = np.concatenate([[goes_on], same]) | np.concatenate([same, [False]])
+        useful_here = np.ones(len(token), bool)
+        if "early" in batch.schema.names:
+            first = np.concatenate([[not goes_on], ~same])
+            heads = np.flatnonzero(first)
+            of_run = np.asarray(batch.column("early").to_numpy(zero_copy_only=False), bool)[heads]
+            useful_here = np.concatenate([[useful], of_run])[np.cumsum(first)]
+        keep = repeats & useful_here
         if goes_on and waiting is not None:
             yield waiting
         yield batch.filter(pa.array(keep))
-        waiting, seen = None if keep[-1] else batch.slice(len(token) - 1), token[-1]
+        waiting = batch.slice(len(token) - 1) if not repeats[-1] and useful_here[-1] else None
+        seen, useful = token[-1], bool(useful_here[-1])
 
 
 def _profile(s: np.ndarray) -> bytes:
@@ -213,19 +224,21 @@ def _fits(percent: int, low: Column, high: Column, reach: Column) -> Column:
     return sizes_fit & ((100 + percent) * F.least(tail, reach) >= percent * (n + low))
 
 
-def candidates(now: DataFrame, percent: int) -> DataFrame:
-    """Nodes of now(token, node, pos, n, gid, comp) with the entries of other groups and smaller components that share a token.
+def _early(percent: int) -> Column:
+    """Whether a token is among the first n - ceil(2 t / (1 + t) n) + 1 of a set of n.
 
-    Of two similar sets the smaller has a shared token among its first n - ceil(2 t / (1 + t) n) + 1,
-    fewer than its prefix.  Tokens behind those, such as what a template leaves in each
-    of its texts, only meet tokens before: a token that all texts have there meets nothing.
+    Of two similar sets the smaller shares a token with the other there.  Tokens behind
+    those, such as what a template leaves in each of its texts, only meet early ones: a token
+    that is late in all texts meets nothing.
     """
-    early = F.col("n") * (2 * percent) <= (F.col("n") - F.col("pos")) * (100 + percent)
-    now = now.withColumn("early", early)
-    other = now.groupBy("token", "gid", "comp", "early").agg(*_matrix()).select("token", F.col("gid").alias("g"), F.col("comp").alias("c"), F.col("early").alias("e"), "low", "high", "reach")
-    apart = (F.col("comp") > F.col("c")) & (F.col("gid") != F.col("g"))
-    first = now.where("early").join(other, "token").where(apart)
-    return first.unionByName(now.where("not early").join(other.where("e"), "token").where(apart))
+    return F.col("n") * (2 * percent) <= (F.col("n") - F.col("pos")) * (100 + percent)
+
+
+def candidates(now: DataFrame) -> DataFrame:
+    """Nodes of now(token, node, pos, n, early, gid, comp) with the entries of other groups and smaller components that share a token, one of the two early."""
+    other = now.groupBy("token", F.col("early").alias("slot"), "gid", "comp").agg(*_matrix()).select("token", "slot", F.col("gid").alias("g"), F.col("comp").alias("c"), "low", "high", "reach")
+    asks = now.withColumn("slot", F.explode(F.when(F.col("early"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    return asks.join(other, ["token", "slot"]).where((F.col("comp") > F.col("c")) & (F.col("gid") != F.col("g")))
 
 
 def join(docs: DataFrame, shingle: int = 3, percent: int = 90, shared: Shared | None = None) -> tuple[DataFrame, DataFrame]:
@@ -285,7 +298,7 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90, shared: Shared |
     members = shared.put(grouped.select("node", "n", "gid"), "members")
 
     def known_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(token, node, pos, frequent) of each token of a prefix; frequent ones are in the order of tokens."""
+        """(token, node, pos, n, frequent) of each token of a prefix; frequent ones are in the order of tokens."""
         known = order.value[0]
         for batch in batches:
             lists = batch.column(1)
@@ -294,13 +307,15 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90, shared: Shared |
             pos = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             at = np.minimum(np.searchsorted(known, token.view(np.uint64)), max(len(known) - 1, 0))
             frequent = known[at] == token.view(np.uint64) if len(known) else np.zeros(len(token), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(token), batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(pos.astype(np.int32)), pa.array(frequent)], ["token", "node", "pos", "frequent"])
+            yield pa.RecordBatch.from_arrays([pa.array(token), *[batch.column(k).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))) for k in (0, 2)], pa.array(pos.astype(np.int32)), pa.array(frequent)], ["token", "node", "n", "pos", "frequent"])
 
     # tokens of one node only link nothing.  A frequent token stays without being counted, so no key is hot here
-    place = reps.select("node", "prefix").mapInArrow(known_frequent, "token long, node long, pos int, frequent boolean")
-    rare = place.where("not frequent").select("token", "node", "pos").repartition(F.col("token")).sortWithinPartitions("token").mapInArrow(_repeated, "token long, node long, pos int")
-    kept = rare.unionByName(place.where("frequent").select("token", "node", "pos"))
-    tokens = shared.put(kept.join(sized(members), "node").select("token", "node", "pos", "n", "gid"), "tokens")
+    place = reps.select("node", "prefix", "n").mapInArrow(known_frequent, "token long, node long, n int, pos int, frequent boolean").withColumn("early", _early(percent))
+    columns = ["token", "node", "n", "pos", "early"]
+    rare = place.where("not frequent").select(columns).repartition(F.col("token")).sortWithinPartitions("token", F.desc("early")).mapInArrow(_repeated, "token long, node long, n int, pos int, early boolean")
+    leads = shared.put(place.where("frequent AND early").select("token").distinct(), "leads")  # of frequent tokens only
+    kept = rare.unionByName(place.where("frequent").select(columns).join(sized(leads), "token", "left_semi"))
+    tokens = shared.put(kept.join(sized(members.select("node", "gid")), "node").select("token", "node", "pos", "n", "early", "gid"), "tokens")
     shared.release()
 
     def opened(pairs: DataFrame, comps: DataFrame, name: str) -> DataFrame:
@@ -331,7 +346,7 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90, shared: Shared |
     links = opened(to_leader.union(members.join(crowded, "gid").select("node", "gid")), nothing, "lead")
     comps = shared.put(components(links, shared, "lead-star"), "lead-comps")
     now = tokens.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rest = candidates(now, percent).where(_fits(percent, F.col("low"), F.col("high"), F.col("reach")))
+    rest = candidates(now).where(_fits(percent, F.col("low"), F.col("high"), F.col("reach")))
     more = opened(rest.select("node", F.col("g").alias("gid")), comps, "rest")
     held = comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
     all_comps = components(held.union(more), shared, "star")

@@ -52,7 +52,7 @@ def test_templated_texts_that_are_not_linked_do_not_meet(spark, monkeypatch):
     def examined(rows):
         made = []
         real = jaccard.candidates
-        monkeypatch.setattr(jaccard, "candidates", lambda now, percent: made.append(real(now, percent)) or made[0])
+        monkeypatch.setattr(jaccard, "candidates", lambda now: made.append(real(now)) or made[0])
         got = jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
         monkeypatch.setattr(jaccard, "candidates", real)
         assert all(r["component_id"] == r["doc_id"] for r in got) and len(got) == len(rows)
@@ -60,3 +60,20 @@ def test_templated_texts_that_are_not_linked_do_not_meet(spark, monkeypatch):
 
     few, many = examined(texts(1000)), examined(texts(4000))
     assert few <= 20 * 1000 and many <= 20 * 4000
+
+
+def test_tokens_that_are_late_everywhere_go_from_a_sorted_stream():
+    import pyarrow as pa
+
+    from marketloom.llm import jaccard
+
+    rng = np.random.Generator(np.random.PCG64(9))
+    for _ in range(40):
+        token = np.sort(rng.integers(0, 12, 60))
+        early = rng.random(60) < 0.2
+        order = np.lexsort((~early, token))
+        token, early = token[order], early[order]
+        cuts = np.sort(rng.integers(0, 61, 5))
+        batches = [pa.RecordBatch.from_arrays([pa.array(t), pa.array(e)], ["token", "early"]) for t, e in zip(np.split(token, cuts), np.split(early, cuts))]
+        got = [(t, e) for b in jaccard._repeated(iter(batches)) for t, e in zip(*[c.to_pylist() for c in b.columns])]
+        assert got == [(t, e) for t, e in zip(token.tolist(), early.tolist()) if (token == t).sum() > 1 and early[token == t].any()]
