@@ -335,6 +335,23 @@ def make(name: str, **options) -> Step:
     return REGISTRY[name](**options)
 
 
+def signals(bars: DataFrame, strategies: list[str]) -> DataFrame:
+    """(symbol, strategy, ts, signal): what each strategy says at each bar; a signal moves its position at once.  One task a symbol and strategy."""
+    ts = bars.schema["ts"].dataType.simpleString()
+    every = bars.withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in strategies])))
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        state, act, out = State(), make(key[1]), []
+        for bar in rows.sort_values("ts").to_dict("records"):
+            state.push(bar)
+            said = act(state)
+            state.position = 1 if said == "buy" else 0 if said == "sell" else state.position
+            out.append((*key, bar["ts"], said))
+        return pd.DataFrame(out, columns=["symbol", "strategy", "ts", "signal"])
+
+    return every.groupBy("symbol", "strategy").applyInPandas(one, f"symbol string, strategy string, ts {ts}, signal string")
+
+
 def simulate(bars: pd.DataFrame, step: Step, start: float = 100_000.0, share: float = 0.95, cost_bps: float = 3.0, next_open: bool = True) -> pd.DataFrame:
     """Equity and trades of one symbol: a signal fills at the next bar's open (or at its own close), and what is held at the end is sold at the last close."""
     state, cash, qty, pending, rows = State(), start, 0.0, None, []

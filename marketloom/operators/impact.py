@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.sources.scratch import written
+
 LEAST_BETA, MOST_BETA = 0.2, 1.0
 #: Betas of a pass; each pass after the first narrows the bracket by half as many.
 GRID, PASSES = 17, 7
@@ -45,22 +47,20 @@ def power_law(records: DataFrame, keys: list[str], least: int = 4, ratio: float
     as 1.  Groups with fewer than `least` records, or with participations less than
     `ratio` apart, have no row.
     """
-    points = usable(records, keys).withColumn("sigma", F.coalesce(F.nullif("sigma", F.lit(0.0)), F.lit(1.0)))
+    points = written(usable(records, keys)).withColumn("sigma", F.coalesce(F.nullif("sigma", F.lit(0.0)), F.lit(1.0)))
     spread = points.groupBy(*keys).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).where((F.col("n") >= least) & (F.col("hi") / F.col("lo") >= ratio))
     bracket = spread.select(*keys, F.lit(LEAST_BETA).alias("first"), F.lit(MOST_BETA).alias("final"))
+    step = (F.col("final") - F.col("first")) / (GRID - 1)
     for _ in range(passes):
-        width = (F.col("final") - F.col("first")) / (GRID - 1)
-        met = points.join(bracket, keys)
-        sums = [F.count("*").cast("double").alias("n"), F.sum("y").alias("y"), F.sum(F.col("y") * F.col("y")).alias("yy"), F.first("first").alias("first"), F.first("final").alias("final")]
-        for g in range(GRID):
-            u = F.col("sigma") * F.pow("x", F.col("first") + width * g)
-            sums += [F.sum(u).alias(f"u{g}"), F.sum(u * u).alias(f"uu{g}"), F.sum(u * F.col("y")).alias(f"uy{g}")]
-        took = met.groupBy(*keys).agg(*sums)
-        tried = F.array(*[F.struct(_solved(F.col("n"), F.col("y"), F.col("yy"), F.col(f"u{g}"), F.col(f"uu{g}"), F.col(f"uy{g}")).alias("fit"), (F.col("first") + width * g).alias("beta")) for g in range(GRID)])
-        best = took.select(*keys, "n", width.alias("width"), F.array_min(tried).alias("best"))
-        low, high = F.greatest(F.col("best.beta") - F.col("width"), F.lit(LEAST_BETA)), F.least(F.col("best.beta") + F.col("width"), F.lit(MOST_BETA))
-        bracket = best.select(*keys, low.alias("first"), high.alias("final"), F.struct("n", "best").alias("found"))
-    return bracket.select(*keys, F.col("found.n").cast("long").alias("n"), F.col("found.best.fit.c").alias("c"), F.col("found.best.fit.eta").alias("eta"), F.col("found.best.beta").alias("beta"))
+        tried = points.join(bracket.select(*keys, "first", step.alias("step")), keys).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))))
+        tried = tried.select(*keys, "y", "step", (F.col("first") + F.col("step") * F.col("g")).alias("beta"), "g", "x", "sigma").withColumn("u", F.col("sigma") * F.pow("x", "beta"))
+        sums = {"y": F.sum("y"), "yy": F.sum(F.col("y") * F.col("y")), "u": F.sum("u"), "uu": F.sum(F.col("u") * F.col("u")), "uy": F.sum(F.col("u") * F.col("y"))}
+        took = tried.groupBy(*keys, "g").agg(F.count("*").cast("double").alias("n"), F.first("beta").alias("beta"), F.first("step").alias("step"), *[v.alias(k) for k, v in sums.items()])
+        solved = took.select(*keys, "g", "n", "beta", "step", _solved(*[F.col(c) for c in ("n", "y", "yy", "u", "uu", "uy")]).alias("fit"))
+        best = solved.groupBy(*keys).agg(F.min_by(F.struct("n", "beta", "step", "fit"), F.struct("fit.sse", "g")).alias("found"))
+        low, high = F.greatest(F.col("found.beta") - F.col("found.step"), F.lit(LEAST_BETA)), F.least(F.col("found.beta") + F.col("found.step"), F.lit(MOST_BETA))
+        bracket = best.select(*keys, low.alias("first"), high.alias("final"), "found")
+    return bracket.select(*keys, F.col("found.n").cast("long").alias("n"), F.col("found.fit.c").alias("c"), F.col("found.fit.eta").alias("eta"), F.col("found.beta").alias("beta"))
 
 
 def regime_slopes(records: DataFrame, keys: list[str], least: int = 4, ratio: float = 1.5) -> DataFrame:

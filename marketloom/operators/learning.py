@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.operators import pair_walks as pw
+from marketloom.sources.scratch import written
 
 FEATURES = ("abs_entry_z", "adf", "half_life", "abs_hedge", "lookback", "train_vol", "side")
 
@@ -100,12 +101,13 @@ def _probability(features: tuple, means: np.ndarray, deviations: np.ndarray, wei
 def fit_logit(rows: DataFrame, features: tuple[str, ...] = FEATURES, label: str = "label", l2: float = 1.0, steps: int = 500, rate: float = 0.3) -> Logit:
     """Gradient descent on rows(*features, label): each step's gradient is one aggregate, of which a row of as many numbers as weights comes back.
 
-    Features are standardised by the rows' own moments (a constant one counts as
+    The rows are written once, for every step to read.  Features are standardised by the rows' own moments (a constant one counts as
     deviation 1); rows with a null feature or label take no part; without rows all weights
     are 0.
     """
     features = tuple(features)
     rows = rows.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias(label)).dropna()
+    rows = written(rows)
     g = rows.agg(F.count("*").alias("n"), *[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"d_{f}") for f in features]).first()
     n, weights = g["n"], np.zeros(len(features) + 1)
     if not n:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.operators.pairs import ADF_KNOTS, ADF_LEAST, ADF_MOST, kalman
+from marketloom.sources.scratch import written
 
 ACTIVE, WARNING, HALTED = 0, 1, 2
 
@@ -214,7 +215,7 @@ def walk(bars: DataFrame, train: int = 252, test: int = 63, top: int = 10, short
         whole = calendar(bars, train, test, True).select("ts").distinct()
         bars = bars.join(whole, "ts", "left_semi")
     days = calendar(bars, train, test)
-    chosen = screened(bars, days, members(bars, days, train), train, top, shortest, longest, most_adf)
+    chosen = written(screened(bars, days, members(bars, days, train), train, top, shortest, longest, most_adf))
     labels = None
     if monitor is not None:
         pair = ["window", "left_key", "right_key"]

@@ -160,3 +160,34 @@ def book(bars: Rel, lookback: int = 60, enter: float = 2.0, least: int = 120, lo
     legs = z.select(symbol="left_key", v="0.5 * side").union(z.select(symbol="right_key", v="-0.5 * side * sign(hedge)"))
     net = legs.group("symbol", v="sum(v)")
     return net.with_(gross="sum(abs(v)) OVER ()").select("symbol", weight="v / nullif(gross, 0.0)")
+
+
+_PAIR = "OVER (PARTITION BY left_key, right_key ORDER BY ts"
+
+
+def _against_past(spreads: Rel, window: int) -> Rel:
+    """Spreads with the mean and variance of the `window` rows before, and the row's number from 0."""
+    before = f"{_PAIR} ROWS BETWEEN {window} PRECEDING AND 1 PRECEDING)"
+    return spreads.with_(m=f"avg(spread) {before}", v=f"var_pop(spread) {before}", place=f"row_number() {_PAIR}) - 1")
+
+
+def inventory_spread(spreads: Rel, window: int = 20, gamma: float = 1.0, most: float = 1.0, floor: float = 1e-8) -> Rel:
+    """`target` of each spread: (mean - spread) / (gamma variance) of the rows before, clipped; 0 until there are enough."""
+    q = f"(m - spread) / ({gamma!r} * greatest(v, {floor!r}))"
+    return _against_past(spreads, window).with_(target=f"CASE WHEN place >= {window} THEN greatest({-most!r}, least({most!r}, {q})) ELSE 0.0 END")
+
+
+def binary_spread(spreads: Rel, window: int = 20, enter: float = 2.0, leave: float = 0.5, most: float = 1.0) -> Rel:
+    """`target` of each spread: full against it beyond `enter`, 0 within `leave`, else as before.
+
+    Any state can be left for any other, so the target is the last event: no fold is needed.
+    """
+    z = _against_past(spreads, window).with_(z=f"CASE WHEN place >= {window} AND v > 0 THEN round((spread - m) / sqrt(v), 10) END")
+    said = z.with_(said=f"CASE WHEN z <= {-enter!r} THEN {most!r} WHEN z >= {enter!r} THEN {-most!r} WHEN abs(z) <= {leave!r} THEN 0.0 END")
+    return said.with_(target=f"coalesce(@last(said) {_PAIR} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0)")
+
+
+def spread_book(targets: Rel, cost_bps: float = 4.0) -> Rel:
+    """(left_key, right_key, ts, net) from each spread's second row on: the target of the row before earns the spread's step and pays for its change."""
+    b = targets.with_(held=f"coalesce(lag(target) {_PAIR}), 0.0)", older=f"coalesce(lag(target, 2) {_PAIR}), 0.0)", step=f"spread - lag(spread) {_PAIR})")
+    return b.where("step IS NOT NULL").select("left_key", "right_key", "ts", "target", net=f"held * step - abs(held - older) * {cost_bps / 1e4!r}")

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.sources.scratch import written
+
 #: Symbols of a block, and windows of a chunk.
 BLOCK, CHUNK = 64, 32
 
@@ -90,13 +92,13 @@ def scores(returns: DataFrame, lookback: int = 60, factors: int = 15, longest: f
     a half-life beyond `longest`.  Fewer than five symbols, or than lookback + 20 times,
     give an empty result.
     """
-    rows = numbered(returns)
+    rows = written(numbered(returns))
     size = rows.agg(F.max("d"), F.max("k")).first()
     times, symbols = (size[0] + 1, size[1] + 1) if size[0] is not None else (0, 0)
     if times < lookback + 20 or symbols < 5:
         return rows.select("symbol", "ts", "ret", F.lit(None).cast("double").alias("score")).limit(0)
     m = min(factors, symbols - 1)
-    load = loadings(products(rows, symbols, times, lookback, block, chunk), symbols, lookback, factors, block)
+    load = written(loadings(products(rows, symbols, times, lookback, block, chunk), symbols, lookback, factors, block))
     first, final = F.greatest(F.col("d") + 1, F.lit(lookback)), F.least(F.col("d") + lookback, F.lit(times - 1))
     seen = rows.where(first <= final).select("k", "d", "ret", F.explode(F.sequence(first, final)).alias("t")).join(load, ["t", "k"])
     factor = seen.groupBy("t", "d").agg(*[F.sum(F.col(f"q{f}") * F.col("ret")).alias(f"f{f}") for f in range(m)])

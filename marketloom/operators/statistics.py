@@ -187,12 +187,13 @@ def _moments(rel: Rel, p: str) -> Rel:
     return r.with_(sc=f"sqrt(greatest({p}c2 / nullif({p}n, 0.0) - mc * mc, 0.0))", sb=f"sqrt(greatest({p}b2 / nullif({p}n, 0.0) - mb * mb, 0.0))", cov=f"{p}cb / nullif({p}n, 0.0) - mc * mb")
 
 
-_MIXED = "(wc * mc + wb * mb) / nullif(sqrt(wc * wc * sc * sc + wb * wb * sb * sb + 2.0 * wc * wb * cov), 0.0)"
+#: The ratio of the mix by inverse volatility: weights sb and sc over their sum, which cancels.
+_MIXED = "(sb * mc + sc * mb) / nullif(sqrt(greatest(2.0 * sb * sc * (sb * sc + cov), 0.0)), 0.0)"
 
 
 def _folds(years: Rel, least: int) -> Rel:
     """Each year with the ratios of the other years, by subtraction from the total; null where these are too few or do not move."""
-    g = _moments(years, "o_").with_(wc="(1.0 / nullif(sc, 0.0)) / (1.0 / nullif(sc, 0.0) + 1.0 / nullif(sb, 0.0))").with_(wb="1.0 - wc", fine=f"o_n >= {least} AND sc > 1e-12 AND sb > 1e-12")
+    g = _moments(years, "o_").with_(fine=f"o_n >= {least} AND sc > 1e-12 AND sb > 1e-12")
     g = g.with_(book_ratio="CASE WHEN fine THEN mb / nullif(sb, 0.0) END", mix_ratio=f"CASE WHEN fine THEN {_MIXED} END")
     return g.select("year", "last_year", "n", "c1", "b1", "c2", "b2", "cb", "o_n", "book_ratio", "mix_ratio", lift="mix_ratio - book_ratio")
 
@@ -212,8 +213,8 @@ def leg_gate(candidate: Rel, book: Rel, per_year: float = 252.0, most_rho: float
     f = _folds(_years(candidate, book), 40)
     g = f.group(**{k: f"sum({k})" for k in ("n", "c1", "b1", "c2", "b2", "cb")}, positive="avg(CASE WHEN lift > 0 THEN 1.0 WHEN lift IS NOT NULL THEN 0.0 END)", fold_lift="max(CASE WHEN year = last_year THEN lift END)")
     g = _moments(g, "")
-    g = g.with_(rho="CASE WHEN sc > 0 AND sb > 0 THEN cov / (sc * sb) ELSE 0.0 END", wc="sb / nullif(sc + sb, 0.0)").with_(wb="1.0 - wc")
-    g = g.with_(root=f"sqrt({per_year})").with_(candidate_sharpe="coalesce(mc / nullif(sc, 0.0), 0.0) * root", book_sharpe="coalesce(mb / nullif(sb, 0.0), 0.0) * root", combined_sharpe=f"{_MIXED} * root")
+    g = g.with_(rho="CASE WHEN sc > 0 AND sb > 0 THEN cov / (sc * sb) ELSE 0.0 END")
+    g = g.with_(root=f"sqrt({per_year})").with_(candidate_sharpe="coalesce(mc / nullif(sc, 0.0), 0.0) * root", book_sharpe="coalesce(mb / nullif(sb, 0.0), 0.0) * root", combined_sharpe=f"coalesce({_MIXED}, 0.0) * root")
     g = g.with_(lift="combined_sharpe - book_sharpe", without_last="coalesce(fold_lift, 0.0) * root", loo_share="coalesce(positive, 0.0)")
     checks = {"forward_positive": "candidate_sharpe > 0", "uncorrelated": f"abs(rho) < {most_rho}", "lifts": f"lift > {least_lift}", "robust_loo": f"loo_share >= {least_share}", "partial_year_safe": "without_last > 0"}
     g = g.with_(enough_overlap=f"n >= {least}", **{k: f"n >= {least} AND {v}" for k, v in checks.items()})

@@ -115,6 +115,9 @@ _ALL["before_event"] = p.before_event_position(BARS, Rel.table("orders").select(
 for _name, _r in _ALL.items():
     rel(f"position_{_name}", shown(p.positioned(_r), "position", "net"))
 
+_DTC_CHANGE = _REPORTS.where("days_to_cover IS NOT NULL").with_(before="lag(days_to_cover) OVER (PARTITION BY symbol ORDER BY settled)").where("before IS NOT NULL").select("symbol", "settled", days_to_cover="round(days_to_cover - before, 8)")
+rel("signal_short_interest_change", shown(p.short_interest(PANEL, _DTC_CHANGE, 2), "signal", digits=10))
+
 # events
 _SURPRISES = p.growth(FACTS, "net_income").where("growth IS NOT NULL").select("symbol", event_ts="filed", surprise="round(100.0 * growth, 8)")
 for _leg in ("both", "long", "short"):
@@ -152,6 +155,9 @@ FILLS = ex.fills(BARS)
 rel("pairs_screen", pairs.screen(BARS, 120, 2.0, 200.0).select("left_key", "right_key", "n", "hedge", "half_life", adf="round(adf, 6)"))
 rel("pairs_reversion", pairs.reversion(BARS, 60).select("left_key", "right_key", "n", hedge="round(hedge, 7)", adf="round(adf, 6)", sigma="round(sigma, 7)"))
 rel("pairs_book", pairs.book(BARS, 60, 1.0, 120, 500.0).select("symbol", weight="round(weight, 8)"))
+_SPREADS = pairs.hedged(BARS, 60)
+for _kind, _targets in {"inventory": pairs.inventory_spread(_SPREADS, 20, 40.0), "binary": pairs.binary_spread(_SPREADS, 20)}.items():
+    rel(f"spread_{_kind}", pairs.spread_book(_targets).group("left_key", "right_key", n="count(*)", total="sum(net)", held="avg(abs(target))").select("left_key", "right_key", "n", total="round(total, 7) + 0.0", held="round(held, 7)"))
 rel("micro_price", ex.microprice(QUOTES).select("event_id", "lean", micro="round(micro, 10) + 0.0", tilt="round(tilt, 8) + 0.0"))
 rel("micro_order_flow", ex.order_flow(QUOTES).select("event_id", ofi="round(ofi, 8)"))
 rel("micro_quote_quality", ex.quote_quality(QUOTES).select("symbol", "quotes", "books", spread_p50="round(spread_p50, 6)", tilt_p75="round(tilt_p75, 6)"))
@@ -169,19 +175,13 @@ _CHECKS = {"NO_PRICE": "notional IS NULL", "MAX_ORDER_NOTIONAL": "notional > 250
 rel("risk_codes", _ORDERS.with_(code=ex.risk_code(_CHECKS)).group("code", orders="count(*)", notional="sum(notional)").select("code", "orders", notional="round(notional, 2)"))
 rel("risk_rate_limit", ex.rate_limited(_ORDERS.with_(epoch="CAST(o_orderkey AS BIGINT)"), "o_custkey", 2000, 3).select("o_orderkey", "recent", "limited"))
 rel("borrow_rates", BARS.select("symbol", ts="CAST(ts AS STRING)", apr=f"round({ex.borrow_apr('volume / 100.0', 0.003, 0.002, 0.05)}, 9)"))
+_ACCOUNTS = Rel.table("orders").with_(month="CAST(12 * year(o_orderdate) + month(o_orderdate) AS INT)").group("o_custkey", "month", day_trades="sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)")
+rel("risk_day_trades", ex.day_trade_blocked(_ACCOUNTS, "o_custkey", "month").select("o_custkey", "month", "blocked", recent="CAST(recent AS BIGINT)"))
 rel("calendar_sessions", Rel.table("events").select("event_id", session="CAST(@session(ts) AS STRING)", clock="@clock(ts)").with_(
     kind=cal.session()).with_(tradeable=cal.tradeable(), extended=cal.tradeable(extended=True), covered=cal.covered()))
 rel("events_daily_counts", Rel.table("events").group("event_type", "user_id", n="count(*)").group("event_type", users="count(*)", most="max(n)"))
 
 
-def _walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = pairs.walk_forward(BARS.df(t.tables(spark, sf_dir)), lookback=20, enter=1.5, longest=100.0)
-    return got.selectExpr("window", "CAST(ts AS STRING) AS ts", "left_key", "right_key", "round(ret, 9) AS ret")
-
-
-QUERIES["pairs_walk_forward"] = _walk_forward
-
-
 def _asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = t.tables(spark, sf_dir)
     orders = tables["orders"].selectExpr("o_orderkey", "o_orderdate AS ts", "element_at(array('click', 'view', 'purchase', 'signup'), CAST(o_orderkey % 4 AS INT) + 1) AS symbol")
@@ -195,17 +195,6 @@ WITH q AS (SELECT symbol, ts, max(bid) AS bid FROM ({QUOTES.sql(t.SCHEMA_NAMES)}
 o AS (SELECT o_orderkey, o_orderdate AS ts, (['click', 'view', 'purchase', 'signup'])[CAST(o_orderkey % 4 AS INT) + 1] AS symbol FROM orders)
 SELECT o.o_orderkey, o.symbol, q.bid FROM o ASOF LEFT JOIN q ON o.symbol = q.symbol AND o.ts >= q.ts"""
 
-from marketloom.operators import folds  # noqa: E402
-
-
-def _strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = BARS.df(t.tables(spark, sf_dir)).selectExpr("*", "date_format(ts, 'yyyy-MM') AS session")
-    got = folds.backtest(bars, folds.available())
-    return got.groupBy("symbol", "strategy").agg({"equity": "max", "fill": "count"}).selectExpr("symbol", "strategy", "round(`max(equity)`, 4) AS top_equity")
-
-
-QUERIES["strategy_table"] = _strategies
-
 from marketloom.operators import overlays as ov  # noqa: E402
 
 stats("overlay_tail_hedge", ov.tail_hedge(BENCH, 26, -0.1, 2.5))
@@ -222,7 +211,8 @@ rel("events_daily_sum", Rel.table("events").with_(day="CAST(ts AS DATE)").group(
 
 from marketloom.plans import written  # noqa: E402
 
-_BARS_SQL = BARS.sql(t.SCHEMA_NAMES)
+_BARS_SQL = written.bars()
+ORACLES["bars_weekly"] = f"SELECT symbol, CAST(ts AS VARCHAR) AS ts, {', '.join(f'round({c}, 8) + 0e0 AS {c}' for c in ('open', 'high', 'low', 'close', 'volume'))} FROM ({_BARS_SQL})"
 ORACLES["factor_momentum_daily"] = written.factor_momentum(_BARS_SQL, 12, K, 4, 2.0)
 for _name, _reverse in {"momentum": False, "reversal": True}.items():
     ORACLES[f"cross_sectional_{_name}_daily"] = written.cross_sectional(_BARS_SQL, 12, K, 4, 2.0, _reverse)
@@ -232,3 +222,8 @@ _REPORTS_SQL = _REPORTS.sql(t.SCHEMA_NAMES)
 for _name, _reverse in {"tilt": True, "chase": False}.items():
     ORACLES[f"short_interest_{_name}_daily"] = written.short_interest_tilt(_BARS_SQL, _REPORTS_SQL, K, 2, 2.0, _BORROW, YEAR, _reverse)
 ORACLES["combine_report"] = written.combo_report(_STREAMS.sql(t.SCHEMA_NAMES), YEAR)
+
+from marketloom.plans import studies  # noqa: E402
+
+QUERIES.update(studies.QUERIES)
+ORACLES.update(studies.ORACLES)
