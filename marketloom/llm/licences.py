@@ -8,8 +8,10 @@ bigrams.  Before any bigram is made, lines go whose words are too few or whose
 distinct words are too many for that; their length says nothing.  The whole text
 counts as one more unit, for files that are a licence.  Besides, windows of the
 normalised text, lines disregarded, are compared with the templates and with the
-longer licence texts: windows begin and end at a bigram of the template, and only
-those with enough such bigrams for the threshold are looked at.
+longer licence texts: all windows that begin and end at a bigram of the template, have
+enough of them for the threshold, and are no longer than (2-t)/t times the template,
+counting repeated bigrams.  Any unit or passage that reaches the threshold holds one that
+is cut to its outermost bigrams of the template and scores as much or more.
 """
 
 from __future__ import annotations
@@ -81,7 +83,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     with the largest coefficient (ties: the smaller name), null below the threshold;
     dice is 0 then.  n_units counts the units that match any template, and one more
     for each licence that only windows show.  Null,
-    empty and one-word texts match nothing; repeated rows each give a row.
+    empty and one-word texts match nothing; repeated rows each give a row; an empty table
+    gives an empty result.  A text of any length is read whole, in one task; equal
+    coefficients fall to the smaller name.  Other columns are not looked at.
     """
     bodies = BODIES if templates is None else ()
     templates = TEMPLATES if templates is None else templates
@@ -102,21 +106,19 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     def coefficient(g: Column, grams: list[str]) -> Column:
         return F.size(F.array_intersect(g, F.array(*[F.lit(x) for x in grams]))) * 2.0 / (F.size(g) + len(grams))
 
-    def window(at: Column, i: Column, size: int, grams: list[str]) -> Column:
-        """The coefficient of the pairs from the i-th mark to the last one within the size."""
-        first = F.element_at(at, i)
-        last = F.array_max(F.filter(F.slice(at, i, size), lambda x: x < first + size))
-        return let(F.array_distinct(F.slice("pairs", first + 1, last - first + 1)), lambda g: coefficient(g, grams))
-
     def windows(name: str, grams: list[str], n: int) -> Column:
-        need = max(1, math.ceil(len(grams) * least))
+        """The largest coefficient of all windows that begin and end at a bigram of the template, and have enough marks and at most `size` bigrams."""
+        need, size = max(1, math.ceil(len(grams) * least)), int(n * most) + 1
 
         def best_of(at: Column) -> Column:
-            def largest(size: int) -> Column:
-                starts = F.filter(F.sequence(F.lit(1), F.size(at) - need + 1), lambda i: F.element_at(at, i + need - 1) - F.element_at(at, i) < size)
-                return F.array_max(F.transform(starts, lambda i: window(at, i, size, grams)))
+            def from_mark(i: Column) -> Column:
+                first = F.element_at(at, i)
+                ends = F.filter(F.slice(at, i + need - 1, size), lambda last: last - first < size)
+                made = F.transform(ends, lambda last: let(F.array_distinct(F.slice("pairs", first + 1, last - first + 1)), lambda g: coefficient(g, grams)))
+                return F.array_max(made)
 
-            return F.when(F.size(at) >= need, F.greatest(largest(n), largest(int(n * most) + 1)))
+            starts = F.filter(F.sequence(F.lit(1), F.size(at) - need + 1), lambda i: F.element_at(at, i + need - 1) - F.element_at(at, i) < size)
+            return F.when(F.size(at) >= need, F.array_max(F.transform(starts, from_mark)))
 
         at = F.transform(F.filter("marks", lambda m: m["gram"].isin(grams)), lambda m: m["at"])
         return F.struct(F.coalesce(let(at, best_of), F.lit(0.0)).alias("dice"), F.lit(name).alias("licence"))
@@ -144,21 +146,36 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
 
 def op10_licences(spark, sf_dir: str) -> DataFrame:
+    """The licences of all documents; `scan` states the cases."""
     return scan(read(spark, sf_dir, "documents"))
 
 
 def _oracle() -> str:
-    rows = ", ".join("('{}', [{}])".format(k, ", ".join("'" + g + "'" for g in _plain_bigrams(v))) for k, v in sorted(TEMPLATES.items()))
+    """DuckDB SQL over the same templates: every line, the whole text, and every window; nothing is left out for its length."""
+    least, most = THRESHOLD / (2 - THRESHOLD) * (1 - 1e-9), (2 - THRESHOLD) / THRESHOLD * (1 + 1e-9)
+    quoted = lambda grams: "[" + ", ".join(f"'{g}'" for g in grams) + "]"
+    rows = []
+    for no, (name, text) in enumerate([*sorted(TEMPLATES.items()), *BODIES]):
+        grams = _plain_bigrams(text)
+        size = int((len(_plain_words(text)) - 1) * most) + 1
+        rows.append(f"({no}, '{name}', {quoted(grams)}, {len(grams)}, {max(1, math.ceil(len(grams) * least))}, {size}, {str(no < len(TEMPLATES)).lower()})")
     return f"""
-WITH t(licence, b) AS (VALUES {rows}),
-u AS (SELECT doc_id, unnest(list_distinct(list_append(string_split(coalesce(text, ''), chr(10)), coalesce(text, '')))) AS unit FROM documents),
-w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM u WHERE length(unit) <= 4000),
-g AS (SELECT doc_id, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS g, row_number() OVER () AS unit_no FROM w WHERE len(w) BETWEEN 2 AND 100),
-m AS (SELECT doc_id, unit_no, licence, 2.0 * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM g, t),
-best AS (SELECT doc_id, unit_no, max(dice) AS dice, arg_min(licence, (-dice, licence)) AS licence FROM m WHERE dice >= {THRESHOLD} GROUP BY 1, 2),
-top AS (SELECT doc_id, arg_min(licence, (-dice, licence)) AS licence, max(dice) AS dice, count(*) AS n_units FROM best GROUP BY 1)
-SELECT d.doc_id, top.licence, round(coalesce(top.dice, 0.0), 9) AS dice, coalesce(top.n_units, 0) AS n_units
-FROM documents d LEFT JOIN top USING (doc_id)"""
+WITH t(no, licence, b, nb, need, size, line) AS (VALUES {", ".join(rows)}),
+tg AS (SELECT no, unnest(b) AS gram FROM t),
+u AS (SELECT doc_id, text, unnest(list_distinct(list_append(string_split(coalesce(text, ''), chr(10)), coalesce(text, '')))) AS unit FROM documents),
+w AS (SELECT doc_id, row_number() OVER () AS unit_no, unit = text AS whole, string_split(trim(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM u),
+g AS (SELECT doc_id, unit_no, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) >= 2),
+m AS (SELECT doc_id, unit_no, licence, 2.0 * len(list_intersect(g, b)) / (len(g) + nb) AS dice FROM g JOIN t ON line AND len(g) BETWEEN nb * {least!r} AND nb * {most!r}),
+hit AS (SELECT doc_id, unit_no, max(dice) AS dice, arg_min(licence, (-dice, licence)) AS licence FROM m WHERE dice >= {THRESHOLD} GROUP BY 1, 2),
+p AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 1)) AS i FROM w WHERE whole AND len(w) >= 2)),
+k AS (SELECT p.doc_id, tg.no, p.i, row_number() OVER (PARTITION BY p.doc_id, tg.no ORDER BY p.i) AS rn FROM p JOIN tg USING (gram)),
+c AS (SELECT a.doc_id, a.no, a.i AS f, z.i AS l FROM k a JOIN t ON t.no = a.no JOIN k z ON z.doc_id = a.doc_id AND z.no = a.no AND z.rn >= a.rn + need - 1 AND z.i - a.i < size),
+d AS (SELECT c.doc_id, c.no, f, l, count(DISTINCT p.gram) AS g, count(DISTINCT tg.gram) AS shared FROM c JOIN p ON p.doc_id = c.doc_id AND p.i BETWEEN f AND l LEFT JOIN tg ON tg.no = c.no AND tg.gram = p.gram GROUP BY 1, 2, 3, 4),
+shown AS (SELECT doc_id, licence, max(2.0 * shared / (g + nb)) AS dice FROM d JOIN t USING (no) GROUP BY doc_id, no, licence HAVING max(2.0 * shared / (g + nb)) >= {THRESHOLD}),
+every AS (SELECT doc_id, dice, licence FROM hit UNION ALL SELECT doc_id, dice, licence FROM shown),
+top AS (SELECT doc_id, arg_min(licence, (-dice, licence)) AS licence, max(dice) AS dice FROM every GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unit_no AS x, '' AS y FROM hit UNION ALL SELECT DISTINCT s.doc_id, 0, s.licence FROM shown s WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.doc_id = s.doc_id AND hit.licence = s.licence)) GROUP BY 1)
+SELECT documents.doc_id, top.licence, round(coalesce(top.dice, 0.0), 9) AS dice, coalesce(n.n, 0) AS n_units FROM documents LEFT JOIN top USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
 
 ORACLE = _oracle()

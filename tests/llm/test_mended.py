@@ -77,3 +77,67 @@ def test_tokens_that_are_late_everywhere_go_from_a_sorted_stream():
         batches = [pa.RecordBatch.from_arrays([pa.array(t), pa.array(e)], ["token", "early"]) for t, e in zip(np.split(token, cuts), np.split(early, cuts))]
         got = [(t, e) for b in jaccard._repeated(iter(batches)) for t, e in zip(*[c.to_pylist() for c in b.columns])]
         assert got == [(t, e) for t, e in zip(token.tolist(), early.tolist()) if (token == t).sum() > 1 and early[token == t].any()]
+
+
+def plain_licence(text, templates, bodies, threshold):
+    """By brute force: all lines, the whole text, and all windows of its words; (licence, dice) of the best."""
+    words = lambda t: "".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()
+    pairs = lambda w: list(zip(w, w[1:]))
+    best = (0.0, None)
+
+    def tried(g, name, b):
+        nonlocal best
+        g = set(g)
+        d = 2 * len(g & b) / (len(g) + len(b)) if g else 0.0
+        if d >= threshold - 1e-12 and (d > best[0] + 1e-12 or (abs(d - best[0]) < 1e-12 and name < best[1])):
+            best = (d, name)
+
+    every = pairs(words(text))
+    for name, template in [*templates.items(), *bodies]:
+        tw = words(template)
+        b = set(pairs(tw))
+        if (name, template) not in bodies:
+            for unit in [*text.split("\n"), text]:
+                tried(pairs(words(unit)), name, b)
+        longest = int((len(tw) - 1) * (2 - threshold) / threshold * (1 + 1e-9)) + 1
+        for i in range(len(every)):
+            for j in range(i + 1, min(i + longest, len(every)) + 1):
+                if every[i] in b and every[j - 1] in b:
+                    tried(every[i:j], name, b)
+    return best[1], round(best[0], 9)
+
+
+def test_licences_in_all_windows_against_brute_force(spark):
+    rng = np.random.Generator(np.random.PCG64(21))
+    noise = "the of source and code with to in permitted foo bar licence a work public domain under this".split()
+    texts = ["", None, "one", licences.TEMPLATES["MIT"] * 3]
+    bsd = licences.TEMPLATES["BSD-3-Clause"].split()
+    inserted = bsd[:9] + "x1 x2 x3 x4 x5 x6 x7".split() + bsd[9:]
+    texts += [" ".join(inserted), "at first " + " ".join(inserted) + " a b source and"]
+    names = sorted(licences.TEMPLATES)
+    for k in range(60):
+        w = licences.TEMPLATES[names[k % len(names)]].split()
+        for _ in range(rng.integers(0, 5)):
+            at = int(rng.integers(0, len(w)))
+            w = w[:at] + w[at + 1 :] if rng.random() < 0.5 else w[:at] + [str(rng.choice(noise))] + w[at:]
+        before, after = ([str(x) for x in rng.choice(noise, int(rng.integers(0, 12)))] for _ in range(2))
+        joints = ["\n" if rng.random() < 0.08 else " " for _ in range(len(before) + len(w) + len(after))]
+        texts.append("".join(x + j for x, j in zip([*before, *w, *after], joints)))
+    body = licences.BODIES[0][1].split()
+    texts.append("preface text\n" + " ".join(body[:40] + ["changed"] + body[42:]) + "\nthe end of the software")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["licence"], r["dice"]) for r in licences.scan(docs).collect()}
+    found = 0
+    for i, text in enumerate(texts):
+        want = plain_licence(text or "", licences.TEMPLATES, licences.BODIES, 0.8)
+        assert got[i] == want, (i, text, want)
+        found += want[0] is not None
+    assert 20 < found < len(texts)
+    assert licences.scan(docs.limit(0)).collect() == []
+
+
+def test_equal_coefficients_fall_to_the_smaller_name(spark):
+    templates = {"B": "alpha beta gamma delta", "A": "delta gamma beta alpha"}
+    docs = spark.createDataFrame([(1, "delta gamma beta alpha beta gamma delta"), (2, "alpha beta gamma delta")], "doc_id long, text string")
+    got = {r["doc_id"]: r["licence"] for r in licences.scan(docs, templates).collect()}
+    assert got == {1: "A", 2: "B"}
