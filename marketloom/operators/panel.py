@@ -82,9 +82,17 @@ def interval_sum(calendar: Rel, facts: Rel, amount: str, at: str) -> Rel:
 
 
 def nearest(left: Rel, right: Rel, value: str, at: str, tolerance: int) -> Rel:
-    """The value of the right row nearest in days, within the tolerance; ties to the earlier."""
-    near = left.join(right.select("symbol", day_at=at, v=value), "a.symbol = b.symbol").with_(gap="abs(@days(day_at, ts))").where(f"gap <= {tolerance}")
-    return near.with_(n="row_number() OVER (PARTITION BY symbol, ts ORDER BY gap, day_at)").where("n = 1").select("symbol", "ts", near_at="day_at", value="v")
+    """The value of the right row nearest in days, within the tolerance; ties to the earlier.
+
+    Both sides are stacked and scanned in either direction: one shuffle by symbol, no range join.
+    """
+    told = right.where(f"{at} IS NOT NULL").select("symbol", stamp=at, side="0", v=f"coalesce(CAST({value} AS DOUBLE), -1e300)")
+    stack = left.select("symbol", stamp="ts", side="1", v="CAST(NULL AS DOUBLE)").union(told).with_(told_at="CASE WHEN side = 0 THEN stamp END")
+    back, ahead = (f"OVER (PARTITION BY symbol ORDER BY stamp{d}, side{d} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" for d in ("", " DESC"))
+    met = stack.with_(p_at=f"@last(told_at) {back}", p_v=f"@last(v) {back}", n_at=f"@last(told_at) {ahead}", n_v=f"@last(v) {ahead}").where("side = 1")
+    met = met.with_(p_gap="@days(stamp, p_at)", n_gap="@days(n_at, stamp)").with_(behind="n_gap IS NULL OR p_gap <= n_gap")
+    near = met.select("symbol", ts="stamp", near_at="CASE WHEN behind THEN p_at ELSE n_at END", v="CASE WHEN behind THEN p_v ELSE n_v END", gap="CASE WHEN behind THEN p_gap ELSE n_gap END")
+    return near.where(f"gap <= {tolerance}").group("symbol", "ts", near_at="max(near_at)", value="nullif(max(v), -1e300)")
 
 
 def tail(rel: Rel, key: str = "symbol") -> Rel:

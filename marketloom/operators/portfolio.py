@@ -320,5 +320,9 @@ def announcement_returns(bars: Rel, events: Rel, window: int = 3) -> Rel:
 
 
 def recent_buyers(panel: Rel, buys: Rel, days: int = 90) -> Rel:
-    """The panel rows whose symbol was bought in the `days` before (an interval semi-join)."""
-    return panel.join(buys, f"a.symbol = b.symbol AND b.bought <= a.ts AND @days(a.ts, b.bought) < {days}", "left_semi")
+    """The panel rows whose symbol was bought in the `days` before: the last purchase is carried along one scan of both, stacked."""
+    told = buys.where("bought IS NOT NULL").select("symbol", stamp="bought", side="0", told_at="bought")
+    stack = panel.select("symbol", stamp="ts", side="1", told_at="CAST(NULL AS DATE)").union(told)
+    met = stack.with_(last_bought="@last(told_at) OVER (PARTITION BY symbol ORDER BY stamp, side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+    hit = met.where(f"side = 1 AND @days(stamp, last_bought) < {days}").select("symbol", ts="stamp").distinct()
+    return panel.join(hit, "symbol, ts", "left_semi")

@@ -222,6 +222,8 @@ _REPORTS_SQL = _REPORTS.sql(t.SCHEMA_NAMES)
 for _name, _reverse in {"tilt": True, "chase": False}.items():
     ORACLES[f"short_interest_{_name}_daily"] = written.short_interest_tilt(_BARS_SQL, _REPORTS_SQL, K, 2, 2.0, _BORROW, YEAR, _reverse)
 ORACLES["combine_report"] = written.combo_report(_STREAMS.sql(t.SCHEMA_NAMES), YEAR)
+ORACLES["join_nearest_statement"] = written.nearest(FACTS.sql(t.SCHEMA_NAMES), 120)
+ORACLES["event_recent_buyers"] = written.recent_buyers(30)
 
 from marketloom.plans import studies  # noqa: E402
 

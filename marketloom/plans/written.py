@@ -214,3 +214,18 @@ def ledger_chain() -> str:
 
 def ledger_check() -> str:
     return "SELECT CAST(o_custkey AS VARCHAR) AS log, count(*) AS total, true AS ok, CAST(NULL AS BIGINT) AS broken_at_seq FROM orders GROUP BY o_custkey"
+
+
+def nearest(facts: str, tolerance: int) -> str:
+    """The shares of the statement nearest in days."""
+    return f"""
+WITH b AS ({bars()}), f AS ({facts}),
+n AS (SELECT b.symbol, b.ts, f.shares, row_number() OVER (PARTITION BY b.symbol, b.ts ORDER BY abs(date_diff('day', f.fy_end, b.ts)), f.fy_end) AS place FROM b JOIN f ON f.symbol = b.symbol AND abs(date_diff('day', f.fy_end, b.ts)) <= {tolerance})
+SELECT symbol, CAST(ts AS VARCHAR) AS ts, round(CAST(shares AS DOUBLE), 6) + 0e0 AS value FROM n WHERE place = 1"""
+
+
+def recent_buyers(days: int) -> str:
+    """Each date's bars whose symbol has a large filled order in the days before."""
+    return f"""
+WITH b AS ({bars()}), o AS (SELECT 'S' || lpad(CAST(o_custkey % 16 AS VARCHAR), 2, '0') AS symbol, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000)
+SELECT count(*) AS names, CAST(ts AS VARCHAR) AS ts, round(avg(close), 10) AS mean FROM b WHERE EXISTS (SELECT 1 FROM o WHERE o.symbol = b.symbol AND o.day <= b.ts AND date_diff('day', o.day, b.ts) < {days}) GROUP BY ts"""
