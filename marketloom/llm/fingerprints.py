@@ -138,7 +138,7 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     cuts = sorted(set(d.select("doc_id").where(F.col("doc_id").isNotNull()).approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
-    d = d.withColumn("range", F.coalesce(_place(F.col("doc_id"), [int(c) for c in cuts]), F.lit(len(cuts))).cast("int"))
+    d = d.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(_place(F.col("doc_id"), [int(c) for c in cuts])).cast("int"))
     heads = sorted((r["range"], r["first"]) for r in d.groupBy("range").agg(F.min("doc_id").alias("first")).collect())
     # the first id of a range -> the filled range before it
     lent = [(first, heads[i - 1][0]) for i, (_, first) in enumerate(heads) if first is not None]
@@ -154,7 +154,9 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
 def edited(docs: DataFrame, samples: int = SAMPLES, ranges: int | None = None) -> DataFrame:
     """Each document's fingerprint, and those of its text with the second half replaced from the next document.
 
-    Null texts are empty; the only document of a table is its own next one.
+    Null texts are empty; the only document of a table is its own next one.  Rows of one id
+    follow each other by a hash of their texts, null ids come last.  A long text is taken
+    whole, in one task; an empty table gives an empty result.  Other columns are not looked at.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
@@ -199,4 +201,5 @@ def edited(docs: DataFrame, samples: int = SAMPLES, ranges: int | None = None) -
 
 
 def op5_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """The fingerprints of all documents and of their edited texts; `edited` states the cases."""
     return edited(read(spark, sf_dir, "documents"))
