@@ -202,7 +202,8 @@ def fit(docs: DataFrame, families: dict[str, str] | None = None, per_language: i
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs with lang_pred and score; `und` and 0 where the text is null or has no letter.
 
-    Repeated rows each give a row; a model without languages gives `und` everywhere.
+    Repeated rows each give a row; a model without languages gives `und` everywhere.  A
+    text of any length is read whole, in one task; an empty table gives an empty result.
     """
     keep = ["doc_id"] if keep is None else keep
     d = docs.select(*keep, F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("_text"))
@@ -243,7 +244,7 @@ def accept(docs: DataFrame, model: Model, least: float = KNOWN_SHARE) -> DataFra
 def op3_language(spark, sf_dir: str) -> DataFrame:
     """The language of every text of documents; `fit` and `predict` state the cases.
 
-    A text of any length is read in slices; an empty table gives an empty result.
+    A text of any length is read whole; an empty table gives an empty result.
     """
     docs = read(spark, sf_dir, "documents")
     held = F.coalesce(crc_remainder(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")

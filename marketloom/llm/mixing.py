@@ -67,7 +67,8 @@ def mix(docs: DataFrame, size: Column | None = None, weight: Column | None = Non
     With `keep`, those columns of docs with _size and _taken instead.  Null and empty
     texts have size 0 and taken 0; a null source is a source of its own, last in order;
     repeated rows are rows of their own, with equal keys ordered by size; an empty table
-    gives an empty result.  Other columns are not looked at.
+    gives an empty result.  A text of any length is one document, counted whole; tied keys
+    are ordered by id, then by size.  Other columns are not looked at.
     """
     shared = Shared(docs.sparkSession)
     size = n_words(F.col("text")) if size is None else size
@@ -117,4 +118,5 @@ def repeated(docs: DataFrame, **options) -> DataFrame:
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
+    """The mix of all documents; `mix` states the cases."""
     return mix(read(spark, sf_dir, "documents"))

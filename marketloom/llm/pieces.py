@@ -434,7 +434,8 @@ def encode(docs: DataFrame, k: int = 2, temperature: float = 1.0, path: str | No
     inclusion, round_trip (decoding gives the text back) and ids, or with_ids=False
     ids_sha256 (of little-endian int32).  An empty text has one segmentation without
     pieces; a null text has none, and gives one row with sample 0 and nulls.  Repeated
-    rows give equal results.
+    rows give equal results.  A long text is one lattice in one task, so memory grows with the
+    longest text; an empty table gives an empty result.  Other columns are not looked at.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     path = path or default_model()
@@ -466,4 +467,5 @@ def encode(docs: DataFrame, k: int = 2, temperature: float = 1.0, path: str | No
 
 
 def op6_pieces(spark, sf_dir: str) -> DataFrame:
+    """Two segmentations of every document, their ids as a digest; `encode` states the cases."""
     return encode(read(spark, sf_dir, "documents"), with_ids=False)

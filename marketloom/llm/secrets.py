@@ -354,7 +354,8 @@ def scan(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, counts of the base kinds, base_sha256 and spans.
 
     A null or empty text has no spans; its base_sha256 is that of nothing.
-    Repeated rows each give a row; other columns are not looked at.
+    Repeated rows each give a row; other columns are not looked at.  A text of any length
+    is scanned whole, in one task; an empty table gives an empty result.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     n_base = len(BASE_RULES)
@@ -412,4 +413,5 @@ def redact(docs: DataFrame, rules: tuple = RULES, text_col: str = "text", count_
 
 
 def op4_secrets(spark, sf_dir: str) -> DataFrame:
+    """The secrets of all documents; `scan` states the cases."""
     return scan(read(spark, sf_dir, "documents"))
