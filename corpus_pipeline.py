@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents in none of the learned languages go, as do null texts and texts without a letter.
 
-    Repeated rows are judged alike; an empty table stays empty.
+    Repeated rows are judged alike; long texts are read whole; an empty table stays empty.
     """
     from marketloom.llm import common, langid
 
@@ -26,7 +26,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """N-gram Jaccard join: one document of each group stays, that of the least id.
 
     Rows of one id are one document and one of them stays; rows without an id stay; texts
-    without words are in no group.
+    without words are in no group.  Long texts are compared whole; an empty table stays empty.
     """
     from marketloom.llm import jaccard
 
@@ -34,7 +34,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secret scans: each secret is replaced by its kind; all rows stay, null texts stay null."""
+    """Secret scans: each secret is replaced by its kind; all rows stay, null texts stay null.
+
+    Repeated rows are changed alike; long texts are scanned whole; an empty table stays empty.
+    """
     from marketloom.llm import common, secrets
 
     common.bounded(spark)
@@ -42,14 +45,21 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: each source takes about its target of words, rows repeated or left out whole; rows without words go."""
+    """Mixing: each source takes about its target of words, rows repeated or left out whole; rows without words go.
+
+    Null texts have no words; rows that repeat are drawn each for itself; an empty table stays empty.
+    """
     from marketloom.llm import mixing
 
     return mixing.repeated(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece: two sampled segmentations of each row with their inclusion scores; repeated rows get equal ones."""
+    """SentencePiece: two sampled segmentations of each row with their inclusion scores; repeated rows get equal ones.
+
+    An empty text has one segmentation without pieces, a null text a row of nulls; a long text
+    is one lattice; an empty table gives an empty result.
+    """
     from marketloom.llm import common, pieces
 
     common.bounded(spark)
