@@ -23,28 +23,38 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import Words, mix, read, slices, text_buffer
 
 SAMPLES = 64
-_CHUNK = 16
-_TEXT_BYTES = 1 << 20
+#: Words of a text of mean size that are under the bound, about.
+_MARKED = 8
+_TEXT_BYTES = 2 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _uniform(bits: np.ndarray, width: int) -> np.ndarray:
-    return (bits.astype(np.float64) + 0.5) / float(1 << width)
-
-
-def _numbers(terms: np.ndarray, samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, ln c and b of each term and sample."""
-    seed = terms[:, None] + (samples * np.uint64(2) + np.uint64(1))[None, :] * _STEP
+def _draws(terms: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp(-r), exp(-c) and b of each term in a sample."""
+    seed = terms + np.uint64((2 * sample + 1) * int(_STEP) % (1 << 64))
     x, y = mix(seed), mix(seed + _STEP)
     mask = np.uint64((1 << 21) - 1)
-    r = -np.log(_uniform(x & mask, 21) * _uniform((x >> np.uint64(21)) & mask, 21))
-    b = _uniform(x >> np.uint64(42), 22)
-    c = -np.log(_uniform(y & np.uint64(0xFFFFFFFF), 32) * _uniform(y >> np.uint64(32), 32))
-    return r, np.log(c), b
+    u = ((x & mask) + 0.5) * (((x >> np.uint64(21)) & mask) + 0.5) * 2.0**-42
+    v = ((y & np.uint64(0xFFFFFFFF)) + 0.5) * ((y >> np.uint64(32)) + 0.5) * 2.0**-64
+    return u, v, x
+
+
+def _numbers(u: np.ndarray, v: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, ln c and b from draws."""
+    return -np.log(u), np.log(-np.log(v)), ((x >> np.uint64(42)) + 0.5) * 2.0**-22
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of some runs, one run after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
 def signatures(data: np.ndarray, offsets: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
-    """A row of 16-bit samples for each text; a text without words has zeros (see `empty` below)."""
+    """A row of 16-bit samples for each text; a text without words has zeros (see `empty` below).
+
+    exp(rank) of weight 1 is exponential, so few words of a text are under a bound that nearly
+    every text has a word under.  Only those meet their texts; a text without one is read whole.
+    """
     words = Words(data, offsets)
     n = len(offsets) - 1
     out = np.zeros((n, samples), np.uint16)
@@ -54,28 +64,53 @@ def signatures(data: np.ndarray, offsets: np.ndarray, samples: int = SAMPLES) ->
     doc = np.repeat(np.arange(n), np.diff(words.bounds))
     pairs, weight = np.unique(doc * len(terms) + of, return_counts=True)
     pair_doc, pair_term = pairs // len(terms), pairs % len(terms)
-    full = np.flatnonzero(np.diff(np.searchsorted(pair_doc, np.arange(n + 1))))
-    heads = np.searchsorted(pair_doc, full)
-    sizes = np.diff(np.append(heads, len(pairs)))
-    many = np.flatnonzero(weight > 1)
-    log_weight = np.log(weight[many])[:, None]
-    for k in range(0, samples, _CHUNK):
-        r, log_c, b = _numbers(terms, np.arange(k, min(k + _CHUNK, samples), dtype=np.uint64))
-        rank = (log_c + r * (b - 1))[pair_term]  # of weight 1: level 0
-        own_r, own_b = r[pair_term[many]], b[pair_term[many]]
-        level = np.floor(log_weight / own_r + own_b)
-        rank[many] = log_c[pair_term[many]] - own_r * (level - own_b + 1)
-        least = np.minimum.reduceat(rank, heads, axis=0)
-        for column in range(rank.shape[1]):
-            hit = np.flatnonzero(rank[:, column] == np.repeat(least[:, column], sizes))
-            _, first = np.unique(pair_doc[hit], return_index=True)
-            hit = hit[first]
-            heavy = np.searchsorted(many, hit)
-            is_heavy = (heavy < len(many)) & (many[np.minimum(heavy, max(len(many) - 1, 0))] == hit) if len(many) else np.zeros(len(hit), bool)
-            levels = np.zeros(len(hit), np.int64)
-            if is_heavy.any():
-                levels[is_heavy] = level[heavy[is_heavy], column].astype(np.int64)
-            out[full, k + column] = mix(terms[pair_term[hit]] + levels.astype(np.uint64) * _STEP) >> np.uint64(48)
+    heads = np.searchsorted(pair_doc, np.arange(n + 1))
+    sizes = np.diff(heads)
+    full = sizes > 0
+    by_term = np.argsort(pair_term, kind="stable")
+    doc_of, term_at = pair_doc[by_term], np.searchsorted(pair_term[by_term], np.arange(len(terms) + 1))
+    many = by_term[weight[by_term] > 1]
+    many_doc, many_term, log_weight = pair_doc[many], pair_term[many], np.log(weight[many])
+    many_at = np.searchsorted(many_term, np.arange(len(terms) + 1))
+    log_most = np.zeros(len(terms))
+    if len(many):
+        log_most[np.unique(many_term)] = np.maximum.reduceat(log_weight, np.unique(many_term, return_index=True)[1])
+    share = _MARKED * full.sum() / len(pairs)
+    bound = np.log(-np.log1p(-share)) if share < 1 else np.inf
+    reach = np.exp(bound + log_most) * (1 + 1e-9)
+
+    for k in range(samples):
+        rank, term, level = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        u, v, x = _draws(terms, k)
+        near = np.flatnonzero(u * (1 - v) <= reach)  # c is at least 1 - exp(-c)
+        r, log_c, b = _numbers(u[near], v[near], x[near])
+        alone = log_c + r * (b - 1)  # of weight 1: level 0
+        light = np.flatnonzero(alone <= bound)
+        light = light[::-1]
+        light = light[np.argsort(-alone[light], kind="stable")]  # the last written is the least
+        count = term_at[near[light] + 1] - term_at[near[light]]
+        at = doc_of[_runs(term_at[near[light]], count)]
+        rank[at], term[at] = np.repeat(alone[light], count), np.repeat(near[light], count)
+        heavy = np.flatnonzero((log_c - r - log_most[near] <= bound + 1e-9) & (log_most[near] > 0))
+        count = many_at[near[heavy] + 1] - many_at[near[heavy]]
+        own, pick = _runs(many_at[near[heavy]], count), np.repeat(heavy, count)
+        own_level = np.floor(log_weight[own] / r[pick] + b[pick])
+        own_rank = log_c[pick] - r[pick] * (own_level - b[pick] + 1)
+        less = np.flatnonzero(own_rank < np.minimum(rank[many_doc[own]], bound))
+        less = less[np.argsort(-own_rank[less])]
+        at = many_doc[own[less]]
+        rank[at], term[at], level[at] = own_rank[less], many_term[own[less]], own_level[less]
+        rest = np.flatnonzero(full & (rank == np.inf))
+        if len(rest):
+            whole = _runs(heads[rest], sizes[rest])
+            r, log_c, b = _numbers(*_draws(terms[pair_term[whole]], k))
+            own_level = np.floor(np.log(weight[whole]) / r + b)
+            own_rank = log_c - r * (own_level - b + 1)
+            starts = np.cumsum(sizes[rest]) - sizes[rest]
+            hit = np.flatnonzero(own_rank == np.repeat(np.minimum.reduceat(own_rank, starts), sizes[rest]))
+            hit = hit[np.searchsorted(hit, starts)]
+            term[rest], level[rest] = pair_term[whole[hit]], own_level[hit]
+        out[full, k] = mix(terms[term[full]] + level[full].astype(np.uint64) * _STEP) >> np.uint64(48)
     return out
 
 

@@ -1,10 +1,12 @@
 """Cases that gave wrong results once."""
 
+import collections
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.llm import common, langid, licences, substrings
+from marketloom.llm import common, fingerprints, langid, licences, substrings
 
 
 @pytest.mark.parametrize("relay", [1 << 16, 0])
@@ -141,3 +143,49 @@ def test_equal_coefficients_fall_to_the_smaller_name(spark):
     docs = spark.createDataFrame([(1, "delta gamma beta alpha beta gamma delta"), (2, "alpha beta gamma delta")], "doc_id long, text string")
     got = {r["doc_id"]: r["licence"] for r in licences.scan(docs, templates).collect()}
     assert got == {1: "A", 2: "B"}
+
+
+def _plain_signature(text):
+    """Every word and sample by the formulas of the module's docstring."""
+    import math
+
+    step, top = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def mixed(x):
+        return int(common.mix(np.array([x & top], np.uint64))[0])
+
+    counts = collections.Counter(text.split())
+    data = np.frombuffer(" ".join(counts).encode(), np.uint8)
+    hashes = common.Words(data, np.array([0, len(data)])).hashes().tolist()
+    out = []
+    for k in range(fingerprints.SAMPLES):
+        best = None
+        for term, w in zip(hashes, counts.values()):
+            seed = term + (2 * k + 1) * step
+            x, y = mixed(seed), mixed(seed + step)
+            u = lambda bits, width: (bits + 0.5) / (1 << width)
+            r = -math.log(u(x & 0x1FFFFF, 21) * u(x >> 21 & 0x1FFFFF, 21))
+            b, c = u(x >> 42, 22), -math.log(u(y & 0xFFFFFFFF, 32) * u(y >> 32, 32))
+            t = math.floor(math.log(w) / r + b)
+            best = min(best or (math.inf,), (math.log(c) - r * (t - b) - r, term, t))
+        out.append(mixed(best[1] + best[2] * step) >> 48)
+    return out
+
+
+def test_fingerprints_by_few_words_are_those_of_all_words(monkeypatch):
+    """Only words that can be a text's least are worked out; the samples are those over all words."""
+    numbered, real = [], fingerprints._numbers
+
+    def counted(*draws):
+        numbered.append(real(*draws)[0].size)
+        return real(*draws)
+
+    monkeypatch.setattr(fingerprints, "_numbers", counted)
+    rng = np.random.Generator(np.random.PCG64(11))
+    texts = [" ".join(f"w{int(i)}" for i in rng.zipf(1.3, n) if i < 1 << 40) for n in [300] * 60 + [1, 3, 2000, 7]]
+    texts += ["", "only", "twice twice", "again " * 500 + "once", texts[0]]
+    got = fingerprints.signatures(*fingerprints._buffer(texts))
+    terms = len({w for t in texts for w in t.split()})
+    assert sum(numbered) < 0.5 * terms * fingerprints.SAMPLES
+    for k in [0, 1, *range(60, len(texts))]:
+        assert got[k].tolist() == (_plain_signature(texts[k]) if texts[k] else [0] * fingerprints.SAMPLES)
