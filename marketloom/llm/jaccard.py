@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ LOCAL_FREQUENT, FREQUENT = 1 << 14, 1 << 18
 GROUP_TOKENS, GROUP_QUERIES = 1 << 15, 512
 #: Counts in a profile; one of 255 stands for any more, and then the profile bounds nothing.
 BUCKETS = 512
+#: Rows that are opened at a time, few enough for a broadcast, and how often all texts are read for that at most.
+BLOCK_ROWS, BLOCKS = 300_000, 16
 _ROWS, _COUNTED = 256, 1 << 19
 _KEPT_BITS = np.uint64((1 << 48) - 1)
 
@@ -193,22 +196,25 @@ def _verify(percent: int):
     return run
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether each a of the edges has one b only, and no b is an a: then the components are read off."""
+    ends = e.select(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(e.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or (below > 0 and above > 0)").isEmpty()
+
+
 def components(edges: DataFrame, shared: Shared, name: str) -> DataFrame:
     """(node, comp): each linked node with the least node that it reaches, by alternating large and small stars."""
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, seen, step = shared.put(e, f"{name}0"), None, 0
-    while True:
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen or mark[0] == 0:
-            break
-        seen, step = mark, step + 1
-        for _ in range(2):  # two rounds for each table that is written
-            both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-            e = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-            least = e.groupBy("a").agg(F.min("b").alias("m"))
-            e = e.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
+    e, step = shared.put(e, f"{name}0"), 0
+    while not _stars(e):  # every round is written: the driver holds small plans
+        step += 1
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        e = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = e.groupBy("a").agg(F.min("b").alias("m"))
+        e = e.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
         e = shared.put(e, f"{name}{step}")
+        shared.release()
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
 
 
@@ -331,12 +337,29 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90, shared: Shared |
         queries = pairs.join(load, "gid").select("gid", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("member"), "node")
         held = members.select("node", "gid").join(load, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("member"), "node")
         wanted = shared.put(queries.union(held), f"{name}-wanted")
-        need = shared.put(reps.select("node", "doc_id").join(wanted.select("node").distinct(), "node").join(comps, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp")), f"{name}-need")
-        texts = docs.select("doc_id", "text").join(sized(need), "doc_id").select("comp", "node", "text")
-        full = texts.mapInArrow(tokens_of, "comp long, node long, toks binary").where("toks is not null")
-        links = shared.put(full.join(sized(wanted), "node").groupBy("gid", "salt").applyInArrow(_verify(percent), "a long, b long"), f"{name}-links")
+        need = reps.select("node", "doc_id").join(wanted, "node").join(comps, "node", "left")
+        need = shared.put(need.select("node", "doc_id", F.coalesce("comp", "node").alias("comp"), "gid", "salt", "member"), f"{name}-need")
         shared.release()
-        return links
+        return opened_in_blocks(need, name)
+
+    def opened_in_blocks(need: DataFrame, name: str) -> DataFrame:
+        """Links of the groups of need, so many of them at a time that their rows are broadcast: neither texts nor sets move but for the comparison."""
+        full, source = max(1, -(-need.count() // BLOCK_ROWS)), docs.select("doc_id", "text")
+        blocks = min(full, BLOCKS)
+        if full > BLOCKS:  # too many readings of all texts: those that are needed are taken out once
+            source = shared.put(source.join(sized(need.select("doc_id").distinct()), "doc_id", "left_semi"), f"{name}-source")
+            shared.release()
+        links = []
+        for k in range(blocks):
+            part = need.where(F.pmod(F.xxhash64("gid", "salt"), F.lit(blocks)) == k) if blocks > 1 else need
+            texts = source.join(sized(part.select("doc_id", "comp", "node").distinct()), "doc_id").select("comp", "node", "text")
+            sets_of = texts.mapInArrow(tokens_of, "comp long, node long, toks binary").where("toks is not null")
+            targets = sized(part.select("gid", "salt", "member", "node"))
+            links.append(shared.put(sets_of.join(targets, "node").groupBy("gid", "salt").applyInArrow(_verify(percent), "a long, b long"), f"{name}-links{k}"))
+            shared.release()
+        if full > BLOCKS:
+            shared.drop(f"{name}-source")
+        return reduce(DataFrame.union, links)
 
     nothing = spark.createDataFrame([], "node long, comp long")
     leading = tokens.groupBy("token", "gid").agg(*_matrix()).groupBy("token").agg(F.max_by(F.struct("gid", "low", "high", "reach"), F.struct("size", "gid")).alias("g"), F.count("*").alias("groups"))

@@ -189,3 +189,60 @@ def test_fingerprints_by_few_words_are_those_of_all_words(monkeypatch):
     assert sum(numbered) < 0.5 * terms * fingerprints.SAMPLES
     for k in [0, 1, *range(60, len(texts))]:
         assert got[k].tolist() == (_plain_signature(texts[k]) if texts[k] else [0] * fingerprints.SAMPLES)
+
+
+@pytest.mark.parametrize("blocks", [16, 2])
+def test_jaccard_opens_groups_in_blocks_without_moving_texts(spark, monkeypatch, blocks):
+    """Where what is opened is too much for one broadcast, texts stay where they are; beyond BLOCKS readings they move once."""
+    from marketloom.llm import jaccard
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 400)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 150, raising=False)
+    monkeypatch.setattr(jaccard, "BLOCKS", blocks, raising=False)
+    plans, real = {}, common.Shared.put
+
+    def put(self, df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return real(self, df, name)
+
+    monkeypatch.setattr(common.Shared, "put", put)
+    rng = np.random.Generator(np.random.PCG64(12))
+    rows = []
+    for family in range(90):
+        base = [f"f{family}w{j}" for j in range(60)]
+        rows += [(0, " ".join(base[:59] + [f"end{k}"])) for k in range(10)]
+    rows = [(int(i), t) for i, (_, t) in zip(rng.permutation(len(rows)), rows)]
+    least = {}
+    for i, t in rows:
+        least[t.split()[0]] = min(least.get(t.split()[0], i), i)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {i: least[t.split()[0]] for i, t in rows}
+    links = [plan for name, plan in plans.items() if name.startswith("lead-links")]
+    assert links and (blocks < 16 or not any("SortMergeJoin" in plan for plan in links))
+    assert any("-source" in name for name in plans) == (blocks < 16)
+
+
+def test_jaccard_components_of_stars_need_no_round(spark, tmp_path):
+    """Edges that are stars already are read off; chains and rings still end at their least node."""
+    from marketloom.llm import jaccard
+
+    tables, real = [], common.Shared(spark)
+
+    class Counted:
+        def put(self, df, name):
+            tables.append(name)
+            return real.put(df, name)
+
+        release = real.release
+
+    def of(edges):
+        tables.clear()
+        return dict(map(tuple, jaccard.components(spark.createDataFrame(edges, "a long, b long"), Counted(), f"c{len(edges)}-").collect()))
+
+    assert of([(1, k) for k in range(2, 40)] + [(50, 60), (60, 50), (7, 7)]) == {**{k: 1 for k in range(1, 40)}, 50: 50, 60: 50} and len(tables) == 1
+    assert of([(k, k + 1) for k in range(100, 130)] + [(5, 6), (6, 4), (4, 5)]) == {**{k: 100 for k in range(100, 131)}, 4: 4, 5: 4, 6: 4}
