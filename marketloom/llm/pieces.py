@@ -61,30 +61,26 @@ class Vocabulary:
     texts: list[str]
     scores: np.ndarray
     byte_ids: np.ndarray
-    heads: np.ndarray  # sorted hashes of all beginnings of pieces
-    piece_of: np.ndarray  # the piece that a beginning is, or -1
+    piece_of: np.ndarray  # the piece that each node (a beginning of pieces; 0 is the empty one) is, or -1
     longest: int
     raw: np.ndarray  # what each piece writes, as bytes
-    first: np.ndarray  # where the heads of each 20-bit prefix begin
-
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes that are heads, and their places."""
-        prefix = (h >> np.uint64(44)).astype(np.int64)
-        begin, end = self.first[prefix], self.first[prefix + 1]
-        at, place = [], []
-        left = np.flatnonzero(end > begin)
-        k = 0
+    keys: np.ndarray  # a hash table of (node, next code point), -1 where nothing is, and the nodes that those lead to
+    child: np.ndarray
+
+    def follow(self, node: np.ndarray, point: np.ndarray) -> np.ndarray:
+        """The nodes that the code points lead to, -1 where no piece begins so."""
+        key = node << 21 | point
+        slot = _slot(key, len(self.keys))
+        got = self.keys.take(slot)
+        out = np.where(got == key, self.child.take(slot), -1)
+        left = np.flatnonzero((got != key) & (got >= 0))
         while len(left):
-            hit = self.heads[begin[left] + k] == h[left]
-            at.append(left[hit])
-            place.append(begin[left[hit]] + k)
-            k += 1
-            left = left[~hit & (end[left] > begin[left] + k)] if len(left) else left
-        if not at:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at, place = np.concatenate(at), np.concatenate(place)
-        order = np.argsort(at, kind="stable")
-        return at[order], place[order]
+            slot[left] = at = slot[left] + 1 & len(self.keys) - 1
+            got, wanted = self.keys[at], key[left]
+            hit = got == wanted
+            out[left[hit]] = self.child[at[hit]]
+            left = left[~hit & (got >= 0)]
+        return out
 
     @staticmethod
     def load(path: str, temperature: float = 1.0) -> "Vocabulary":
@@ -100,21 +96,34 @@ class Vocabulary:
         scores = np.full(n, -2 * np.log(n + 1.0))
         scores[plain] = -np.log(np.arange(len(plain)) + 2.0) - np.log(np.log(n + 1.0))
         lengths = np.array([len(texts[i]) for i in plain])
-        begin = np.cumsum(lengths) - lengths
-        of = np.repeat(np.arange(len(plain)), lengths)
-        upto = np.arange(len(of)) - begin[of] + 1
-        hashes = _spans(_sums(np.array([ord(c) for i in plain for c in texts[i]])), begin[of], upto)
-        whole = np.where(upto == lengths[of], np.array(plain)[of], -1)
-        by = np.lexsort((-whole, hashes))
-        first = np.concatenate([[True], np.diff(hashes[by].astype(np.uint64)) != 0])
-        order, piece_of = hashes[by][first], whole[by][first]
+        points = np.array([ord(c) for i in plain for c in texts[i]], np.int64)
+        begin, node, piece_of, pairs = np.cumsum(lengths) - lengths, np.zeros(len(plain), np.int64), [np.full(1, -1)], []
+        for k in range(int(lengths.max())):  # the nodes of k + 1 characters
+            own = np.flatnonzero(lengths > k)
+            known, of = np.unique(node[own] << 21 | points[begin[own] + k], return_inverse=True)
+            node[own] = sum(map(len, piece_of)) + of
+            ends = lengths[own] == k + 1
+            whole = np.full(len(known), -1)
+            whole[of[ends]] = np.array(plain)[own[ends]]
+            pairs.append(known)
+            piece_of.append(whole)
+        pairs = np.concatenate(pairs)
+        keys = np.full(1 << max(10, (4 * len(pairs)).bit_length()), -1)
+        child = np.full(len(keys), -1)
+        left, slot = np.arange(len(pairs)), _slot(pairs, len(keys))
+        while len(left):  # a free slot goes to the first that asks for it
+            put, first = np.unique(np.where(keys[slot] < 0, slot, -1), return_index=True)
+            put, first = put[put >= 0], first[put >= 0]
+            keys[put], child[put] = pairs[left[first]], left[first] + 1
+            left, slot = np.delete(left, first), np.delete(slot, first)
+            slot = np.where(keys[slot] >= 0, slot + 1 & len(keys) - 1, slot)
         byte_ids = np.array([m.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         raw = [t.replace(MARK, " ").encode() for t in texts]
         for b, i in enumerate(byte_ids):
             raw[i] = bytes([b])
         written = np.empty(n, object)
         written[:] = raw
-        return Vocabulary(texts, scores / temperature, byte_ids, order, piece_of, max(len(texts[i]) for i in plain), written, np.searchsorted((order >> np.uint64(44)).astype(np.int64), np.arange((1 << 20) + 1)))
+        return Vocabulary(texts, scores / temperature, byte_ids, np.concatenate(piece_of), int(lengths.max()), written, keys, child)
 
 
 @lru_cache(2)
@@ -132,6 +141,11 @@ def _spans(sums: np.ndarray, start: np.ndarray, length) -> np.ndarray:
     return mix((sums[start + length] - sums[start]) * powers(len(sums))[1][start] + np.asarray(length).astype(np.uint64) * _C2)
 
 
+def _slot(key: np.ndarray, size: int) -> np.ndarray:
+    """Places in a hash table of a power of two slots."""
+    return (key.view(np.uint64) * _C1 >> np.uint64(65 - size.bit_length())).view(np.int64)
+
+
 def _scaled(turn: int, by: np.uint64) -> np.uint64:
     return np.uint64(turn * int(by) & 0xFFFFFFFFFFFFFFFF)
 
@@ -189,41 +203,52 @@ class Search:
         room = np.repeat(np.arange(1, most + 1), reach)
         kind = np.arange(n) - self.first_row[room]
         at = start[kind] + length[kind] - room
+        points = self.points.take(at)
         hits: list[tuple] = []
-        live = np.arange(n)
+        live, node, ahead = np.arange(n), np.zeros(n, np.int64), at
         for k in range(1, min(v.longest, most) + 1):
-            live = live[np.searchsorted(live, self.first_row[k]) :]
+            reaching = np.searchsorted(live, self.first_row[k])
+            live, ahead = live[reaching:], ahead[reaching:]
             if not len(live):
                 break
-            known, place = v.find(_spans(sums, at[live], k))
-            live = live[known]
-            ids = v.piece_of[place]
-            whole = ids >= 0
-            if whole.any():
-                hits.append((k, live[whole], ids[whole]))
+            node = v.follow(node[reaching:], self.points.take(ahead))
+            known = np.flatnonzero(node >= 0)
+            live, node, ahead = live.take(known), node.take(known), ahead.take(known) + 1
+            ids = v.piece_of.take(node)
+            whole = np.flatnonzero(ids >= 0)
+            if len(whole):
+                hits.append((k, live.take(whole), ids.take(whole)))
         width = max((k for k, _, _ in hits), default=1)
         self.piece = np.full((width, n), -1, np.int32)  # a line for each length
         score = np.full((width, n), -np.inf)
         for k, rows, ids in hits:
             self.piece[k - 1, rows] = ids
-            score[k - 1, rows] = v.scores[ids]
-        points = self.points[at]
+            score[k - 1, rows] = v.scores.take(ids)
         alone = score[0] == -np.inf  # such a character is written in bytes
         n_bytes = np.where(points == _OWN_MARK, 3, 1 + (points >= 0x80) + ((points >= 0x800) & (points != _OWN_MARK)) + (points >= 0x10000))
         self.piece[0, alone] = -2
         score[0, alone] = n_bytes[alone] * v.scores[v.byte_ids[0]]
-        self.edges = (score > -np.inf).sum(0)
-        back, cum = np.zeros(n), np.ones((n, width), np.float32)
+        self.edges = alone.astype(np.int8)
+        for _, rows, _ in hits:
+            self.edges[rows] += 1
+        # shares up to each length but the last, which is never passed; lines are filled up to whole words of 8 bytes
+        back, cum = np.zeros(n), np.ones((n, max(8, -(-(width - 1) // 8) * 8)), np.float32)
         for d in range(1, most + 1):
             a, m = self.first_row[d], int(reach[d - 1])
             s = score[:d, a : a + m]
             for k in range(1, min(width, d - 1) + 1):
                 s[k - 1] += back[self.first_row[d - k] : self.first_row[d - k] + m]
             top = s.max(0)
-            share = np.cumsum(np.exp(s - top), axis=0)
+            above = (s - top).ravel()
+            there = np.flatnonzero(above > -np.inf)
+            share = np.zeros(s.shape)
+            share.ravel()[there] = np.exp(above.take(there))
+            for k in range(1, len(s)):
+                share[k] += share[k - 1]
             back[a : a + m] = mass = top + np.log(share[-1])
             s -= mass
-            cum[a : a + m, :d] = (share / share[-1]).T
+            share /= share[-1].copy()
+            cum[a : a + m, : min(d, width - 1)] = share[: width - 1].T
         self.logs, self.cum = score, cum
 
     def _draw(self, text: np.ndarray, begin: np.ndarray, out: np.ndarray, turn: int) -> tuple[np.ndarray, ...]:
@@ -246,24 +271,26 @@ class Search:
         barred[np.cumsum(n_units) - n_units] = out
         # the random number of a place: a hash of the row's seed, the turn and the place in its text
         seed = (mix(self.seeds[text] + _scaled(turn, _C2)) - self.bounds[text].astype(np.uint64) * _C1)[owner]
-        widths = np.arange(len(self.logs))
+        widths, n_rows, most = np.arange(len(self.logs)), self.logs.shape[1], np.nextafter(np.float32(1), np.float32(0))
         got, taken = [], np.zeros(len(unit), np.int64)
         while len(slot):  # a piece of each unit
-            row = self.first_row[end - place] + kind
+            row = self.first_row.take(end - place) + kind
             u = _uniform(mix(seed + place.astype(np.uint64) * _C1))
-            cum = self.cum[row]
+            level = np.minimum(u.astype(np.float32), most)
+            # the first length whose share reaches beyond the level: as many do not, each a byte of 1
+            pick = np.bitwise_count((self.cum.take(row, axis=0) <= level[:, None]).view(np.uint64)).sum(1, dtype=np.int64)
             special = np.flatnonzero(barred) if not got else barred[:0]
             if len(special):
                 p = np.exp(self.logs[:, row[special]].T)
                 p[(barred[special][:, None] >> widths) & 1 == 1] = 0
-                cum[special] = np.cumsum(p, axis=1)
-            level = np.minimum((u * cum[:, -1]).astype(np.float32), np.nextafter(cum[:, -1], np.float32(0)))
-            pick = (cum <= level[:, None]).sum(1)  # the first length whose share reaches beyond the level
-            got.append((slot, place, row, pick, self.logs[pick, row]))
+                cum = np.cumsum(p, axis=1).astype(np.float32)
+                level = np.minimum((u[special] * cum[:, -1]).astype(np.float32), np.nextafter(cum[:, -1], np.float32(0)))
+                pick[special] = (cum <= level[:, None]).sum(1)
+            got.append((slot, place, row, pick, self.logs.ravel().take(pick * n_rows + row)))
             taken[slot] += 1
             place = place + pick + 1
             more = np.flatnonzero(place < end)
-            slot, kind, end, place, seed = slot[more], kind[more], end[more], place[more], seed[more]
+            slot, kind, end, place, seed = (c.take(more) for c in (slot, kind, end, place, seed))
         begins = np.cumsum(taken) - taken
         made = [np.empty(int(taken.sum()), np.int64) for _ in range(4)] + [np.empty(int(taken.sum()))]
         for step, (slot, *columns) in enumerate(got):
@@ -389,24 +416,27 @@ class Search:
         out_rows: list[list] = [[] for _ in range(n)]
         for (path, bound, total, there) in paths:
             text, place, row, pick, _ = path
-            ids = self.piece[pick, row]
+            ids = self.piece.ravel().take(pick * self.piece.shape[1] + row)
             heads, tails = np.searchsorted(place, self.bounds[:-1]), np.searchsorted(place, self.bounds[1:])
+            ids, at = self._with_bytes(ids, place)
+            heads, tails = at[heads], at[tails]
             for t in np.flatnonzero(there):
                 own = ids[heads[t] : tails[t]]
-                if (own == -2).any():
-                    own = self._with_bytes(own, place[heads[t] : tails[t]])
                 q = 1.0 if threshold[t] == -np.inf else -np.expm1(-np.exp(min(total[t] - threshold[t], 700.0)))
                 out_rows[t].append((own, float(total[t]), float(bound[t]), float(total[t] - np.log(max(q, 1e-300)))))
         return out_rows
 
-    def _with_bytes(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(ids == -2)
-        raw = [(MARK if c == _OWN_MARK else chr(c)).encode() for c in self.points[place[at]].tolist()]
+    def _with_bytes(self, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids with byte pieces in the place of characters that are no piece, and where each of the ids (and their end) went."""
+        alone = np.flatnonzero(ids == -2)
+        points = self.points[place[alone]]
+        points[points == _OWN_MARK] = ord(MARK)
+        raw = np.frombuffer(points.tobytes().decode("utf-32-le").encode(), np.uint8)
         width = np.ones(len(ids), np.int64)
-        width[at] = [len(r) for r in raw]
+        width[alone] += (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
         out = np.repeat(ids, width)
-        out[out == -2] = self.v.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
-        return out
+        out[out == -2] = self.v.byte_ids[raw]
+        return out, np.concatenate([[0], np.cumsum(width)])
 
 
 def decode(ids: np.ndarray, v: Vocabulary) -> str:
@@ -427,6 +457,29 @@ def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
+def _segmented(batches: Iterator[pa.RecordBatch], v: Vocabulary, k: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """The results of batches of (doc_id, seed, text)."""
+    for batch in batches:
+        for a, b in _slices(batch.column(2)):
+            yield _coded(batch.slice(a, b - a), v, k, with_ids)
+        trim()  # the slices of a batch use the same memory again
+
+
+def _coded(batch: pa.RecordBatch, v: Vocabulary, k: int, with_ids: bool) -> pa.RecordBatch:
+    texts = batch.column(2).to_pylist()
+    there = [i for i, text in enumerate(texts) if text is not None]
+    out: list[tuple] = [(i, 0, *[None] * 6) for i, text in enumerate(texts) if text is None]
+    results = Search(v, [texts[i] for i in there], batch.column(1).to_numpy().view(np.uint64)[there]).run(k)
+    for i, found in zip(there, results):
+        for s, (ids, logp, perturbed, inclusion) in enumerate(found):
+            out.append((i, s + 1, len(ids), round(logp, 9), round(perturbed, 9), round(inclusion, 9), decode(ids, v) == texts[i], ids.astype(np.int32) if with_ids else hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()))
+    c = list(zip(*out)) if out else [[]] * 8
+    return pa.RecordBatch.from_arrays([
+        batch.column(0).take(pa.array(c[0], pa.int64())), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()),
+        *[pa.array(x, pa.float64()) for x in c[3:6]], pa.array(c[6], pa.bool_()), pa.array(c[7], pa.list_(pa.int32()) if with_ids else pa.string())],
+        ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "round_trip", "ids" if with_ids else "ids_sha256"])
+
+
 def encode(docs: DataFrame, k: int = 2, temperature: float = 1.0, path: str | None = None, with_ids: bool = True, seed: int = 11) -> DataFrame:
     """Up to k distinct segmentations of each row of docs(doc_id, text), seeded by doc_id.
 
@@ -441,29 +494,8 @@ def encode(docs: DataFrame, k: int = 2, temperature: float = 1.0, path: str | No
     path = path or default_model()
     last = "ids array<int>" if with_ids else "ids_sha256 string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path, temperature)
-        for batch in batches:
-            for a, b in _slices(batch.column(2)):
-                yield coded(batch.slice(a, b - a), v)
-                trim()
-
-    def coded(batch: pa.RecordBatch, v: Vocabulary) -> pa.RecordBatch:
-        texts = batch.column(2).to_pylist()
-        there = [i for i, text in enumerate(texts) if text is not None]
-        out: list[tuple] = [(i, 0, *[None] * 6) for i, text in enumerate(texts) if text is None]
-        results = Search(v, [texts[i] for i in there], batch.column(1).to_numpy().view(np.uint64)[there]).run(k)
-        for i, found in zip(there, results):
-            for s, (ids, logp, perturbed, inclusion) in enumerate(found):
-                out.append((i, s + 1, len(ids), round(logp, 9), round(perturbed, 9), round(inclusion, 9), decode(ids, v) == texts[i], ids.astype(np.int32) if with_ids else hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()))
-        c = list(zip(*out)) if out else [[]] * 8
-        return pa.RecordBatch.from_arrays([
-            batch.column(0).take(pa.array(c[0], pa.int64())), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()),
-            *[pa.array(x, pa.float64()) for x in c[3:6]], pa.array(c[6], pa.bool_()), pa.array(c[7], pa.list_(pa.int32()) if with_ids else pa.string())],
-            ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "round_trip", "ids" if with_ids else "ids_sha256"])
-
     key = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    return docs.select("doc_id", key.alias("seed"), "text").mapInArrow(run, f"doc_id {id_type}, sample int, n_pieces int, log_prob double, perturbed double, inclusion double, round_trip boolean, {last}")
+    return docs.select("doc_id", key.alias("seed"), "text").mapInArrow(lambda batches: _segmented(batches, vocabulary(path, temperature), k, with_ids), f"doc_id {id_type}, sample int, n_pieces int, log_prob double, perturbed double, inclusion double, round_trip boolean, {last}")
 
 
 def op6_pieces(spark, sf_dir: str) -> DataFrame:

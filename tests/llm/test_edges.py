@@ -109,6 +109,45 @@ def test_pieces_of_a_text_beyond_a_slice(spark):
     assert pieces.encode(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_slices_of_a_batch_use_the_same_memory_again(monkeypatch):
+    """Memory goes back once a batch: what each slice gives back, the next one pays for anew, page by page."""
+    calls = []
+    monkeypatch.setattr(pieces, "trim", lambda: calls.append(1))
+    monkeypatch.setattr(pieces, "SLICE_CHARS", 100)
+    texts = [words(i, 30) for i in range(12)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(range(12)), pa.array(texts)], ["doc_id", "seed", "text"])
+    v = pieces.vocabulary(pieces.default_model(), 1.0)
+    out = list(pieces._segmented(iter([batch, batch]), v, 2, True))
+    assert len(out) > 2 and len(calls) == 2
+    rows = [r for b in out for r in b.to_pylist()]
+    assert len(rows) == 48 and all(r["round_trip"] for r in rows)
+
+
+def test_beginnings_of_pieces_are_followed_exactly():
+    v = pieces.vocabulary(pieces.default_model(), 1.0)
+    plain = {v.texts[i]: i for i in v.piece_of[v.piece_of >= 0].tolist()}
+    known = {t[:n] for t in plain for n in range(1, len(t) + 1)}
+    assert len(known) == len(v.piece_of) - 1 and max(map(len, plain)) == v.longest
+    points = {ord(c) for t in plain for c in t}
+    r = np.random.Generator(np.random.PCG64(5))
+    some = sorted(plain)[:: max(1, len(plain) // 3000)]
+    some += ["".join(map(chr, r.choice(sorted(points), 4))) for _ in range(2000)] + ["▁theq", "then\U0010ffff", "\U0010ffff", "▁▁q"]
+    node, live = np.zeros(len(some), np.int64), np.arange(len(some))
+    for k in range(v.longest):
+        live = np.array([i for i in live if len(some[i]) > k and node[i] >= 0], np.int64)
+        node[live] = v.follow(node[live], np.array([ord(some[i][k]) for i in live], np.uint32))
+        for i in live:
+            assert (node[i] >= 0) == (some[i][: k + 1] in known)
+            assert node[i] < 0 or v.piece_of[node[i]] == plain.get(some[i][: k + 1], -1)
+
+
+def test_byte_pieces_stay_with_their_texts():
+    texts = ["\n", "", "a\n\U0001f9ff\n", "▁", "\u0378x\u0378", "plain words"]
+    v = pieces.vocabulary(pieces.default_model(), 1.0)
+    for text, found in zip(texts, pieces.Search(v, texts, np.arange(len(texts), dtype=np.uint64)).run(3), strict=True):
+        assert found and all(pieces.decode(ids, v) == text for ids, *_ in found)
+
+
 def test_inclusion_scores_weigh_draws_to_probabilities():
     """exp(score) is p over the probability of being drawn: its sum over draws, where a segmentation is drawn, estimates p."""
     text, k, draws = "banana band", 3, 6000
