@@ -41,6 +41,8 @@ GROUP_TOKENS, GROUP_QUERIES = 1 << 15, 512
 BUCKETS = 512
 #: Rows that are opened at a time, few enough for a broadcast, and how often all texts are read for that at most.
 BLOCK_ROWS, BLOCKS = 300_000, 16
+#: Edges that a task writes, about: few ones are not spread over a file for each shuffle partition.
+EDGE_ROWS = 100_000
 _ROWS, _COUNTED = 256, 1 << 19
 _KEPT_BITS = np.uint64((1 << 48) - 1)
 
@@ -204,8 +206,9 @@ def _stars(e: DataFrame) -> bool:
 
 def components(edges: DataFrame, shared: Shared, name: str) -> DataFrame:
     """(node, comp): each linked node with the least node that it reaches, by alternating large and small stars."""
+    files = max(1, -(-edges.count() // EDGE_ROWS))  # no round has more edges than the one before
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, step = shared.put(e, f"{name}0"), 0
+    e, step = shared.put(e.coalesce(files), f"{name}0"), 0
     while not _stars(e):  # every round is written: the driver holds small plans
         step += 1
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -213,9 +216,9 @@ def components(edges: DataFrame, shared: Shared, name: str) -> DataFrame:
         e = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = e.groupBy("a").agg(F.min("b").alias("m"))
         e = e.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
-        e = shared.put(e, f"{name}{step}")
+        e = shared.put(e.coalesce(files), f"{name}{step}")
         shared.release()
-    return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
+    return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(e.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct().coalesce(files)
 
 
 def _matrix() -> list[Column]:
@@ -329,9 +332,11 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90, shared: Shared |
         met = shared.put(pairs.distinct(), f"{name}-met")
         asked = shared.put(members.select("node", "gid").join(sized(met.select("gid").distinct()), "gid"), f"{name}-asked")
         profiles = reps.select("node", "n", "profile")
-        unions = profiles.select("node", "profile").join(sized(asked), "node").groupBy("gid").applyInArrow(_largest, "gid long, union binary")
+        # written, so that no task of the next step holds two Python workers
+        unions = shared.put(profiles.select("node", "profile").join(sized(asked), "node").groupBy("gid").applyInArrow(_largest, "gid long, union binary"), f"{name}-unions")
         both = profiles.join(sized(met), "node").join(unions, "gid").select("node", "gid", "n", "profile", "union")
         pairs = shared.put(both.mapInArrow(_qualifies(percent), "node long, gid long"), f"{name}-pairs")
+        shared.drop(f"{name}-unions")
         shared.release()
         load = pairs.groupBy("gid").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("salts"))
         queries = pairs.join(load, "gid").select("gid", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("member"), "node")

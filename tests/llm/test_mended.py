@@ -246,3 +246,67 @@ def test_jaccard_components_of_stars_need_no_round(spark, tmp_path):
 
     assert of([(1, k) for k in range(2, 40)] + [(50, 60), (60, 50), (7, 7)]) == {**{k: 1 for k in range(1, 40)}, 50: 50, 60: 50} and len(tables) == 1
     assert of([(k, k + 1) for k in range(100, 130)] + [(5, 6), (6, 4), (4, 5)]) == {**{k: 100 for k in range(100, 131)}, 4: 4, 5: 4, 6: 4}
+
+
+def test_jaccard_writes_few_files_of_few_edges(spark, tmp_path, monkeypatch):
+    """The edges of a chain are a file a round, however many shuffle partitions there are; more edges are more files."""
+    from marketloom.llm import jaccard
+
+    class Told:
+        real, files = common.Shared(spark), []
+
+        def put(self, df, name):
+            out = self.real.put(df, name)
+            self.files.append(len(out.inputFiles()))
+            return out
+
+        def release(self):
+            self.real.release()
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(100, 140)], "a long, b long").repartition(5)
+    coalesced = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesced)
+    spark.conf.set(coalesced, "false")
+    try:
+        for rows, most in ((jaccard.EDGE_ROWS, 1), (20, 2)):
+            monkeypatch.setattr(jaccard, "EDGE_ROWS", rows)
+            told = Told()
+            told.files.clear()
+            got = jaccard.components(edges, told, f"few{most}-")
+            assert dict(map(tuple, got.collect())) == {k: 100 for k in range(100, 141)}
+            assert len(told.files) > 2 and max(told.files) == most and got.rdd.getNumPartitions() <= most
+    finally:
+        spark.conf.set(coalesced, before)
+
+
+def test_jaccard_tasks_hold_one_python_worker(spark, monkeypatch):
+    """No stage of the join has two Python steps, each of which would be a worker of its own in every task."""
+    from marketloom.llm import jaccard
+
+    plans, real = {}, common.Shared.put
+
+    def told(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(self, df, name)
+
+    monkeypatch.setattr(common.Shared, "put", told)
+    rows = [(i, f"w{i % 7} " + " ".join(f"t{i % 7}x{j}" for j in range(40)) + f" end{i % 3}") for i in range(60)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {i: i % 7 for i in range(60)}
+    seen = set()
+    for name, plan in plans.items():
+        above = []  # (depth, whether it is a Python step, an exchange) of the steps over this one
+        for line in plan.splitlines():
+            depth = len(line) - len(line.lstrip(" :+-"))
+            above = [a for a in above if a[0] < depth]
+            python = "InArrow" in line.lstrip(" :+-").split(" ")[0]
+            if python:
+                seen.add(name)
+                stage = []
+                for a in reversed(above):
+                    if a[2]:
+                        break
+                    stage.append(a[1])
+                assert not any(stage), (name, plan)
+            above.append((depth, python, "Exchange" in line.lstrip(" :+-").split(" ")[0]))
+    assert {"sets", "lead-unions", "lead-pairs"} <= seen
