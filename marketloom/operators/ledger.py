@@ -2,17 +2,21 @@
 
 A row's hash covers its number, time, event, order and the hash before it, as canonical
 JSON (sorted keys, no spaces).  Appending is an ordered fold for each log that starts
-from the stored tail; checking is not: every row can be hashed by itself and linked to
-the row before by a window.
+from the stored tail; a task folds its logs one after the other as their sorted rows
+stream by, so neither many short logs nor a long one cost more than their rows.
+Checking is no fold: every row can be hashed by itself and linked to the row before by a
+window.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,14 +26,18 @@ SCHEMA = "log string, seq long, ts double, event string, order string, prev_hash
 EVENTS = ("SIGNAL", "SUBMIT", "ACK", "PARTIAL_FILL", "FILL", "CANCEL", "REJECT", "RISK_BLOCK", "EXPIRE", "REPLACE", "TRIGGER")
 
 
+_ENCODER = json.JSONEncoder(sort_keys=True, separators=(",", ":"), default=str)
+
+
 def canonical(value) -> str:
     """JSON with sorted keys and no spaces; what JSON does not know is written as text."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), default=str)
+    return _ENCODER.encode(value)
 
 
 def chained(seq: int, ts: float, event: str, order: str, before: str) -> str:
-    """The hash of a row; `order` is JSON text."""
-    return hashlib.sha256(canonical({"seq": seq, "ts": ts, "event": event, "order": json.loads(order), "prev_hash": before}).encode()).hexdigest()
+    """The hash of a row; `order` is canonical JSON text."""
+    text = f'{{"event":{canonical(event)},"order":{order},"prev_hash":{canonical(before)},"seq":{seq},"ts":{repr(ts) if math.isfinite(ts) else canonical(ts)}}}'
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
 def tails(ledger: DataFrame) -> DataFrame:
@@ -44,22 +52,33 @@ def append(events: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     new log starts at 0 after 64 zeros.  Kinds of events that are not known are refused.
     """
     tie = [c for c in events.columns if c not in ("log", "ts", "event", "order")]
-    spark = events.sparkSession
-    tail = tails(ledger) if ledger is not None else spark.createDataFrame([], "log string, seq long, hash string")
+    ts = F.col("ts").cast("double")
     known = F.when(F.col("event").isin(*EVENTS), F.col("event")).otherwise(F.raise_error(F.concat(F.lit("unknown event "), F.coalesce("event", F.lit("null")))))
-    events = events.select(F.col("log").cast("string").alias("log"), F.col("ts").cast("double").alias("ts"), known.alias("event"), "order", *tie)
-
-    def fold(key: tuple, rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        seq, last = (int(held["seq"].iloc[0]), held["hash"].iloc[0]) if len(held) else (-1, GENESIS)
-        out = []
-        for r in rows.sort_values(["ts", *tie], kind="stable").itertuples(index=False):
-            order, seq = canonical(json.loads(r.order)), seq + 1
-            made = chained(seq, float(r.ts), r.event, order, last)
-            out.append((key[0], seq, float(r.ts), r.event, order, last, made))
-            last = made
-        return pd.DataFrame(out, columns=["log", "seq", "ts", "event", "order", "prev_hash", "hash"])
-
-    return events.groupBy("log").cogroup(tail.groupBy("log")).applyInPandas(fold, SCHEMA)
+    rows = events.select(F.col("log").cast("string").alias("log"), F.when(~F.isnan(ts), ts).alias("ts"), known.alias("event"), "order", *tie, F.lit(False).alias("_held"), F.lit(0).cast("long").alias("_seq"), F.lit(None).cast("string").alias("_hash"))
+    if ledger is not None:  # a log's tail stands before its events
+        tail = tails(ledger).select(F.col("log").cast("string").alias("log"), F.lit(True).alias("_held"), F.col("seq").cast("long").alias("_seq"), F.col("hash").alias("_hash"))
+        rows = rows.unionByName(tail, allowMissingColumns=True)
+    schema = pa.schema([(n, {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[kind]) for n, kind in (f.split() for f in SCHEMA.split(", "))])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log, seq, last = (), -1, GENESIS  # no log yet, which a log that is null is not
+        for batch in batches:
+            out = []
+            for key, ts, event, order, held, at, tail in zip(*[c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns]):
+                if key != log:
+                    log, seq, last = key, -1, GENESIS
+                if held:
+                    seq, last = int(at), tail
+                    continue
+                order, seq = canonical(json.loads(order)), seq + 1
+                made = chained(seq, ts, event, order, last)
+                out.append((key, seq, ts, event, order, last, made))
+                last = made
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type, from_pandas=True) for c, f in zip(list(zip(*out)) or [[]] * len(schema), schema)], schema=schema)
+
+    line = [F.col(c).asc_nulls_last() for c in ("ts", *tie, "event", "order")]
+    placed = rows.repartition("log").sortWithinPartitions("log", F.desc("_held"), *line)
+    return placed.select("log", "ts", "event", "order", "_held", "_seq", "_hash").mapInArrow(fold, SCHEMA)
 
 
 def verify(ledger: DataFrame) -> DataFrame:
@@ -69,7 +88,7 @@ def verify(ledger: DataFrame) -> DataFrame:
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            good = [r.prev_hash == r.before and chained(int(r.seq), float(r.ts), r.event, r.order, r.before) == r.hash for r in f.itertuples(index=False)]
+            good = [r.prev_hash == r.before and chained(int(r.seq), float(r.ts), r.event, canonical(json.loads(r.order)), r.before) == r.hash for r in f.itertuples(index=False)]
             yield pd.DataFrame({"log": f["log"], "seq": f["seq"], "good": good})
 
     judged = linked.mapInPandas(check, "log string, seq long, good boolean")

@@ -1,11 +1,14 @@
 """Streams joined with streams, fact documents, insider archives and the hash chain."""
 
 import datetime as dt
+import hashlib
 import io
 import json
+import math
 import os
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +165,31 @@ def test_a_ledger_goes_on_from_its_tail_and_shows_the_first_changed_row(spark):
 def test_unknown_events_are_refused(spark):
     with pytest.raises(Exception, match="unknown event"):
         ledger.append(spark.createDataFrame(events([("x", 1, "NAP", {}, 0)]), EVENT)).collect()
+
+
+def test_logs_stream_through_their_tasks_and_ties_have_one_order(spark):
+    """Logs over several batches and batches over several logs; no Python call a log; rows that agree in ts and tie go by event and order."""
+    rng = np.random.Generator(np.random.PCG64(8))
+    sizes = {"long": 40, None: 5, **{f"l{i}": 1 + i % 3 for i in range(30)}}
+    rows = [(log, float(rng.integers(0, 6)), str(rng.choice(["SUBMIT", "ACK", "FILL"])), json.dumps({"b": 1, "a": i})) for log, n in sizes.items() for i in range(n)]
+    rows.append(("long", None, "FILL", "{}"))
+    parts = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if i % 3 == 0]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        one, two = (spark.createDataFrame(p[::-1], "log string, ts double, event string, order string").repartition(k) for p, k in zip(parts, (1, 3)))
+        first = ledger.append(one)
+        df = first.unionByName(ledger.append(two, first))
+        assert "PandasGroups" not in (plan := df._jdf.queryExecution().toString()) and "CoGroups" not in plan
+        got = {(r["log"], r["seq"]): tuple(r)[2:] for r in df.collect()}
+        assert all((r["total"], r["ok"]) == (sizes[r["log"]] + (r["log"] == "long"), True) for r in ledger.verify(df).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, tails = {}, {}
+    for part in parts:
+        for log, ts, event, order in sorted(part, key=lambda r: (r[1] is None, r[1] or 0.0, r[2], r[3])):
+            seq, before = tails.get(log, (-1, "0" * 64))
+            value = {"seq": seq + 1, "ts": math.nan if ts is None else ts, "event": event, "order": json.loads(order), "prev_hash": before}
+            made = hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+            want[log, seq + 1] = (ts, event, json.dumps(json.loads(order), sort_keys=True, separators=(",", ":")), before, made)
+            tails[log] = seq + 1, made
+    assert got == want
