@@ -88,7 +88,8 @@ def verify(ledger: DataFrame) -> DataFrame:
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            good = [r.prev_hash == r.before and chained(int(r.seq), float(r.ts), r.event, canonical(json.loads(r.order)), r.before) == r.hash for r in f.itertuples(index=False)]
+            rows = zip(*[f[c].tolist() for c in ("seq", "ts", "event", "order", "prev_hash", "hash", "before")])
+            good = [prev == before and chained(int(seq), float(ts), event, canonical(json.loads(order)), before) == made for seq, ts, event, order, prev, made, before in rows]
             yield pd.DataFrame({"log": f["log"], "seq": f["seq"], "good": good})
 
     judged = linked.mapInPandas(check, "log string, seq long, good boolean")

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.operators import ledger, panel
+from marketloom.plans import studies
 from marketloom.sources import insider, statements
 from marketloom.streaming import enrich
 
@@ -193,3 +194,21 @@ def test_logs_stream_through_their_tasks_and_ties_have_one_order(spark):
             want[log, seq + 1] = (ts, event, json.dumps(json.loads(order), sort_keys=True, separators=(",", ":")), before, made)
             tails[log] = seq + 1, made
     assert got == want
+
+
+def test_the_check_of_the_orders_makes_no_python_call_a_log(spark, tmp_path):
+    rows = [(k, (k * 7) % 23, "FOP"[k % 3], f"{k % 5}-P") for k in range(120)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").repartition(4).write.parquet(str(tmp_path / "orders.parquet"))
+    df = studies.QUERIES["ledger_check"](spark, str(tmp_path))
+    assert "PandasGroups" not in (plan := df._jdf.queryExecution().toString()) and "CoGroups" not in plan
+    counts = {str(c): sum(r[1] == c for r in rows) for c in range(23)}
+    assert sorted(map(tuple, df.collect())) == sorted((log, n, True, None) for log, n in counts.items())
+    want = {}
+    for log in counts:
+        before = "0" * 64
+        for seq, (k, _, status, priority) in enumerate(sorted((r for r in rows if str(r[1]) == log), key=lambda r: (r[0] % 2, r[0]))):
+            event = {"F": "FILL", "O": "SUBMIT"}.get(status, "PARTIAL_FILL")
+            text = f'{{"event":"{event}","order":{{"key":{k},"priority":"{priority}"}},"prev_hash":"{before}","seq":{seq},"ts":{k}.0}}'
+            before = hashlib.sha256(text.encode()).hexdigest()
+            want[log, seq] = (event, before)
+    assert {(r["log"], r["seq"]): (r["event"], r["hash"]) for r in studies.QUERIES["ledger_chain"](spark, str(tmp_path)).collect()} == want
