@@ -6,6 +6,8 @@ history.  Positions are ordered folds over one number a row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,21 +78,28 @@ def gated(bars: DataFrame, strategy: str, dead_band: float = 0.5, require_quote:
 
     A blocked entry leaves the strategy flat, so it is asked again at the next bar; exits
     always pass.  Without a usable quote an entry is blocked, or with require_quote=False
-    passes.
+    passes.  One ordered fold a symbol, which holds a batch of bars and the strategy's state;
+    bars of one ts go by their other columns.
     """
-    seen = bars.withColumn("tilt", tilt(F.col("bid"), F.col("ask"), F.col("bid_size"), F.col("ask_size")))
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ts")
-        state, act, out = folds.State(), folds.make(strategy), []
-        for bar in part.to_dict("records"):
-            state.push(bar)
-            said, lean = act(state), bar["tilt"]
-            blocked = said == "buy" and not (lean > dead_band if lean == lean else not require_quote)
-            if not blocked:
-                state.position = 1 if said == "buy" else 0 if said == "sell" else state.position
-            out.append((bar["symbol"], bar["ts"], None if blocked else said, blocked))
-        return pd.DataFrame(out, columns=["symbol", "ts", "signal", "blocked"])
+    fields = [c for c in ("open", "high", "low", "close", "volume", "session") if c in bars.columns]
+    seen = bars.select("symbol", "ts", *fields, tilt(F.col("bid"), F.col("ask"), F.col("bid_size"), F.col("ask_size")).alias("tilt"))
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        symbol, state, act = (), None, None  # no symbol yet, which a symbol that is null is not
+        for frame in frames:
+            signals, stops = [], []
+            for key, lean, *values in zip(*[frame[c].tolist() for c in ("symbol", "tilt", *fields)]):
+                if key != symbol:
+                    symbol, state, act = key, folds.State(), folds.make(strategy)
+                state.push(dict(zip(fields, values)))
+                said = act(state)
+                blocked = said == "buy" and not (lean > dead_band if lean == lean else not require_quote)
+                if not blocked:
+                    state.position = 1 if said == "buy" else 0 if said == "sell" else state.position
+                signals.append(None if blocked else said)
+                stops.append(blocked)
+            yield frame[["symbol", "ts"]].assign(signal=signals, blocked=stops)
 
     kind = bars.schema["ts"].dataType.simpleString()
-    return seen.groupBy("symbol").applyInPandas(fold, f"symbol string, ts {kind}, signal string, blocked boolean")
+    placed = seen.repartition("symbol").sortWithinPartitions("symbol", *[F.col(c).asc_nulls_last() for c in ("ts", *fields, "tilt")])
+    return placed.mapInPandas(fold, f"symbol string, ts {kind}, signal string, blocked boolean")

@@ -166,3 +166,34 @@ def test_nothing_outlives_a_query(spark, tmp_path):
         both = shared.select("a", "b").join(shared.select("a", c="b"), "a")
         assert both.df({"t": spark.read.parquet(str(tmp_path / "t"))}).agg({"c": "sum"}).first()[0] == 20 * factor
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
+@pytest.mark.parametrize("require", [True, False])
+def test_the_gate_streams_and_carries_its_state_from_batch_to_batch(spark, require):
+    """No task holds a symbol: batches of seven bars give what the whole rows give, also for no symbol, missing quotes and bars of one ts."""
+    rng, rows = np.random.Generator(np.random.PCG64(9)), []
+    for s, n in (("A", 150), (None, 90), *((f"T{i}", 3 + i) for i in range(6)), ("B", 151)):
+        closes = (10 + np.cumsum(rng.normal(0, 0.05, n))).round(4)
+        for i, c in enumerate(closes.tolist()):
+            quote = (c, None if i % 11 == 0 else round(c + float(rng.choice([0.0, 0.01, 0.02])), 4), *rng.integers(1, 9, 2).astype(float).tolist())
+            rows.append((s, i // 2 if s == "B" else i, c, c + 0.1, c - 0.1, c, 1.0, *quote))
+    bars = spark.createDataFrame(rows, "symbol string, ts int, open double, high double, low double, close double, volume double, bid double, ask double, bid_size double, ask_size double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = quoted.gated(bars.repartition(3), "ema_cross", 0.25, require)
+        assert "FlatMapGroups" not in df._jdf.queryExecution().toString()
+        got = sorted(map(tuple, df.collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for s in {r[0] for r in rows}:
+        state, act = folds.State(), folds.make("ema_cross")
+        for _, t, o, h, low, c, v, bid, ask, bs, az in sorted((r for r in rows if r[0] == s), key=lambda r: r[1:7]):
+            lean = ((ask * bs + bid * az) / (bs + az) - (bid + ask) / 2) / ((ask - bid) / 2) if ask is not None and ask > bid else None
+            state.push({"open": o, "high": h, "low": low, "close": c, "volume": v})
+            said = act(state)
+            stop = said == "buy" and not (not require if lean is None else lean > 0.25)
+            if not stop and said:
+                state.position = int(said == "buy")
+            want.append((s, t, None if stop else said, stop))
+    assert got == sorted(want, key=repr) and sum(r[3] for r in want) > 5 and sum(r[2] == "sell" for r in want) > 2
